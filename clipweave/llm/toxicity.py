@@ -141,21 +141,37 @@ def unlike(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def learn_lexicon(sample: list[tuple[str, int]], least: int = 4, ratio: float = 20.0) -> tuple[frozenset, frozenset]:
-    """Words, and stems of STEMS letters, that at least ``least`` (and 0.6 %) toxic texts hold and that are ``ratio`` times as frequent there as in other texts."""
-    many = {y: sum(z == y for _, z in sample) for y in (0, 1)}
-    seen: dict[tuple[str, int], Counter] = {(kind, y): Counter() for kind in ("word", "stem") for y in (0, 1)}
-    for text, y in sample:
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
-        seen["word", y].update(words)
-        seen["stem", y].update({w[:k] for w in words for k in STEMS if len(w) > k})
-    floor = max(least, 0.006 * many[1])
-    keep = lambda kind: frozenset(w for w, n in seen[kind, 1].items() if n >= floor and (n + 0.5) / (many[1] + 1) >= ratio * (seen[kind, 0][w] + 0.5) / (many[0] + 1))
-    return keep("word"), keep("stem")
+def learn_lexicon(sample: list[tuple[str, int]], proof: list[tuple[str, int]], least: int = 4, ratio: float = 20.0) -> tuple[frozenset, frozenset]:
+    """Words, and stems of STEMS letters, that at least ``least`` (and 0.6 %) toxic texts hold and that are ``ratio`` times as frequent there as in other texts.
+
+    Of the many words of a language some pass by chance; so each must be as telling, but for a wider margin, in a second sample.
+    """
+
+    def count(rows: list[tuple[str, int]]) -> tuple[dict, dict]:
+        seen: dict[tuple[str, int], Counter] = {(kind, y): Counter() for kind in ("word", "stem") for y in (0, 1)}
+        for text, y in rows:
+            words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
+            seen["word", y].update(words)
+            seen["stem", y].update({w[:k] for w in words for k in STEMS if len(w) > k})
+        return seen, {y: sum(z == y for _, z in rows) for y in (0, 1)}
+
+    def telling(counted: tuple[dict, dict], kind: str, word: str, ratio: float) -> bool:
+        seen, many = counted
+        return (seen[kind, 1][word] + 0.5) / (many[1] + 1) >= ratio * (seen[kind, 0][word] + 0.5) / (many[0] + 1)
+
+    first, second = count(sample), count(proof)
+    floor = max(least, 0.006 * first[1][1])
+    keep = lambda kind: frozenset(w for w, n in first[0][kind, 1].items() if n >= floor and telling(first, kind, w, ratio) and telling(second, kind, w, ratio / 2))
+    most: Counter = Counter()  # a stem that is one word's for the greater part is no stem
+    for word, n in first[0]["word", 1].items():
+        for k in STEMS:
+            if len(word) > k:
+                most[word[:k]] = max(most[word[:k]], n)
+    return keep("word"), frozenset(w for w in keep("stem") if 2 * most[w] <= first[0]["stem", 1][w])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, most_bytes: int = 16384) -> ToxicityModel:
-    """Lexicon from half of a bounded sample of the labelled rows (see labelled_sample), weights of the marks on the other half.
+    """Lexicon from half of a bounded sample of the labelled rows (see labelled_sample), proved on the other half; that half also gives the weights of the marks.
 
     Without texts of both labels the model scores every text with the share of label 1 (0 without any label).
     """
@@ -163,9 +179,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     share = sum(y for _, y in sample) / len(sample) if sample else 0.0
     if len({y for _, y in sample}) < 2:
         return ToxicityModel(share=share)
-    model = ToxicityModel(*learn_lexicon(unlike(sample[::2])), share=share)
+    rest = unlike(sample[1::2])
+    model = ToxicityModel(*learn_lexicon(unlike(sample[::2]), rest), share=share)
     marker = Marker(model)
-    rest = sample[1::2]
     x = _features([marker.count(t) for t, _ in rest])
     model.logistic = Logistic(x, np.array([y for _, y in rest], float), ridge=0.5, prior=np.array([*MARKS.values(), -2.0]), scale=False)
     return model
