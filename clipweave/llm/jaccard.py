@@ -17,13 +17,15 @@ from .components import connected
 
 WORDS = 5
 PERCENT = 80
-#: A token that at least LOCAL documents of one slice hold is counted as a candidate for the frequent class; the class has the MOST most frequent of them.
-LOCAL, MOST = 4, 1 << 16
+#: Tokens that LOCAL documents of a slice share are counted; the frequent class has the MOST most frequent of those that count OFTEN times or more.
+LOCAL, OFTEN, MOST = 2, 12, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
 #: Limits of what is compared in one group: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
 DELEGATES = 4
+#: Up to this many documents that share a key are paired; more are tied to one of them.
+FEW = 32
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -96,8 +98,30 @@ def _chosen(tokens: np.ndarray, begins: np.ndarray, which: np.ndarray) -> tuple[
     return tokens[at], doc
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token, at a place by its first bits; the length is a power of two, three bits a token or more."""
+    wide = max(6, int(3 * len(tokens)).bit_length())
+    bits = np.zeros(1 << wide, bool)
+    bits[(tokens >> np.uint64(64 - wide)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """False only if sets of n and m tokens with these bitmaps surely don't link: a bit of one set alone stands for a token that the other lacks."""
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):  # fold the longer: neighbouring places become one
+        long, short = (x, y) if len(x) > len(y) else (y, x)
+        long = np.packbits(np.unpackbits(long).reshape(8 * len(short), -1).any(1))
+        x, y = (long, short) if len(x) > len(y) else (short, long)
+    lacks_a, lacks_b = (int(np.bitwise_count(z).sum()) for z in (y & ~x, x & ~y))
+    both = min(n - lacks_b, m - lacks_a)
+    return 100 * both >= PERCENT * (n + m - both)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles and the digest of each set; and, with null digests, tokens that several distinct sets of a slice share, with their number."""
+    """doc_id, n_shingles, digest and bitmap of each set; and, with null digests, tokens that several distinct sets of a slice share, with their number."""
     for batch in slices(batches, limit=2 << 20):
         tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
         digests, which = _distinct(tokens, begins)
@@ -109,8 +133,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate((np.diff(begins), many)), pa.int64()),
                 pa.array(digests + [None] * len(found), pa.binary()),
                 pa.concat_arrays([pa.nulls(len(digests), pa.int64()), pa.array(found.view(np.int64))]),
+                pa.array([bitmap(tokens[a:b]) for a, b in zip(begins, begins[1:])] + [None] * len(found), pa.binary()),
             ],
-            names=["doc_id", "n", "digest", "token"],
+            names=["doc_id", "n", "digest", "token", "bits"],
         )
 
 
@@ -159,7 +184,7 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
 
 
 def _index(frequent):
-    """A task's keys with one document each; documents that share a key in a slice are tied to the first of them by one more key."""
+    """A task's keys and documents. A key of more than FEW documents in one slice has one row for all; the others are tied to that document by a key of their own."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
@@ -173,16 +198,63 @@ def _index(frequent):
             order = np.lexsort((of, keys))
             keys, own = keys[order], ids[which[of[order]]]
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            first = own[new][np.cumsum(new) - 1]
-            ties = np.unique(np.stack((first[~new], own[~new]), 1), axis=0)
+            run = np.cumsum(new) - 1
+            many = np.bincount(run)[run] > FEW
+            rest = many & ~new
+            ties = np.unique(np.stack((own[new][run][rest], own[rest]), 1), axis=0)
             tie = mixed(ties[:, 0].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-            keys = np.concatenate((keys[new], tie, tie))
-            own = np.concatenate((own[new], ties[:, 0], ties[:, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own)], names=["key", "doc"])
+            keys = np.concatenate((keys[~rest], tie, tie))
+            own = np.concatenate((own[~rest], ties[:, 0], ties[:, 1]))
+            hot = np.concatenate((many[~rest], np.ones(2 * len(ties), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(hot)], names=["key", "doc", "hot"])
 
     return index
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows that are sorted by key: pairs of the documents of a key if they are few; else each document with the key's first, marked hot."""
+    keys, docs, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def ready(keys, docs, hot):
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        long = np.diff(np.append(begin, len(keys)))
+        star = np.logical_or.reduceat(hot, begin) | (long > FEW)
+        found = []
+        for n in np.unique(long[~star & (long > 1)]).tolist():
+            rows = docs[begin[~star & (long == n)][:, None] + np.arange(n)]
+            a, b = np.triu_indices(n, 1)
+            found.append(np.stack((rows[:, a].ravel(), rows[:, b].ravel(), np.zeros(len(rows) * len(a), np.int64)), 1))
+        which = np.repeat(star, long)
+        found.append(np.stack((np.repeat(docs[begin], long)[which], docs[which], np.ones(which.sum(), np.int64)), 1))
+        pairs = np.concatenate(found)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        pairs[:, :2].sort(axis=1)
+        pairs = np.unique(pairs, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "hot"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.concatenate((keys, batch.column(0).to_numpy()))
+        docs = np.concatenate((docs, batch.column(1).to_numpy()))
+        hot = np.concatenate((hot, batch.column(2).to_numpy(zero_copy_only=False)))
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield ready(keys[:last], docs[:last], hot[:last])
+        keys, docs, hot = keys[last:], docs[last:], hot[last:]
+        if len(keys) > 4096:  # one key, more than a few: its first document stands for it
+            yield ready(keys, docs, hot)
+            keys, docs, hot = keys[:1], docs[:1], np.ones(1, bool)
+    if len(keys):
+        yield ready(keys, docs, hot)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [may_link(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -245,13 +317,13 @@ def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.groupBy("grouped", "bin").applyInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS, local: int = LOCAL) -> DataFrame:
+def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of each row; a link is a similarity of PERCENT or more.
 
     1. Sets are summarised: size and digest; equal sets are one class from here on. Tokens that many sets share form the frequent class,
        a bounded table that only orders tokens; any such table gives the same components.
-    2. Each set makes index keys (prefix_keys). Documents that share a key are tied in a star, never paired; connected stars are clusters,
-       outside of which no link can be.
+    2. Each set makes index keys (prefix_keys). Of a key that few documents share, pairs go on whose bitmaps don't rule out a link;
+       documents that share a key with many are tied in a star, never paired. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
        blocks: first each block alone; then a few delegates of each component of the blocks; then whoever is not in the cluster's largest
        component is sent to all blocks. Nothing is left uncompared but pairs that are connected already.
@@ -260,9 +332,9 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = saved(docs.mapInArrow(_summaries, "doc_id long, n long, digest binary, token long"), "summaries")
+    seen = saved(docs.mapInArrow(_summaries, "doc_id long, n long, digest binary, token long, bits binary"), "summaries")
     sets = seen.where("digest is not null")
-    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= local).orderBy(F.desc("n"), "token").limit(MOST).collect()
+    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(MOST).collect()
     known = np.array([r[0] for r in often], np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], np.array([r[1] for r in often], np.int64)[order]))
@@ -272,8 +344,12 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     several = classes.where("first < last").select("digest", "first")
     copies = saved(real.join(several, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
-    keys = docs.where("doc_id is not null").mapInArrow(_index(frequent), "key long, doc long")
-    ties = keys.select(F.col("doc").alias("a"), F.min("doc").over(W.partitionBy("key")).alias("b")).where("a <> b").distinct()
+    keys = docs.where("doc_id is not null").mapInArrow(_index(frequent), "key long, doc long, hot boolean")
+    pairs = saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a long, b long, hot boolean").distinct(), "pairs")
+    bits = real.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("s"))
+    side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s.n").alias(f"n_{x}"), F.col("s.bits").alias(f"bits_{x}"))
+    some = pairs.where("not hot").join(side("a"), "a").join(side("b"), "b")
+    ties = some.mapInArrow(_possible, "a long, b long").union(pairs.where("hot").select("a", "b"))
     clusters = connected(ties.union(copies))
     heads = classes.select(F.col("first").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = heads.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
