@@ -18,14 +18,16 @@ from .components import connected
 WORDS = 5
 PERCENT = 80
 #: Tokens that LOCAL documents of a slice share are counted; the frequent class has the MOST most frequent of those that count OFTEN times or more.
-LOCAL, OFTEN, MOST = 2, 12, 1 << 17
+LOCAL, OFTEN, MOST = 2, 6, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
 #: Limits of what is compared in one group: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
 DELEGATES = 4
 #: Up to this many documents that share a key are paired; more are tied to one of them.
-FEW = 32
+FEW = 24
+#: The size of a set that stands for many, of whatever sizes.
+ANY = 0
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -184,19 +186,19 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
 
 
 def _index(frequent):
-    """A task's keys and documents. A key of more than FEW documents in one slice has one row for all; the others are tied to that document by a key of their own."""
+    """A task's keys, documents and sizes. A key of more than FEW documents in one slice has one row for all; the others are tied to that document by a key of their own."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(begins)
             _, which = _distinct(tokens, begins)
             if not len(which):
                 continue
             chosen, doc = _chosen(tokens, begins, which)
-            keys, of = prefix_keys(chosen, doc, np.diff(begins)[which], frequent.value)
+            keys, of = prefix_keys(chosen, doc, sizes[which], frequent.value)
             order = np.lexsort((of, keys))
-            keys, own = keys[order], ids[which[of[order]]]
+            keys, own, size = keys[order], ids[which[of[order]]], sizes[which[of[order]]]
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
             run = np.cumsum(new) - 1
             many = np.bincount(run)[run] > FEW
@@ -205,48 +207,56 @@ def _index(frequent):
             tie = mixed(ties[:, 0].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
             keys = np.concatenate((keys[~rest], tie, tie))
             own = np.concatenate((own[~rest], ties[:, 0], ties[:, 1]))
-            hot = np.concatenate((many[~rest], np.ones(2 * len(ties), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(hot)], names=["key", "doc", "hot"])
+            size = np.concatenate((np.where(many, ANY, size)[~rest], np.full(2 * len(ties), ANY)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(size.astype(np.int32))], names=["key", "doc", "n"])
 
     return index
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows that are sorted by key: pairs of the documents of a key if they are few; else each document with the key's first, marked hot."""
-    keys, docs, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def ready(keys, docs, hot):
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        long = np.diff(np.append(begin, len(keys)))
-        star = np.logical_or.reduceat(hot, begin) | (long > FEW)
-        found = []
-        for n in np.unique(long[~star & (long > 1)]).tolist():
-            rows = docs[begin[~star & (long == n)][:, None] + np.arange(n)]
-            a, b = np.triu_indices(n, 1)
-            found.append(np.stack((rows[:, a].ravel(), rows[:, b].ravel(), np.zeros(len(rows) * len(a), np.int64)), 1))
-        which = np.repeat(star, long)
-        found.append(np.stack((np.repeat(docs[begin], long)[which], docs[which], np.ones(which.sum(), np.int64)), 1))
-        pairs = np.concatenate(found)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        pairs[:, :2].sort(axis=1)
-        pairs = np.unique(pairs, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "hot"])
+def _ready(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Pairs of the documents of each key, a run of rows, if they are few and of like sizes; of many, each that has a like size before it, tied to the first of their chain."""
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    long = np.diff(np.append(begin, len(keys)))
+    loose = np.minimum.reduceat(sizes, begin) == ANY
+    many = loose | (long > FEW)
+    found = []
+    for n in np.unique(long[~many & (long > 1)]).tolist():
+        at = begin[~many & (long == n)][:, None] + np.arange(n)
+        a, b = np.triu_indices(n, 1)
+        a, b = at[:, a].ravel(), at[:, b].ravel()
+        like = 100 * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= PERCENT * np.maximum(sizes[a], sizes[b]).astype(np.int64)
+        found.append(np.stack((docs[a[like]], docs[b[like]], np.zeros(like.sum(), np.int64)), 1))
+    at = np.flatnonzero(np.repeat(many, long))
+    at = at[np.lexsort((sizes[at], keys[at]))]
+    if len(at):
+        size, free = sizes[at].astype(np.int64), np.repeat(loose, long)[at]
+        new = np.concatenate(([True], (keys[at][1:] != keys[at][:-1]) | ~free[1:] & (100 * size[:-1] < PERCENT * size[1:])))
+        first = docs[at][new][np.cumsum(new) - 1]
+        found.append(np.stack((first, docs[at], np.ones(len(at), np.int64)), 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs[:, :2].sort(axis=1)
+    pairs = np.unique(pairs, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "hot"])
+
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and ties of rows that are sorted by key; a key of very many rows is tied piece by piece, its first document standing for the pieces before."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate((keys, batch.column(0).to_numpy()))
-        docs = np.concatenate((docs, batch.column(1).to_numpy()))
-        hot = np.concatenate((hot, batch.column(2).to_numpy(zero_copy_only=False)))
+        keys, docs, sizes = (np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns))
         last = int(np.searchsorted(keys, keys[-1]))
         if last:
-            yield ready(keys[:last], docs[:last], hot[:last])
-        keys, docs, hot = keys[last:], docs[last:], hot[last:]
-        if len(keys) > 4096:  # one key, more than a few: its first document stands for it
-            yield ready(keys, docs, hot)
-            keys, docs, hot = keys[:1], docs[:1], np.ones(1, bool)
-    if len(keys):
-        yield ready(keys, docs, hot)
+            yield _ready(keys[:last], docs[:last], sizes[:last])
+        held = [keys[last:], docs[last:], sizes[last:]]
+        if len(held[0]) > 4096:
+            held[2] = np.full(len(held[0]), ANY, np.int32)
+            yield _ready(*held)
+            held = [h[:1] for h in held]
+    if len(held[0]):
+        yield _ready(*held)
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +354,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     several = classes.where("first < last").select("digest", "first")
     copies = saved(real.join(several, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
-    keys = docs.where("doc_id is not null").mapInArrow(_index(frequent), "key long, doc long, hot boolean")
+    keys = docs.where("doc_id is not null").mapInArrow(_index(frequent), "key long, doc long, n int")
     pairs = saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a long, b long, hot boolean").distinct(), "pairs")
     bits = real.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("s"))
     side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s.n").alias(f"n_{x}"), F.col("s.bits").alias(f"bits_{x}"))
