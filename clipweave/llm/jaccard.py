@@ -22,7 +22,7 @@ LOCAL, OFTEN, MOST = 2, 6, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
 #: Limits of what is compared in one group: documents, and shingles in all.
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 19
 DELEGATES = 4
 #: Up to this many documents that share a key are paired; more are tied to one of them.
 FEW = 24
@@ -124,7 +124,7 @@ def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, digest and bitmap of each set; and, with null digests, tokens that several distinct sets of a slice share, with their number."""
-    for batch in slices(batches, limit=2 << 20):
+    for batch in slices(batches, limit=1 << 20):
         tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
         digests, which = _distinct(tokens, begins)
         found, many = np.unique(_chosen(tokens, begins, which)[0], return_counts=True)
@@ -189,7 +189,7 @@ def _index(frequent):
     """A task's keys, documents and sizes. A key of more than FEW documents in one slice has one row for all; the others are tied to that document by a key of their own."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 20):
             tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(begins)
             _, which = _distinct(tokens, begins)
@@ -305,8 +305,9 @@ def links_between(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, ask: n
 
 def _compare(key, table):
     """One group: whole clusters, or a block of one. Sets that do not ask are only compared with those that do."""
-    tokens, begins = shingle_sets(table.column("text").cast(pa.binary()).to_pylist())
-    sizes = np.diff(begins)
+    parts = [shingle_sets(b.column(0).cast(pa.binary()).to_pylist()) for b in slices(table.select(["text"]).to_batches(), limit=1 << 19)]
+    tokens, sizes = np.concatenate([t for t, _ in parts]), np.concatenate([np.diff(b) for _, b in parts])
+    begins = np.concatenate(([0], np.cumsum(sizes)))
     ids, cluster, part = table.column("doc_id").to_pylist(), table.column("cluster").to_numpy(), table.column("component").to_pylist()
     asks = table.column("asks").to_numpy()
     out: list[tuple[int, int]] = []
