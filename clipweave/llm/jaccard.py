@@ -21,8 +21,8 @@ PERCENT = 80
 LOCAL, OFTEN, MOST = 2, 6, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
-#: Limits of what is compared in one group: documents, and shingles in all.
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 19
+#: Limits of a cluster, or a block of one, that is compared in one group: documents, and shingles in all; small clusters share groups of about GROUP_TOKENS.
+BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 2048, 1 << 21, 1 << 19
 DELEGATES = 4
 #: Up to this many documents that share a key are paired; more are tied to one of them.
 FEW = 24
@@ -367,8 +367,9 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / block_docs), F.when(F.col("docs") > 2, F.ceil(F.col("tokens") / block_tokens)).otherwise(1)))
     members = saved(members.join(sizes, "cluster"), "members")
+    docs = saved(docs.join(members.select("doc_id"), "doc_id", "left_semi"), "texts")  # the whole table's texts move this once
     groups = members.where("blocks = 1").agg(F.sum("n").alias("n")).first()[0] or 0
-    bins = max(1, -(-groups // block_tokens), -(-members.count() // block_docs))
+    bins = max(1, -(-groups // min(block_tokens, GROUP_TOKENS)), -(-members.count() // block_docs))
     block = F.pmod(F.xxhash64("doc_id"), "blocks")
     small = F.col("blocks") == 1
     members = members.select("doc_id", "cluster", "blocks", F.when(small, -1).otherwise(F.col("cluster")).alias("grouped"), F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(block).alias("bin"))
