@@ -1,4 +1,733 @@
-"""All registered queries by name, and their SQL."""
+"""The registered queries, by the names of the operators that they apply, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import curation as C
+from ..operators import features as X
+from ..operators import metrics as M
+from ..operators import splits as S
+from ..operators import timeline as L
+from ..sources import tables as io
+from ..sources.shared import new_folder
+from . import inputs as I  # noqa: E741
+from .inputs import Tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SPEAKERS = {"train": [f"spk{k}" for k in range(12)], "val": [f"spk{k}" for k in range(12, 15)], "test": ["spk15", "spk16"]}
+#: Where crops of earlier stages came from.
+PREFIXES = [("clips/click", "raw/one"), ("clips/view", "raw/two"), ("clips/view/spk1", "raw/three")]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def in_list(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query(f"WITH {I.LABELS} SELECT clip_id, clip_path, word, speaker_id, source, CAST(start_sec AS DECIMAL(12,3)) AS start_sec, CAST(end_sec AS DECIMAL(12,3)) AS end_sec FROM l")
+def read_labels(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "labels")
+    t.labels_table().select(*io.LABELS).write.option("header", True).csv(path)
+    return io.read_labels(t.spark, path, exact=True)
+
+
+@query()
+def read_frame_labels(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "frames")
+    t.frames().repartitionByRange("video").sortWithinPartitions("video", "frame_idx").select("label").write.text(path)
+    return io.read_frame_labels(t.spark, path + "/*.txt")
+
+
+@query(f"WITH {I.LABELS} SELECT split, count(*) AS clips, count(DISTINCT word) AS words FROM l GROUP BY 1")
+def write_split_set(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "splits")
+    io.write_split_set(t.labels_table(), path)
+    return io.read_split_set(t.spark, path).groupBy("split").agg(F.count("*").alias("clips"), F.count_distinct("word").alias("words"))
+
+
+@query("SELECT vec_id, label, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
+def read_write_features(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "features")
+    io.save_features(t.embeddings, path)
+    return io.load_features(t.spark, path).select("vec_id", "label", F.size("embedding").cast("long").alias("width"), F.round(X.total(F.transform("embedding", lambda x: x.cast("double"))), 6).alias("total"))
+
+
+@query(f"WITH {I.LABELS} SELECT path, split_part(path, '/', 2) AS word, split_part(path, '/', 3) AS speaker_id, split_part(path, '/', 4) AS file FROM listing")
+def media_inventory(t: Tables) -> DataFrame:
+    return io.media_inventory(t.listing())
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query(f"WITH {I.BAD}, a AS (SELECT ord, clip_path FROM l WHERE ord % 9 = 0) SELECT ord, clip_path AS path FROM a")
+def normalize_path(t: Tables) -> DataFrame:
+    ugly = F.concat(F.lit(" \"'C:\\data\\ru_dataset\\02_model_inputs\\"), F.translate("clip_path", "/", "\\"), F.lit("'\" "))
+    return t.labels_table().where("ord % 9 = 0").select("ord", T.normalize_path(ugly).alias("path"))
+
+
+@query(f"WITH {I.LABELS} SELECT ord, CAST(ord AS VARCHAR) AS stem, ord || '.mp4' AS name, 'clips/' || word || '/' || speaker_id AS parent, '.mp4' AS suffix FROM l")
+def path_parts(t: Tables) -> DataFrame:
+    p = F.col("clip_path")
+    return t.labels_table().select("ord", T.path_stem(p).alias("stem"), T.path_name(p).alias("name"), T.path_parent(p).alias("parent"), T.path_suffix(p).alias("suffix"))
+
+
+@query(r"""SELECT page_id, CASE WHEN x = '' THEN '_' ELSE x END AS part FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS x FROM pages)""")
+def sanitize_path_part(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.sanitize_path_part(F.col("url")).alias("part"))
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) || 'x' AS video FROM events")
+def video_id(t: Tables) -> DataFrame:
+    return t.events.select("event_id", T.video_id(F.concat(F.lit("raw/yt_"), "user_id", F.lit("x.sub.srt"))).alias("video"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(lower(text), 'ё', 'е'), '[^0-9a-zа-я-]+', '', 'g') AS token FROM documents")
+def normalize_token(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.normalize_token(F.col("text")).alias("token"))
+
+
+@query("SELECT DISTINCT replace(lower(trim(source)), 'ё', 'е') AS word FROM documents WHERE trim(source) <> ''")
+def load_vocab(t: Tables) -> DataFrame:
+    return C.load_vocab(t.documents.select(F.concat(F.lit(" "), F.upper("source")).alias("word")))
+
+
+TRANSCRIPT = r"""x AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(html, '\r?\n'), lambda a: trim(a)),
+        lambda a: NOT (a = '' OR starts_with(upper(a), 'WEBVTT') OR regexp_matches(a, '^\d{2}:\d{2}:\d{2}[,.]\d{3}\s+-->') OR regexp_matches(a, '^\d+$'))), ' ') AS merged FROM pages),
+    c AS (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(merged, '<[^>]+>', ' ', 'g'), '\[[^\]]+\]', ' ', 'g'), '[^0-9A-Za-zА-Яа-яЁё\- ]+', ' ', 'g'), ' +', ' ', 'g'))) AS text FROM x)"""
+
+
+@query(f"WITH {TRANSCRIPT} SELECT page_id, text FROM c")
+def clean_transcript(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.clean_transcript(F.col("html")).alias("text"))
+
+
+@query(f"WITH {TRANSCRIPT} SELECT page_id, length(text) AS chars, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM c")
+def transcript_stats(t: Tables) -> DataFrame:
+    clean = t.pages.select("page_id", T.clean_transcript(F.col("html")).alias("text"))
+    return clean.select("page_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("SELECT event_id, round((event_id % 100) * 3600 + (event_id % 60) * 60 + event_id % 59 + (event_id % 1000) / CAST(1000 AS DOUBLE), 6) AS seconds FROM events")
+def parse_srt_time(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    return t.events.select("event_id", F.round(T.parse_srt_time(F.format_string("%02d:%02d:%02d,%03d", e % 100, e % 60, e % 59, e % 1000)), 6).alias("seconds"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 AND (event_id % 7) * 60 + (event_id % 50) + 0.5 > 0 THEN CAST((event_id % 7) * 60 + (event_id % 50) + 0.5 AS DOUBLE) END AS duration_sec,
+    CASE WHEN event_id % 5 <> 0 AND event_id % 31 > 0 THEN CAST(event_id % 31 AS DOUBLE) END AS fps FROM events""")
+def parse_media_probe(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    probe = F.when(e % 5 != 0, F.format_string("  Duration: 00:%02d:%02d.50, start: 0.0\n Stream: Video, %d fps, 25 tbr", e % 7, e % 50, e % 31)).otherwise("no media")
+    return t.events.select("event_id", T.media_duration(probe).alias("duration_sec"), T.media_fps(probe).alias("fps"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE FALSE END AS silent FROM events")
+def is_silence(t: Tables) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, ("", " <P:> ", "SIL", "<laugh>", "silent", "a<b>"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.select("event_id", T.is_silence(label).alias("silent"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'k1' WHEN 'view' THEN 'k2' WHEN 'error' THEN 'p!' END AS mapped, event_type NOT IN ('click', 'view', 'error') AS unknown FROM events""")
+def map_phonemes(t: Tables) -> DataFrame:
+    keys = t.spark.createDataFrame([("click", "k1"), ("view", "k2")], "symbol string, key string")
+    labels = t.events.select("event_id", F.when(F.col("event_type") == "error", "<p:>").otherwise(F.col("event_type")).alias("label"))
+    return C.map_phonemes(labels, keys, to_keys=True).select("event_id", "mapped", "unknown")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'self_recorded' ELSE 'unknown' END AS source FROM pages")
+def detect_source(t: Tables) -> DataFrame:
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("YT_", "self_", "x_"))), (F.col("page_id") % 3 + 1).cast("int")), F.col("page_id"))
+    return t.pages.select("page_id", T.detect_source(name).alias("source"))
+
+
+@query(f"""WITH {I.LABELS} SELECT ord, CASE WHEN word = 'click' THEN 'raw/one' || substr(clip_path, 12) WHEN word = 'view' AND speaker_id = 'spk1' THEN 'raw/three' || substr(clip_path, 16)
+    WHEN word = 'view' THEN 'raw/two' || substr(clip_path, 11) END AS mapped_path FROM l""")
+def map_crop_to_source(t: Tables) -> DataFrame:
+    prefixes = t.spark.createDataFrame(PREFIXES, "prefix string, target string")
+    return C.map_prefix(t.labels_table().select("ord", "clip_path"), prefixes, "clip_path").select("ord", "mapped_path")
+
+
+@query("SELECT event_id, 'out/' || event_type || '/spk' || (user_id % 19) || '/v' || user_id || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') || '.mp4' AS path FROM events")
+def clip_output_path(t: Tables) -> DataFrame:
+    speaker = F.concat(F.lit("spk"), F.col("user_id") % 19)
+    return t.events.select("event_id", T.clip_path("out", F.col("event_type"), speaker, F.concat(F.lit("v"), "user_id"), F.col("event_id")).alias("path"))
+
+
+@query("SELECT event_id, event_id % 4 IN (1, 2) AS unsafe FROM events")
+def validate_relative_path(t: Tables) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, ("a/b", "/a/b", "a/../b", "a..b/c"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return t.events.select("event_id", T.unsafe_path(path).alias("unsafe"))
+
+
+# ---------------------------------------------------------------- time series and intervals
+
+
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS cue_no, CAST(k AS DOUBLE) AS start_sec, k + CAST(1.5 AS DOUBLE) AS end_sec, cue AS text
+    FROM (SELECT doc_id, k, trim(regexp_replace(regexp_replace(lines[k], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS cue FROM
+        (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS lines FROM documents), range(1, 60) r(k) WHERE k <= len(lines) AND lines[k] <> '' AND NOT regexp_matches(lines[k], '^\d+$')) WHERE cue <> ''""")
+def parse_srt(t: Tables) -> DataFrame:
+    block = lambda line, k: F.format_string("%d\n00:00:%02d,000 --> 00:00:%02d,500\n%s\n", k + 1, k + 1, k + 2, F.trim(line))
+    lines = F.slice(F.split("text", "\n"), 1, 59)
+    return L.parse_srt(t.documents.select(F.col("doc_id").cast("string").alias("file"), F.array_join(F.transform(lines, block), "\n").alias("text")))
+
+
+@query(f"WITH {I.CUES}, {I.collapsed('cues', 'doc_id')} SELECT doc_id, text, n_tokens FROM col")
+def collapse_rolling(t: Tables) -> DataFrame:
+    return L.collapse_rolling(t.cues(), ["doc_id"])
+
+
+@query(f"""WITH {I.CUES}, tot AS (SELECT doc_id, max(end_sec) AS total FROM cues GROUP BY 1),
+    ch AS (SELECT cues.doc_id, CAST(floor((start_sec + end_sec) / 2 / 300) AS INTEGER) AS chunk_idx, cue_no, all_tokens FROM cues JOIN tot USING (doc_id) WHERE (start_sec + end_sec) / 2 < total),
+    {I.collapsed('ch', 'doc_id, chunk_idx')} SELECT doc_id, chunk_idx, text, n_tokens FROM col WHERE n_tokens >= 20""")
+def chunk_cues(t: Tables) -> DataFrame:
+    cues = t.cues()
+    return L.chunk_cues(cues.join(cues.groupBy("doc_id").agg(F.max("end_sec").alias("total")), "doc_id"), ["doc_id"], "total")
+
+
+@query(f"WITH {I.INTERVALS}, b AS (SELECT video, label, CAST(floor(start_sec * 30) AS BIGINT) AS a, CAST(floor((start_sec + CASE WHEN short THEN 0 ELSE 0.25 END) * 30) AS BIGINT) AS z FROM i) SELECT video, unnest(range(a, z)) AS frame_idx, label FROM b WHERE z > a")
+def intervals_to_frames(t: Tables) -> DataFrame:
+    return L.intervals_to_frames(t.intervals(), F.lit(30))
+
+
+@query(f"WITH {I.SEGMENTS.replace(chr(60) + chr(62) + ' ' + repr('<p:>') + ')', chr(60) + chr(62) + ' ' + repr('<p:>') + ' AND end_frame - start_frame + 1 >= 2)')} SELECT * FROM seg")
+def label_runs(t: Tables) -> DataFrame:
+    return L.label_runs(t.frames(), 2)
+
+
+CLIPS = """k AS (SELECT *, CAST(greatest(0, (start_frame - 1) * 1000 // 30 - 100) AS BIGINT) AS start_ms, CAST((end_frame + 2) * 1000 // 30 + 100 AS BIGINT) AS end_ms FROM seg)"""
+
+
+@query(f"WITH {I.SEGMENTS}, {CLIPS.replace('(start_frame - 1) * 1000 // 30', 'CAST(floor((start_frame - 1) * 1000 / 30) AS BIGINT)')}, z AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS n FROM k WHERE start_ms < 1500 AND end_ms - start_ms <= 400) SELECT video, seg_idx, word, start_frame, end_frame, start_ms, end_ms FROM z WHERE n <= 10")
+def clip_intervals(t: Tables) -> DataFrame:
+    return L.clip_intervals(L.label_runs(t.frames()), 30, pad_frames=1, pad_ms=100, max_source_ms=1500, max_duration_ms=400, limit=10)
+
+
+@query(f"""WITH {I.SEGMENTS}, v AS (SELECT video, (max(frame_idx) + 1) * 33 - 50 AS duration_ms FROM f GROUP BY 1),
+    z AS (SELECT video, seg_idx, word, start_frame, end_frame, CAST(greatest(0, start_frame * 1000 // 30 - 100) AS BIGINT) AS start_ms, CAST(least(duration_ms, (end_frame + 1) * 1000 // 30 + 100) AS BIGINT) AS end_ms
+        FROM seg JOIN v USING (video) WHERE word IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'click'))
+    SELECT * FROM z WHERE end_ms > start_ms AND end_ms - start_ms <= 300""")
+def clip_intervals_batch(t: Tables) -> DataFrame:
+    videos = t.frames().groupBy("video").agg(((F.max("frame_idx") + 1) * 33 - 50).alias("duration_ms"))
+    vocab = t.events.where("event_type <> 'click'").select(F.col("event_type").alias("word")).distinct()
+    return L.clip_intervals_batch(L.label_runs(t.frames()), videos, vocab, 30, 100, 300)
+
+
+@query(f"""WITH {I.SEGMENTS}, v AS (SELECT * FROM (VALUES ('padded', 300), ('moderate', 100), ('tight', 0)) x(variant, pad)),
+    z AS (SELECT variant, (end_frame + 1) * 1000 // 30 + pad - greatest(0, start_frame * 1000 // 30 - pad) AS ms FROM seg, v)
+    SELECT variant, count(*) AS clips, CAST(median(ms) AS DOUBLE) AS median_ms, round(avg(ms), 6) AS mean_ms, count(*) FILTER (ms >= 500) AS half_second FROM z GROUP BY 1""")
+def timing_variants(t: Tables) -> DataFrame:
+    variants = t.spark.createDataFrame([("padded", 300), ("moderate", 100), ("tight", 0)], "variant string, pad_ms int")
+    return L.timing_variants(L.label_runs(t.frames()), variants, 30)
+
+
+@query(f"WITH {I.PAIRS} SELECT * FROM p")
+def overlap_pairs(t: Tables) -> DataFrame:
+    return L.overlap_pairs(t.manifest(), 36_600_000)
+
+
+@query(f"""WITH {I.PAIRS} SELECT speaker_id, count(*) AS pairs, round(median(overlap), 6) AS median_overlap, max(overlap) AS max_overlap, count(*) FILTER (overlap >= 3600000) AS long_pairs,
+    count(*) FILTER (overlap_ratio_shorter >= 0.5) AS half_pairs, CAST(grouping(speaker_id) AS INTEGER) AS all_speakers FROM p GROUP BY GROUPING SETS ((), (speaker_id))""")
+def overlap_summary(t: Tables) -> DataFrame:
+    return L.overlap_summary(L.overlap_pairs(t.manifest(), 36_600_000), 3_600_000)
+
+
+@query(f"""WITH {I.PAIRS}, z AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY overlap DESC, source_video, clip_file_a, clip_file_b) <= (SELECT greatest(1, 30 // count(DISTINCT speaker_id)) FROM p) AS picked FROM p)
+    SELECT source_video, speaker_id, clip_file_a, clip_file_b, overlap, picked, 'pending' AS review_status, '' AS notes FROM z ORDER BY picked DESC, overlap DESC, source_video, clip_file_a, clip_file_b LIMIT 30""")
+def review_sample(t: Tables) -> DataFrame:
+    return L.review_sample(L.overlap_pairs(t.manifest(), 36_600_000), 30)
+
+
+@query("SELECT doc_id, array_to_string(list_transform(range(24), lambda i: CAST(i * (n_chars - 1) // 23 AS VARCHAR)), ',') AS frames FROM documents WHERE n_chars > 0")
+def frame_samples(t: Tables) -> DataFrame:
+    return t.documents.where("n_chars > 0").select("doc_id", F.array_join(F.transform(L.frame_samples(F.col("n_chars"), 24), lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query(f"""WITH {I.POINTS}, a AS (SELECT clip_id, frame_idx, avg(x) FILTER (point_id IN (0,1)) AS lx, avg(y) FILTER (point_id IN (0,1)) AS ly, avg(x) FILTER (point_id IN (2,3)) AS rx, avg(y) FILTER (point_id IN (2,3)) AS ry,
+        avg(x) FILTER (point_id >= 20) AS cx, avg(y) FILTER (point_id >= 20) AS cy, max(x) FILTER (point_id >= 20) - min(x) FILTER (point_id >= 20) AS w, max(y) FILTER (point_id >= 20) - min(y) FILTER (point_id >= 20) AS h FROM pts GROUP BY 1, 2),
+    b AS (SELECT *, sqrt((rx - lx) ** 2 + (ry - ly) ** 2) AS eye FROM a)
+    SELECT clip_id, frame_idx, CASE WHEN eye >= 8 THEN round(cx, 6) END AS cx, CASE WHEN eye >= 8 THEN round(cy, 6) END AS cy, CASE WHEN eye >= 8 THEN round(greatest(1.3 * eye, 1.75 * w, 3 * h), 6) END AS side,
+        CASE WHEN eye >= 8 THEN round(degrees(CASE WHEN lx > rx THEN atan2(ly - ry, lx - rx) ELSE atan2(ry - ly, rx - lx) END), 6) END AS angle FROM b""")
+def frame_geometry(t: Tables) -> DataFrame:
+    g = L.frame_geometry(t.points(), [0, 1], [2, 3], list(range(20, 32)))
+    return g.select("clip_id", "frame_idx", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "side", "angle")))
+
+
+@query(f"""WITH {I.GEOMETRY}, z AS (SELECT a.clip_id, a.frame_idx, (SELECT max(b.frame_idx) FROM geo b WHERE b.clip_id = a.clip_id AND b.frame_idx <= a.frame_idx AND b.cx IS NOT NULL) AS i0,
+        (SELECT min(b.frame_idx) FROM geo b WHERE b.clip_id = a.clip_id AND b.frame_idx >= a.frame_idx AND b.cx IS NOT NULL) AS i1 FROM geo a)
+    SELECT z.clip_id, z.frame_idx, round(CASE WHEN i0 IS NULL THEN q.cx WHEN i1 IS NULL OR i0 = i1 THEN p.cx ELSE p.cx + (q.cx - p.cx) * (z.frame_idx - i0) / (i1 - i0) END, 6) AS cx
+    FROM z LEFT JOIN geo p ON p.clip_id = z.clip_id AND p.frame_idx = i0 LEFT JOIN geo q ON q.clip_id = z.clip_id AND q.frame_idx = i1 WHERE coalesce(i0, i1) IS NOT NULL""")
+def interpolate_gaps(t: Tables) -> DataFrame:
+    return L.interpolate_gaps(t.geometry().select("clip_id", "frame_idx", "cx"), "clip_id", "frame_idx", ["cx"]).withColumn("cx", F.round("cx", 6))
+
+
+@query(f"WITH {I.GEOMETRY} SELECT clip_id, frame_idx, round(median(coalesce(cx, 0)) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS cx FROM geo")
+def rolling_median(t: Tables) -> DataFrame:
+    rows = t.geometry().select("clip_id", "frame_idx", F.coalesce("cx", F.lit(0.0)).alias("cx"))
+    return L.rolling_median(rows, "clip_id", "frame_idx", ["cx"]).withColumn("cx", F.round("cx", 6))
+
+
+@query(f"""WITH {I.GEOMETRY}, z AS (SELECT clip_id, count(*) AS total_frames, count(cx) AS landmark_frames, round(avg(side), 6) AS mean_side FROM geo GROUP BY 1)
+    SELECT *, round(landmark_frames / total_frames, 6) AS landmark_detection_ratio, total_frames - landmark_frames AS interpolated_frames,
+        CASE WHEN landmark_frames = 0 THEN 'no_landmarks' WHEN round(landmark_frames / total_frames, 6) < 0.7 THEN 'low_detection_ratio' ELSE 'ok' END AS landmark_status FROM z""")
+def detection_gate(t: Tables) -> DataFrame:
+    return L.detection_gate(t.geometry())
+
+
+@query("""WITH d AS (SELECT user_id, event_id % 5 AS s, event_id AS n, event_id % 50 AS x, event_id % 40 AS y, 20 + event_id % 37 AS w, 20 + event_id % 31 AS h FROM events WHERE user_id % 3 <> 0),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w * h DESC, s, n) AS rk FROM d) WHERE rk = 1), u AS (SELECT DISTINCT user_id FROM events)
+    SELECT u.user_id AS clip_id, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(96, trunc(x + w * CAST(0.18 AS DOUBLE)))) END AS INTEGER) AS x0, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(80, trunc(y + h * CAST(0.52 AS DOUBLE)))) END AS INTEGER) AS y0,
+        CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(96, trunc(x + w * CAST(0.82 AS DOUBLE)))) END AS INTEGER) AS x1, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(80, trunc(y + h * CAST(0.98 AS DOUBLE)))) END AS INTEGER) AS y1,
+        CASE WHEN b.w IS NULL THEN 'no_face' ELSE 'ok' END AS status FROM u LEFT JOIN b USING (user_id)""")
+def largest_face_box(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    found = t.events.where("user_id % 3 <> 0").select(F.col("user_id").alias("clip_id"), (e % 5).alias("sample_no"), e.alias("det_no"), (e % 50).alias("x"), (e % 40).alias("y"), (20 + e % 37).alias("w"), (20 + e % 31).alias("h"))
+    return L.mouth_boxes(found, t.events.select(F.col("user_id").alias("clip_id")).distinct().select("clip_id", F.lit(96).alias("width"), F.lit(80).alias("height")))
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("SELECT event_id, 'spk' || (user_id % 19) AS speaker_id, 'v' || (user_id % 10) AS video_dir FROM events WHERE NOT (user_id % 19 < 4 AND user_id % 10 = 3)")
+def exclude_videos(t: Tables) -> DataFrame:
+    jobs = t.events.select("event_id", F.concat(F.lit("spk"), F.col("user_id") % 19).alias("speaker_id"), F.concat(F.lit("v"), F.col("user_id") % 10).alias("video_dir"))
+    listed = jobs.select("speaker_id", "video_dir").distinct().select(F.concat(F.lit(" "), "speaker_id").alias("speaker_id"), "video_dir", F.when((F.substring("speaker_id", 4, 9).cast("int") < 4) & (F.col("video_dir") == "v3"), "Excluded ").otherwise("kept").alias("status"))
+    return C.exclude_videos(jobs, listed)
+
+
+@query(f"WITH {I.BAD} SELECT clip_id, clip_path, clip_path IN (SELECT clip_path FROM bad WHERE clip_path <> '') OR clip_id IN (SELECT clip_id FROM bad WHERE clip_id <> '') AS removed FROM l")
+def manual_reject(t: Tables) -> DataFrame:
+    return C.manual_reject(t.labels_table().select("clip_id", "clip_path"), t.bad())
+
+
+@query(f"WITH {I.QUALITY} SELECT clip_id, word FROM q WHERE NOT coalesce(list_has_any(flags, ['too_short', 'too_dark', 'no_face_on_samples']), FALSE)")
+def drop_flagged(t: Tables) -> DataFrame:
+    q = C.quality_flags(t.measurements())
+    return C.drop_flagged(q.select("clip_id", "word"), q, ["too_short", "too_dark", "no_face_on_samples"])
+
+
+@query(f"WITH {I.LABELS} SELECT clip_id, clip_path FROM l WHERE ord % 7 = 0")
+def missing_files(t: Tables) -> DataFrame:
+    return C.missing_files(t.labels_table().select("clip_id", "clip_path"), t.listing())
+
+
+@query("""WITH d AS (SELECT user_id AS dir, event_type || '.mp4' AS file FROM events WHERE event_id % 3 = 0), r AS (SELECT dir, file, CASE file WHEN 'view.mp4' THEN 1 WHEN 'click.mp4' THEN 2 ELSE 3 END AS rk FROM d),
+    b AS (SELECT dir, min(rk) AS rk, count(*) AS n, min(file) AS any_file FROM r GROUP BY 1) SELECT dir, CASE rk WHEN 1 THEN 'view.mp4' WHEN 2 THEN 'click.mp4' ELSE any_file END AS file FROM b WHERE rk < 3 OR n = 1""")
+def pick_files(t: Tables) -> DataFrame:
+    return C.pick_files(t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("dir"), F.concat("event_type", F.lit(".mp4")).alias("file")), ["view.mp4", "click.mp4"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
+def pending_jobs(t: Tables) -> DataFrame:
+    return C.pending_jobs(t.orders.select("o_orderkey", "o_custkey"), t.events.select(F.col("user_id").alias("o_custkey")), ["o_custkey"])
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS clip_id, unnest(list_filter([CASE WHEN vec_id % 5 = 0 THEN 'missing' END, CASE WHEN vec_id % 7 = 0 AND vec_id % 5 <> 0 THEN 'extra' END,
+    CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 3 = 0 THEN 'label_mismatch' END, CASE WHEN vec_id % 5 <> 0 AND vec_id % 11 = 0 THEN 'wrong_dimension' END], lambda x: x IS NOT NULL)) AS problem
+    FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 <> 0""")
+def align_features(t: Tables) -> DataFrame:
+    v = F.col("vec_id")
+    rows = t.embeddings.select(v.cast("string").alias("clip_id"), F.concat(F.lit("w"), F.col("label")).alias("word"), "embedding", v)
+    features = rows.where(v % 5 != 0).select("clip_id", F.when(v % 3 == 0, "other").otherwise(F.col("word")).alias("word"), F.when(v % 11 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("embedding"))
+    return C.align_features(rows.where(v % 7 != 0).select("clip_id", "word"), features, 64)
+
+
+@query(f"WITH {I.RUNS}, a AS (SELECT * FROM runs WHERE variant = '1-URGENT'), b AS (SELECT * FROM runs WHERE variant = '2-HIGH') SELECT a.fold, a.seed, a.macro_f1 AS a, b.macro_f1 AS b, round(b.macro_f1 - a.macro_f1, 6) AS difference FROM a LEFT JOIN b ON a.fold = b.fold AND a.seed = b.seed")
+def compare_versions_join(t: Tables) -> DataFrame:
+    runs = t.runs()
+    return M.compare_versions(runs.where("variant = '1-URGENT'"), runs.where("variant = '2-HIGH'"), ["fold", "seed"], "macro_f1")
+
+
+@query(f"WITH {I.RUNS} SELECT r.variant, r.fold, r.seed, r.macro_f1, b.macro_f1 AS baseline, round(r.macro_f1 - b.macro_f1, 6) AS delta FROM runs r JOIN runs b ON b.variant = '5-LOW' AND r.fold = b.fold AND r.seed = b.seed")
+def baseline_join(t: Tables) -> DataFrame:
+    runs = t.runs().select("variant", "fold", "seed", "macro_f1")
+    return M.attach_baseline(runs, runs.where("variant = '5-LOW'").select("fold", "seed", F.col("macro_f1").alias("baseline")), ["fold", "seed"], "macro_f1")
+
+
+# ---------------------------------------------------------------- aggregations
+
+
+@query(f"""WITH {I.LABELS}, b AS (SELECT split, count(DISTINCT word) AS words, count(DISTINCT speaker_id) AS speakers FROM l GROUP BY 1)
+    SELECT split, 'split' AS kind, split AS name, count(*) AS clips, any_value(words) AS words, any_value(speakers) AS speakers FROM l JOIN b USING (split) GROUP BY 1
+    UNION ALL SELECT split, 'speaker', speaker_id, count(*), NULL, NULL FROM l GROUP BY 1, 3 UNION ALL SELECT split, 'word', word, count(*), NULL, NULL FROM l GROUP BY 1, 3""")
+def describe_splits(t: Tables) -> DataFrame:
+    return S.describe_splits(t.labels_table())
+
+
+@query(f"WITH {I.LABELS} SELECT speaker_id, count(*) FILTER (word = 'click') AS click, count(*) FILTER (word = 'view') AS view, count(*) FILTER (word = 'none') AS \"none\" FROM l GROUP BY 1")
+def speaker_word_crosstab(t: Tables) -> DataFrame:
+    return S.speaker_word_crosstab(t.labels_table(), ["click", "view", "none"])
+
+
+@query(f"WITH {I.LABELS} SELECT w.word, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM words w LEFT JOIN l ON l.word = w.word GROUP BY 1")
+def word_distribution(t: Tables) -> DataFrame:
+    return S.word_distribution(t.labels_table(), t.words())
+
+
+@query(f"WITH {I.LABELS}, c AS (SELECT split, word, count(*) AS n FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, word) AS k, sum(n) OVER (PARTITION BY split) AS total FROM c) SELECT split, word, round(n / total, 6) AS share FROM r WHERE k = 1")
+def majority_baseline(t: Tables) -> DataFrame:
+    return S.majority_baseline(t.labels_table())
+
+
+@query(f"WITH {I.QUALITY} SELECT clip_id, round(duration_sec, 6) AS duration_sec, array_to_string(flags, ';') AS flags FROM q")
+def quality_flags(t: Tables) -> DataFrame:
+    return C.quality_flags(t.measurements()).select("clip_id", F.round("duration_sec", 6).alias("duration_sec"), F.array_join("flags", ";").alias("flags"))
+
+
+@query(f"""WITH {I.QUALITY} SELECT 'all' AS kind, 'clips' AS name, count(*) AS n FROM q UNION ALL SELECT 'all', 'readable', count(*) FROM q WHERE ok UNION ALL SELECT 'all', 'with_face', count(*) FROM q WHERE face_sample_hits > 0
+    UNION ALL SELECT 'speaker', speaker_id, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'word', word, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'flag', x, count(*) FROM (SELECT unnest(flags) AS x FROM q) GROUP BY 2""")
+def quality_report(t: Tables) -> DataFrame:
+    return C.quality_report(C.quality_flags(t.measurements()))
+
+
+@query(f"WITH {I.BAD} SELECT CASE WHEN reason = '' THEN 'unspecified' ELSE reason END AS reason, count(*) AS n FROM bad GROUP BY 1")
+def reject_reasons(t: Tables) -> DataFrame:
+    return C.reject_reasons(t.bad())
+
+
+@query("WITH c AS (SELECT c_nationkey AS word, count(*) AS clips, count(DISTINCT c_mktsegment) AS speakers FROM customer GROUP BY 1) SELECT *, clips < 60 AS few_clips, speakers = 1 AS one_speaker FROM c WHERE clips < 60 OR speakers = 1")
+def label_warnings(t: Tables) -> DataFrame:
+    return C.label_warnings(t.customer.select(F.col("c_nationkey").alias("word"), F.col("c_mktsegment").alias("speaker_id")), 60)
+
+
+@query(f"""WITH {I.LABELS}, g AS (SELECT speaker_id, word, count(*) AS n FROM l GROUP BY 1, 2), z AS (SELECT round((SELECT max(s) FROM (SELECT sum(n) AS s FROM g GROUP BY speaker_id)) / (SELECT sum(n) FROM g), 6) AS largest_share,
+    (SELECT count(*) FROM (SELECT sum(n) AS s FROM g GROUP BY word) WHERE s < 100) AS few_words, (SELECT count(*) FROM g WHERE n < 5) AS small_groups) SELECT *, largest_share <= 0.3 AND few_words = 0 AND small_groups = 0 AS passed FROM z""")
+def coverage_gates(t: Tables) -> DataFrame:
+    return C.coverage_gates(t.labels_table())
+
+
+@query(f"""WITH {I.LABELS} SELECT split, count(*) AS clips, count(DISTINCT speaker_id) AS speakers, count(DISTINCT word) AS words, count(clip_id) - count(DISTINCT clip_id) AS repeated_ids, count(clip_path) - count(DISTINCT clip_path) AS repeated_paths,
+    count(*) FILTER (end_sec <= start_sec) AS bad_intervals, count(*) FILTER (landmark_detection_ratio < 0.7) AS low_ratio, round(min(landmark_detection_ratio), 6) AS min_ratio, round(avg(landmark_detection_ratio), 6) AS mean_ratio, round(max(landmark_detection_ratio), 6) AS max_ratio,
+    round(min(end_sec - start_sec), 6) AS min_duration, round(avg(end_sec - start_sec), 6) AS mean_duration, round(max(end_sec - start_sec), 6) AS max_duration, count(*) FILTER (interpolated_frames > 0) AS interpolated FROM l GROUP BY 1""")
+def split_audit(t: Tables) -> DataFrame:
+    return C.split_audit(t.labels_table())
+
+
+@query(f"WITH {I.LABELS}, v AS (SELECT * FROM (VALUES ('a', 'spk0'), ('a', 'spk1'), ('b', 'spk1'), ('b', 'spk5')) x(variant, speaker_id)) SELECT variant, count(*) AS clips, count(DISTINCT speaker_id) AS speakers, count(DISTINCT (speaker_id, word)) AS groups FROM l JOIN v USING (speaker_id) GROUP BY 1")
+def variant_counts(t: Tables) -> DataFrame:
+    return S.variant_counts(t.labels_table(), {"a": ["spk0", "spk1"], "b": ["spk1", "spk5"]})
+
+
+@query(f"WITH {I.LABELS}, c AS (SELECT word, 1 / count(*) AS w FROM l JOIN words USING (word) GROUP BY 1) SELECT word, round(w / (SELECT avg(w) FROM c), 6) AS weight FROM c")
+def class_weights(t: Tables) -> DataFrame:
+    return S.class_weights(t.labels_table(), t.words())
+
+
+@query(f"WITH {I.RUNS}, s AS (SELECT variant, count(*) AS runs, avg(macro_f1) AS mean, stddev_samp(macro_f1) AS std FROM runs GROUP BY 1) SELECT variant, runs, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - (SELECT mean FROM s WHERE variant = '5-LOW'), 6) AS delta FROM s")
+def run_summary(t: Tables) -> DataFrame:
+    return M.run_summary(t.runs(), "variant", "macro_f1", "5-LOW")
+
+
+@query(f"WITH {I.RUNS} SELECT 'macro_f1' AS metric, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std FROM runs UNION ALL SELECT 'loss', round(avg(loss), 6), round(stddev_samp(loss), 6) FROM runs")
+def metric_summary_long(t: Tables) -> DataFrame:
+    return M.metric_summary(t.runs(), ["macro_f1", "loss"])
+
+
+@query(f"WITH {I.REPORT} SELECT word, " + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("precision", "recall", "f1") for f, n in (("avg", "mean"), ("stddev_samp", "std"))) + " FROM rep GROUP BY 1")
+def per_class_summary(t: Tables) -> DataFrame:
+    return M.per_class_summary(M.class_report(t.scored(), t.classes(), ["seed"]))
+
+
+@query("SELECT round(stddev_samp(CAST(x AS DOUBLE)), 6) AS scale FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def feature_scale(t: Tables) -> DataFrame:
+    return X.feature_scale(t.embeddings, "embedding").select(F.round("scale", 6).alias("scale"))
+
+
+# ---------------------------------------------------------------- windows, sorts, sets
+
+
+@query(f"""WITH {I.HISTORY}, b AS (SELECT a.*, (SELECT max((p.macro_f1, -p.loss)) FROM h p WHERE p.run_id = a.run_id AND p.epoch < a.epoch) AS before FROM h a),
+    c AS (SELECT *, before IS NULL OR (macro_f1, -loss) > before AS better FROM b), d AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS since FROM c),
+    e AS (SELECT *, min(CASE WHEN epoch - since >= 4 THEN epoch END) OVER (PARTITION BY run_id) AS stop FROM d), k AS (SELECT * FROM e WHERE stop IS NULL OR epoch <= stop),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY macro_f1 DESC, loss, epoch) AS n, max(epoch) OVER (PARTITION BY run_id) AS done FROM k) SELECT run_id, epoch AS best_epoch, macro_f1, loss, done AS epochs_completed FROM r WHERE n = 1""")
+def best_epoch(t: Tables) -> DataFrame:
+    return M.best_epoch(t.history(), 4)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def keep_last(t: Tables) -> DataFrame:
+    return M.keep_last(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT l_suppkey AS word, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 20")
+def top_words(t: Tables) -> DataFrame:
+    return S.top_words(t.lineitem.select(F.col("l_suppkey").alias("word"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o")), 20, "o")
+
+
+@query(f"WITH {I.SCORED} SELECT vec_id, round(loss, 6) AS loss, predicted_word FROM s ORDER BY s.loss DESC, vec_id LIMIT 100")
+def hardest_clips(t: Tables) -> DataFrame:
+    return M.hardest_clips(t.scored(), 100, "vec_id").select("vec_id", F.round("loss", 6).alias("loss"), "predicted_word")
+
+
+@query(f"WITH {I.SCORED} SELECT vec_id, round(loss, 6) AS loss, predicted_word FROM s WHERE NOT correct ORDER BY s.loss DESC, vec_id LIMIT 100")
+def wrong_clips(t: Tables) -> DataFrame:
+    return M.hardest_clips(t.scored(), 100, "vec_id", wrong_only=True).select("vec_id", F.round("loss", 6).alias("loss"), "predicted_word")
+
+
+@query(f"WITH {I.QUALITY} SELECT clip_id, array_to_string(flags, ';') AS flags FROM q WHERE len(flags) > 0 ORDER BY ord LIMIT 50")
+def flagged_review_list(t: Tables) -> DataFrame:
+    return C.flagged_review(C.quality_flags(t.measurements()), 50, "ord").select("clip_id", F.array_join("flags", ";").alias("flags"))
+
+
+@query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std FROM runs WHERE variant <> '1-URGENT' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1")
+def best_variant(t: Tables) -> DataFrame:
+    return M.best_variant(M.run_summary(t.runs().where("variant <> '1-URGENT'"), "variant", "macro_f1"), "variant")
+
+
+@query(f"WITH {I.LABELS}, u AS (SELECT clip_id, clip_path, NULL AS extra, 0 AS o FROM l WHERE ord % 2 = 0 UNION ALL SELECT clip_id, 'b/' || clip_path, ord, 1 FROM l WHERE ord % 3 = 0) SELECT clip_id, clip_path, extra FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY o, clip_path) AS n FROM u) WHERE n = 1")
+def keep_first(t: Tables) -> DataFrame:
+    rows = t.labels_table()
+    return S.keep_first([rows.where("ord % 2 = 0").select("clip_id", "clip_path"), rows.where("ord % 3 = 0").select("clip_id", F.concat(F.lit("b/"), "clip_path").alias("clip_path"), F.col("ord").alias("extra"))])
+
+
+@query(f"""WITH {I.LABELS}, k AS (SELECT DISTINCT split, 'speaker_id' AS key, speaker_id AS value FROM l UNION ALL SELECT DISTINCT split, 'clip_id', clip_id FROM l UNION ALL SELECT DISTINCT split, 'word', word FROM l)
+    SELECT key, value, string_agg(split, ',' ORDER BY split) AS splits FROM k GROUP BY 1, 2 HAVING count(*) > 1""")
+def split_leakage(t: Tables) -> DataFrame:
+    return S.split_leakage(t.labels_table(), ["speaker_id", "clip_id", "word"])
+
+
+@query(f"""WITH {I.LABELS}, a AS (SELECT split, clip_id FROM l WHERE ord % 5 <> 0), b AS (SELECT split, clip_id FROM l WHERE ord % 7 <> 0 OR split = 'x'), j AS (SELECT coalesce(a.split, b.split) AS split, a.clip_id AS x, b.clip_id AS y FROM a FULL JOIN b ON a.split = b.split AND a.clip_id = b.clip_id)
+    SELECT split, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS unchanged, count(*) FILTER (x IS NULL OR y IS NULL) = 0 AS equal FROM j GROUP BY 1""")
+def version_diff(t: Tables) -> DataFrame:
+    return S.version_diff(t.labels_table().where("ord % 5 <> 0"), t.labels_table().where("ord % 7 <> 0"))
+
+
+@query("SELECT vec_id, c AS condition, round(CASE c WHEN 'original' THEN CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[8] AS DOUBLE) END, 6) AS first_value FROM embeddings, (VALUES ('original'), ('hflip')) x(c)")
+def augmented_union(t: Tables) -> DataFrame:
+    rows = t.frame_arrays()
+    both = X.augmented_union({"original": rows, "hflip": rows.withColumn("frames", X.hflip(F.col("frames")))})
+    return both.select("vec_id", "condition", F.round(F.get(F.get("frames", F.lit(0)), F.lit(0)), 6).alias("first_value"))
+
+
+@query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, NULL AS note FROM runs GROUP BY 1 UNION ALL SELECT 'majority', NULL, 0.2, NULL, 'baseline'")
+def model_comparison(t: Tables) -> DataFrame:
+    base = t.spark.createDataFrame([("majority", 0.2, "baseline")], "variant string, mean double, note string")
+    return M.model_comparison([M.run_summary(t.runs(), "variant", "macro_f1"), base])
+
+
+# ---------------------------------------------------------------- splits and samples
+
+
+@query(f"""WITH {I.LABELS} SELECT 'ru_' || lpad(CAST(row_number() OVER (ORDER BY word, speaker_id, split_part(path, '/', 4)) AS VARCHAR), 6, '0') AS clip_id, path AS clip_path, word, speaker_id, CAST(0 AS DOUBLE) AS start_sec, greatest(end_sec, 0.001) AS end_sec
+    FROM listing JOIN l ON l.clip_path = listing.path""")
+def build_labels(t: Tables) -> DataFrame:
+    rows = t.labels_table()
+    return S.build_labels(io.media_inventory(t.listing()).join(rows.select(F.col("clip_path").alias("path"), F.col("end_sec").alias("duration_sec")), "path"))
+
+
+@query("SELECT row_number() OVER (ORDER BY source) - 1 AS class_id, source AS word FROM (SELECT DISTINCT source FROM documents)")
+def build_vocab(t: Tables) -> DataFrame:
+    return S.build_vocab(t.documents, "source")
+
+
+@query(f"WITH {I.LABELS} SELECT clip_id, speaker_id, CASE WHEN speaker_id IN ({in_list(SPEAKERS['train'])}) THEN 'train' WHEN speaker_id IN ({in_list(SPEAKERS['val'])}) THEN 'val' ELSE 'test' END AS split FROM l WHERE speaker_id IN ({in_list(sum(SPEAKERS.values(), []))})")
+def speaker_split(t: Tables) -> DataFrame:
+    return S.speaker_split(t.labels_table().drop("split"), SPEAKERS).select("clip_id", "speaker_id", "split")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7|' || c_custkey), c_custkey) AS k FROM customer),
+    a AS (SELECT *, greatest(1, CAST(round_even(n * CAST(0.8 AS DOUBLE), 0) AS INTEGER)) AS t0, CASE WHEN n >= 3 THEN greatest(1, CAST(round_even(n * CAST(0.1 AS DOUBLE), 0) AS INTEGER)) ELSE 0 END AS v0 FROM r),
+    b AS (SELECT *, CASE WHEN t0 + v0 >= n THEN greatest(1, n - 2) ELSE t0 END AS t1, CASE WHEN t0 + v0 >= n THEN CASE WHEN n > 2 THEN 1 ELSE 0 END ELSE v0 END AS v1 FROM a)
+    SELECT c_custkey, c_nationkey, CASE WHEN k <= t1 THEN 'train' WHEN k <= t1 + v1 THEN 'val' ELSE 'test' END AS split FROM b""")
+def stratified_split(t: Tables) -> DataFrame:
+    return S.stratified_split(t.customer.select("c_custkey", "c_nationkey"), 7, key="c_custkey", word="c_nationkey")
+
+
+@query(f"WITH {I.LABELS}, r AS (SELECT clip_id, speaker_id, word, row_number() OVER (PARTITION BY speaker_id, word ORDER BY md5('3|' || clip_id), clip_id) AS k FROM l) SELECT clip_id, speaker_id, word FROM r ORDER BY k, md5('3|' || speaker_id || '|' || word), speaker_id, word LIMIT 150")
+def round_robin_sample(t: Tables) -> DataFrame:
+    return S.round_robin_sample(t.labels_table().select("clip_id", "speaker_id", "word"), 150, ["speaker_id", "word"], 3)
+
+
+@query(f"WITH {I.LABELS}, r AS (SELECT clip_id, word, row_number() OVER (PARTITION BY word ORDER BY md5('5|' || clip_id), clip_id) AS k FROM l) SELECT clip_id, word FROM r ORDER BY k, word LIMIT 23")
+def tiny_subset(t: Tables) -> DataFrame:
+    return S.round_robin_sample(t.labels_table().select("clip_id", "word"), 23, ["word"], 5, by_name=True)
+
+
+@query(f"WITH {I.LABELS} SELECT clip_id, round(1 / sqrt(count(*) OVER (PARTITION BY speaker_id, word)), 6) AS weight FROM l")
+def sample_weights(t: Tables) -> DataFrame:
+    return S.sample_weights(t.labels_table(), "sqrt").select("clip_id", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def weighted_draw(t: Tables) -> DataFrame:
+    rows = t.labels_table().select("clip_id", "speaker_id", "word")
+    return S.weighted_draw(rows, rows.count(), 11)
+
+
+@query(f"WITH {I.LABELS}, c AS (SELECT speaker_id, word, x.c AS condition FROM l, (VALUES ('original'), ('hflip')) x(c)), h AS (SELECT DISTINCT speaker_id AS fold_speaker FROM l) SELECT fold_speaker, CASE WHEN speaker_id = fold_speaker THEN 'validation' ELSE 'train' END AS part, count(*) AS n FROM c, h WHERE speaker_id <> fold_speaker OR condition = 'original' GROUP BY 1, 2")
+def leave_one_out_folds(t: Tables) -> DataFrame:
+    rows = t.labels_table().select("speaker_id", "word")
+    both = X.augmented_union({"original": rows, "hflip": rows})
+    return S.loo_folds(both, rows.select("speaker_id").distinct()).groupBy("fold_speaker", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {I.LABELS}, z AS (SELECT 'positive_interval' AS rule, count(*) AS violations FROM l WHERE end_sec <= start_sec UNION ALL SELECT 'known_word', count(*) FROM l WHERE word = 'error' UNION ALL SELECT 'file_exists', count(*) FROM l WHERE ord % 7 = 0) SELECT * FROM z WHERE violations > 0""")
+def split_preflight(t: Tables) -> DataFrame:
+    return C.split_preflight(t.labels_table(), t.words(), t.listing())
+
+
+@query(f"""WITH {I.LABELS}, r AS (SELECT *, CASE WHEN ord % 13 = 0 THEN '' WHEN ord % 17 = 0 THEN 'same' ELSE clip_id END AS id, CASE WHEN ord % 19 = 0 THEN 'abc' ELSE CAST(end_sec AS VARCHAR) END AS fin FROM l),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM r)
+    SELECT ord + 2 AS line, id AS clip_id, unnest(CASE WHEN id = '' THEN ['empty_id'] ELSE list_filter([CASE WHEN k > 1 THEN 'repeated_id' END, CASE WHEN ord % 7 = 0 THEN 'missing_file' END, CASE WHEN word = 'error' THEN 'unknown_word' END,
+        CASE WHEN fin = 'abc' THEN 'not_a_number' WHEN end_sec <= start_sec THEN 'end_before_start' END], lambda x: x IS NOT NULL) END) AS problem FROM n""")
+def validate_labels(t: Tables) -> DataFrame:
+    rows = t.labels_table()
+    rows = rows.withColumn("clip_id", F.when(F.col("ord") % 13 == 0, "").when(F.col("ord") % 17 == 0, "same").otherwise(F.col("clip_id"))).withColumn("end_sec", F.when(F.col("ord") % 19 == 0, "abc").otherwise(F.col("end_sec").cast("string"))).withColumn("start_sec", F.col("start_sec").cast("string"))
+    return C.validate_labels(rows, "ord", t.words(), t.listing())
+
+
+@query("""SELECT event_id, 'spk' || (user_id % 19) AS speaker_id, CASE WHEN event_id % 4 <> 0 THEN 'v' || user_id || '_part' || printf('%03d', event_id % 5) END AS chunk_id, event_id % 4 <> 0 AND event_id % 5 < 3 AND user_id % 2 = 0 AS mapped FROM events""")
+def raw_source_map(t: Tables) -> DataFrame:
+    e, speaker = F.col("event_id"), F.concat(F.lit("spk"), F.col("user_id") % 19).alias("speaker_id")
+    chunk = F.concat(F.lit("v"), "user_id", F.lit("_part"), F.format_string("%03d", e % 5))
+    labels = t.events.select(e.alias("clip_id"), speaker, F.concat(F.lit("c/"), F.when(e % 4 != 0, chunk).otherwise("odd"), F.lit("_000001.mp4")).alias("clip_path"))
+    chunks = t.events.where("user_id % 2 = 0").select(speaker, "user_id").distinct().select("speaker_id", F.explode(F.array(*(F.concat(F.lit("v"), "user_id", F.lit(f"_part00{k}")) for k in range(3)))).alias("chunk_id"))
+    return C.raw_source_map(labels, chunks).withColumnRenamed("clip_id", "event_id")
+
+
+@query(f"WITH {I.LABELS} SELECT DISTINCT clip_path, 'data/' || clip_path AS archive_name, FALSE AS unsafe, ord % 7 = 0 AS missing FROM l WHERE split IN ('train', 'val')")
+def package_manifest(t: Tables) -> DataFrame:
+    return C.package_manifest(t.labels_table(), t.listing(), ["train", "val"], "data")
+
+
+@query("SELECT sha256(text) AS fingerprint, count(*) AS clips, count(DISTINCT doc_id % 10) AS classes FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 10) > 1")
+def conflicting_duplicates(t: Tables) -> DataFrame:
+    return C.conflicting_duplicates(t.documents.withColumn("word", F.col("doc_id") % 10), F.col("text"))
+
+
+# ---------------------------------------------------------------- features, scores, evaluation
+
+
+@query("SELECT vec_id, k AS channel, round(list_sum(list_transform(range(8), lambda i: CAST(embedding[i * 8 + k + 1] AS DOUBLE))) / 8, 6) AS value FROM embeddings, range(8) t(k)")
+def mean_pool(t: Tables) -> DataFrame:
+    return t.frame_arrays().select("vec_id", F.posexplode(X.mean_pool(F.col("frames"), 8)).alias("channel", "value")).select("vec_id", F.col("channel").cast("long").alias("channel"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, 57), lambda i: abs(CAST(embedding[i + 8] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)))) / 56, 6) AS motion, round(list_stddev_pop(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS spread FROM embeddings")
+def motion_stats(t: Tables) -> DataFrame:
+    return t.frame_arrays().select("vec_id", F.round(X.motion(F.col("frames")), 6).alias("motion"), F.round(X.spread(F.flatten("frames")), 6).alias("spread"))
+
+
+@query(f"WITH {I.FRAME_ARRAYS} SELECT vec_id, round(list_sum(list_transform(flatten(list_transform(frames[3:6], lambda r: r[3:6])), lambda x: (x / 255 - 0.421) / 0.165)), 6) AS total FROM fa")
+def normalize_frames(t: Tables) -> DataFrame:
+    return t.frame_arrays().select("vec_id", F.round(X.total(F.flatten(X.normalize_frames(F.col("frames"), 8, 4))), 6).alias("total"))
+
+
+@query(f"WITH {I.FRAME_ARRAYS} SELECT vec_id, array_to_string(list_transform(flatten(list_transform(frames, lambda r: list_reverse(r))), lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ',') AS mirrored FROM fa")
+def hflip_frames(t: Tables) -> DataFrame:
+    return t.frame_arrays().select("vec_id", F.array_join(F.transform(F.flatten(X.hflip(F.col("frames"))), lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("mirrored"))
+
+
+def _unit(salt: str) -> str:
+    return f"(CAST(('0x' || substr(md5('9{salt}|' || vec_id), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+@query(f"WITH {I.FRAME_ARRAYS}, u AS (SELECT *, {_unit('mask')} AS m, CAST(floor({_unit('at')} * 5) AS BIGINT) AS a FROM fa) SELECT vec_id, round(list_sum(flatten(frames)) - CASE WHEN m < 0.5 THEN list_sum(flatten(frames[a + 1 : a + 4])) ELSE 0 END, 6) AS total FROM u")
+def temporal_mask(t: Tables) -> DataFrame:
+    return t.frame_arrays().select("vec_id", F.round(X.total(F.flatten(X.temporal_mask(F.col("frames"), F.col("vec_id"), 0.5, 4, 9))), 6).alias("total"))
+
+
+@query()
+def feature_noise(t: Tables) -> DataFrame:
+    rows = X.feature_noise(t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", 0.05, 0.1, 4)
+    return rows.select("vec_id", "label", F.round(X.total(F.col("embedding")), 6).alias("total"))
+
+
+@query("SELECT round(max(list_max(list_transform(embedding, lambda x: CASE WHEN vec_id % 3 = 0 THEN abs(CAST(x AS DOUBLE) * CAST(0.5 AS DOUBLE)) ELSE 0 END))) FILTER (vec_id % 10 <> 0), 6) AS max_abs_diff, count(*) FILTER (vec_id % 10 = 0) AS unmatched FROM embeddings")
+def max_abs_diff(t: Tables) -> DataFrame:
+    a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    b = a.where("vec_id % 10 <> 0").withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 3 == 0, x * 0.5).otherwise(x)))
+    return X.max_abs_diff(a, b, "vec_id", "embedding").select(F.round("max_abs_diff", 6).alias("max_abs_diff"), "unmatched")
+
+
+HEAD = [[((c * 7 + k * 3) % 11 - 5) / 10 for k in range(64)] for c in range(3)]
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT vec_id, """ + ", ".join(f"list_sum(list_transform(range(64), lambda k: v[k + 1] * (({c * 7} + k * 3) % 11 - 5) / CAST(10 AS DOUBLE))) + {c / 10} AS s{c}" for c in range(3)) + """ FROM e)
+    SELECT vec_id, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, CAST(CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS INTEGER) AS pred_idx FROM s""")
+def linear_scores(t: Tables) -> DataFrame:
+    rows = X.linear_scores(t.embeddings, "embedding", HEAD, [0.0, 0.1, 0.2])
+    return rows.select("vec_id", *(F.round(F.get("logits", F.lit(c)), 6).alias(f"s{c}") for c in range(3)), "pred_idx")
+
+
+@query()
+def linear_probe(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("vec_id", "embedding", "label", (F.col("vec_id") % 3).alias("speaker_id"))
+    return X.linear_probe(rows, "embedding", "label", "speaker_id").select("vec_id", "label", "speaker_id", "pred_idx")
+
+
+@query(f"WITH {I.SCORED} SELECT vec_id, round(loss, 6) AS loss, round(pred_confidence, 6) AS pred_confidence, pred_idx, correct FROM s")
+def score_logits(t: Tables) -> DataFrame:
+    return t.scored().select("vec_id", F.round("loss", 6).alias("loss"), F.round("pred_confidence", 6).alias("pred_confidence"), "pred_idx", "correct")
+
+
+@query(f"WITH {I.SCORED} SELECT a.word AS true_word, b.word AS predicted_word, (SELECT count(*) FROM s WHERE s.true_word = a.word AND s.predicted_word = b.word) AS n FROM classes a, classes b")
+def confusion_matrix(t: Tables) -> DataFrame:
+    return M.confusion(t.scored(), t.classes())
+
+
+@query(f"WITH {I.REPORT} SELECT seed, word, support, predicted, correct, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rep")
+def class_report(t: Tables) -> DataFrame:
+    return M.class_report(t.scored(), t.classes(), ["seed"]).select("seed", "word", "support", "predicted", "correct", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _evals(where: str) -> str:
+    return f"round(sum(correct) / sum(support), 6) AS accuracy, round(avg(recall) FILTER (support > 0), 6) AS balanced_accuracy, round(avg(f1) FILTER ({where}), 6) AS macro_f1, count(*) FILTER (predicted > 0) AS predicted_classes"
+
+
+@query(f"WITH {I.REPORT} SELECT seed, 'active' AS mode, {_evals('support > 0')} FROM rep GROUP BY 1 UNION ALL SELECT seed, 'observed', {_evals('support > 0 OR predicted > 0')} FROM rep GROUP BY 1 UNION ALL SELECT seed, 'vocab', {_evals('TRUE')} FROM rep GROUP BY 1")
+def eval_summary(t: Tables) -> DataFrame:
+    report = M.class_report(t.scored(), t.classes(), ["seed"])
+    parts = [M.eval_summary(report, m, ["seed"]).select("seed", F.lit(m).alias("mode"), "accuracy", "balanced_accuracy", "macro_f1", "predicted_classes") for m in ("active", "observed", "vocab")]
+    return M.model_comparison(parts)
+
+
+@query(f"WITH {I.SCORED}, a AS (SELECT true_word AS word, count(*) AS n FROM s GROUP BY 1), b AS (SELECT predicted_word AS word, count(*) AS n FROM s GROUP BY 1) SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS true_count, coalesce(b.n, 0) AS predicted_count FROM a FULL JOIN b ON a.word = b.word")
+def prediction_distribution(t: Tables) -> DataFrame:
+    return M.prediction_distribution(t.scored())
+
+
+PAIRED = I.RUNS + """, pr AS (SELECT fold, seed, avg(macro_f1) FILTER (variant = '5-LOW') AS low, avg(macro_f1) FILTER (variant = '2-HIGH') AS high FROM runs GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PAIRED} SELECT fold, seed, round(low, 6) AS \"5-LOW\", round(high, 6) AS \"2-HIGH\", round(high - low, 6) AS \"2-HIGH_delta\" FROM pr")
+def paired_deltas(t: Tables) -> DataFrame:
+    return M.paired_deltas(t.runs(), ["fold", "seed"], ["5-LOW", "2-HIGH"], "5-LOW", "macro_f1")
+
+
+SUMMARY = PAIRED + """, ps AS (SELECT count(DISTINCT fold) AS folds, count(DISTINCT seed) AS seeds, round(avg(round(low, 6)), 6) AS base_mean, round(avg(round(high, 6)), 6) AS other_mean, round(avg(round(high, 6) - round(low, 6)), 6) AS delta_mean,
+    round(stddev_samp(round(high, 6) - round(low, 6)), 6) AS delta_std, count(*) FILTER (high > low) AS wins, count(high - low) AS comparisons FROM pr)"""
+
+
+@query(f"WITH {SUMMARY} SELECT * FROM ps")
+def paired_summary(t: Tables) -> DataFrame:
+    return M.paired_summary(paired_deltas(t), "fold", "seed", "5-LOW", "2-HIGH")
+
+
+@query(f"WITH {SUMMARY} SELECT wins, delta_mean, CASE WHEN delta_mean > 0 AND wins >= 5 THEN 'accept' ELSE 'reject' END AS verdict FROM ps")
+def decision_gate(t: Tables) -> DataFrame:
+    return M.decision_gate(paired_summary(t), least_wins=5).select("wins", "delta_mean", "verdict")
+
+
+@query(f"""WITH {I.LABELS} SELECT '{{"clips":' || count(*) || ',"speakers":["' || string_agg(DISTINCT speaker_id, '","' ORDER BY speaker_id) || '"],"vocabulary":["' || string_agg(DISTINCT word, '","' ORDER BY word) || '"],"seeds":[42,123]}}' AS protocol FROM l""")
+def protocol_json(t: Tables) -> DataFrame:
+    return M.protocol_json(t.labels_table(), [42, 123])
