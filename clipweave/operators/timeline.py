@@ -25,8 +25,8 @@ def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") ->
     """keys, text, n_tokens: cues one after the other, each without the longest start that ends the cue before it (by normalized tokens; cues without any are skipped)."""
     line = F.trim(F.regexp_replace("text", r"\s+", " "))
     plain = F.split(F.regexp_replace(F.translate(F.lower(line), "ё", "е"), r"[^0-9a-zа-я\- ]+", ""), " ")
-    tokens = F.filter(F.split(line, " "), lambda t, i: F.get(plain, i) != "")
-    rows = cues.withColumn("tokens", tokens).withColumn("plain", F.filter(plain, lambda t: t != "")).where(F.size("plain") > 0)
+    both = F.filter(F.zip_with(F.split(line, " "), plain, lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["p"] != "")
+    rows = cues.withColumn("both", both).where(F.size("both") > 0).withColumn("tokens", F.col("both.t")).withColumn("plain", F.col("both.p")).drop("both")
     before = F.lag("plain").over(Window.partitionBy(*keys).orderBy(order))
     most = F.least(F.size(F.coalesce("before", F.array())), F.size("plain"))
     sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import path_name, path_suffix
 
@@ -23,7 +24,7 @@ def read_labels(spark: SparkSession, path: str, required: list[str] = LABELS, ex
     return rows.withColumns({c: F.col(c).try_cast("decimal(12,3)") for c in ("start_sec", "end_sec") if c in rows.columns})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     def decode(data: bytes) -> str:
         try:
