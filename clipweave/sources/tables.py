@@ -37,7 +37,7 @@ def _decoded(content: pd.Series) -> pd.Series:
 
 def read_frame_labels(spark: SparkSession, glob: str) -> DataFrame:
     """video, frame_idx, label of files with one label a line, in UTF-8 or else cp1251. A file is read whole, as it is a video's."""
-    files = spark.read.format("binaryFile").load(glob).select(F.regexp_replace(path_name(F.col("path")), r"\.[^.]*$", "").alias("video"), F.regexp_replace(_decoded("content"), r"\r?\n$", "").alias("text"))
+    files = spark.read.format("binaryFile").load(glob).select(F.regexp_replace(path_name(F.col("path")), r"\.[^.]*$", "").alias("video"), F.regexp_replace(_decoded("content"), r"\r?\n\z", "").alias("text"))
     return files.select("video", F.posexplode(F.split("text", r"\r?\n")).alias("at", "label")).select("video", F.col("at").cast("long").alias("frame_idx"), F.trim("label").alias("label"))
 
 
