@@ -17,15 +17,15 @@ from .components import connected
 
 WORDS = 5
 PERCENT = 80
-#: Tokens that LOCAL documents of a slice share are counted; the frequent class has the MOST most frequent of those that count OFTEN times or more.
-LOCAL, OFTEN, MOST = 2, 6, 1 << 17
+#: Tokens that LOCAL documents share among documents of about COUNTED shingles are counted; the frequent class has the MOST most frequent of those that count OFTEN times or more.
+COUNTED, LOCAL, OFTEN, MOST = 1 << 21, 3, 6, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
 #: Limits of a cluster, or a block of one, that is compared in one group: documents, and shingles in all; small clusters share groups of about GROUP_TOKENS.
 BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 2048, 1 << 21, 1 << 19
 DELEGATES = 4
 #: Up to this many documents that share a key are paired; more are tied to one of them.
-FEW = 24
+FEW = 48
 #: The size of a set that stands for many, of whatever sizes.
 ANY = 0
 
@@ -122,23 +122,32 @@ def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
     return 100 * both >= PERCENT * (n + m - both)
 
 
+_SUMMARY = {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "token": pa.int64(), "bits": pa.binary()}
+
+
+def _counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
+    found, many = np.unique(np.concatenate(tokens), return_counts=True)
+    found, many = found[many >= LOCAL], many[many >= LOCAL]
+    own = {"n": pa.array(many, pa.int64()), "token": pa.array(found.view(np.int64))}
+    return pa.RecordBatch.from_arrays([own.get(c, pa.nulls(len(found), t)) for c, t in _SUMMARY.items()], names=[*_SUMMARY])
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, digest and bitmap of each set; and, with null digests, tokens that several distinct sets of a slice share, with their number."""
+    """doc_id, n_shingles, digest and bitmap of each set; and, with null digests, tokens that several distinct sets near each other share, with their number."""
+    held, many = [], 0
     for batch in slices(batches, limit=1 << 20):
         tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
         digests, which = _distinct(tokens, begins)
-        found, many = np.unique(_chosen(tokens, begins, which)[0], return_counts=True)
-        found, many = found[many >= LOCAL], many[many >= LOCAL]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([batch.column(0), pa.nulls(len(found), pa.int64())]),
-                pa.array(np.concatenate((np.diff(begins), many)), pa.int64()),
-                pa.array(digests + [None] * len(found), pa.binary()),
-                pa.concat_arrays([pa.nulls(len(digests), pa.int64()), pa.array(found.view(np.int64))]),
-                pa.array([bitmap(tokens[a:b]) for a, b in zip(begins, begins[1:])] + [None] * len(found), pa.binary()),
-            ],
-            names=["doc_id", "n", "digest", "token", "bits"],
-        )
+        held.append(_chosen(tokens, begins, which)[0])
+        many += len(held[-1])
+        if many > COUNTED:
+            yield _counted(held)
+            held, many = [], 0
+        bits = pa.array([bitmap(tokens[a:b]) for a, b in zip(begins, begins[1:])], pa.binary())
+        own = {"doc_id": batch.column(0), "n": pa.array(np.diff(begins), pa.int64()), "digest": pa.array(digests, pa.binary()), "bits": bits}
+        yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(len(digests), t)) for c, t in _SUMMARY.items()], names=[*_SUMMARY])
+    if held:
+        yield _counted(held)
 
 
 def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
