@@ -26,7 +26,9 @@ def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") ->
     line = F.trim(F.regexp_replace("text", r"\s+", " "))
     plain = F.split(F.regexp_replace(F.translate(F.lower(line), "ё", "е"), r"[^0-9a-zа-я\- ]+", ""), " ")
     both = F.filter(F.zip_with(F.split(line, " "), plain, lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["p"] != "")
-    rows = cues.withColumn("both", both).where(F.size("both") > 0).withColumn("tokens", F.col("both.t")).withColumn("plain", F.col("both.p")).drop("both")
+    # texts move and are split afterwards: they are smaller than their tokens, and few input splits then don't do all the splitting
+    said = cues.where(F.lower("text").rlike(r"[0-9a-zа-яё\-]")).select(*keys, order, "text").repartition(*keys)
+    rows = said.withColumn("both", both).select(*keys, order, F.col("both.t").alias("tokens"), F.col("both.p").alias("plain"))
     before = F.lag("plain").over(Window.partitionBy(*keys).orderBy(order))
     most = F.least(F.size(F.coalesce("before", F.array())), F.size("plain"))
     sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))

@@ -85,8 +85,10 @@ class Tables:
 
     def cues(self) -> DataFrame:
         rows = self.documents.where("trim(text) <> ''").select("doc_id", F.split(F.trim("text"), r"\s+").alias("t"))
-        rows = rows.select("doc_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(size(t) - 1) div 4"))).alias("cue_no"))
-        return rows.select("doc_id", "cue_no", (F.col("cue_no") * 2.0).alias("start_sec"), (F.col("cue_no") * 2.0 + 4).alias("end_sec"), F.expr("array_join(slice(t, int(cue_no) * 4 + 1, 8), ' ')").alias("text"))
+        # the texts are cut before they are exploded: a row for each cue must not carry its whole text
+        cut = lambda k: F.struct(k.alias("cue_no"), F.array_join(F.slice("t", k.cast("int") * 4 + 1, 8), " ").alias("text"))
+        rows = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(size(t) - 1) div 4")), cut)).alias("cue"))
+        return rows.select("doc_id", "cue.cue_no", (F.col("cue.cue_no") * 2.0).alias("start_sec"), (F.col("cue.cue_no") * 2.0 + 4).alias("end_sec"), "cue.text")
 
     def intervals(self) -> DataFrame:
         e = F.col("event_id")
