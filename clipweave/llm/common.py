@@ -33,6 +33,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def replacing(docs: DataFrame, new: list[str]) -> DataFrame:
+    """docs without the columns that new ones of these names replace; names are compared without case, as Spark does."""
+    gone = {n.lower() for n in new}
+    return docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in gone))
+
+
+def unused(docs: DataFrame, name: str, ends: tuple[str, ...] = ("",)) -> str:
+    """name, with underscores before it until docs has no column of that name with any of the ends."""
+    taken = {c.lower() for c in docs.columns}
+    while any((name + e).lower() in taken for e in ends):
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = -1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of about limit bytes in the text column; a row is never cut."""
     for batch in batches:

@@ -11,13 +11,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most per_class (text, label) pairs of each of the labels 0 and 1, texts of at most most_bytes, in the order of a hash of the id.
 
     The ids are picked first (a top-k of id hashes), so the broadcast that fetches their texts has at most 2 * per_class rows, and the
-    driver gets at most that many texts of bounded size. Equal texts count once; null labels and null texts are left out.
+    driver gets at most that many texts of bounded size: of rows that repeat an id, one (the least text). Equal texts count once; null
+    labels, ids and texts are left out.
     """
     ids = None
     for value in (0, 1):
-        some = labels.where(F.col(label) == value).select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_class)
+        some = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_class)
         ids = some if ids is None else ids.union(some)
-    rows = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "h").collect()
+    rows = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")).select("text", "y", "h").collect()
     rows.sort(key=lambda r: (r["h"], r["text"]))
     return list({r["text"]: (r["text"], r["y"]) for r in rows}.values())
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import replacing, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -172,17 +172,18 @@ class Tagger:
         return np.split(out, begins[1:-1])
 
 
-def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False) -> DataFrame:
+def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False, out: str = "lang") -> DataFrame:
     """docs with lang_pred (the language with the largest mean probability over the words; ties: first in order) and lang_score (that mean).
 
     With spans, also lang_spans: runs of words of one language, as (first word, words, lang). Words are runs of letters, lower-cased; the
     whole text is read, in chains of CHAIN words. A null text, or one without a letter, is ``und`` with score 0 and no spans, and so is
-    every text if the model knows no language. Repeated rows, null ids and all columns stay; an empty table stays empty.
+    every text if the model knows no language. Repeated rows, null ids and all columns stay, but those with the new names are replaced;
+    ``out`` is what the new names begin with. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, more = docs.columns, ["lang_pred", "lang_score"] + ["lang_spans"] * spans
-    if clash := set(names) & set(more):
-        raise ValueError(f"the table already has columns {sorted(clash)}")
+    more = [f"{out}_pred", f"{out}_score"] + [f"{out}_spans"] * spans
+    docs = replacing(docs, more)
+    names = docs.columns
     at = names.index(text)
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
@@ -198,7 +199,7 @@ def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", spa
                 columns.append(pa.array([runs(p.argmax(1), langs) for p in found], kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *more])
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), *[F.expr("cast(null as array<struct<first_word int, words int, lang string>>)").alias("lang_spans")] * spans).schema
+    schema = docs.select("*", F.lit("").alias(more[0]), F.lit(0.0).alias(more[1]), *[F.expr("cast(null as array<struct<first_word int, words int, lang string>>)").alias(f"{out}_spans")] * spans).schema
     return docs.mapInArrow(tag, schema)
 
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import replacing, slices
 from .fitting import Logistic, labelled_sample
 
 BLOCK = 1024  # a long text is compressed in blocks, or its own words would soon count more than the dictionary
@@ -75,12 +75,11 @@ def quality_scores(docs: DataFrame, model: QualityModel, text: str = "text", out
     """docs with a score from 0 to 1 in column ``out``: how likely a text is of the good kind.
 
     Each whole text is compressed block by block with either dictionary. Null and empty texts get the score of an empty text; repeated
-    rows, null ids and all columns stay, and an empty table stays empty.
+    rows, null ids and all columns stay (one that is named as ``out`` is replaced), and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = replacing(docs, [out])
     names = docs.columns
-    if out in names:
-        raise ValueError(f"the table already has a column {out}")
     at = names.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

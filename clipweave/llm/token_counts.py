@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PIECE, pieces, slices
+from .common import _PIECE, pieces, replacing, slices
 
 
 class _Tier(dict):
@@ -37,13 +37,13 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
 
     No row moves: each task reads its texts, adds up lengths of pre-tokens from the broadcast table and, where that misses, from its
     worker's cache. A text with other characters than the common scripts', or with a special token's string, is encoded whole by the
-    library. Null and empty texts have 0 tokens; all other columns, and repeated rows, are kept; an empty table stays empty.
+    library. Null and empty texts have 0 tokens; all other columns, and repeated rows, are kept,
+    but a column that is named as ``out`` is replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent_lengths(docs, path, text, **table))
+    docs = replacing(docs, [out])
     names = docs.columns
-    if out in names:
-        raise ValueError(f"the table already has a column {out}")
     at = names.index(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

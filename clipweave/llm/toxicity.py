@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Filled, slices
+from .common import _Filled, replacing, slices
 from .fitting import Logistic, labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»„]")
@@ -192,12 +192,12 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", o
 
     Words are mapped to symbols by the learned lexicon and small fixed word classes, and every whole text runs through the composed
     grammar, clause by clause: what counts is an insult or threat with its context, negated and reported ones little. Null and empty
-    texts have no marks; repeated rows, null ids and all columns stay, and an empty table stays empty.
+    texts have no marks; repeated rows, null ids and all columns stay (but those with the new names are replaced), and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, more = docs.columns, [out, *(f"n_{m}" for m in MARKS)]
-    if clash := set(names) & set(more):
-        raise ValueError(f"the table already has columns {sorted(clash)}")
+    more = [out, *(f"n_{m}" for m in MARKS)]
+    docs = replacing(docs, more)
+    names = docs.columns
     at = names.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

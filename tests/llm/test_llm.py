@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipweave.llm import components, decontaminate, jaccard, language, media, packing, quality, queries, token_counts, token_files, toxicity, warc
+from clipweave.llm import components, decontaminate, fitting, jaccard, language, media, packing, quality, queries, token_counts, token_files, toxicity, warc
 from clipweave.llm.common import _PIECE, pieces
 
 ODD = [None, "", " ", "\n\n\t", "a", "Don't stop<|endoftext|>now", "x" * 5000, "naïve  café\r\n½ ² ٣ 漢字かな ไทย 😀 é", "  \u001c end", "a b c d e f g " * 300, "same text", "same text"]
@@ -305,6 +305,33 @@ def test_scores_of_odd_rows(spark, odd):
         assert len(q) == len(t) == len(ODD) and all(0 <= r.quality_score <= 1 for r in q) and all(0 <= r.toxicity <= 1 for r in t)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, sf_dir, duck, name):
+    got, want = queries.QUERIES[name](spark, sf_dir), duck.sql(queries.SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted((tuple(r) for r in got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_columns_with_clashing_names(spark, odd):
+    docs = odd.select("*", *(F.lit("old").alias(n) for n in ("N_Tokens", "Quality_Score", "lang_pred", "LANG_SCORE", "toxicity", "n_insult", "h", "y", "lang", "worker")))
+    labels = spark.createDataFrame([(k, k % 2, k % 2, "x") for k in range(12)] + [(None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    found = {
+        "n_tokens": token_counts.token_counts(docs, queries.tokenizer()), "quality_score": quality.quality_scores(docs, quality.fit_quality(docs, labels)),
+        "lang_score": language.tag_languages(docs, language.fit_language(docs, chains=20, steps=2)), "toxicity": toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels)),
+    }
+    for name, out in found.items():
+        assert [c.lower() for c in out.columns].count(name) == 1 and {r[0] for r in out.select("n_bytes").distinct().collect()} == {"x"}
+        assert out.count() == len(ODD) and out.where(F.col(name).cast("string") == "old").count() == 0
+    assert jaccard.near_duplicates(docs).count() == media.store_media(docs).count() == len(ODD)
+    assert packing.pack(docs, queries.tokenizer()).count() >= len(ODD)
+
+
+def test_a_sample_has_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    assert sorted(fitting.labelled_sample(docs, labels, "quality", 10, 100)) == [("other", 0), ("text 0", 1)]
+
+
 def test_grammar_reads_the_context():
     marker = toxicity.Marker(toxicity.ToxicityModel(words=frozenset({"fool"})))
     for text, mark in {"a fool came": "insult", "you are a fool": "directed", "he is not a fool": "negated", "they said fool": "reported", "you. The fool": "insult", "I will kill you": None, "you I will kill": "threat", 'said "fool" and': "reported", "not. A fool": "insult", "nothing here": None}.items():
@@ -315,8 +342,16 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = docs.select("*", F.lit("own").alias("Quality_Score"), F.lit("own").alias("lang_pred"), F.lit("own").alias("component_id"), F.lit("own").alias("item_id"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
+        if name in ("quality", "language"):
+            also = stage(spark, clash, sf_dir)
+            assert also.columns == clash.columns and also.where("quality_score = 'own' and lang_pred = 'own'").count() == kept.count(), name
+            clash = clash.join(kept.select("doc_id"), "doc_id", "left_semi").select(clash.columns)
+        else:
+            also = stage(spark, clash, sf_dir)
+            assert also.columns == clash.columns, name
         assert kept.columns == docs.columns, name
         assert 0 < kept.count() <= docs.count()
         docs = kept
