@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipweave.llm import decontaminate, jaccard, language, packing, quality
-from clipweave.llm.common import folded, labels, saved
+from clipweave.llm.common import folded, labels, saved, unused
 from clipweave.llm.queries import tokenizer
 
 #: A document stays with at least this quality score, and with at least this mean probability of its language.
@@ -17,7 +17,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from labelled rows outside the held-out fold. Other columns are kept."""
     held = folded("doc_id") % 5 == 0
     model = quality.fit_quality(docs, labels(spark, sf_dir).where(~held))
-    return quality.quality_scores(docs, model).where(F.col("quality_score") >= QUALITY).drop("quality_score")
+    score = unused(docs, "quality_score")
+    return quality.quality_scores(docs, model, out=score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = language.fit_language(docs.where(folded("doc_id") % 3 != 1))
     if not model.languages:  # nothing to learn from, nothing to reject by
         return docs
-    return language.tag_languages(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LANGUAGE)).drop("lang_pred", "lang_score")
+    out = unused(docs, "lang", ("_pred", "_score"))
+    pred, score = f"{out}_pred", f"{out}_score"
+    return language.tag_languages(docs, model, out=out).where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LANGUAGE)).drop(pred, score)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
