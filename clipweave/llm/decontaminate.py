@@ -28,11 +28,17 @@ def seeds(rows: DataFrame, words: str, place: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(*keys)).alias("key")).select(*rows.columns, "key.span", "key.seed").where("seed is not null")
 
 
-def _overlap(doc: str, item: str) -> Column:
+def _near(rows: DataFrame) -> DataFrame:
+    """rows with the number n of their item's words and, instead of all of them, those that _overlap compares: near, from place near_at on."""
+    lo, hi = F.greatest(F.lit(0), F.col("item_at") - AROUND), F.least(F.size("item_words"), F.col("item_at") + F.col("span") + AROUND)
+    return rows.select(*(c for c in rows.columns if c != "item_words"), F.size("item_words").alias("n"), lo.alias("near_at"), F.slice("item_words", lo + 1, hi - lo).alias("near"))
+
+
+def _overlap(doc: str) -> Column:
     """Words compared and equal words around a hit, in the item's range, cut at the ends of either text."""
-    lo = F.greatest(F.lit(0), F.col("item_at") - AROUND, F.col("item_at") - F.col("doc_at"))
-    hi = F.least(F.size(item), F.col("item_at") + F.col("span") + AROUND, F.col("item_at") - F.col("doc_at") + F.size(doc))
-    same = F.aggregate(F.zip_with(F.slice(doc, F.col("doc_at") - F.col("item_at") + lo + 1, hi - lo), F.slice(item, lo + 1, hi - lo), lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    lo = F.greatest(F.col("near_at"), F.col("item_at") - F.col("doc_at"))
+    hi = F.least(F.col("near_at") + F.size("near"), F.col("item_at") - F.col("doc_at") + F.size(doc))
+    same = F.aggregate(F.zip_with(F.slice(doc, F.col("doc_at") - F.col("item_at") + lo + 1, hi - lo), F.slice("near", lo - F.col("near_at") + 1, hi - lo), lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     return F.struct((hi - lo).alias("compared"), same.alias("same"))
 
 
@@ -41,19 +47,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MO
 
     Every window of every text is hashed under fixed masks that ignore some word positions, and joined with the windows of the items; a
     hit counts if at least SHARE of the words around it are equal, at least LEAST of them compared (or the whole item). Case, punctuation
-    and up to a fifth of substituted words do not hide a passage. The items' seeds are broadcast if they are few (counted first), so no
-    text moves; otherwise seeds are joined by a shuffle and the hits' texts fetched by id. Null and empty texts, and items shorter than
+    and up to a fifth of substituted words do not hide a passage. The items' seeds are broadcast if they are few (counted first), each with
+    the few words around it, so no text moves and what is broadcast is bounded however long an item is; otherwise seeds are joined by a shuffle and the hits' texts fetched by id. Null and empty texts, and items shorter than
     the shortest mask, match nothing; rows that repeat an id count as one document; null ids are left out; an empty table gives no row.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("doc_words"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item_words"))
     known = seeds(items, "item_words", "item_at")
     if benchmark.limit(most_broadcast + 1).count() <= most_broadcast and known.limit(most_broadcast + 1).count() <= most_broadcast:
-        hits = seeds(docs, "doc_words", "doc_at").join(F.broadcast(known), ["seed", "span"])
+        hits = seeds(docs, "doc_words", "doc_at").join(F.broadcast(_near(known)), ["seed", "span"])
     else:
         found = seeds(docs, "doc_words", "doc_at").drop("doc_words").join(known.drop("item_words"), ["seed", "span"]).distinct()
-        hits = found.join(docs, "doc_id").join(items, "item_id")
-    hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("first_word"), _overlap("doc_words", "item_words").alias("o"), F.size("item_words").alias("n"))
+        hits = _near(found.join(docs, "doc_id").join(items, "item_id"))
+    hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("first_word"), _overlap("doc_words").alias("o"), "n")
     good = (F.col("o.same") >= SHARE * F.col("o.compared")) & (F.col("o.compared") >= F.least(F.col("n"), F.lit(LEAST)))
     # counted under a condition: as a filter, the comparison would move into the join and run there for each of its uses
     found = hits.groupBy("doc_id", "item_id").agg(

@@ -253,6 +253,20 @@ def test_decontamination(spark, most):
     assert decontaminate.contaminated(frame.where("false"), bench, most).count() == 0
 
 
+def test_a_broadcast_seed_holds_only_the_words_around_it(spark, monkeypatch):
+    rng = Random(11)
+    long = prose(rng, 6000)
+    bench = spark.createDataFrame([(0, long), (0, prose(rng, 30)), (1, prose(rng, 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, " ".join(long.split()[3000:3040])), (1, " ".join(long.split()[-12:])), (2, prose(rng, 50))], "doc_id long, text string")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 0), (1, 0)} and len(sent) == 1
+    most = max(map(len, decontaminate.MASKS)) + 2 * decontaminate.AROUND
+    arrays = [c for c, kind in sent[0].dtypes if kind.startswith("array")]
+    assert arrays and sent[0].select(F.max(F.greatest(F.lit(0), *map(F.size, arrays)))).head()[0] <= most
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(8)
     e, move = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
