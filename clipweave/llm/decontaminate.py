@@ -46,8 +46,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MO
     """Documents that hold a passage of a benchmark item: doc_id, item_id, n_hits (seeds found), first_word, compared and same (of the best hit).
 
     Every window of every text is hashed under fixed masks that ignore some word positions, and joined with the windows of the items; a
-    hit counts if at least SHARE of the words around it are equal, at least LEAST of them compared (or the whole item). Case, punctuation
-    and up to a fifth of substituted words do not hide a passage. The items' seeds are broadcast if they are few (counted first), each with
+    hit counts if at least SHARE of the words around it are equal, at least LEAST of them compared (or the whole item). Case and
+    punctuation do not hide a passage. An item whose words are all there but for k replaced ones is found, wherever these are, from 8 words
+    on for k = 0, 10 for 1, 16 for 2, 23 for 3 and 27 for 4; of a part of an item, 12 unchanged words in a row. SHARE accepts more than the
+    masks find: with every fifth word replaced no seed is left, and such a passage is missed. The items' seeds are broadcast if they are few (counted first), each with
     the few words around it, so no text moves and what is broadcast is bounded however long an item is; otherwise seeds are joined by a shuffle and the hits' texts fetched by id. Null and empty texts, and items shorter than
     the shortest mask, match nothing; rows that repeat an id count as one document; null ids are left out; an empty table gives no row.
     """

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import wave
 import zlib
 from collections import defaultdict
@@ -253,6 +254,36 @@ def test_decontamination(spark, most):
     assert decontaminate.contaminated(frame.where("false"), bench, most).count() == 0
 
 
+def test_what_the_masks_surely_find_is_what_the_docstring_says(spark):
+    def found(equal):
+        for m in decontaminate.MASKS:
+            for at in range(len(equal) - len(m) + 1):
+                near = equal[max(0, at - decontaminate.AROUND) : at + len(m) + decontaminate.AROUND]
+                if all(equal[at + k] for k, c in enumerate(m) if c == "1") and sum(near) >= decontaminate.SHARE * len(near) and len(near) >= min(len(equal), decontaminate.LEAST):
+                    return True
+        return False
+
+    def patterns(n, k):
+        return ([x not in gone for x in range(n)] for gone in itertools.combinations(range(n), k))
+
+    surely = {0: 8, 1: 10, 2: 16, 3: 23, 4: 27}
+    for k, n in surely.items():
+        assert all(map(found, patterns(n, k))) and (k == 0 or not all(map(found, patterns(n - 1, k)))), (k, n)
+    assert not any(found([x % 5 != phase for x in range(n)]) for n in (20, 40, 60, 100) for phase in range(5))
+    said = " ".join(decontaminate.contaminated.__doc__.split())
+    assert "8 words on for k = 0, 10 for 1, 16 for 2, 23 for 3 and 27 for 4" in said and "every fifth word replaced no seed is left" in said
+    # the query does as the enumeration: every pattern of two in 16 words, and of one in 8
+    rng, docs, want = Random(5), [], set()
+    items = [[f"w{i}x{x}" for x in range(n)] for i, n in enumerate((16, 8))]
+    for i, k in ((0, 2), (1, 1)):
+        for equal in patterns(len(items[i]), k):
+            if found(equal):
+                want.add((len(docs), i))
+            docs.append(" ".join([prose(rng, 5), *(w if e else "other" for w, e in zip(items[i], equal)), prose(rng, 5)]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), bench).collect()} == want
+
+
 def test_a_broadcast_seed_holds_only_the_words_around_it(spark, monkeypatch):
     rng = Random(11)
     long = prose(rng, 6000)
