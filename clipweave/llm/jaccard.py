@@ -381,21 +381,24 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     bins = max(1, -(-groups // min(block_tokens, GROUP_TOKENS)), -(-members.count() // block_docs))
     block = F.pmod(F.xxhash64("doc_id"), "blocks")
     small = F.col("blocks") == 1
-    members = members.select("doc_id", "cluster", "blocks", F.when(small, -1).otherwise(F.col("cluster")).alias("grouped"), F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(block).alias("bin"))
+    members = members.select("doc_id", "n", "cluster", "blocks", F.when(small, -1).otherwise(F.col("cluster")).alias("grouped"), F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(block).alias("bin"))
     alone = members.select("*", F.col("doc_id").alias("component"), F.lit(True).alias("asks"))
     links = saved(_verified(alone, docs), "found").union(copies)
 
+    # as many groups for so many documents and shingles, but no more than documents
+    dealt = lambda docs, tokens: F.least(docs, F.greatest(F.ceil(docs / block_docs), F.when(docs > 2, F.ceil(tokens / block_tokens)).otherwise(1)))
     large = members.where("blocks > 1")
     if large.limit(1).count():
         parts = lambda links: saved(large.join(connected(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parts")
         rank = F.row_number().over(W.partitionBy("cluster", "bin", "component").orderBy(F.xxhash64("doc_id")))
         some = parts(links).withColumn("rank", rank).where(F.col("rank") <= DELEGATES)
-        fewer = some.groupBy("cluster").agg(F.ceil(F.count("*") / block_docs).alias("fewer"))
+        fewer = some.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("fewer"))
         some = some.join(fewer, "cluster").withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(1)), "fewer")).withColumn("asks", F.lit(True))
         links = links.union(saved(_verified(some, docs), "delegates"))
         now = parts(links)
-        counts = now.groupBy("cluster", "component").agg(F.count("*").alias("many"))
-        main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component")).alias("main"), F.sum("many").alias("all")).select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.many")) / block_docs).alias("chunks"))
+        counts = now.groupBy("cluster", "component").agg(F.count("*").alias("many"), F.sum("n").alias("tokens"))
+        main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component", "tokens")).alias("main"), F.sum("many").alias("all"), F.sum("tokens").alias("tokens"))
+        main = main.select("cluster", F.col("main.component").alias("main"), dealt(F.col("all") - F.col("main.many"), F.col("tokens") - F.col("main.tokens")).alias("chunks"))
         now = now.join(main, "cluster").where("chunks > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), "chunks"))
         outside = now.where("component <> main").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         everyone = now.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("asks", F.lit(False))

@@ -196,6 +196,25 @@ def test_near_duplicates_equal_brute_force(spark, blocks, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_later_rounds_are_bounded_by_shingles_too(spark, monkeypatch):
+    rng = Random(9)
+    passage = prose(rng, 50)
+    texts = family(rng, prose(rng, 100), 240) + [f"{passage} {prose(rng, 50)}" for _ in range(120)]
+    monkeypatch.setattr(jaccard, "FEW", 6)
+    groups, verified = [], jaccard._verified
+
+    def counted(members, docs):
+        groups.append(members.groupBy("grouped", "bin").count().agg(F.max("count")).head()[0])
+        return verified(members, docs)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    docs = list(enumerate(texts))
+    got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_tokens=1500).collect()}
+    assert got == brute_components(docs)
+    # a group has some 15 of these documents; a block and those sent to it, twice as many
+    assert len(groups) == 3 and groups[1] <= 35 and groups[2] <= 60, groups
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (10, 11)} == {10}
