@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 SILENCE = ["", "<silence:>", "<silence>", "<pause>", "<p:>", "sil", "sp"]
 # Line patterns of subtitle files.
 CUE_TIMES = r"^(\d{2}:\d{2}:\d{2},\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2},\d{3})"
+TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
+# What ends a line, what is white space at the ends of a text, and what a spoken word is made of.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+WHITE = r"[\s\x1c-\x1f]"
+SPOKEN = "0-9A-Za-zА-Яа-яЁё"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"(?U)^{WHITE}+|{WHITE}+\z", "")
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, LINE_ENDS)
 
 
 def normalize_path(path: Column, marker: str = "ru_dataset/", prefix: str = "02_model_inputs/") -> Column:
     """Without blanks and quotes, with forward slashes, from after the first marker on, without the prefix and leading dots and slashes."""
-    plain = F.trim(path)
+    plain = strip(path)
     for quote in ('"', "'"):
         plain = F.regexp_replace(plain, f"^{quote}+|{quote}+$", "")
     plain = F.translate(plain, "\\", "/")
@@ -55,10 +69,9 @@ def normalize_token(token: Column) -> Column:
 
 def clean_transcript(text: Column) -> Column:
     """Spoken words of a subtitle or transcript text in lower case: no headers, times, numbers on lines of their own, tags or other symbols."""
-    lines = F.transform(F.split(text, r"\r?\n"), F.trim)
-    kept = F.filter(lines, lambda x: ~((x == "") | F.upper(x).startswith("WEBVTT") | x.rlike(r"^\d{2}:\d{2}:\d{2}[,.]\d{3}\s+-->") | x.rlike(r"^\d+$")))
+    kept = F.filter(F.transform(lines(text), strip), lambda x: ~((x == "") | F.upper(x).startswith("WEBVTT") | x.rlike(rf"^{TIME}\s*-->\s*{TIME}$") | x.rlike(r"^\d+$")))
     merged = F.array_join(kept, " ")
-    for pattern in (r"<[^>]+>", r"\[[^\]]+\]", r"[^0-9A-Za-zА-Яа-яЁё\- ]+"):
+    for pattern in (r"<[^>]+>", r"\[[^\]]+\]", rf"[^{SPOKEN}\- ]+"):
         merged = F.regexp_replace(merged, pattern, " ")
     return F.lower(F.trim(F.regexp_replace(merged, " +", " ")))
 
@@ -81,13 +94,18 @@ def media_duration(probe: Column) -> Column:
 
 
 def media_fps(probe: Column) -> Column:
-    found = F.regexp_extract(probe, r"(\d+(?:\.\d+)?)\s*fps", 1)
+    found = F.regexp_extract(probe, r"(\d+(?:\.\d+)?)\s+fps", 1)
     fps = F.when(found != "", found.cast("double"))
     return F.when(fps > 0, fps)
 
 
+def media_valid(probe: Column) -> Column:
+    """Whether a probe names both a length and a frame rate that are positive; a medium without either is rejected."""
+    return media_duration(probe).isNotNull() & media_fps(probe).isNotNull()
+
+
 def is_silence(label: Column) -> Column:
-    plain = F.lower(F.trim(label))
+    plain = F.lower(strip(label))
     return plain.isin(SILENCE) | plain.rlike(r"(?s)^<.*>$")
 
 
@@ -97,7 +115,8 @@ def detect_source(name: Column, default: str = "unknown") -> Column:
 
 
 def clip_path(root: str, word: Column, speaker: Column, stem: Column, number: Column) -> Column:
-    return F.concat_ws("/", F.lit(root), word, speaker, F.concat(stem, F.lit("_"), F.lpad(number.cast("string"), 6, "0"), F.lit(".mp4")))
+    """root/word/speaker/stem_number.mp4: six digits at least, the word as a safe name."""
+    return F.concat_ws("/", F.lit(root), sanitize_path_part(word), speaker, F.concat(stem, F.format_string("_%06d.mp4", number)))
 
 
 def unsafe_path(path: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_path, unsafe_path
+from ..functions.text import normalize_path, strip, unsafe_path
+
+# Flags for which clips are dropped unless others are named, and columns that a split must have.
+DROP = ["no_face_detected", "very_dark", "very_bright", "too_few_frames", "too_short", "too_long", "missing"]
+REQUIRED = ["clip_id", "clip_path", "word", "speaker_id", "start_sec", "end_sec"]
 
 
 def load_vocab(rows: DataFrame, column: str = "word") -> DataFrame:
-    plain = F.translate(F.lower(F.trim(F.col(column))), "ё", "е")
+    plain = F.translate(F.lower(strip(F.col(column))), "ё", "е")
     return rows.select(plain.alias("word")).where("word <> ''").distinct()
 
 
@@ -24,63 +28,72 @@ def map_phonemes(labels: DataFrame, keys: DataFrame, to_keys: bool) -> DataFrame
     return rows.withColumn("mapped", mapped).withColumn("unknown", F.col("mapped").isNull()).drop("key")
 
 
-def map_prefix(rows: DataFrame, prefixes: DataFrame, path: str) -> DataFrame:
-    """rows with mapped_path: the path with its prefix (whole path components) replaced, null if no prefix fits; of several the longest. prefixes is a small table."""
-    value = F.col(path)
-    fits = (value == F.col("prefix")) | value.startswith(F.concat("prefix", F.lit("/")))
-    joined = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(prefixes), fits, "left")
-    mapped = F.concat("target", F.substring(value, F.length("prefix") + 1, F.length(value)))
-    best = F.max_by(mapped, F.length("prefix")).alias("mapped_path")
-    return joined.groupBy("_row", *rows.columns).agg(best).drop("_row")
+def map_prefix(rows: DataFrame, prefixes: dict[str, str], path: str) -> DataFrame:
+    """rows with mapped_path: the path with its prefix (whole path components) replaced, null if no prefix fits; of several the longest. No row moves: the few prefixes are one expression."""
+    value, mapped = F.col(path), F.lit(None).cast("string")
+    for prefix in sorted(prefixes, key=len):
+        fits = (value == prefix) | value.startswith(f"{prefix}/")
+        mapped = F.when(fits, F.concat(F.lit(prefixes[prefix]), F.substring(value, F.lit(len(prefix) + 1), F.length(value)))).otherwise(mapped)
+    return rows.withColumn("mapped_path", mapped)
 
 
 def exclude_videos(jobs: DataFrame, excluded: DataFrame) -> DataFrame:
     """Jobs whose (speaker_id, video_dir) is not listed with the status excluded."""
-    gone = excluded.where(F.lower(F.trim("status")) == "excluded").select(F.trim("speaker_id").alias("speaker_id"), F.trim("video_dir").alias("video_dir"))
+    gone = excluded.where(F.lower(strip(F.col("status"))) == "excluded").select(strip(F.col("speaker_id")).alias("speaker_id"), strip(F.col("video_dir")).alias("video_dir"))
     return jobs.join(gone, ["speaker_id", "video_dir"], "left_anti")
 
 
 def manual_reject(labels: DataFrame, bad: DataFrame) -> DataFrame:
     """labels with ``removed``: whether the list names the clip by path or by id; empty entries name nothing."""
     paths = bad.select(normalize_path(F.col("clip_path")).alias("_path")).where("_path <> ''").distinct().withColumn("_by_path", F.lit(True))
-    ids = bad.select(F.trim("clip_id").alias("_id")).where("_id <> ''").distinct().withColumn("_by_id", F.lit(True))
-    rows = labels.withColumn("_path", normalize_path(F.col("clip_path"))).withColumn("_id", F.trim("clip_id")).join(paths, "_path", "left").join(ids, "_id", "left")
+    ids = bad.select(strip(F.col("clip_id")).alias("_id")).where("_id <> ''").distinct().withColumn("_by_id", F.lit(True))
+    rows = labels.withColumn("_path", normalize_path(F.col("clip_path"))).withColumn("_id", strip(F.col("clip_id"))).join(paths, "_path", "left").join(ids, "_id", "left")
     return rows.withColumn("removed", F.coalesce("_by_path", "_by_id", F.lit(False))).drop("_path", "_id", "_by_path", "_by_id")
 
 
 def reject_reasons(bad: DataFrame) -> DataFrame:
     """How often each reason is given, once for a listed path and once for a listed id."""
-    named = F.filter(F.array(normalize_path(F.col("clip_path")), F.trim("clip_id")), lambda x: x != "")
-    reason = F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "unspecified").otherwise(F.trim("reason"))
+    named = F.filter(F.array(normalize_path(F.col("clip_path")), strip(F.col("clip_id"))), lambda x: x != "")
+    reason = F.when(strip(F.coalesce("reason", F.lit(""))) == "", "unspecified").otherwise(strip(F.col("reason")))
     return bad.select(reason.alias("reason"), F.explode(named)).groupBy("reason").count().withColumnRenamed("count", "n")
 
 
 def quality_flags(m: DataFrame) -> DataFrame:
-    """Measurements with duration_sec and flags: too short, too long, dark, bright, no face; an unreadable clip has no flags (null)."""
+    """Measurements with duration_sec, reason (missing, unreadable or empty) and flags: too few frames, too short or long, dark, bright, no face.
+
+    A clip whose file does not exist (column ``exists``, if there is one) has the one flag missing; an unreadable one (``ok`` false) has none.
+    """
     duration = F.when(F.col("fps") > 0, F.col("frame_count") / F.col("fps")).otherwise(0.0)
+    there = F.col("exists") if "exists" in m.columns else F.lit(True)
     flag = lambda cond, name: F.when(cond, name)
     flags = F.array_compact(F.array(
         flag(F.col("frame_count") < 5, "too_few_frames"), flag(F.col("duration_sec") < 0.18, "too_short"), flag(F.col("duration_sec") > 2.5, "too_long"),
-        flag(F.col("brightness") < 15, "too_dark"), flag(F.col("brightness") > 245, "too_bright"), flag(F.col("face_sample_hits") == 0, "no_face_on_samples"),
+        flag(F.col("brightness") < 15, "very_dark"), flag(F.col("brightness") > 245, "very_bright"), flag(F.col("face_sample_hits") == 0, "no_face_detected"),
     ))
-    return m.withColumn("duration_sec", duration).withColumn("flags", F.when(F.col("ok"), flags))
+    rows = m.withColumn("duration_sec", duration).withColumn("reason", F.when(~there, "missing").when(~F.col("ok"), "unreadable").otherwise(""))
+    return rows.withColumn("flags", F.when(F.col("reason") == "missing", F.array(F.lit("missing"))).when(F.col("reason") == "", flags))
 
 
-def drop_flagged(labels: DataFrame, quality: DataFrame, flags: list[str]) -> DataFrame:
+def drop_flagged(labels: DataFrame, quality: DataFrame, flags: list[str] = DROP) -> DataFrame:
     bad = quality.where(F.arrays_overlap("flags", F.array(*map(F.lit, flags)))).select("clip_id").distinct()
     return labels.join(bad, "clip_id", "left_anti")
 
 
 def quality_report(q: DataFrame) -> DataFrame:
-    """kind, name, n: clips, readable ones, ones with a face, and counts by flag, speaker and word, in one pass."""
+    """kind, name, n, value: counts of clips, readable ones, ones with a face, and by flag, speaker and word, in one pass; the least, greatest and mean duration of readable clips (n: how many) as values."""
+    readable = F.col("reason") == ""
     fact = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
     facts = F.array(
-        fact("all", F.lit("clips")), F.when(F.col("ok"), fact("all", F.lit("readable"))), F.when(F.col("face_sample_hits") > 0, fact("all", F.lit("with_face"))),
+        fact("all", F.lit("clips")), F.when(readable, fact("all", F.lit("readable"))), F.when(readable & (F.col("face_sample_hits") > 0), fact("all", F.lit("with_face"))),
         fact("speaker", F.col("speaker_id")), fact("word", F.col("word")),
     )
     flagged = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: fact("flag", f))
-    rows = q.select(F.explode(F.concat(F.array_compact(facts), flagged)).alias("x")).select("x.kind", "x.name")
-    return rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
+    rows = q.select(F.explode(F.concat(F.array_compact(facts), flagged)).alias("x"), F.when(readable, F.col("duration_sec")).alias("sec")).select("x.kind", "x.name", "sec")
+    counts = rows.groupBy("kind", "name").agg(F.count("*").alias("n"), F.min("sec").alias("min"), F.max("sec").alias("max"), F.avg("sec").alias("avg"))
+    # the durations of all readable clips are those of one of the counted groups
+    values = F.array(F.struct("kind", "name", F.lit(None).cast("double").alias("value")), *(F.struct(F.lit("duration").alias("kind"), F.lit(f).alias("name"), F.round(f, 6).alias("value")) for f in ("min", "max", "avg")))
+    also = (F.col("kind") == "all") & (F.col("name") == "readable")
+    return counts.select("n", F.explode(F.when(also, values).otherwise(F.slice(values, 1, 1))).alias("x")).select("x.kind", "x.name", "n", "x.value")
 
 
 def flagged_review(q: DataFrame, k: int, order: str) -> DataFrame:
@@ -94,11 +107,16 @@ def missing_files(labels: DataFrame, listing: DataFrame) -> DataFrame:
     return labels.withColumn("_path", normalize_path(F.col("clip_path"))).join(listing.select(normalize_path(F.col("path")).alias("_path")).distinct(), "_path", "left_anti").drop("_path")
 
 
-def pick_files(listing: DataFrame, preferred: list[str]) -> DataFrame:
-    """dir, file: of each directory the first preferred name, else its only file, else none."""
-    rank = F.coalesce(F.expr(f"nullif(array_position(array({', '.join(repr(p) for p in preferred)}), file), 0)"), F.lit(len(preferred) + 1))
-    rows = listing.groupBy("dir").agg(F.min(F.struct(rank.alias("rank"), "file")).alias("best"), F.count("*").alias("n"))
-    return rows.where((F.col("best.rank") <= len(preferred)) | (F.col("n") == 1)).select("dir", "best.file")
+def pick_files(listing: DataFrame, preferred: list[str], otherwise: str = "only") -> DataFrame:
+    """dir, file: of each directory the first preferred name; else its only file, or with otherwise="first" the first by name; else none.
+
+    A preferred name may hold ``{id}``, which stands for the listing's column ``id`` (the video's id, by which files are named).
+    """
+    names = [F.replace(F.lit(p), F.lit("{id}"), F.col("id").cast("string")) if "{id}" in p else F.lit(p) for p in preferred]
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*names), F.col("file")), F.lit(0)), F.lit(len(preferred) + 1))
+    rows = listing.withColumn("_rank", rank).groupBy("dir").agg(F.min(F.struct(F.col("_rank").alias("rank"), "file")).alias("best"), F.min("file").alias("low"), F.max("file").alias("high"))
+    named = F.col("best.rank") <= len(preferred)
+    return rows.where(named | (F.col("low") == F.col("high")) | F.lit(otherwise == "first")).select("dir", F.when(named, F.col("best.file")).otherwise(F.col("low")).alias("file"))
 
 
 def pending_jobs(jobs: DataFrame, done: DataFrame, keys: list[str], overwrite: bool = False) -> DataFrame:
@@ -141,30 +159,38 @@ def split_audit(rows: DataFrame) -> DataFrame:
 
 
 def validate_labels(rows: DataFrame, order: str, vocab: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
-    """line, clip_id, problem of each label row: an empty id (nothing more is said of it), a repeated one, a missing file, an unknown word, bad times. line counts the header."""
-    again = F.row_number().over(Window.partitionBy("clip_id").orderBy(order)) > 1
-    out = rows.withColumn("again", again)
+    """line, clip_id, problem of each label row: an empty id (nothing more is said of it), a repeated one, a missing file, an unknown word, bad times. line counts the header; ids, paths and words are read without white space around them."""
+    out = rows.withColumns({c: strip(F.col(c)) for c in ("clip_id", "clip_path", "word")})
+    first = out.where("clip_id <> ''").groupBy("clip_id").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1").select("clip_id", "first")
+    out = out.join(first, "clip_id", "left").withColumn("again", F.col(order) > F.col("first"))
     out = out.join(vocab.select("word", F.lit(True).alias("known")).distinct(), "word", "left") if vocab is not None else out.withColumn("known", F.lit(True))
     out = out.join(listing.select(F.col("path").alias("clip_path"), F.lit(True).alias("there")).distinct(), "clip_path", "left") if listing is not None else out.withColumn("there", F.lit(True))
     start, end = F.col("start_sec").try_cast("double"), F.col("end_sec").try_cast("double")
-    problems = F.when(F.trim("clip_id") == "", F.array(F.lit("empty_id"))).otherwise(F.array_compact(F.array(
+    problems = F.when(F.col("clip_id") == "", F.array(F.lit("empty_id"))).otherwise(F.array_compact(F.array(
         F.when(F.col("again"), "repeated_id"), F.when(F.col("there").isNull(), "missing_file"), F.when(F.col("known").isNull(), "unknown_word"),
         F.when(start.isNull() | end.isNull(), "not_a_number").when(end <= start, "end_before_start"),
     )))
     return out.select((F.col(order) + 2).alias("line"), "clip_id", F.explode(problems).alias("problem"))
 
 
-def split_preflight(rows: DataFrame, vocab: DataFrame, listing: DataFrame) -> DataFrame:
-    """rule, violations: one row for each rule of a split that is broken."""
-    sums = rows.agg(
-        F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("empty"), (F.count("*") - F.count_distinct("clip_id")).alias("unique_id"), (F.count("*") - F.count_distinct("clip_path")).alias("unique_path"),
-        F.count_if(F.col("end_sec") <= F.col("start_sec")).alias("positive_interval"),
-    )
-    long = sums.unpivot([], ["empty", "unique_id", "unique_path", "positive_interval"], "rule", "violations")
-    unknown = rows.join(vocab, "word", "left_anti").agg(F.lit("known_word").alias("rule"), F.count("*").alias("violations"))
-    gone = rows.join(listing.select(F.col("path").alias("clip_path")), "clip_path", "left_anti").agg(F.lit("file_exists").alias("rule"), F.count("*").alias("violations"))
-    unused = vocab.join(rows, "word", "left_anti").agg(F.lit("vocabulary_used").alias("rule"), F.count("*").alias("violations"))
-    return long.union(unknown).union(gone).union(unused).where("violations > 0")
+def split_preflight(rows: DataFrame, vocab: DataFrame, listing: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
+    """rule, violations: one row for each rule of a split that is broken; a required column that is missing is one (missing_<column>), and the rules that read it are not tested."""
+    has = lambda *names: set(names) <= set(rows.columns)
+    missing = [c for c in required if c not in rows.columns]
+    rules = {"empty": F.when(F.count("*") == 0, 1).otherwise(0), **{f"missing_{c}": F.lit(1) for c in missing}}
+    if has("clip_id"):
+        rules["unique_id"] = F.count("*") - F.count_distinct("clip_id")
+    if has("clip_path"):
+        rules["unique_path"] = F.count("*") - F.count_distinct("clip_path")
+    if has("start_sec", "end_sec"):
+        rules["positive_interval"] = F.count_if(F.col("end_sec") <= F.col("start_sec"))
+    out = rows.agg(*(v.cast("long").alias(k) for k, v in rules.items())).unpivot([], [*rules], "rule", "violations")
+    counted = lambda df, rule: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("violations"))
+    if has("word"):
+        out = out.union(counted(rows.join(vocab, "word", "left_anti"), "known_word")).union(counted(vocab.join(rows, "word", "left_anti"), "vocabulary_used"))
+    if has("clip_path"):
+        out = out.union(counted(rows.join(listing.select(F.col("path").alias("clip_path")), "clip_path", "left_anti"), "file_exists"))
+    return out.where("violations > 0")
 
 
 def raw_source_map(labels: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -184,3 +210,14 @@ def package_manifest(rows: DataFrame, listing: DataFrame, splits: list[str], roo
 def conflicting_duplicates(rows: DataFrame, content: Column, word: str = "word") -> DataFrame:
     """fingerprint, clips, classes of equal contents that stand under several classes. The content is reduced to its digest before it moves."""
     return rows.select(F.sha2(content, 256).alias("fingerprint"), word).groupBy("fingerprint").agg(F.count("*").alias("clips"), F.count_distinct(word).alias("classes")).where("classes > 1")
+
+
+def feature_audit(rows: DataFrame, content: Column, motion: Column, spread: Column, word: str, class_id: str, vocab: DataFrame) -> DataFrame:
+    """One row on a table of feature arrays: whether every word's class in the vocabulary (word, class_id) is the row's, contents under several classes, clips without motion, clips without variance, and whether all checks passed."""
+    known = vocab.select(F.col("word").alias(word), F.col("class_id").alias("_class")).distinct()
+    sums = rows.select(word, class_id, motion.alias("_motion"), spread.alias("_spread")).join(known, word, "left").agg(
+        F.coalesce(F.bool_and(F.col(class_id).eqNullSafe(F.col("_class"))), F.lit(True)).alias("round_trip_ok"), F.count_if(F.col("_motion") <= 0).alias("zero_motion"), F.count_if(F.col("_spread") <= 0).alias("zero_variance"),
+    )
+    twice = conflicting_duplicates(rows, content, class_id).agg(F.count("*").alias("conflicting_duplicates"))
+    passed = F.col("round_trip_ok") & (F.col("conflicting_duplicates") == 0) & (F.col("zero_motion") == 0) & (F.col("zero_variance") == 0)
+    return sums.crossJoin(twice).withColumn("passed", passed)

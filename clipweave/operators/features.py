@@ -50,10 +50,11 @@ def _uniform(seed: int, salt: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def temporal_mask(frames: Column, key: Column, p: float, width: int, seed: int) -> Column:
-    """With probability p a block of width frames is set to 0."""
-    start = F.floor(_uniform(seed, "at", key) * F.greatest(F.lit(1), F.size(frames) - width + 1))
-    masked = F.transform(frames, lambda f, i: F.when((i >= start) & (i < start + width), F.transform(f, lambda x: x * 0)).otherwise(f))
+def temporal_mask(frames: Column, key: Column, p: float, width: int, seed: int, variable: bool = False) -> Column:
+    """With probability p a block of width frames is set to 0; with variable, of a length from 0 to width, all equally likely."""
+    long = F.least(F.floor(_uniform(seed, "long", key) * (width + 1)) if variable else F.lit(width), F.size(frames))
+    start = F.floor(_uniform(seed, "at", key) * F.greatest(F.lit(1), F.size(frames) - long + 1))
+    masked = F.transform(frames, lambda f, i: F.when((i >= start) & (i < start + long), F.transform(f, lambda x: x * 0)).otherwise(f))
     return F.when(_uniform(seed, "mask", key) < p, masked).otherwise(frames)
 
 
@@ -86,14 +87,10 @@ def max_abs_diff(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame
 
 
 def linear_scores(rows: DataFrame, values: str, weights: list[list[float]], bias: list[float]) -> DataFrame:
-    """rows with logits = weights . values + bias and pred_idx, their first largest."""
-    w, b = np.array(weights, float), np.array(bias, float)
-
-    @F.pandas_udf("array<double>")
-    def logits(arrays: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack([np.asarray(a, float) for a in arrays]) @ w.T + b)) if len(arrays) else pd.Series([], dtype=object)
-
-    return rows.withColumn("logits", logits(F.col(values))).withColumn("pred_idx", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+    """rows with logits = weights . values + bias and pred_idx, their first largest. Weights are literals of an expression, so rows stay in the JVM."""
+    row = lambda w: F.array(*(F.lit(float(x)) for x in w))
+    logits = F.array(*(total(F.zip_with(F.col(values), row(w), lambda x, y: x.cast("double") * y)) + float(b) for w, b in zip(weights, bias)))
+    return rows.withColumn("logits", logits).withColumn("pred_idx", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
 
 
 def linear_probe(rows: DataFrame, values: str, label: str, speaker: str, max_iter: int = 30) -> DataFrame:

@@ -32,7 +32,7 @@ def class_report(rows: DataFrame, vocab: DataFrame, by: list[str] = [], true: st
     right = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
     long = counts.select(*by, right.alias("c"), F.posexplode(sides).alias("side", "x"))
     sums = long.groupBy(*by, F.col("x.word").alias("word")).agg(F.sum("x.s").alias("support"), F.sum("x.p").alias("predicted"), F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("correct"))
-    words = vocab.select("word") if not by else vocab.select("word").crossJoin(F.broadcast(rows.select(*by).distinct()))
+    words = vocab.select("word") if not by else vocab.select("word").crossJoin(rows.select(*by).distinct())
     out = words.join(sums, [*by, "word"], "left").na.fill(0, ["support", "predicted", "correct"])
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     out = out.withColumn("precision", ratio("correct", "predicted")).withColumn("recall", ratio("correct", "support"))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import path_stem
+from ..functions.text import detect_source, path_stem
+from .ranks import numbered
 
 
 def build_vocab(rows: DataFrame, word: str = "word") -> DataFrame:
@@ -15,8 +16,8 @@ def build_vocab(rows: DataFrame, word: str = "word") -> DataFrame:
     return rows.select(F.col(word).alias("word")).distinct().select((F.row_number().over(Window.orderBy("word")) - 1).cast("long").alias("class_id"), "word")
 
 
-def build_labels(inventory: DataFrame, least: float = 0.001) -> DataFrame:
-    """Labels of an inventory (word, speaker_id, file, path, duration_sec) with running ids over the order (word, speaker_id, file).
+def build_labels(inventory: DataFrame, least: float = 0.001, prefix: str = "ru_", default_source: str = "self_recorded") -> DataFrame:
+    """Labels of an inventory (word, speaker_id, file, path, duration_sec) with running ids over the order (word, speaker_id, file): six digits at least.
 
     Rows are numbered inside their (word, speaker_id); only the groups' counts are added up over all groups.
     """
@@ -24,8 +25,9 @@ def build_labels(inventory: DataFrame, least: float = 0.001) -> DataFrame:
     counts = inventory.groupBy(*keys).agg(F.count("*").alias("n"))
     offsets = counts.select(*keys, F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = inventory.join(offsets, keys).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("file", "path")))
-    number = (F.col("before") + F.col("rank")).cast("string")
-    return rows.select(F.concat(F.lit("ru_"), F.lpad(number, 6, "0")).alias("clip_id"), F.col("path").alias("clip_path"), *keys, F.lit(0.0).alias("start_sec"), F.greatest("duration_sec", F.lit(least)).alias("end_sec"))
+    number = (F.col("before") + F.col("rank")).cast("long")
+    seconds = F.bround(F.greatest("duration_sec", F.lit(least)), 3).cast("decimal(12,3)")
+    return rows.select(F.concat(F.lit(prefix), F.format_string("%06d", number)).alias("clip_id"), F.col("path").alias("clip_path"), *keys, detect_source(F.col("file"), default_source).alias("source"), F.lit(0).cast("decimal(12,3)").alias("start_sec"), seconds.alias("end_sec"))
 
 
 def top_words(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -48,10 +50,8 @@ def seeded(seed: int, *keys: str) -> Column:
 
 
 def stratified_split(rows: DataFrame, seed: int, train: float = 0.8, val: float = 0.1, key: str = "clip_id", word: str = "word") -> DataFrame:
-    """rows with a split of exact sizes for each word: rounded shares, at least one row each for train and (of three or more) val, the rest test."""
-    n = F.count("*").over(Window.partitionBy(word))
-    ranked = rows.withColumn("_n", n).withColumn("_rank", F.row_number().over(Window.partitionBy(word).orderBy(seeded(seed, key), key)))
-    count = F.col("_n")
+    """rows with a split of exact sizes for each word: rounded shares, at least one row each for train and (of three or more) val, the rest test. A frequent word is many tasks."""
+    ranked, count = numbered(rows, [word], seeded(seed, key), [key]), F.col("_n")
     first = F.greatest(F.lit(1), F.bround(count * train).cast("int"))
     second = F.when(count >= 3, F.greatest(F.lit(1), F.bround(count * val).cast("int"))).otherwise(0)
     full = first + second >= count
@@ -80,32 +80,45 @@ def sample_weights(rows: DataFrame, strategy: str) -> DataFrame:
     return rows.join(groups, of).withColumn("weight", {"word": 1 / n, "inverse": 1 / n, "sqrt": 1 / F.sqrt(n)}[strategy]).drop("_n")
 
 
-def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id") -> DataFrame:
+def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id", cells: int = 4096) -> DataFrame:
     """n draws with replacement: a group by its weight, then a row of it at random; draw is the draw's number.
 
-    The weights of (speaker_id, word) are a small table whose cumulated shares are joined by range; drawn rows are found by number.
+    The groups (speaker_id, word) share the unit interval by their weights. It is cut into cells; a group stands in every cell that its
+    share touches, a draw in one, so draws find their groups by an equi-join. Drawn rows are found by their number in the group.
     """
     keys = ["speaker_id", "word"]
     groups = sample_weights(rows, strategy).groupBy(*keys).agg(F.count("*").alias("many"), F.sum("weight").alias("weight"))
-    upto = F.sum("weight").over(Window.orderBy(*keys)) / F.sum("weight").over(Window.partitionBy())
-    groups = groups.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(*keys)), F.lit(0.0)))
+    order = Window.orderBy(*keys)
+    groups = groups.withColumn("upto", F.sum("weight").over(order)).withColumn("hi", F.col("upto") / F.max("upto").over(Window.partitionBy()))
+    groups = groups.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).drop("upto", "weight")
+    cell = lambda x: F.floor(x * cells)
+    groups = groups.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(cells - 1)))))
     uniform = lambda salt: F.pmod(F.xxhash64(F.lit(f"{seed}-{salt}"), "id"), F.lit(1 << 53)) / float(1 << 53)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform("group").alias("u"), uniform("row").alias("v"))
-    # the last share ends at 1 but for rounding
-    hit = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | (F.col("hi") > 1 - 1e-12))
-    drawn = draws.join(F.broadcast(groups), hit).select("draw", *keys, (F.floor(F.col("v") * F.col("many")) + 1).alias("rank"))
-    numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(key)).cast("long"))
-    return drawn.join(numbered, [*keys, "rank"]).drop("rank")
+    drawn = draws.withColumn("cell", cell(F.col("u"))).join(groups, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    drawn = drawn.select("draw", *keys, (F.floor(F.col("v") * F.col("many")) + 1).alias("_rank"))
+    return drawn.join(numbered(rows, keys, seeded(seed, key), [key]).drop("_n"), [*keys, "_rank"]).drop("_rank")
 
 
 def loo_folds(rows: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Membership in each held-out speaker's fold: originals of that speaker validate, all other rows (condition tells copies) train."""
-    held = rows.join(F.broadcast(speakers.select(F.col("speaker_id").alias("fold_speaker"))))
+    """Membership in each held-out speaker's fold: originals of that speaker validate, all other rows (condition tells copies) train.
+
+    The result has every row once for each fold by its nature; for sizes use loo_fold_sizes, and name few speakers here.
+    """
+    held = rows.join(speakers.select(F.col("speaker_id").alias("fold_speaker")))
     own = F.col("speaker_id") == F.col("fold_speaker")
     part = F.when(own & (F.col("condition") == "original"), "validation").when(~own, "train")
     return held.withColumn("part", part).where(F.col("part").isNotNull())
 
 
+def loo_fold_sizes(rows: DataFrame) -> DataFrame:
+    """fold_speaker, part, n: how many rows loo_folds gives, parts without any left out. Rows are counted by speaker; a fold trains on all rows but its speaker's."""
+    counts = rows.groupBy("speaker_id").agg(F.count("*").alias("own"), F.count_if(F.col("condition") == "original").alias("originals"))
+    sizes = counts.crossJoin(counts.agg(F.sum("own").alias("all")))
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), n.alias("n")) for p, n in (("train", F.col("all") - F.col("own")), ("validation", F.col("originals")))))
+    return sizes.select(F.col("speaker_id").alias("fold_speaker"), F.explode(parts).alias("x")).select("fold_speaker", "x.part", "x.n").where("n > 0")
+
+
 def keep_first(tables: list[DataFrame]) -> DataFrame:
     """All tables' rows under all their columns; of rows with one clip_id (or, without it, clip_path) that of the first table, then by path."""
     all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn("_from", F.lit(k)) for k, t in enumerate(tables)])
@@ -134,7 +147,7 @@ def describe_splits(rows: DataFrame) -> DataFrame:
     out = sets.agg(F.count("*").alias("clips"), F.grouping("speaker_id").alias("gs"), F.grouping("word").alias("gw"))
     by = rows.groupBy("split").agg(F.count_distinct("word").alias("words"), F.count_distinct("speaker_id").alias("speakers"))
     kind = F.when(F.col("gs") == 0, "speaker").when(F.col("gw") == 0, "word").otherwise("split")
-    out = out.select("split", kind.alias("kind"), F.coalesce("speaker_id", "word", "split").alias("name"), "clips").join(by, "split")
+    out = out.select("split", kind.alias("kind"), F.when(F.col("gs") == 0, F.col("speaker_id")).when(F.col("gw") == 0, F.col("word")).otherwise(F.col("split")).alias("name"), "clips").join(by, "split")
     whole = F.col("kind") == "split"
     return out.select("split", "kind", "name", "clips", F.when(whole, F.col("words")).alias("words"), F.when(whole, F.col("speakers")).alias("speakers"))
 

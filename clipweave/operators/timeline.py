@@ -5,58 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CUE_TIMES, is_silence, parse_srt_time
+from ..functions.text import CUE_TIMES, WHITE, is_silence, lines, parse_srt_time, path_stem, strip
+from ..sources.shared import saved
+from .ranks import matched, medians
 
 
 def parse_srt(texts: DataFrame) -> DataFrame:
     """file, cue_no, start_sec, end_sec, text of the cues of subtitle texts (file, text): a blank line or a line of times ends a cue, numbers on their own lines and tags go, cues without text too."""
-    lines = texts.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    rows = texts.select("file", F.posexplode(lines(F.col("text"))).alias("at", "line")).withColumn("line", strip(F.col("line")))
     timing = F.col("line").rlike(CUE_TIMES)
     order = Window.partitionBy("file").orderBy("at")
-    lines = lines.withColumn("part", F.sum(F.when(timing | (F.col("line") == ""), 1).otherwise(0)).over(order))
+    rows = rows.withColumn("part", F.sum(F.when(timing | (F.col("line") == ""), 1).otherwise(0)).over(order))
     said = F.when(~timing & (F.col("line") != "") & ~F.col("line").rlike(r"^\d+$"), F.struct("at", "line"))
-    cues = lines.groupBy("file", "part").agg(F.max(F.when(timing, F.col("line"))).alias("times"), F.sort_array(F.collect_list(said)).alias("said")).where("times is not null")
+    cues = rows.groupBy("file", "part").agg(F.max(F.when(timing, F.col("line"))).alias("times"), F.sort_array(F.collect_list(said)).alias("said")).where("times is not null")
     text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform("said", lambda x: x["line"]), " "), r"<[^>]+>", " "), r"\s+", " "))
     cues = cues.select("file", "part", parse_srt_time(F.regexp_extract("times", CUE_TIMES, 1)).alias("start_sec"), parse_srt_time(F.regexp_extract("times", CUE_TIMES, 2)).alias("end_sec"), text.alias("text")).where("text <> ''")
     return cues.select("file", F.row_number().over(Window.partitionBy("file").orderBy("part")).cast("long").alias("cue_no"), "start_sec", "end_sec", "text")
 
 
 def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") -> DataFrame:
-    """keys, text, n_tokens: cues one after the other, each without the longest start that ends the cue before it (by normalized tokens; cues without any are skipped)."""
-    line = F.trim(F.regexp_replace("text", r"\s+", " "))
-    plain = F.split(F.regexp_replace(F.translate(F.lower(line), "ё", "е"), r"[^0-9a-zа-я\- ]+", ""), " ")
-    both = F.filter(F.zip_with(F.split(line, " "), plain, lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["p"] != "")
-    # texts move and are split afterwards: they are smaller than their tokens, and few input splits then don't do all the splitting
-    said = cues.where(F.lower("text").rlike(r"[0-9a-zа-яё\-]")).select(*keys, order, "text").repartition(*keys)
-    rows = said.withColumn("both", both).select(*keys, order, F.col("both.t").alias("tokens"), F.col("both.p").alias("plain"))
-    before = F.lag("plain").over(Window.partitionBy(*keys).orderBy(order))
-    most = F.least(F.size(F.coalesce("before", F.array())), F.size("plain"))
-    sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    same = F.coalesce(F.get(F.filter(sizes, lambda k: F.slice("before", -k, k) == F.slice("plain", F.lit(1), k)), F.lit(0)), F.lit(0))
-    rows = rows.withColumn("before", before).withColumn("fresh", F.slice("tokens", same + 1, F.size("tokens")))
-    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, "fresh"))), lambda x: x["fresh"]))
-    out = rows.groupBy(*keys).agg(joined.alias("all"))
-    return out.select(*keys, F.array_join("all", " ").alias("text"), F.size("all").alias("n_tokens"))
-
-
-def chunk_cues(cues: DataFrame, keys: list[str], total: str, chunk_sec: int = 300, min_text_tokens: int = 20, order: str = "cue_no") -> DataFrame:
-    """keys, chunk_idx, text, n_tokens: cues by the chunk that holds their middle, collapsed; chunks with few tokens go. total: column with the video's length."""
+    """keys, text, n_tokens: cues one after the other, each without the longest start that ends the cue before it (by normalized tokens; cues without any are skipped).
+
+    A cue is two texts, its tokens as they are and normalized; the longest common end and start is the leftmost match of one pattern over
+    the cue before and this one, so no arrays are compared.
+    """
+    line = strip(F.regexp_replace("text", rf"(?U){WHITE}+", " "))
+    plain = F.regexp_replace(F.translate(F.lower(line), "ё", "е"), r"[^0-9a-zа-я\- ]+", "")
+    rows = cues.where(F.lower("text").rlike(r"[0-9a-zа-яё\-]")).select(*keys, order, line.alias("line"), plain.alias("plain"))
+    # tokens that normalize to nothing go: rare, so the arrays are made for such cues only
+    real = F.transform(F.filter(F.arrays_zip(F.split("line", " ").alias("t"), F.split("plain", " ").alias("p")), lambda x: x["p"] != ""), lambda x: x["t"])
+    rows = rows.withColumn("line", F.when(F.col("plain").rlike("^ |  | $"), F.array_join(real, " ")).otherwise(F.col("line")))
+    rows = rows.withColumn("plain", F.trim(F.regexp_replace("plain", " +", " "))).repartition(*keys)
+    pair = F.concat(F.coalesce(F.lag("plain").over(Window.partitionBy(*keys).orderBy(order)), F.lit("")), F.lit("\x01"), F.col("plain"))
+    tokens = lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.translate(c, " ", "")) + 1)
+    rows = rows.select(*keys, order, "line", "plain", F.regexp_extract(pair, "(?:^| )([^\x01]++)\x01\\1(?: |$)", 1).alias("same"))
+    rows = rows.select(*keys, order, "line", (tokens(F.col("plain")) - tokens(F.col("same"))).alias("new")).where("new > 0")
+    fresh = F.struct(order, F.expr("substring_index(line, ' ', -new)").alias("fresh"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(fresh)), lambda x: x["fresh"]), " ")
+    return rows.groupBy(*keys).agg(joined.alias("text"), F.sum("new").cast("int").alias("n_tokens"))
+
+
+def chunk_cues(cues: DataFrame, keys: list[str], total: str, chunk_sec: int = 300, min_text_tokens: int = 20, order: str = "cue_no", max_sec: float | None = None) -> DataFrame:
+    """keys, chunk_idx, chunk_id (<last key>_partNNN, from 1), text, n_tokens: cues by the chunk that holds their middle, collapsed; chunks with few tokens go.
+
+    total: column with the video's length; with max_sec only so much of a video's start counts.
+    """
     middle = (F.col("start_sec") + F.col("end_sec")) / 2
-    rows = cues.withColumn("chunk_idx", F.floor(middle / chunk_sec).cast("int")).where((middle < F.col(total)) & (middle >= 0))
-    return collapse_rolling(rows, [*keys, "chunk_idx"], order).where(F.col("n_tokens") >= min_text_tokens)
+    ends = F.col(total) if max_sec is None else F.least(F.col(total), F.lit(max_sec))
+    rows = cues.withColumn("chunk_idx", F.floor(middle / chunk_sec).cast("int")).where((middle < ends) & (middle >= 0))
+    chunks = collapse_rolling(rows, [*keys, "chunk_idx"], order).where(F.col("n_tokens") >= min_text_tokens)
+    return chunks.select(*keys, "chunk_idx", F.format_string("%s_part%03d", F.col(keys[-1]).cast("string"), F.col("chunk_idx") + 1).alias("chunk_id"), "text", "n_tokens")
 
 
 def intervals_to_frames(intervals: DataFrame, fps: Column) -> DataFrame:
     """video, frame_idx, label for every frame from int(start * fps) to before int(end * fps); an empty label is silence."""
     first, last = F.floor(F.col("start_sec") * fps), F.floor(F.col("end_sec") * fps)
-    label = F.when(F.trim(F.coalesce("label", F.lit(""))) == "", "<silence:>").otherwise(F.col("label"))
+    label = F.when(strip(F.coalesce("label", F.lit(""))) == "", "<silence:>").otherwise(F.col("label"))
     rows = intervals.withColumn("first", first).withColumn("last", last).where("last > first")
     return rows.select("video", F.explode(F.sequence("first", F.col("last") - 1)).alias("frame_idx"), label.alias("label"))
 
 
 def runs_from_intervals(intervals: DataFrame, fps: Column) -> DataFrame:
     """video, word, start_frame, end_frame of label_runs without making frames: neighbouring intervals with one label and adjacent frames are merged."""
-    label = F.when(F.trim(F.coalesce("label", F.lit(""))) == "", "<silence:>").otherwise(F.col("label"))
+    label = F.when(strip(F.coalesce("label", F.lit(""))) == "", "<silence:>").otherwise(F.col("label"))
     rows = intervals.select("video", label.alias("word"), F.floor(F.col("start_sec") * fps).alias("first"), (F.floor(F.col("end_sec") * fps) - 1).alias("last")).where("last >= first")
     order = Window.partitionBy("video").orderBy("first")
     new = F.coalesce((F.lag("word").over(order) != F.col("word")) | (F.lag("last").over(order) + 1 != F.col("first")), F.lit(True))
@@ -64,89 +75,133 @@ def runs_from_intervals(intervals: DataFrame, fps: Column) -> DataFrame:
     return rows.groupBy("video", "run", "word").agg(F.min("first").alias("start_frame"), F.max("last").alias("end_frame")).drop("run").where(~is_silence(F.col("word")))
 
 
-def label_runs(frames: DataFrame, min_frames: int = 1) -> DataFrame:
-    """video, seg_idx, word, start_frame, end_frame (both within) of runs of equal labels that are not silent and have min_frames or more, numbered from 1 in each video."""
-    order = Window.partitionBy("video").orderBy("frame_idx")
+def label_runs(frames: DataFrame, min_frames: int = 1, part_frames: int = 1 << 16) -> DataFrame:
+    """video, seg_idx, word, start_frame, end_frame (both within) of runs of equal labels that are not silent and have min_frames or more, numbered from 1 in each video.
+
+    Runs are made in parts of part_frames of a video, so a long video is many tasks; runs that meet at a border are merged afterwards.
+    """
+    part = ["video", "_part"]
+    order = Window.partitionBy(*part).orderBy("frame_idx")
     new = F.coalesce(F.lag("label").over(order) != F.col("label"), F.lit(True)).cast("int")
-    runs = frames.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("video", "run").agg(F.first("label").alias("word"), F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
+    runs = frames.withColumn("_part", F.floor(F.col("frame_idx") / part_frames)).withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy(*part, "run").agg(F.first("label").alias("word"), F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
+    order = Window.partitionBy("video").orderBy("start_frame")
+    new = F.coalesce(F.lag("word").over(order) != F.col("word"), F.lit(True)).cast("int")
+    runs = runs.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("video", "run").agg(F.first("word").alias("word"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
     runs = runs.where(~is_silence(F.col("word")) & (F.col("end_frame") - F.col("start_frame") + 1 >= min_frames))
-    return runs.select("video", F.row_number().over(Window.partitionBy("video").orderBy("start_frame")).cast("long").alias("seg_idx"), "word", "start_frame", "end_frame")
-
-
-def clip_intervals(segments: DataFrame, fps: int, pad_frames: int = 0, pad_ms: int = 0, max_source_ms: int | None = None, max_duration_ms: int | None = None, limit: int | None = None) -> DataFrame:
-    """Segments with start_ms and end_ms after padding, not before 0; those that begin too late or last too long go, and of the rest the first ``limit`` of each video stay."""
-    start = F.greatest(F.lit(0), F.floor((F.col("start_frame") - pad_frames) * 1000 / fps) - pad_ms).cast("long")
-    end = (F.floor((F.col("end_frame") + 1 + pad_frames) * 1000 / fps) + pad_ms).cast("long")
-    rows = segments.withColumn("start_ms", start).withColumn("end_ms", end)
-    if max_source_ms is not None:
-        rows = rows.where(F.col("start_ms") < max_source_ms)
-    if max_duration_ms is not None:
-        rows = rows.where(F.col("end_ms") - F.col("start_ms") <= max_duration_ms)
+    return runs.select("video", F.row_number().over(order).cast("long").alias("seg_idx"), "word", "start_frame", "end_frame")
+
+
+def _padded(fps: Column, pad_frames: Column, start_pad: Column, end_pad: Column) -> tuple[Column, Column]:
+    """Seconds of a segment's start (not before 0) and end after padding by frames and by seconds."""
+    start = F.greatest(F.lit(0.0), (F.col("start_frame") - pad_frames) / fps - start_pad)
+    return start, (F.col("end_frame") + 1 + pad_frames) / fps + end_pad
+
+
+def _manifest_seconds(rows: DataFrame) -> DataFrame:
+    """start_sec and end_sec as a manifest has them, with three decimals."""
+    return rows.withColumns({c: F.bround(c, 3).cast("decimal(12,3)") for c in ("start_sec", "end_sec")})
+
+
+def clip_intervals(segments: DataFrame, fps: float | Column, pad_frames: int = 0, start_pad: float = 0.0, end_pad: float = 0.0, max_source_sec: float | None = None, max_duration_sec: float | None = None, limit: int | None = None) -> DataFrame:
+    """Segments with start_sec and end_sec after padding, not before 0; those that end too late or last too long go, and of the rest the first ``limit`` of each video stay. fps may be a column."""
+    start, end = _padded(F.lit(fps).cast("double") if not isinstance(fps, Column) else fps, F.lit(pad_frames), F.lit(start_pad), F.lit(end_pad))
+    rows = segments.withColumns({"start_sec": start, "end_sec": end})
+    if max_source_sec is not None:
+        rows = rows.where(F.col("end_sec") <= max_source_sec)
+    if max_duration_sec is not None:
+        rows = rows.where(F.col("end_sec") - F.col("start_sec") <= max_duration_sec)
     rank = F.row_number().over(Window.partitionBy("video").orderBy("seg_idx"))
-    return rows if limit is None else rows.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+    rows = rows if limit is None else rows.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+    return _manifest_seconds(rows)
 
 
-def clip_intervals_batch(segments: DataFrame, videos: DataFrame, vocab: DataFrame, fps: int, pad_ms: int, max_duration_ms: int = 2000) -> DataFrame:
-    """Padded clips of vocabulary words, inside their videos (video, duration_ms), of a positive length up to the maximum; numbers are those before any filter."""
-    rows = segments.join(vocab.select("word"), "word", "left_semi").join(videos.select("video", "duration_ms"), "video")
-    start = F.greatest(F.lit(0), F.floor(F.col("start_frame") * 1000 / fps) - pad_ms).cast("long")
-    end = F.least(F.col("duration_ms"), F.floor((F.col("end_frame") + 1) * 1000 / fps) + pad_ms).cast("long")
-    rows = rows.select("video", "seg_idx", "word", "start_frame", "end_frame", start.alias("start_ms"), end.alias("end_ms"))
-    return rows.where((F.col("end_ms") > F.col("start_ms")) & (F.col("end_ms") - F.col("start_ms") <= max_duration_ms))
+def clip_intervals_batch(segments: DataFrame, videos: DataFrame, vocab: DataFrame, pad_frames: int = 3, start_pad: float = 0.20, end_pad: float = 0.30, max_duration_sec: float = 2.0) -> DataFrame:
+    """Padded clips of vocabulary words, inside their videos (video, fps, duration_sec), of a positive length up to the maximum; numbers are those before any filter."""
+    rows = segments.join(vocab.select("word"), "word", "left_semi").join(videos.select("video", "fps", "duration_sec"), "video")
+    start, end = _padded(F.col("fps"), F.lit(pad_frames), F.lit(start_pad), F.lit(end_pad))
+    rows = rows.select("video", "seg_idx", "word", "start_frame", "end_frame", start.alias("start_sec"), F.least("duration_sec", end).alias("end_sec"))
+    return _manifest_seconds(rows.where((F.col("end_sec") > F.col("start_sec")) & (F.col("end_sec") - F.col("start_sec") <= max_duration_sec)))
 
 
-def overlap_pairs(manifest: DataFrame, width: float, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Pairs of clips of different words in one source_video that overlap; a is the earlier by (start, end, clip_file).
+def overlap_pairs(manifest: DataFrame, width: float, by: tuple[str, ...] = ("source_video",)) -> DataFrame:
+    """Pairs of clips of different words in one source_video that overlap, in seconds; a is the earlier by (start_sec, end_sec, clip_file).
 
     Clips are compared inside time bins: the earlier clip is put into every bin that it covers, the later only into the bin of its
     start, so each pair meets once, and a long video is many keys. width: about the longest clip, for then a clip covers two bins.
     """
-    place = lambda x: F.floor(F.col(x) / width)
-    left = manifest.select("source_video", "speaker_id", *(F.col(c).alias(f"{c}_a") for c in ("word", "clip_file", start, end)), F.explode(F.sequence(place(start), place(end))).alias("bin"))
-    right = manifest.select("source_video", *(F.col(c).alias(f"{c}_b") for c in ("word", "clip_file", start, end)), place(start).alias("bin"))
-    a, b = (F.struct(F.col(f"{start}_{s}").alias("s"), F.col(f"{end}_{s}").alias("e"), F.col(f"clip_file_{s}").alias("f")) for s in "ab")
-    rows = left.join(right, ["source_video", "bin"]).where((a < b) & (F.col(f"{start}_b") < F.col(f"{end}_a")) & (F.col("word_a") != F.col("word_b")))
-    begins, ends = F.greatest(f"{start}_a", f"{start}_b"), F.least(f"{end}_a", f"{end}_b")
-    long_a, long_b = F.col(f"{end}_a") - F.col(f"{start}_a"), F.col(f"{end}_b") - F.col(f"{start}_b")
-    shorter = F.least(long_a, long_b).cast("double")
-    from ..functions.text import path_stem
-
+    place = lambda x: F.floor(F.col(x) / width).cast("long")
+    own = ("word", "clip_file", "start_sec", "end_sec")
+    left = manifest.select(*by, "speaker_id", *(F.col(c).alias(f"{c}_a") for c in own), F.explode(F.sequence(place("start_sec"), place("end_sec"))).alias("bin"))
+    right = manifest.select(*by, *(F.col(c).alias(f"{c}_b") for c in own), place("start_sec").alias("bin"))
+    a, b = (F.struct(*(F.col(f"{c}_{s}").alias(c) for c in ("start_sec", "end_sec", "clip_file"))) for s in "ab")
+    rows = left.join(right, [*by, "bin"]).where((a < b) & (F.col("start_sec_b") < F.col("end_sec_a")) & (F.col("word_a") != F.col("word_b")))
+    begins, ends = F.greatest("start_sec_a", "start_sec_b"), F.least("end_sec_a", "end_sec_b")
+    long_a, long_b = F.col("end_sec_a") - F.col("start_sec_a"), F.col("end_sec_b") - F.col("start_sec_b")
+    share = (ends - begins).cast("double") / F.least(long_a, long_b).cast("double")
     return rows.where(ends > begins).select(
-        "source_video", "speaker_id", "word_a", "word_b", path_stem(F.col("clip_file_a")).alias("clip_id_a"), path_stem(F.col("clip_file_b")).alias("clip_id_b"), "clip_file_a", "clip_file_b",
-        f"{start}_a", f"{end}_a", f"{start}_b", f"{end}_b", long_a.alias("duration_a"), long_b.alias("duration_b"), (ends - begins).alias("overlap"),
-        F.round(F.when(shorter > 0, (ends - begins) / shorter), 6).alias("overlap_ratio_shorter"), begins.alias("overlap_start"), ends.alias("overlap_end"),
+        *by, "speaker_id", "word_a", "word_b", path_stem(F.col("clip_file_a")).alias("clip_id_a"), path_stem(F.col("clip_file_b")).alias("clip_id_b"), "clip_file_a", "clip_file_b",
+        "start_sec_a", "end_sec_a", "start_sec_b", "end_sec_b", *(x.cast("decimal(12,3)").alias(n) for n, x in (("duration_sec_a", long_a), ("duration_sec_b", long_b), ("overlap_sec", ends - begins))),
+        F.round(share, 6).alias("overlap_ratio_shorter"), begins.alias("overlap_start_sec"), ends.alias("overlap_end_sec"),
     )
 
 
-def overlap_summary(pairs: DataFrame, long: float) -> DataFrame:
-    """By speaker (null: all): pairs, median and largest overlap, pairs that overlap at least ``long`` and at least half of the shorter."""
-    return pairs.groupingSets([[], ["speaker_id"]], "speaker_id").agg(
-        F.count("*").alias("pairs"), F.round(F.median("overlap"), 6).alias("median_overlap"), F.max("overlap").alias("max_overlap"),
-        F.count_if(F.col("overlap") >= long).alias("long_pairs"), F.count_if(F.col("overlap_ratio_shorter") >= 0.5).alias("half_pairs"), F.grouping("speaker_id").cast("int").alias("all_speakers"),
+def overlap_summary(pairs: DataFrame, long_sec: float = 0.20, width: float = 0.05) -> DataFrame:
+    """By speaker (null: all): pairs, median and largest overlap, pairs that overlap at least long_sec and at least half of the shorter. width: of the bins that find the median."""
+    both = F.explode(F.array(F.struct(F.lit(1).alias("all_speakers"), F.lit(None).cast("string").alias("speaker_id")), F.struct(F.lit(0).alias("all_speakers"), F.col("speaker_id").alias("speaker_id"))))
+    rows = pairs.select(both.alias("x"), "overlap_sec", "overlap_ratio_shorter").select("x.*", "overlap_sec", "overlap_ratio_shorter")
+    keys = ["all_speakers", "speaker_id"]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.max("overlap_sec").alias("max_overlap_sec"), F.count_if(F.col("overlap_sec") >= long_sec).alias("long_pairs"), F.count_if(F.col("overlap_ratio_shorter") >= 0.5).alias("half_pairs"),
     )
+    return matched(sums, medians(rows, "overlap_sec", keys, width), keys).withColumn("median_overlap_sec", F.round("median", 6)).drop("median")
 
 
-def timing_variants(segments: DataFrame, variants: DataFrame, fps: int) -> DataFrame:
-    """By variant (variant, pad_ms): clips, median and mean milliseconds, clips of half a second or more."""
-    rows = segments.join(F.broadcast(variants))
-    long = F.floor((F.col("end_frame") + 1) * 1000 / fps) + F.col("pad_ms") - F.greatest(F.lit(0), F.floor(F.col("start_frame") * 1000 / fps) - F.col("pad_ms"))
-    return rows.withColumn("ms", long).groupBy("variant").agg(F.count("*").alias("clips"), F.median("ms").alias("median_ms"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.count_if(F.col("ms") >= 500).alias("half_second"))
+def timing_variants(segments: DataFrame, variants: DataFrame, fps: float, width: float = 2.0, max_duration_sec: float | None = None) -> DataFrame:
+    """By variant (variant, pad_frames, start_pad, end_pad; a small table): clips, their median and mean seconds, clips of half a second or more, and overlapping pairs of different words."""
+    start, end = _padded(F.lit(float(fps)), F.col("pad_frames"), F.col("start_pad"), F.col("end_pad"))
+    rows = segments.join(F.broadcast(variants)).withColumns({"start_sec": start, "end_sec": end})
+    if max_duration_sec is not None:
+        rows = rows.where(F.col("end_sec") - F.col("start_sec") <= max_duration_sec)
+    rows = saved(_manifest_seconds(rows).select("variant", F.col("video").alias("source_video"), "word", F.format_string("%s_%06d.mp4", "video", "seg_idx").alias("clip_file"), F.lit("").alias("speaker_id"), "start_sec", "end_sec"), "variants")
+    rows = rows.withColumn("sec", F.col("end_sec") - F.col("start_sec"))
+    sums = rows.groupBy("variant").agg(F.count("*").alias("clips"), F.round(F.avg(F.col("sec").cast("double")), 6).alias("mean_sec"), F.count_if(F.col("sec") >= 0.5).alias("half_second"))
+    pairs = overlap_pairs(rows, width, by=("variant", "source_video")).groupBy("variant").agg(F.count("*").alias("overlap_pairs"))
+    sums = sums.join(medians(rows, "sec", ["variant"], 0.05), "variant").join(pairs, "variant", "left")
+    return sums.select("variant", "clips", F.round("median", 6).alias("median_sec"), "mean_sec", "half_second", F.coalesce("overlap_pairs", F.lit(0)).alias("overlap_pairs"))
 
 
 def review_sample(pairs: DataFrame, n: int) -> DataFrame:
-    """n pairs for review: of each speaker the largest overlaps, an equal number, then the largest of the rest."""
-    size = F.desc("overlap")
-    order = [size, "source_video", "clip_file_a", "clip_file_b"]
-    share = pairs.agg(F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest(F.lit(1), F.count_distinct("speaker_id")))).alias("share"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("speaker_id").orderBy(*order))).where(F.col("rank") <= n)
-    ranked = ranked.join(F.broadcast(share)).withColumn("picked", F.col("rank") <= F.col("share"))
-    return ranked.orderBy(F.desc("picked"), *order).limit(n).select("source_video", "speaker_id", "clip_file_a", "clip_file_b", "overlap", "picked", F.lit("pending").alias("review_status"), F.lit("").alias("notes"))
+    """n pairs for review, numbered: of each speaker in turn an equal number of the largest overlaps, then the rest in the order of speaker and overlap.
+
+    Only the first n pairs of a speaker can be among them; these are saved, so the pairs are made once.
+    """
+    order = ["speaker_id", F.desc("overlap_sec"), "source_video", *(f"{c}_{s}" for s in "ab" for c in ("start_sec", "end_sec", "clip_file"))]
+    ranked = saved(pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("speaker_id").orderBy(*order))).where(F.col("_rank") <= n), "ranked")
+    share = max(1, n // max(1, ranked.where("_rank = 1").count()))
+    order = [F.desc(F.col("_rank") <= share), *order]
+    few = ranked.orderBy(*order).limit(n)
+    return few.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("review_no"), *pairs.columns, F.lit("pending").alias("review_status"), F.lit("").alias("notes"))
+
+
+def frame_samples(n: Column, k: int = 24, mode: str = "even") -> Column:
+    """Frame numbers of a clip of n frames: ``even``, k from 0 to n - 1 at equal distances, cut to whole numbers; ``three``, first, middle and last; ``five``, with the thirds too.
+
+    Three and five are ascending without repeats; a clip without frames has none (of five, 0).
+    """
+    if mode == "even":
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / (k - 1)))
+    whole = lambda x: F.floor(x).cast("long")
+    last = F.greatest(F.lit(0), n - 1).cast("long")
+    places = {"three": [whole(n / 2)], "five": [whole(n / 3), whole(n / 2), whole(2 * n / 3)]}[mode]
+    found = F.array_sort(F.array_distinct(F.array(F.lit(0).cast("long"), *places, last)))
+    return F.when(n > 0, found).otherwise(F.array().cast("array<long>") if mode == "three" else F.array(F.lit(0).cast("long")))
 
 
-def frame_samples(n: Column, k: int) -> Column:
-    """k frame numbers from 0 to n - 1 at equal distances, cut to whole numbers."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / (k - 1)))
+def filled_up(frames: Column, k: int) -> Column:
+    """frames, its last value repeated until there are k; an empty array stays empty."""
+    return F.when(F.size(frames) > 0, F.concat(frames, F.array_repeat(F.element_at(frames, -1), F.greatest(F.lit(0), k - F.size(frames))))).otherwise(frames)
 
 
 def frame_geometry(points: DataFrame, left_eye: list[int], right_eye: list[int], lips: list[int], least_eye: float = 8.0) -> DataFrame:
@@ -187,20 +242,39 @@ def rolling_median(rows: DataFrame, key: str, order: str, columns: list[str], ra
 
 
 def detection_gate(geometry: DataFrame, least: float = 0.70) -> DataFrame:
-    """By clip: frames, detected frames, their share, frames to fill, mean side, and a status."""
-    rows = geometry.groupBy("clip_id").agg(F.count("frame_idx").alias("total_frames"), F.count("cx").alias("landmark_frames"), F.round(F.avg("side"), 6).alias("mean_side"))
-    share = F.round(F.try_divide(F.col("landmark_frames"), F.col("total_frames")), 6)
-    status = F.when(F.col("total_frames") == 0, "no_frames").when(F.col("landmark_frames") == 0, "no_landmarks").when(share < least, "low_detection_ratio").otherwise("ok")
-    return rows.withColumn("landmark_detection_ratio", share).withColumn("interpolated_frames", F.col("total_frames") - F.col("landmark_frames")).withColumn("landmark_status", status)
+    """By clip: frames, detected frames, their share, and a status; of clips that pass also the frames to fill and the mean side after filling and smoothing.
+
+    The exact share decides; it is tested before anything else, so a clip without any hit is of a low share unless least is 0.
+    """
+    total, hits = F.col("total_frames"), F.col("landmark_frames")
+    rows = geometry.groupBy("clip_id").agg(F.count("frame_idx").alias("total_frames"), F.count("cx").alias("landmark_frames"))
+    smooth = rolling_median(interpolate_gaps(geometry.select("clip_id", "frame_idx", "side"), "clip_id", "frame_idx", ["side"]), "clip_id", "frame_idx", ["side"])
+    share = F.coalesce(F.try_divide(hits, total), F.lit(0.0))
+    status = F.when(total == 0, "no_frames").when(share < least, "low_detection_ratio").when(hits == 0, "no_landmarks").otherwise("ok")
+    rows = rows.join(smooth.groupBy("clip_id").agg(F.avg("side").alias("side")), "clip_id", "left").withColumn("landmark_status", status)
+    ok = F.col("landmark_status") == "ok"
+    return rows.select(
+        "clip_id", "total_frames", "landmark_frames", F.round(share, 4).alias("landmark_detection_ratio"), "landmark_status",
+        F.when(ok, total - hits).alias("interpolated_frames"), F.when(ok, F.round("side", 2)).alias("mean_crop_side_px"),
+    )
 
 
 def mouth_boxes(detections: DataFrame, dims: DataFrame, fallback: bool = False) -> DataFrame:
-    """clip_id, x0, y0, x1, y1, status: the lower face of the largest detection of a clip (the first of equals), inside the picture."""
-    best = detections.groupBy("clip_id").agg(F.max_by(F.struct("x", "y", "w", "h"), F.struct((F.col("w") * F.col("h")).alias("area"), (-F.col("sample_no")).alias("s"), (-F.col("det_no")).alias("d"))).alias("box"))
+    """clip_id, x0, y0, x1, y1, status: the lower face of the largest detection of a clip (the first of equals), inside the picture; with fallback, else a box below the picture's middle.
+
+    Every size and place is cut to whole numbers before the box is cut at the picture's edges; a box without an area is bad and has no corners.
+    """
+    best = detections.where("w * h > 0").groupBy("clip_id").agg(F.max_by(F.struct("x", "y", "w", "h"), F.struct((F.col("w") * F.col("h")).alias("area"), (-F.col("sample_no")).alias("s"), (-F.col("det_no")).alias("d"))).alias("box"))
     rows = dims.join(best, "clip_id", "left")
     found, b = F.col("box").isNotNull(), F.col("box")
     wide, high = F.col("width"), F.col("height")
-    corner = {"x0": (b["x"] + b["w"] * 0.18, wide * 0.25), "y0": (b["y"] + b["h"] * 0.52, high * 0.45), "x1": (b["x"] + b["w"] * 0.82, wide * 0.75), "y1": (b["y"] + b["h"] * 0.98, high * 0.95)}
-    place = lambda n, limit: F.greatest(F.lit(0), F.least(limit, F.when(found, corner[n][0].cast("int")).when(F.lit(fallback), corner[n][1].cast("int")))).alias(n)
-    status = F.when(found, "ok").when(F.lit(fallback), "fallback").otherwise("no_face")
-    return rows.select("clip_id", *(F.when(found | F.lit(fallback), place(n, wide if n[0] == "x" else high)).alias(n) for n in corner), status.alias("status"))
+    short, whole = F.least(wide, high), lambda x: x.cast("int")
+    # fixed values: the mouth's part of a face, and of a picture without one
+    face = {"x": whole(b["x"] + 0.12 * b["w"]), "y": whole(b["y"] + 0.55 * b["h"]), "w": whole(0.76 * b["w"]), "h": whole(0.38 * b["h"])}
+    lower = {"x": F.floor((wide - whole(short * 0.55)) / 2).cast("int"), "y": whole(high * 0.52), "w": whole(short * 0.55), "h": whole(short * 0.35)}
+    rows = rows.withColumns({f"_{k}": F.when(found, face[k]).when(F.lit(fallback), lower[k]) for k in "xywh"})
+    rows = rows.withColumns({"x0": F.greatest(F.lit(0), "_x"), "y0": F.greatest(F.lit(0), "_y"), "x1": F.least(wide, F.col("_x") + F.col("_w")), "y1": F.least(high, F.col("_y") + F.col("_h"))})
+    seen = found | F.lit(fallback)
+    bad = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
+    status = F.when(~seen, "no_face").when(bad, "bad_crop_box").when(found, "face_mouth_crop").otherwise("fallback_lower_center_crop")
+    return rows.select("clip_id", *(F.when(seen & ~bad, F.col(c)).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")), status.alias("status"))

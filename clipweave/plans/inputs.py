@@ -18,10 +18,11 @@ class Tables:
         return self.events.select(F.col("user_id").cast("string").alias("video"), number.alias("frame_idx"), F.when(F.col("event_type") == "error", "<p:>").otherwise(F.col("event_type")).alias("label"))
 
     def manifest(self) -> DataFrame:
-        start = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+        start = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+        seconds = lambda ms: (ms.cast("decimal(18,3)") / 1000).cast("decimal(12,3)")
         return self.events.select(
             F.concat(F.lit("clips/"), "event_id", F.lit(".mp4")).alias("clip_file"), F.col("event_type").alias("word"), F.concat(F.lit("spk"), F.col("user_id") % 19).alias("speaker_id"),
-            start.alias("start_ms"), (start + (600 + (F.col("event_id") * 7919) % 36000) * 1000).alias("end_ms"), F.col("user_id").cast("string").alias("source_video"),
+            seconds(start).alias("start_sec"), seconds(start + (600 + (F.col("event_id") * 7919) % 36000) * 1000).alias("end_sec"), F.col("user_id").cast("string").alias("source_video"),
         )
 
     def labels_table(self) -> DataFrame:
@@ -46,13 +47,13 @@ class Tables:
     def measurements(self) -> DataFrame:
         d = F.col("doc_id")
         return self.documents.select(
-            F.concat(F.lit("c"), d).alias("clip_id"), F.col("lang").alias("word"), F.col("source").alias("speaker_id"), (d % 11 != 0).alias("ok"), ((d % 3) * 25.0).alias("fps"), (F.col("n_chars") % 400).alias("frame_count"),
+            F.concat(F.lit("c"), d).alias("clip_id"), F.col("lang").alias("word"), F.col("source").alias("speaker_id"), (d % 17 != 0).alias("exists"), (d % 11 != 0).alias("ok"), ((d % 3) * 25.0).alias("fps"), (F.col("n_chars") % 400).alias("frame_count"),
             (F.col("n_chars") % 256).cast("double").alias("brightness"), (d % 4).alias("face_sample_hits"), d.alias("ord"),
         )
 
     def predictions(self) -> DataFrame:
         v = F.col("vec_id")
-        return self.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"), F.col("label").alias("true_idx"), F.concat(F.lit("spk"), v % 7).alias("speaker_id"), (v % 3).alias("seed"), F.concat(F.lit("w"), "label").alias("true_word"))
+        return self.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.col("label").alias("true_idx"), F.concat(F.lit("spk"), v % 7).alias("speaker_id"), (v % 3).alias("seed"), F.concat(F.lit("w"), "label").alias("true_word"))
 
     def scored(self) -> DataFrame:
         from ..operators.metrics import score_logits
@@ -60,7 +61,7 @@ class Tables:
         return score_logits(self.predictions()).withColumn("predicted_word", F.concat(F.lit("w"), "pred_idx"))
 
     def classes(self) -> DataFrame:
-        return self.embeddings.select(F.concat(F.lit("w"), "label").alias("word")).distinct()
+        return self.embeddings.select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("k")).distinct().select(F.concat(F.lit("w"), "k").alias("word"))
 
     def frame_arrays(self) -> DataFrame:
         rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double")))
@@ -84,11 +85,13 @@ class Tables:
         return rows.select("clip_id", "frame_idx", "point_id", at(0).alias("x"), at(1).alias("y"))
 
     def cues(self) -> DataFrame:
+        """Cues of eight words, each four words on; total: where the last cue of the document ends."""
         rows = self.documents.where("trim(text) <> ''").select("doc_id", F.split(F.trim("text"), r"\s+").alias("t"))
         # the texts are cut before they are exploded: a row for each cue must not carry its whole text
         cut = lambda k: F.struct(k.alias("cue_no"), F.array_join(F.slice("t", k.cast("int") * 4 + 1, 8), " ").alias("text"))
-        rows = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(size(t) - 1) div 4")), cut)).alias("cue"))
-        return rows.select("doc_id", "cue.cue_no", (F.col("cue.cue_no") * 2.0).alias("start_sec"), (F.col("cue.cue_no") * 2.0 + 4).alias("end_sec"), "cue.text")
+        last = F.expr("(size(t) - 1) div 4")
+        rows = rows.select("doc_id", (last * 2.0 + 4).alias("total"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), cut)).alias("cue"))
+        return rows.select("doc_id", "total", "cue.cue_no", (F.col("cue.cue_no") * 2.0).alias("start_sec"), (F.col("cue.cue_no") * 2.0 + 4).alias("end_sec"), "cue.text")
 
     def intervals(self) -> DataFrame:
         e = F.col("event_id")
@@ -102,11 +105,12 @@ SEGMENTS = FRAMES + """,
     r AS (SELECT *, sum(fresh) OVER (PARTITION BY video ORDER BY frame_idx) AS run FROM g),
     s0 AS (SELECT video, run, any_value(label) AS word, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame FROM r GROUP BY 1, 2),
     seg AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY start_frame) AS seg_idx, word, start_frame, end_frame FROM s0 WHERE word <> '<p:>')"""
-MANIFEST = "m AS (SELECT 'clips/' || event_id || '.mp4' AS clip_file, CAST(event_id AS VARCHAR) AS clip_id, event_type AS word, 'spk' || (user_id % 19) AS speaker_id, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + (600 + (event_id * 7919) % 36000) * 1000 AS e, CAST(user_id AS VARCHAR) AS source_video FROM events)"
+MANIFEST = """m AS (SELECT 'clips/' || event_id || '.mp4' AS clip_file, CAST(event_id AS VARCHAR) AS clip_id, event_type AS word, 'spk' || (user_id % 19) AS speaker_id, CAST((epoch_us(ts) // 1000 - 1704067200000) / 1000 AS DECIMAL(12,3)) AS s,
+        CAST((epoch_us(ts) // 1000 - 1704067200000 + (600 + (event_id * 7919) % 36000) * 1000) / 1000 AS DECIMAL(12,3)) AS e, CAST(user_id AS VARCHAR) AS source_video FROM events)"""
 PAIRS = MANIFEST + """,
     p AS (SELECT a.source_video, a.speaker_id, a.word AS word_a, b.word AS word_b, a.clip_id AS clip_id_a, b.clip_id AS clip_id_b, a.clip_file AS clip_file_a, b.clip_file AS clip_file_b,
-        a.s AS start_ms_a, a.e AS end_ms_a, b.s AS start_ms_b, b.e AS end_ms_b, a.e - a.s AS duration_a, b.e - b.s AS duration_b, least(a.e, b.e) - greatest(a.s, b.s) AS overlap,
-        round((least(a.e, b.e) - greatest(a.s, b.s)) / CAST(least(a.e - a.s, b.e - b.s) AS DOUBLE), 6) AS overlap_ratio_shorter, greatest(a.s, b.s) AS overlap_start, least(a.e, b.e) AS overlap_end
+        a.s AS start_sec_a, a.e AS end_sec_a, b.s AS start_sec_b, b.e AS end_sec_b, CAST(a.e - a.s AS DECIMAL(12,3)) AS duration_sec_a, CAST(b.e - b.s AS DECIMAL(12,3)) AS duration_sec_b, CAST(least(a.e, b.e) - greatest(a.s, b.s) AS DECIMAL(12,3)) AS overlap_sec,
+        round(CAST(least(a.e, b.e) - greatest(a.s, b.s) AS DOUBLE) / CAST(least(a.e - a.s, b.e - b.s) AS DOUBLE), 6) AS overlap_ratio_shorter, greatest(a.s, b.s) AS overlap_start_sec, least(a.e, b.e) AS overlap_end_sec
         FROM m a JOIN m b ON a.source_video = b.source_video AND (a.s, a.e, a.clip_file) < (b.s, b.e, b.clip_file) AND b.s < a.e AND a.word <> b.word WHERE least(a.e, b.e) > greatest(a.s, b.s))"""
 LABELS = """l AS (SELECT printf('ru_%06d', event_id) AS clip_id, 'clips/' || event_type || '/spk' || (user_id % 19) || '/' || event_id || '.mp4' AS clip_path, event_type AS word, 'spk' || (user_id % 19) AS speaker_id,
         CASE WHEN event_id % 3 = 0 THEN 'youtube' ELSE 'self_recorded' END AS source, CAST(0 AS DOUBLE) AS start_sec, round((event_id % 400) / CAST(100 AS DOUBLE) - CAST(0.1 AS DOUBLE), 2) AS end_sec, event_id AS ord,
@@ -114,14 +118,14 @@ LABELS = """l AS (SELECT printf('ru_%06d', event_id) AS clip_id, 'clips/' || eve
     listing AS (SELECT clip_path AS path FROM l WHERE ord % 7 <> 0), words AS (SELECT DISTINCT word FROM l WHERE word <> 'error')"""
 BAD = LABELS + """,
     bad AS (SELECT CASE WHEN ord % 2 = 0 THEN clip_path ELSE '' END AS clip_path, CASE WHEN ord % 2 = 1 THEN clip_id ELSE '' END AS clip_id, CASE WHEN ord % 5 = 0 THEN '' ELSE 'r' || (ord % 4) END AS reason FROM l WHERE ord % 9 = 0)"""
-QUALITY = """q0 AS (SELECT 'c' || doc_id AS clip_id, lang AS word, source AS speaker_id, doc_id % 11 <> 0 AS ok, (doc_id % 3) * CAST(25 AS DOUBLE) AS fps, n_chars % 400 AS frame_count, CAST(n_chars % 256 AS DOUBLE) AS brightness, doc_id % 4 AS face_sample_hits, doc_id AS ord FROM documents),
-    q1 AS (SELECT *, CASE WHEN fps > 0 THEN frame_count / fps ELSE 0 END AS duration_sec FROM q0),
-    q AS (SELECT *, CASE WHEN ok THEN list_filter([CASE WHEN frame_count < 5 THEN 'too_few_frames' END, CASE WHEN duration_sec < 0.18 THEN 'too_short' END, CASE WHEN duration_sec > 2.5 THEN 'too_long' END,
-        CASE WHEN brightness < 15 THEN 'too_dark' END, CASE WHEN brightness > 245 THEN 'too_bright' END, CASE WHEN face_sample_hits = 0 THEN 'no_face_on_samples' END], lambda x: x IS NOT NULL) END AS flags FROM q1)"""
-SCORED = """e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits, label AS true_idx, 'spk' || (vec_id % 7) AS speaker_id, vec_id % 3 AS seed, 'w' || label AS true_word FROM embeddings),
+QUALITY = """q0 AS (SELECT 'c' || doc_id AS clip_id, lang AS word, source AS speaker_id, doc_id % 17 <> 0 AS there, doc_id % 11 <> 0 AS ok, (doc_id % 3) * CAST(25 AS DOUBLE) AS fps, n_chars % 400 AS frame_count, CAST(n_chars % 256 AS DOUBLE) AS brightness, doc_id % 4 AS face_sample_hits, doc_id AS ord FROM documents),
+    q1 AS (SELECT *, CASE WHEN fps > 0 THEN frame_count / fps ELSE 0 END AS duration_sec, CASE WHEN NOT there THEN 'missing' WHEN NOT ok THEN 'unreadable' ELSE '' END AS reason FROM q0),
+    q AS (SELECT *, CASE reason WHEN 'missing' THEN ['missing'] WHEN '' THEN list_filter([CASE WHEN frame_count < 5 THEN 'too_few_frames' END, CASE WHEN duration_sec < 0.18 THEN 'too_short' END, CASE WHEN duration_sec > 2.5 THEN 'too_long' END,
+        CASE WHEN brightness < 15 THEN 'very_dark' END, CASE WHEN brightness > 245 THEN 'very_bright' END, CASE WHEN face_sample_hits = 0 THEN 'no_face_detected' END], lambda x: x IS NOT NULL) END AS flags FROM q1)"""
+SCORED = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logits, label AS true_idx, 'spk' || (vec_id % 7) AS speaker_id, vec_id % 3 AS seed, 'w' || label AS true_word FROM embeddings),
     t AS (SELECT *, list_max(logits) AS top, list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) AS mass FROM e),
     s AS (SELECT *, ln(mass) + top - logits[true_idx + 1] AS loss, 1 / mass AS pred_confidence, CAST(list_position(logits, top) - 1 AS INTEGER) AS pred_idx, list_position(logits, top) - 1 = true_idx AS correct, 'w' || (list_position(logits, top) - 1) AS predicted_word FROM t),
-    classes AS (SELECT DISTINCT 'w' || label AS word FROM embeddings)"""
+    classes AS (SELECT DISTINCT 'w' || k AS word FROM (SELECT unnest(range(len(embedding))) AS k FROM embeddings))"""
 REPORT = SCORED + """,
     w AS (SELECT word, seed FROM classes, (SELECT DISTINCT seed FROM s)),
     c AS (SELECT w.word, w.seed, count(*) FILTER (s.true_word = w.word) AS support, count(*) FILTER (s.predicted_word = w.word) AS predicted, count(*) FILTER (s.true_word = w.word AND s.predicted_word = w.word) AS correct

@@ -21,8 +21,8 @@ from .inputs import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SPEAKERS = {"train": [f"spk{k}" for k in range(12)], "val": [f"spk{k}" for k in range(12, 15)], "test": ["spk15", "spk16"]}
-#: Where crops of earlier stages came from.
-PREFIXES = [("clips/click", "raw/one"), ("clips/view", "raw/two"), ("clips/view/spk1", "raw/three")]
+#: Example of a map from crops to the folders that they came from.
+PREFIXES = {"clips/click": "raw/one", "clips/view": "raw/two", "clips/view/spk1": "raw/three"}
 
 
 def query(sql: str | None = None):
@@ -79,10 +79,15 @@ def media_inventory(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- scalar functions
 
 
-@query(f"WITH {I.BAD}, a AS (SELECT ord, clip_path FROM l WHERE ord % 9 = 0) SELECT ord, clip_path AS path FROM a")
+@query(f"""WITH {I.LABELS} SELECT ord, CASE ord % 4 WHEN 0 THEN clip_path WHEN 1 THEN 'x/02_model_inputs/' || clip_path WHEN 2 THEN clip_path || chr(39) || '/ru_dataset/z' ELSE '' END AS path FROM l""")
 def normalize_path(t: Tables) -> DataFrame:
-    ugly = F.concat(F.lit(" \"'C:\\data\\ru_dataset\\02_model_inputs\\"), F.translate("clip_path", "/", "\\"), F.lit("'\" "))
-    return t.labels_table().where("ord % 9 = 0").select("ord", T.normalize_path(ugly).alias("path"))
+    p, windows = F.col("clip_path"), F.translate("clip_path", "/", "\\")
+    ugly = {
+        0: F.concat(F.lit(" \"'C:\\data\\ru_dataset\\02_model_inputs\\"), windows, F.lit("'\"\t")), 1: F.concat(F.lit("ru_dataset/./x/02_model_inputs/"), p),
+        2: F.concat(F.lit("''ru_dataset/../"), p, F.lit("'/ru_dataset/z")), 3: F.lit('\u00a0"..\\./" '),
+    }
+    path = F.coalesce(*(F.when(F.col("ord") % 4 == k, x) for k, x in ugly.items()))
+    return t.labels_table().select("ord", T.normalize_path(path).alias("path"))
 
 
 @query(f"WITH {I.LABELS} SELECT ord, CAST(ord AS VARCHAR) AS stem, ord || '.mp4' AS name, 'clips/' || word || '/' || speaker_id AS parent, '.mp4' AS suffix FROM l")
@@ -111,20 +116,31 @@ def load_vocab(t: Tables) -> DataFrame:
     return C.load_vocab(t.documents.select(F.concat(F.lit(" "), F.upper("source")).alias("word")))
 
 
-TRANSCRIPT = r"""x AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(html, '\r?\n'), lambda a: trim(a)),
-        lambda a: NOT (a = '' OR starts_with(upper(a), 'WEBVTT') OR regexp_matches(a, '^\d{2}:\d{2}:\d{2}[,.]\d{3}\s+-->') OR regexp_matches(a, '^\d+$'))), ' ') AS merged FROM pages),
+TRANSCRIPT = r"""p AS (SELECT page_id, html || chr(10) || printf('%d:%02d --> 0%d:%02d,5', page_id % 30, page_id % 60, page_id % 9, page_id % 60) || chr(13) || chr(10) || ' webvtt Kind' || chr(10) || printf('00:%02d:01.000 -->00:%02d:02.000', page_id % 60, page_id % 60)
+        || chr(10) || '00:01 --> 00:02 said' || chr(10) || page_id || chr(9) || chr(10) || '[noise] Ёлка-' || page_id AS html FROM pages),
+    x AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(html, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda a: regexp_replace(a, '^[\s\x0b\x1c-\x20\x{85}\x{a0}]+|[\s\x0b\x1c-\x20\x{85}\x{a0}]+$', '', 'g')),
+        lambda a: NOT (a = '' OR starts_with(upper(a), 'WEBVTT') OR regexp_matches(a, '^\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?\s*-->\s*\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?$') OR regexp_matches(a, '^\d+$'))), ' ') AS merged FROM p),
     c AS (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(merged, '<[^>]+>', ' ', 'g'), '\[[^\]]+\]', ' ', 'g'), '[^0-9A-Za-zА-Яа-яЁё\- ]+', ' ', 'g'), ' +', ' ', 'g'))) AS text FROM x)"""
 
 
+def _subtitled(t: Tables) -> DataFrame:
+    """The pages, each followed by lines that a transcript drops (times of several forms, a header, a number) and some that it keeps."""
+    k = F.col("page_id")
+    more = F.concat(
+        F.format_string("\n%d:%02d --> 0%d:%02d,5\r\n webvtt Kind\n", k % 30, k % 60, k % 9, k % 60), F.format_string("00:%02d:01.000 -->00:%02d:02.000\n", k % 60, k % 60), F.lit("00:01 --> 00:02 said\n"),
+        F.format_string("%d\t\n[noise] Ёлка-%d", k, k),
+    )
+    return t.pages.select("page_id", T.clean_transcript(F.concat("html", more)).alias("text"))
+
+
 @query(f"WITH {TRANSCRIPT} SELECT page_id, text FROM c")
 def clean_transcript(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.clean_transcript(F.col("html")).alias("text"))
+    return _subtitled(t)
 
 
 @query(f"WITH {TRANSCRIPT} SELECT page_id, length(text) AS chars, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM c")
 def transcript_stats(t: Tables) -> DataFrame:
-    clean = t.pages.select("page_id", T.clean_transcript(F.col("html")).alias("text"))
-    return clean.select("page_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).cast("long").alias("words"))
+    return _subtitled(t).select("page_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).cast("long").alias("words"))
 
 
 @query("SELECT event_id, round((event_id % 100) * 3600 + (event_id % 60) * 60 + event_id % 59 + (event_id % 1000) / CAST(1000 AS DOUBLE), 6) AS seconds FROM events")
@@ -133,12 +149,14 @@ def parse_srt_time(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(T.parse_srt_time(F.format_string("%02d:%02d:%02d,%03d", e % 100, e % 60, e % 59, e % 1000)), 6).alias("seconds"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 AND (event_id % 7) * 60 + (event_id % 50) + 0.5 > 0 THEN CAST((event_id % 7) * 60 + (event_id % 50) + 0.5 AS DOUBLE) END AS duration_sec,
-    CASE WHEN event_id % 5 <> 0 AND event_id % 31 > 0 THEN CAST(event_id % 31 AS DOUBLE) END AS fps FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 AND (event_id % 7) * 60 + (event_id % 2) * 0.5 > 0 THEN CAST((event_id % 7) * 60 + (event_id % 2) * 0.5 AS DOUBLE) END AS duration_sec,
+    CASE WHEN event_id % 5 <> 0 AND event_id % 31 > 0 AND event_id % 13 <> 0 THEN CAST(event_id % 31 AS DOUBLE) END AS fps,
+    event_id % 5 <> 0 AND (event_id % 7) * 60 + (event_id % 2) * 0.5 > 0 AND event_id % 31 > 0 AND event_id % 13 <> 0 AS valid FROM events""")
 def parse_media_probe(t: Tables) -> DataFrame:
     e = F.col("event_id")
-    probe = F.when(e % 5 != 0, F.format_string("  Duration: 00:%02d:%02d.50, start: 0.0\n Stream: Video, %d fps, 25 tbr", e % 7, e % 50, e % 31)).otherwise("no media")
-    return t.events.select("event_id", T.media_duration(probe).alias("duration_sec"), T.media_fps(probe).alias("fps"))
+    unit = F.when(e % 13 == 0, "fps").otherwise("  fps")  # without a blank it is no frame rate
+    probe = F.when(e % 5 != 0, F.concat(F.format_string("  Duration: 00:%02d:00.%d0, start: 0.0\n Stream: Video, %d", e % 7, (e % 2) * 5, e % 31), unit, F.lit(", 25 tbr"))).otherwise("no media")
+    return t.events.select("event_id", T.media_duration(probe).alias("duration_sec"), T.media_fps(probe).alias("fps"), T.media_valid(probe).alias("valid"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE FALSE END AS silent FROM events")
@@ -163,14 +181,15 @@ def detect_source(t: Tables) -> DataFrame:
 @query(f"""WITH {I.LABELS} SELECT ord, CASE WHEN word = 'click' THEN 'raw/one' || substr(clip_path, 12) WHEN word = 'view' AND speaker_id = 'spk1' THEN 'raw/three' || substr(clip_path, 16)
     WHEN word = 'view' THEN 'raw/two' || substr(clip_path, 11) END AS mapped_path FROM l""")
 def map_crop_to_source(t: Tables) -> DataFrame:
-    prefixes = t.spark.createDataFrame(PREFIXES, "prefix string, target string")
-    return C.map_prefix(t.labels_table().select("ord", "clip_path"), prefixes, "clip_path").select("ord", "mapped_path")
+    return C.map_prefix(t.labels_table().select("ord", "clip_path"), PREFIXES, "clip_path").select("ord", "mapped_path")
 
 
-@query("SELECT event_id, 'out/' || event_type || '/spk' || (user_id % 19) || '/v' || user_id || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') || '.mp4' AS path FROM events")
+@query("""SELECT event_id, 'out/' || CASE WHEN event_type = 'error' THEN 'err_or' ELSE event_type END || '/spk' || (user_id % 19) || '/v' || user_id || '_' || CASE WHEN event_id < 500 THEN '' ELSE '7' END
+    || substr(CAST(1000000 + event_id AS VARCHAR), 2) || '.mp4' AS path FROM events""")
 def clip_output_path(t: Tables) -> DataFrame:
-    speaker = F.concat(F.lit("spk"), F.col("user_id") % 19)
-    return t.events.select("event_id", T.clip_path("out", F.col("event_type"), speaker, F.concat(F.lit("v"), "user_id"), F.col("event_id")).alias("path"))
+    word = F.when(F.col("event_type") == "error", ".err?or. ").otherwise(F.col("event_type"))
+    number = F.col("event_id") + F.when(F.col("event_id") < 500, 0).otherwise(7_000_000)  # seven digits are not cut
+    return t.events.select("event_id", T.clip_path("out", word, F.concat(F.lit("spk"), F.col("user_id") % 19), F.concat(F.lit("v"), "user_id"), number).alias("path"))
 
 
 @query("SELECT event_id, event_id % 4 IN (1, 2) AS unsafe FROM events")
@@ -184,11 +203,13 @@ def validate_relative_path(t: Tables) -> DataFrame:
 
 @query(r"""SELECT CAST(doc_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS cue_no, CAST(k AS DOUBLE) AS start_sec, k + CAST(1.5 AS DOUBLE) AS end_sec, cue AS text
     FROM (SELECT doc_id, k, trim(regexp_replace(regexp_replace(lines[k], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS cue FROM
-        (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS lines FROM documents), range(1, 60) r(k) WHERE k <= len(lines) AND lines[k] <> '' AND NOT regexp_matches(lines[k], '^\d+$')) WHERE cue <> ''""")
+        (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS lines FROM documents)) WHERE lines[k] <> '' AND NOT regexp_matches(lines[k], '^\d+$')) WHERE cue <> ''""")
 def parse_srt(t: Tables) -> DataFrame:
-    block = lambda line, k: F.format_string("%d\n00:00:%02d,000 --> 00:00:%02d,500\n%s\n", k + 1, k + 1, k + 2, F.trim(line))
-    lines = F.slice(F.split("text", "\n"), 1, 59)
-    return L.parse_srt(t.documents.select(F.col("doc_id").cast("string").alias("file"), F.array_join(F.transform(lines, block), "\n").alias("text")))
+    clock = lambda s: F.format_string("%02d:%02d:%02d", F.expr(f"({s}) div 3600"), F.expr(f"({s}) div 60 % 60"), F.expr(f"({s}) % 60"))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    block = F.concat(F.format_string("%d\n", F.col("k") + 1), clock("k + 1"), F.lit(",000 --> "), clock("k + 2"), F.lit(",500\n"), F.trim("line"), F.lit("\n"))
+    whole = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", block.alias("block")))), lambda x: x["block"]), "\n").alias("text"))
+    return L.parse_srt(whole)
 
 
 @query(f"WITH {I.CUES}, {I.collapsed('cues', 'doc_id')} SELECT doc_id, text, n_tokens FROM col")
@@ -197,11 +218,10 @@ def collapse_rolling(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {I.CUES}, tot AS (SELECT doc_id, max(end_sec) AS total FROM cues GROUP BY 1),
-    ch AS (SELECT cues.doc_id, CAST(floor((start_sec + end_sec) / 2 / 300) AS INTEGER) AS chunk_idx, cue_no, all_tokens FROM cues JOIN tot USING (doc_id) WHERE (start_sec + end_sec) / 2 < total),
-    {I.collapsed('ch', 'doc_id, chunk_idx')} SELECT doc_id, chunk_idx, text, n_tokens FROM col WHERE n_tokens >= 20""")
+    ch AS (SELECT cues.doc_id, CAST(floor((start_sec + end_sec) / 2 / 300) AS INTEGER) AS chunk_idx, cue_no, all_tokens FROM cues JOIN tot USING (doc_id) WHERE (start_sec + end_sec) / 2 < least(total, 3000)),
+    {I.collapsed('ch', 'doc_id, chunk_idx')} SELECT doc_id, chunk_idx, doc_id || '_part' || printf('%03d', chunk_idx + 1) AS chunk_id, text, n_tokens FROM col WHERE n_tokens >= 20""")
 def chunk_cues(t: Tables) -> DataFrame:
-    cues = t.cues()
-    return L.chunk_cues(cues.join(cues.groupBy("doc_id").agg(F.max("end_sec").alias("total")), "doc_id"), ["doc_id"], "total")
+    return L.chunk_cues(t.cues(), ["doc_id"], "total", max_sec=3000)
 
 
 @query(f"WITH {I.INTERVALS}, b AS (SELECT video, label, CAST(floor(start_sec * 30) AS BIGINT) AS a, CAST(floor((start_sec + CASE WHEN short THEN 0 ELSE 0.25 END) * 30) AS BIGINT) AS z FROM i) SELECT video, unnest(range(a, z)) AS frame_idx, label FROM b WHERE z > a")
@@ -214,52 +234,69 @@ def label_runs(t: Tables) -> DataFrame:
     return L.label_runs(t.frames(), 2)
 
 
-CLIPS = """k AS (SELECT *, CAST(greatest(0, (start_frame - 1) * 1000 // 30 - 100) AS BIGINT) AS start_ms, CAST((end_frame + 2) * 1000 // 30 + 100 AS BIGINT) AS end_ms FROM seg)"""
+def _clips(pad_frames: int, start_pad: float, end_pad: float, fps: str = "29.97", end: str = "{}") -> str:
+    """SQL of padded clips of the segments, in seconds that are not yet rounded."""
+    d = "CAST({} AS DOUBLE)".format
+    at = f"(start_frame - {pad_frames}) / {d(fps)} - {d(start_pad)}", f"(end_frame + 1 + {pad_frames}) / {d(fps)} + {d(end_pad)}"
+    return f"k AS (SELECT seg.*, greatest({d(0)}, {at[0]}) AS a, {end.format(at[1])} AS z FROM seg"
+
 
+SECONDS = "CAST(round_even(a, 3) AS DECIMAL(12,3)) AS start_sec, CAST(round_even(z, 3) AS DECIMAL(12,3)) AS end_sec"
 
-@query(f"WITH {I.SEGMENTS}, {CLIPS.replace('(start_frame - 1) * 1000 // 30', 'CAST(floor((start_frame - 1) * 1000 / 30) AS BIGINT)')}, z AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS n FROM k WHERE start_ms < 1500 AND end_ms - start_ms <= 400) SELECT video, seg_idx, word, start_frame, end_frame, start_ms, end_ms FROM z WHERE n <= 10")
+
+@query(f"""WITH {I.SEGMENTS}, {_clips(1, 0.1, 0.15)}), y AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS n FROM k WHERE z <= CAST(1.5 AS DOUBLE) AND z - a <= CAST(0.4 AS DOUBLE))
+    SELECT video, seg_idx, word, start_frame, end_frame, {SECONDS} FROM y WHERE n <= 10""")
 def clip_intervals(t: Tables) -> DataFrame:
-    return L.clip_intervals(L.label_runs(t.frames()), 30, pad_frames=1, pad_ms=100, max_source_ms=1500, max_duration_ms=400, limit=10)
+    return L.clip_intervals(L.label_runs(t.frames()), 29.97, pad_frames=1, start_pad=0.1, end_pad=0.15, max_source_sec=1.5, max_duration_sec=0.4, limit=10)
 
 
-@query(f"""WITH {I.SEGMENTS}, v AS (SELECT video, (max(frame_idx) + 1) * 33 - 50 AS duration_ms FROM f GROUP BY 1),
-    z AS (SELECT video, seg_idx, word, start_frame, end_frame, CAST(greatest(0, start_frame * 1000 // 30 - 100) AS BIGINT) AS start_ms, CAST(least(duration_ms, (end_frame + 1) * 1000 // 30 + 100) AS BIGINT) AS end_ms
-        FROM seg JOIN v USING (video) WHERE word IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'click'))
-    SELECT * FROM z WHERE end_ms > start_ms AND end_ms - start_ms <= 300""")
+@query(f"""WITH {I.SEGMENTS}, v AS (SELECT video, CASE WHEN CAST(video AS BIGINT) % 2 = 0 THEN CAST(25 AS DOUBLE) ELSE CAST(29.97 AS DOUBLE) END AS fps, CAST((max(frame_idx) + 1) * CAST(0.033 AS DOUBLE) AS DOUBLE) AS duration_sec FROM f GROUP BY 1),
+    {_clips(3, 0.2, 0.3, "fps", "least(duration_sec, {})")} JOIN v USING (video) WHERE word IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'click'))
+    SELECT video, seg_idx, word, start_frame, end_frame, {SECONDS} FROM k WHERE z > a AND z - a <= CAST(0.8 AS DOUBLE)""")
 def clip_intervals_batch(t: Tables) -> DataFrame:
-    videos = t.frames().groupBy("video").agg(((F.max("frame_idx") + 1) * 33 - 50).alias("duration_ms"))
+    fps = F.when(F.col("video").cast("long") % 2 == 0, 25.0).otherwise(29.97).alias("fps")
+    videos = t.frames().groupBy("video").agg(((F.max("frame_idx") + 1) * 0.033).alias("duration_sec")).select("video", fps, "duration_sec")
     vocab = t.events.where("event_type <> 'click'").select(F.col("event_type").alias("word")).distinct()
-    return L.clip_intervals_batch(L.label_runs(t.frames()), videos, vocab, 30, 100, 300)
+    return L.clip_intervals_batch(L.label_runs(t.frames()), videos, vocab, max_duration_sec=0.8)
+
+
+VARIANTS = [("padded", 3, 0.2, 0.3), ("moderate", 1, 0.08, 0.08), ("tight", 0, 0.0, 0.0)]
 
 
-@query(f"""WITH {I.SEGMENTS}, v AS (SELECT * FROM (VALUES ('padded', 300), ('moderate', 100), ('tight', 0)) x(variant, pad)),
-    z AS (SELECT variant, (end_frame + 1) * 1000 // 30 + pad - greatest(0, start_frame * 1000 // 30 - pad) AS ms FROM seg, v)
-    SELECT variant, count(*) AS clips, CAST(median(ms) AS DOUBLE) AS median_ms, round(avg(ms), 6) AS mean_ms, count(*) FILTER (ms >= 500) AS half_second FROM z GROUP BY 1""")
+@query(f"""WITH {I.SEGMENTS}, v AS (SELECT variant, pf, CAST(sp AS DOUBLE) AS sp, CAST(ep AS DOUBLE) AS ep FROM (VALUES ('padded', 3, 0.2, 0.3), ('moderate', 1, 0.08, 0.08), ('tight', 0, 0, 0)) x(variant, pf, sp, ep)),
+    k AS (SELECT variant, video, seg_idx, word, greatest(CAST(0 AS DOUBLE), (start_frame - pf) / CAST(30 AS DOUBLE) - sp) AS a, (end_frame + 1 + pf) / CAST(30 AS DOUBLE) + ep AS z FROM seg, v),
+    c AS (SELECT variant, video, seg_idx, word, {SECONDS} FROM k WHERE z - a <= CAST(2.0 AS DOUBLE)),
+    o AS (SELECT a.variant, count(*) AS n FROM c a JOIN c b ON a.variant = b.variant AND a.video = b.video AND a.word <> b.word AND (a.start_sec, a.end_sec, a.seg_idx) < (b.start_sec, b.end_sec, b.seg_idx) AND b.start_sec < a.end_sec GROUP BY 1)
+    SELECT c.variant, count(*) AS clips, round(CAST(median(end_sec - start_sec) AS DOUBLE), 6) AS median_sec, round(avg(CAST(end_sec - start_sec AS DOUBLE)), 6) AS mean_sec, count(*) FILTER (end_sec - start_sec >= 0.5) AS half_second, coalesce(any_value(o.n), 0) AS overlap_pairs
+    FROM c LEFT JOIN o USING (variant) GROUP BY 1""")
 def timing_variants(t: Tables) -> DataFrame:
-    variants = t.spark.createDataFrame([("padded", 300), ("moderate", 100), ("tight", 0)], "variant string, pad_ms int")
-    return L.timing_variants(L.label_runs(t.frames()), variants, 30)
+    variants = t.spark.createDataFrame(VARIANTS, "variant string, pad_frames int, start_pad double, end_pad double")
+    return L.timing_variants(L.label_runs(t.frames()), variants, 30, max_duration_sec=2.0)
 
 
 @query(f"WITH {I.PAIRS} SELECT * FROM p")
 def overlap_pairs(t: Tables) -> DataFrame:
-    return L.overlap_pairs(t.manifest(), 36_600_000)
+    return L.overlap_pairs(t.manifest(), 36_600)
 
 
-@query(f"""WITH {I.PAIRS} SELECT speaker_id, count(*) AS pairs, round(median(overlap), 6) AS median_overlap, max(overlap) AS max_overlap, count(*) FILTER (overlap >= 3600000) AS long_pairs,
-    count(*) FILTER (overlap_ratio_shorter >= 0.5) AS half_pairs, CAST(grouping(speaker_id) AS INTEGER) AS all_speakers FROM p GROUP BY GROUPING SETS ((), (speaker_id))""")
+@query(f"""WITH {I.PAIRS} SELECT CAST(grouping(speaker_id) AS INTEGER) AS all_speakers, speaker_id, count(*) AS pairs, max(overlap_sec) AS max_overlap_sec, count(*) FILTER (overlap_sec >= 3600) AS long_pairs,
+    count(*) FILTER (overlap_ratio_shorter >= 0.5) AS half_pairs, round(median(CAST(overlap_sec AS DOUBLE)), 6) AS median_overlap_sec FROM p GROUP BY GROUPING SETS ((), (speaker_id))""")
 def overlap_summary(t: Tables) -> DataFrame:
-    return L.overlap_summary(L.overlap_pairs(t.manifest(), 36_600_000), 3_600_000)
+    return L.overlap_summary(L.overlap_pairs(t.manifest(), 36_600), 3_600, width=300)
 
 
-@query(f"""WITH {I.PAIRS}, z AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY overlap DESC, source_video, clip_file_a, clip_file_b) <= (SELECT greatest(1, 30 // count(DISTINCT speaker_id)) FROM p) AS picked FROM p)
-    SELECT source_video, speaker_id, clip_file_a, clip_file_b, overlap, picked, 'pending' AS review_status, '' AS notes FROM z ORDER BY picked DESC, overlap DESC, source_video, clip_file_a, clip_file_b LIMIT 30""")
+@query(f"""WITH {I.PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY overlap_sec DESC, source_video, start_sec_a, end_sec_a, clip_file_a, start_sec_b, end_sec_b, clip_file_b) AS k FROM p),
+    z AS (SELECT *, k <= (SELECT greatest(1, 30 // count(DISTINCT speaker_id)) FROM p) AS own FROM o),
+    r AS (SELECT *, row_number() OVER (ORDER BY own DESC, speaker_id, k) AS review_no FROM z) SELECT * EXCLUDE (k, own), 'pending' AS review_status, '' AS notes FROM r WHERE review_no <= 30""")
 def review_sample(t: Tables) -> DataFrame:
-    return L.review_sample(L.overlap_pairs(t.manifest(), 36_600_000), 30)
+    return L.review_sample(L.overlap_pairs(t.manifest(), 36_600), 30)
 
 
-@query("SELECT doc_id, array_to_string(list_transform(range(24), lambda i: CAST(i * (n_chars - 1) // 23 AS VARCHAR)), ',') AS frames FROM documents WHERE n_chars > 0")
+@query("""SELECT doc_id, array_to_string(list_transform(range(24), lambda i: CAST(i * (n_chars - 1) // 23 AS VARCHAR)), ',') AS even, array_to_string(list_sort(list_distinct([0, n_chars // 2, n_chars - 1])), ',') AS three,
+    array_to_string(list_sort(list_distinct([0, n_chars // 3, n_chars // 2, 2 * n_chars // 3, n_chars - 1])), ',') AS five FROM documents WHERE n_chars > 0""")
 def frame_samples(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars > 0").select("doc_id", F.array_join(F.transform(L.frame_samples(F.col("n_chars"), 24), lambda x: x.cast("string")), ",").alias("frames"))
+    text = lambda mode: F.array_join(F.transform(L.frame_samples(F.col("n_chars"), 24, mode), lambda x: x.cast("string")), ",").alias(mode)
+    return t.documents.where("n_chars > 0").select("doc_id", *map(text, ("even", "three", "five")))
 
 
 @query(f"""WITH {I.POINTS}, a AS (SELECT clip_id, frame_idx, avg(x) FILTER (point_id IN (0,1)) AS lx, avg(y) FILTER (point_id IN (0,1)) AS ly, avg(x) FILTER (point_id IN (2,3)) AS rx, avg(y) FILTER (point_id IN (2,3)) AS ry,
@@ -286,22 +323,33 @@ def rolling_median(t: Tables) -> DataFrame:
     return L.rolling_median(rows, "clip_id", "frame_idx", ["cx"]).withColumn("cx", F.round("cx", 6))
 
 
-@query(f"""WITH {I.GEOMETRY}, z AS (SELECT clip_id, count(*) AS total_frames, count(cx) AS landmark_frames, round(avg(side), 6) AS mean_side FROM geo GROUP BY 1)
-    SELECT *, round(landmark_frames / total_frames, 6) AS landmark_detection_ratio, total_frames - landmark_frames AS interpolated_frames,
-        CASE WHEN landmark_frames = 0 THEN 'no_landmarks' WHEN round(landmark_frames / total_frames, 6) < 0.7 THEN 'low_detection_ratio' ELSE 'ok' END AS landmark_status FROM z""")
+@query(f"""WITH {I.GEOMETRY}, c AS (SELECT clip_id, count(*) AS total_frames, count(cx) AS landmark_frames FROM geo GROUP BY 1),
+    z AS (SELECT a.clip_id, a.frame_idx, (SELECT max(b.frame_idx) FROM geo b WHERE b.clip_id = a.clip_id AND b.frame_idx <= a.frame_idx AND b.side IS NOT NULL) AS i0,
+        (SELECT min(b.frame_idx) FROM geo b WHERE b.clip_id = a.clip_id AND b.frame_idx >= a.frame_idx AND b.side IS NOT NULL) AS i1 FROM geo a),
+    y AS (SELECT z.clip_id, z.frame_idx, CASE WHEN i0 IS NULL THEN q.side WHEN i1 IS NULL OR i0 = i1 THEN p.side ELSE p.side + (q.side - p.side) * (z.frame_idx - i0) / (i1 - i0) END AS side
+        FROM z LEFT JOIN geo p ON p.clip_id = z.clip_id AND p.frame_idx = i0 LEFT JOIN geo q ON q.clip_id = z.clip_id AND q.frame_idx = i1 WHERE coalesce(i0, i1) IS NOT NULL),
+    w AS (SELECT clip_id, median(side) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS side FROM y), m AS (SELECT clip_id, avg(side) AS side FROM w GROUP BY 1),
+    s AS (SELECT c.*, side, CASE WHEN landmark_frames / total_frames < CAST(0.75 AS DOUBLE) THEN 'low_detection_ratio' WHEN landmark_frames = 0 THEN 'no_landmarks' ELSE 'ok' END AS landmark_status FROM c LEFT JOIN m USING (clip_id))
+    SELECT clip_id, total_frames, landmark_frames, round(landmark_frames / total_frames, 4) AS landmark_detection_ratio, landmark_status, CASE WHEN landmark_status = 'ok' THEN total_frames - landmark_frames END AS interpolated_frames,
+        CASE WHEN landmark_status = 'ok' THEN round(side, 2) END AS mean_crop_side_px FROM s""")
 def detection_gate(t: Tables) -> DataFrame:
-    return L.detection_gate(t.geometry())
-
-
-@query("""WITH d AS (SELECT user_id, event_id % 5 AS s, event_id AS n, event_id % 50 AS x, event_id % 40 AS y, 20 + event_id % 37 AS w, 20 + event_id % 31 AS h FROM events WHERE user_id % 3 <> 0),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w * h DESC, s, n) AS rk FROM d) WHERE rk = 1), u AS (SELECT DISTINCT user_id FROM events)
-    SELECT u.user_id AS clip_id, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(96, trunc(x + w * CAST(0.18 AS DOUBLE)))) END AS INTEGER) AS x0, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(80, trunc(y + h * CAST(0.52 AS DOUBLE)))) END AS INTEGER) AS y0,
-        CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(96, trunc(x + w * CAST(0.82 AS DOUBLE)))) END AS INTEGER) AS x1, CAST(CASE WHEN b.w IS NULL THEN NULL ELSE greatest(0, least(80, trunc(y + h * CAST(0.98 AS DOUBLE)))) END AS INTEGER) AS y1,
-        CASE WHEN b.w IS NULL THEN 'no_face' ELSE 'ok' END AS status FROM u LEFT JOIN b USING (user_id)""")
+    return L.detection_gate(t.geometry(), 0.75)
+
+
+@query("""WITH d AS (SELECT user_id, event_id % 5 AS s, event_id AS n, event_id % 130 AS x, event_id % 40 AS y, event_id % 37 AS w, event_id % 31 AS h FROM events WHERE user_id % 3 <> 0),
+    b AS (SELECT user_id, trunc(x + CAST(0.12 AS DOUBLE) * w) AS mx, trunc(y + CAST(0.55 AS DOUBLE) * h) AS my, trunc(CAST(0.76 AS DOUBLE) * w) AS mw, trunc(CAST(0.38 AS DOUBLE) * h) AS mh
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w * h DESC, s, n) AS rk FROM d WHERE w * h > 0) WHERE rk = 1),
+    u AS (SELECT DISTINCT user_id, 96 AS wide, 80 + user_id % 2 * 40 AS high FROM events), q AS (SELECT *, least(wide, high) AS size FROM u),
+    k AS (SELECT q.user_id AS clip_id, mx IS NOT NULL AS face, wide, high, coalesce(mx, (wide - trunc(size * CAST(0.55 AS DOUBLE))) // 2) AS x, coalesce(my, trunc(high * CAST(0.52 AS DOUBLE))) AS y,
+        coalesce(mw, trunc(size * CAST(0.55 AS DOUBLE))) AS w, coalesce(mh, trunc(size * CAST(0.35 AS DOUBLE))) AS h FROM q LEFT JOIN b USING (user_id)),
+    c AS (SELECT clip_id, face, CAST(greatest(0, x) AS INTEGER) AS x0, CAST(greatest(0, y) AS INTEGER) AS y0, CAST(least(wide, x + w) AS INTEGER) AS x1, CAST(least(high, y + h) AS INTEGER) AS y1 FROM k),
+    s AS (SELECT *, x1 <= x0 OR y1 <= y0 AS bad FROM c)
+    SELECT clip_id, CASE WHEN NOT bad THEN x0 END AS x0, CASE WHEN NOT bad THEN y0 END AS y0, CASE WHEN NOT bad THEN x1 END AS x1, CASE WHEN NOT bad THEN y1 END AS y1,
+        CASE WHEN bad THEN 'bad_crop_box' WHEN face THEN 'face_mouth_crop' ELSE 'fallback_lower_center_crop' END AS status FROM s""")
 def largest_face_box(t: Tables) -> DataFrame:
-    e = F.col("event_id")
-    found = t.events.where("user_id % 3 <> 0").select(F.col("user_id").alias("clip_id"), (e % 5).alias("sample_no"), e.alias("det_no"), (e % 50).alias("x"), (e % 40).alias("y"), (20 + e % 37).alias("w"), (20 + e % 31).alias("h"))
-    return L.mouth_boxes(found, t.events.select(F.col("user_id").alias("clip_id")).distinct().select("clip_id", F.lit(96).alias("width"), F.lit(80).alias("height")))
+    e, u = F.col("event_id"), F.col("user_id")
+    found = t.events.where("user_id % 3 <> 0").select(u.alias("clip_id"), (e % 5).alias("sample_no"), e.alias("det_no"), (e % 130).alias("x"), (e % 40).alias("y"), (e % 37).alias("w"), (e % 31).alias("h"))
+    return L.mouth_boxes(found, t.events.select(u.alias("clip_id")).distinct().select("clip_id", F.lit(96).alias("width"), (F.lit(80) + F.col("clip_id") % 2 * 40).cast("int").alias("height")), fallback=True)
 
 
 # ---------------------------------------------------------------- joins
@@ -319,10 +367,10 @@ def manual_reject(t: Tables) -> DataFrame:
     return C.manual_reject(t.labels_table().select("clip_id", "clip_path"), t.bad())
 
 
-@query(f"WITH {I.QUALITY} SELECT clip_id, word FROM q WHERE NOT coalesce(list_has_any(flags, ['too_short', 'too_dark', 'no_face_on_samples']), FALSE)")
+@query(f"WITH {I.QUALITY} SELECT clip_id, word FROM q WHERE flags IS NULL OR len(flags) = 0")
 def drop_flagged(t: Tables) -> DataFrame:
     q = C.quality_flags(t.measurements())
-    return C.drop_flagged(q.select("clip_id", "word"), q, ["too_short", "too_dark", "no_face_on_samples"])
+    return C.drop_flagged(q.select("clip_id", "word"), q)
 
 
 @query(f"WITH {I.LABELS} SELECT clip_id, clip_path FROM l WHERE ord % 7 = 0")
@@ -330,10 +378,16 @@ def missing_files(t: Tables) -> DataFrame:
     return C.missing_files(t.labels_table().select("clip_id", "clip_path"), t.listing())
 
 
-@query("""WITH d AS (SELECT user_id AS dir, event_type || '.mp4' AS file FROM events WHERE event_id % 3 = 0), r AS (SELECT dir, file, CASE file WHEN 'view.mp4' THEN 1 WHEN 'click.mp4' THEN 2 ELSE 3 END AS rk FROM d),
-    b AS (SELECT dir, min(rk) AS rk, count(*) AS n, min(file) AS any_file FROM r GROUP BY 1) SELECT dir, CASE rk WHEN 1 THEN 'view.mp4' WHEN 2 THEN 'click.mp4' ELSE any_file END AS file FROM b WHERE rk < 3 OR n = 1""")
+@query("""WITH d AS (SELECT DISTINCT event_id // 3 AS dir, CASE WHEN event_id % 11 = 0 THEN 'v' || (event_id // 3) || '.mp4' ELSE event_type || '.mp4' END AS file FROM events),
+    r AS (SELECT dir, file, CASE WHEN file = 'v' || dir || '.mp4' THEN 1 WHEN file = 'view.mp4' THEN 2 WHEN file = 'click.mp4' THEN 3 ELSE 4 END AS rk FROM d),
+    b AS (SELECT dir, count(*) AS n, arg_min(file, rk) AS file, min(rk) AS rk, min(file) AS low FROM r GROUP BY 1)
+    SELECT dir, CASE WHEN rk < 4 THEN file WHEN n = 1 THEN low END AS file, CASE WHEN rk < 4 THEN file ELSE low END AS first_file FROM b""")
 def pick_files(t: Tables) -> DataFrame:
-    return C.pick_files(t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("dir"), F.concat("event_type", F.lit(".mp4")).alias("file")), ["view.mp4", "click.mp4"])
+    place = F.expr("event_id div 3")
+    own = F.concat(F.lit("v"), place.cast("string"))
+    listing = t.events.select(place.alias("dir"), own.alias("id"), F.concat(F.when(F.col("event_id") % 11 == 0, own).otherwise(F.col("event_type")), F.lit(".mp4")).alias("file"))
+    names = ["{id}.mp4", "view.mp4", "click.mp4"]
+    return C.pick_files(listing, names, "first").withColumnRenamed("file", "first_file").join(C.pick_files(listing, names), "dir", "left").select("dir", "file", "first_file")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
@@ -388,13 +442,15 @@ def majority_baseline(t: Tables) -> DataFrame:
     return S.majority_baseline(t.labels_table())
 
 
-@query(f"WITH {I.QUALITY} SELECT clip_id, round(duration_sec, 6) AS duration_sec, array_to_string(flags, ';') AS flags FROM q")
+@query(f"WITH {I.QUALITY} SELECT clip_id, round(duration_sec, 6) AS duration_sec, reason, array_to_string(flags, ';') AS flags FROM q")
 def quality_flags(t: Tables) -> DataFrame:
-    return C.quality_flags(t.measurements()).select("clip_id", F.round("duration_sec", 6).alias("duration_sec"), F.array_join("flags", ";").alias("flags"))
+    return C.quality_flags(t.measurements()).select("clip_id", F.round("duration_sec", 6).alias("duration_sec"), "reason", F.array_join("flags", ";").alias("flags"))
 
 
-@query(f"""WITH {I.QUALITY} SELECT 'all' AS kind, 'clips' AS name, count(*) AS n FROM q UNION ALL SELECT 'all', 'readable', count(*) FROM q WHERE ok UNION ALL SELECT 'all', 'with_face', count(*) FROM q WHERE face_sample_hits > 0
-    UNION ALL SELECT 'speaker', speaker_id, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'word', word, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'flag', x, count(*) FROM (SELECT unnest(flags) AS x FROM q) GROUP BY 2""")
+@query(f"""WITH {I.QUALITY}, r AS (SELECT * FROM q WHERE reason = '') SELECT 'all' AS kind, 'clips' AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM q UNION ALL SELECT 'all', 'readable', count(*), NULL FROM r
+    UNION ALL SELECT 'all', 'with_face', count(*), NULL FROM r WHERE face_sample_hits > 0 UNION ALL SELECT 'speaker', speaker_id, count(*), NULL FROM q GROUP BY 2 UNION ALL SELECT 'word', word, count(*), NULL FROM q GROUP BY 2
+    UNION ALL SELECT 'flag', x, count(*), NULL FROM (SELECT unnest(flags) AS x FROM q) GROUP BY 2 UNION ALL SELECT 'duration', 'min', count(*), round(min(duration_sec), 6) FROM r
+    UNION ALL SELECT 'duration', 'max', count(*), round(max(duration_sec), 6) FROM r UNION ALL SELECT 'duration', 'avg', count(*), round(avg(duration_sec), 6) FROM r""")
 def quality_report(t: Tables) -> DataFrame:
     return C.quality_report(C.quality_flags(t.measurements()))
 
@@ -511,11 +567,11 @@ def version_diff(t: Tables) -> DataFrame:
     return S.version_diff(t.labels_table().where("ord % 5 <> 0"), t.labels_table().where("ord % 7 <> 0"))
 
 
-@query("SELECT vec_id, c AS condition, round(CASE c WHEN 'original' THEN CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[8] AS DOUBLE) END, 6) AS first_value FROM embeddings, (VALUES ('original'), ('hflip')) x(c)")
+@query(f"WITH {I.FRAME_ARRAYS} SELECT vec_id, c AS condition, array_to_string(list_transform(flatten(CASE c WHEN 'original' THEN frames ELSE list_transform(frames, lambda r: list_reverse(r)) END), lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ',') AS vals FROM fa, (VALUES ('original'), ('hflip')) x(c)")
 def augmented_union(t: Tables) -> DataFrame:
     rows = t.frame_arrays()
     both = X.augmented_union({"original": rows, "hflip": rows.withColumn("frames", X.hflip(F.col("frames")))})
-    return both.select("vec_id", "condition", F.round(F.get(F.get("frames", F.lit(0)), F.lit(0)), 6).alias("first_value"))
+    return both.select("vec_id", "condition", F.array_join(F.transform(F.flatten("frames"), lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vals"))
 
 
 @query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, NULL AS note FROM runs GROUP BY 1 UNION ALL SELECT 'majority', NULL, 0.2, NULL, 'baseline'")
@@ -527,11 +583,13 @@ def model_comparison(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- splits and samples
 
 
-@query(f"""WITH {I.LABELS} SELECT 'ru_' || lpad(CAST(row_number() OVER (ORDER BY word, speaker_id, split_part(path, '/', 4)) AS VARCHAR), 6, '0') AS clip_id, path AS clip_path, word, speaker_id, CAST(0 AS DOUBLE) AS start_sec, greatest(end_sec, 0.001) AS end_sec
-    FROM listing JOIN l ON l.clip_path = listing.path""")
+@query(f"""WITH {I.LABELS}, d AS (SELECT path, CASE WHEN ord % 3 = 0 THEN 'yt_' WHEN ord % 3 = 1 THEN 'Self_' ELSE '' END || split_part(path, '/', 4) AS file, word, speaker_id, end_sec FROM listing JOIN l ON l.clip_path = listing.path)
+    SELECT 'ru_' || printf('%06d', row_number() OVER (ORDER BY word, speaker_id, file)) AS clip_id, 'clips/' || word || '/' || speaker_id || '/' || file AS clip_path, word, speaker_id,
+        CASE WHEN starts_with(file, 'yt_') THEN 'youtube' ELSE 'self_recorded' END AS source, CAST(0 AS DECIMAL(12,3)) AS start_sec, CAST(greatest(end_sec, 0.001) AS DECIMAL(12,3)) AS end_sec FROM d""")
 def build_labels(t: Tables) -> DataFrame:
-    rows = t.labels_table()
-    return S.build_labels(io.media_inventory(t.listing()).join(rows.select(F.col("clip_path").alias("path"), F.col("end_sec").alias("duration_sec")), "path"))
+    named = F.concat(F.when(F.col("ord") % 3 == 0, "yt_").when(F.col("ord") % 3 == 1, "Self_").otherwise(""), "ord", F.lit(".mp4"))
+    rows = t.labels_table().where("ord % 7 <> 0").select(F.concat_ws("/", F.lit("clips"), "word", "speaker_id", named).alias("path"), F.col("end_sec").alias("duration_sec"))
+    return S.build_labels(io.media_inventory(rows.select("path")).join(rows, "path"))
 
 
 @query("SELECT row_number() OVER (ORDER BY source) - 1 AS class_id, source AS word FROM (SELECT DISTINCT source FROM documents)")
@@ -577,7 +635,7 @@ def weighted_draw(t: Tables) -> DataFrame:
 def leave_one_out_folds(t: Tables) -> DataFrame:
     rows = t.labels_table().select("speaker_id", "word")
     both = X.augmented_union({"original": rows, "hflip": rows})
-    return S.loo_folds(both, rows.select("speaker_id").distinct()).groupBy("fold_speaker", "part").agg(F.count("*").alias("n"))
+    return S.loo_fold_sizes(both)
 
 
 @query(f"""WITH {I.LABELS}, z AS (SELECT 'positive_interval' AS rule, count(*) AS violations FROM l WHERE end_sec <= start_sec UNION ALL SELECT 'known_word', count(*) FROM l WHERE word = 'error' UNION ALL SELECT 'file_exists', count(*) FROM l WHERE ord % 7 = 0) SELECT * FROM z WHERE violations > 0""")
@@ -591,7 +649,7 @@ def split_preflight(t: Tables) -> DataFrame:
         CASE WHEN fin = 'abc' THEN 'not_a_number' WHEN end_sec <= start_sec THEN 'end_before_start' END], lambda x: x IS NOT NULL) END) AS problem FROM n""")
 def validate_labels(t: Tables) -> DataFrame:
     rows = t.labels_table()
-    rows = rows.withColumn("clip_id", F.when(F.col("ord") % 13 == 0, "").when(F.col("ord") % 17 == 0, "same").otherwise(F.col("clip_id"))).withColumn("end_sec", F.when(F.col("ord") % 19 == 0, "abc").otherwise(F.col("end_sec").cast("string"))).withColumn("start_sec", F.col("start_sec").cast("string"))
+    rows = rows.withColumn("clip_id", F.when(F.col("ord") % 13 == 0, " ").when(F.col("ord") % 17 == 0, F.when(F.col("ord") % 2 == 0, "same\t").otherwise(" same")).otherwise(F.col("clip_id"))).withColumn("end_sec", F.when(F.col("ord") % 19 == 0, "abc").otherwise(F.col("end_sec").cast("string"))).withColumn("start_sec", F.col("start_sec").cast("string"))
     return C.validate_labels(rows, "ord", t.words(), t.listing())
 
 
@@ -614,6 +672,16 @@ def conflicting_duplicates(t: Tables) -> DataFrame:
     return C.conflicting_duplicates(t.documents.withColumn("word", F.col("doc_id") % 10), F.col("text"))
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), g AS (SELECT array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ',') AS c, count(DISTINCT label) AS n FROM e GROUP BY 1)
+    SELECT bool_and(label < 5) AS round_trip_ok, count(*) FILTER (list_sum(list_transform(range(1, 57), lambda i: abs(v[i + 8] - v[i]))) <= 0) AS zero_motion, count(*) FILTER (list_stddev_pop(v) <= 0) AS zero_variance,
+        (SELECT count(*) FROM g WHERE n > 1) AS conflicting_duplicates, bool_and(label < 5) AND (SELECT count(*) FROM g WHERE n > 1) = 0 AND count(*) FILTER (list_stddev_pop(v) <= 0) = 0 AND count(*) FILTER (list_sum(list_transform(range(1, 57), lambda i: abs(v[i + 8] - v[i]))) <= 0) = 0 AS passed FROM e""")
+def feature_audit(t: Tables) -> DataFrame:
+    rows = t.frame_arrays().select(F.concat(F.lit("w"), "label").alias("word"), F.col("label").alias("class_id"), "frames")
+    vocab = rows.where("class_id < 5").select("word", "class_id").distinct()
+    content = F.array_join(F.transform(F.flatten("frames"), lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    return C.feature_audit(rows, content, X.motion(F.col("frames")), X.spread(F.flatten("frames")), "word", "class_id", vocab)
+
+
 # ---------------------------------------------------------------- features, scores, evaluation
 
 
@@ -641,9 +709,12 @@ def _unit(salt: str) -> str:
     return f"(CAST(('0x' || substr(md5('9{salt}|' || vec_id), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
-@query(f"WITH {I.FRAME_ARRAYS}, u AS (SELECT *, {_unit('mask')} AS m, CAST(floor({_unit('at')} * 5) AS BIGINT) AS a FROM fa) SELECT vec_id, round(list_sum(flatten(frames)) - CASE WHEN m < 0.5 THEN list_sum(flatten(frames[a + 1 : a + 4])) ELSE 0 END, 6) AS total FROM u")
+@query(f"""WITH {I.FRAME_ARRAYS}, u AS (SELECT *, {_unit('mask')} AS m, CAST(floor({_unit('at')} * 5) AS BIGINT) AS a, CAST(floor({_unit('long')} * 6) AS BIGINT) AS n FROM fa), w AS (SELECT *, CAST(floor({_unit('at')} * (9 - n)) AS BIGINT) AS b FROM u)
+    SELECT vec_id, round(list_sum(flatten(frames)) - CASE WHEN m < 0.5 THEN list_sum(flatten(frames[a + 1 : a + 4])) ELSE 0 END, 6) AS total,
+        round(list_sum(flatten(frames)) - CASE WHEN m < 0.5 AND n > 0 THEN list_sum(flatten(frames[b + 1 : b + n])) ELSE 0 END, 6) AS variable_total FROM w""")
 def temporal_mask(t: Tables) -> DataFrame:
-    return t.frame_arrays().select("vec_id", F.round(X.total(F.flatten(X.temporal_mask(F.col("frames"), F.col("vec_id"), 0.5, 4, 9))), 6).alias("total"))
+    sums = lambda width, variable: F.round(X.total(F.flatten(X.temporal_mask(F.col("frames"), F.col("vec_id"), 0.5, width, 9, variable))), 6)
+    return t.frame_arrays().select("vec_id", sums(4, False).alias("total"), sums(5, True).alias("variable_total"))
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 from ..functions.text import path_name, path_suffix
 
 LABELS = ["clip_id", "clip_path", "word", "speaker_id", "source", "start_sec", "end_sec"]
+# Endings of media files.
 MEDIA = (".mp4", ".mov", ".avi", ".mkv", ".webm")
 
 
