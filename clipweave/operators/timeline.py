@@ -29,18 +29,20 @@ def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") ->
     A cue is two texts, its tokens as they are and normalized; the longest common end and start is the leftmost match of one pattern over
     the cue before and this one, so no arrays are compared.
     """
-    line = strip(F.regexp_replace("text", rf"(?U){WHITE}+", " "))
-    plain = F.regexp_replace(F.translate(F.lower(line), "ё", "е"), r"[^0-9a-zа-я\- ]+", "")
-    rows = cues.where(F.lower("text").rlike(r"[0-9a-zа-яё\-]")).select(*keys, order, line.alias("line"), plain.alias("plain"))
+    odd = F.col("text").rlike(r"[^\S ]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |^ | $")
+    line = F.when(odd, strip(F.regexp_replace("text", rf"(?U){WHITE}+", " "))).otherwise(F.col("text"))
+    # texts move before anything is matched, or few input splits do all of it; what is not spoken is left out by its first letter, the cheapest test
+    rows = cues.where(F.col("text").rlike(r"(?iu)[0-9a-zа-яё\-\u0130]")).select(*keys, order, "text").repartition(*keys).select(*keys, order, line.alias("line"))
+    rows = rows.withColumn("plain", F.regexp_replace(F.replace(F.lower("line"), F.lit("ё"), F.lit("е")), r"[^0-9a-zа-я\- ]+", ""))
     # tokens that normalize to nothing go: rare, so the arrays are made for such cues only
     real = F.transform(F.filter(F.arrays_zip(F.split("line", " ").alias("t"), F.split("plain", " ").alias("p")), lambda x: x["p"] != ""), lambda x: x["t"])
-    rows = rows.withColumn("line", F.when(F.col("plain").rlike("^ |  | $"), F.array_join(real, " ")).otherwise(F.col("line")))
-    rows = rows.withColumn("plain", F.trim(F.regexp_replace("plain", " +", " "))).repartition(*keys)
-    pair = F.concat(F.coalesce(F.lag("plain").over(Window.partitionBy(*keys).orderBy(order)), F.lit("")), F.lit("\x01"), F.col("plain"))
-    tokens = lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.translate(c, " ", "")) + 1)
-    rows = rows.select(*keys, order, "line", "plain", F.regexp_extract(pair, "(?:^| )([^\x01]++)\x01\\1(?: |$)", 1).alias("same"))
-    rows = rows.select(*keys, order, "line", (tokens(F.col("plain")) - tokens(F.col("same"))).alias("new")).where("new > 0")
-    fresh = F.struct(order, F.expr("substring_index(line, ' ', -new)").alias("fresh"))
+    gaps = F.col("plain").contains("  ") | F.col("plain").startswith(" ") | F.col("plain").endswith(" ")
+    rows = rows.withColumns({"line": F.when(gaps, F.array_join(real, " ")).otherwise(F.col("line")), "plain": F.when(gaps, F.trim(F.regexp_replace("plain", " +", " "))).otherwise(F.col("plain"))})
+    before = F.coalesce(F.lag("plain").over(Window.partitionBy(*keys).orderBy(order)), F.lit(""))
+    rows = rows.select(*keys, order, "line", F.size(F.split("plain", " ")).alias("n"), F.concat(before, F.lit("\x01"), "plain").alias("pair"))
+    same = F.regexp_extract("pair", "(?:^| )([^\x01]++)\x01\\1(?: |$)", 1)
+    rows = rows.select(*keys, order, "line", (F.col("n") - F.when(same == "", 0).otherwise(F.size(F.split(same, " ")))).alias("new"))
+    fresh = F.when(F.col("new") > 0, F.struct(order, F.expr("substring_index(line, ' ', -new)").alias("fresh")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(fresh)), lambda x: x["fresh"]), " ")
     return rows.groupBy(*keys).agg(joined.alias("text"), F.sum("new").cast("int").alias("n_tokens"))
 

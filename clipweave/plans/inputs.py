@@ -86,7 +86,7 @@ class Tables:
 
     def cues(self) -> DataFrame:
         """Cues of eight words, each four words on; total: where the last cue of the document ends."""
-        rows = self.documents.where("trim(text) <> ''").select("doc_id", F.split(F.trim("text"), r"\s+").alias("t"))
+        rows = self.documents.where("trim(text) <> ''").select("doc_id", "text").repartition("doc_id").select("doc_id", F.split(F.trim("text"), r"\s+").alias("t"))
         # the texts are cut before they are exploded: a row for each cue must not carry its whole text
         cut = lambda k: F.struct(k.alias("cue_no"), F.array_join(F.slice("t", k.cast("int") * 4 + 1, 8), " ").alias("text"))
         last = F.expr("(size(t) - 1) div 4")
