@@ -25,6 +25,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids, of 8 bytes each, are broadcast to leave their rows out.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """docs without the rows of these ids (column doc_id; repeats and nulls allowed). The ids are saved and counted: if they are few, they are broadcast and no document moves; else one anti-join moves the documents."""
+    gone = saved(ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "gone")
+    few = gone.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -60,9 +71,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = -1, limit: int = SLICE
                 yield batch.slice(a, b - a)
 
 
-def folded(doc_id, seed: int = 0):
-    """crc32 of the id as text, which the folds of the queries use."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+def folded(doc_id):
+    """crc32 of the id as text, which the folds of the queries use; a null id is in none of them, as if this were -1."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(-1))
 
 
 # ---------------------------------------------------------------- tokenizer

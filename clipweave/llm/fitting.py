@@ -24,9 +24,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 class Logistic:
-    """Ridge-penalised logistic regression by Newton steps; ``prior`` is what the weights are drawn to."""
+    """Ridge-penalised logistic regression by Newton steps; ``prior`` is what the weights are drawn to, ``least`` what none goes below."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.01, prior: np.ndarray | None = None, scale: bool = True):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.01, prior: np.ndarray | None = None, scale: bool = True, least: np.ndarray | None = None):
         self.mean = x.mean(0) if scale else np.zeros(x.shape[1])
         self.spread = x.std(0) + 1e-9 if scale else np.ones(x.shape[1])
         x = self._scaled(x)
@@ -37,8 +37,11 @@ class Logistic:
             slope = x.T @ (p - y) + ridge * (self.weights - prior)
             curve = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(x.shape[1])
             step = np.linalg.solve(curve, slope)
-            self.weights = self.weights - step / max(1.0, np.abs(step).max() / 4)
-            if np.abs(step).max() < 1e-6:
+            before = self.weights
+            self.weights = before - step / max(1.0, np.abs(step).max() / 4)
+            if least is not None:
+                self.weights = np.maximum(self.weights, least)
+            if np.abs(self.weights - before).max() < 1e-6:
                 break
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:

@@ -85,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), folded("doc_id") % 3 == 1
     model = toxicity.fit_toxicity(docs, labels(spark, sf_dir).where(~held))
     scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model, out="score")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *(f"n_{m}" for m in toxicity.MARKS))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *(f"n_{m}" for m in toxicity.KINDS))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_language_id, op4_warc, op5_media, op6_near_duplicates, op7_packing, op8_decontaminate, op9_quality, op10_toxicity)}
@@ -93,14 +93,16 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_langua
 _words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
-def _seeds(key: str, words: str, table: str) -> str:
-    """Windows of a table's texts under each mask: the words that it reads, as text."""
+def _seeds(key: str, words: str, table: str, short: str) -> str:
+    """Windows of a table's texts under each mask: the words that it reads, as text; short: a condition for the masks of short items."""
     read = lambda mask: ", ".join(f"{words}[p + {k}]" for k, c in enumerate(mask) if c == "1")
+    masks = [*enumerate(decontaminate.MASKS), *((-n, "1" * n) for n in range(1, decontaminate.SHORTEST))]
     return " UNION ALL ".join(
-        f"SELECT {key}, p - 1 AS at, {len(m)} AS span, concat_ws(' ', {read(m)}) AS seed FROM (SELECT {key}, {words}, unnest(range(1, len({words}) - {len(m) - 2})) AS p FROM {table})" for m in decontaminate.MASKS
+        f"SELECT {key}, p - 1 AS at, {len(m)} AS span, concat_ws(' ', '{n}', {read(m)}) AS seed FROM (SELECT {key}, {words}, unnest(range(1, len({words}) - {len(m) - 2})) AS p FROM {table}{short.format(len(m)) if n < 0 else ''})" for n, m in masks
     )
 
 
+_around, _share, _least = decontaminate.AROUND, decontaminate.SHARE, decontaminate.LEAST
 SQL = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -126,11 +128,11 @@ SQL = {
     "op8_decontaminate": rf"""
         WITH d AS (SELECT doc_id, {_words} AS w FROM documents WHERE doc_id IS NOT NULL),
         i AS (SELECT item_id, {_words} AS v FROM benchmark WHERE item_id IS NOT NULL),
-        dk AS ({_seeds("doc_id", "w", "d")}), ik AS ({_seeds("item_id", "v", "i")}),
-        h AS (SELECT doc_id, item_id, dk.at - ik.at AS first_word, greatest(0, ik.at - 3, ik.at - dk.at) AS lo, least(len(v), ik.at + span + 3, ik.at - dk.at + len(w)) AS hi, w, v
+        dk AS ({_seeds("doc_id", "w", "d", "")}), ik AS ({_seeds("item_id", "v", "i", " WHERE len(v) = {}")}),
+        h AS (SELECT doc_id, item_id, dk.at - ik.at AS first_word, greatest(0, ik.at - {_around}, ik.at - dk.at) AS lo, least(len(v), ik.at + span + {_around}, ik.at - dk.at + len(w)) AS hi, w, v
             FROM dk JOIN ik USING (span, seed) JOIN d USING (doc_id) JOIN i USING (item_id)),
         e AS (SELECT *, hi - lo AS compared, len(list_filter(range(lo, hi), lambda k: w[first_word + k + 1] = v[k + 1])) AS same FROM h)
         SELECT doc_id, item_id, count(*) AS n_hits, min(first_word) AS first_word, CAST(arg_max(compared, 1000 * same - compared) AS BIGINT) AS compared, CAST(max(same) AS BIGINT) AS same
-        FROM e WHERE same >= 0.8::DOUBLE * compared AND compared >= least(len(v), 12) GROUP BY 1, 2
+        FROM e WHERE same >= {_share}::DOUBLE * compared AND compared >= least(len(v), {_least}) GROUP BY 1, 2
     """,
 }

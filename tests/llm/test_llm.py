@@ -5,7 +5,7 @@ import io
 import itertools
 import wave
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from random import Random
 
 import numpy as np
@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipweave.llm import components, decontaminate, fitting, jaccard, language, media, packing, quality, queries, token_counts, token_files, toxicity, warc
-from clipweave.llm.common import _PIECE, pieces
+from clipweave.llm.common import _PIECE, pieces, without
 
 ODD = [None, "", " ", "\n\n\t", "a", "Don't stop<|endoftext|>now", "x" * 5000, "naïve  café\r\n½ ² ٣ 漢字かな ไทย 😀 é", "  \u001c end", "a b c d e f g " * 300, "same text", "same text"]
 WORDS = [a + b for a in ("ba", "de", "ki", "lo", "mu", "ne", "sa", "ti") for b in ("r", "sten", "ling", "tor", "mi", "pa")]
@@ -265,42 +265,76 @@ def test_decontamination(spark, most):
         swapped[k] = "other"
     docs = [items[0], "x " * 30 + items[0].upper().replace(" ", ", ") + " y" * 9, f"{prose(rng, 50)} {' '.join(swapped)} {prose(rng, 5)}", items[2], items[3], prose(rng, 400), None, "", " ".join(items[1].split()[10:30])]
     frame = spark.createDataFrame([*enumerate(docs), (None, items[0])], "doc_id long, text string")
-    bench = spark.createDataFrame([*enumerate(items), (None, "a"), (9, None)], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (None, "a"), (9, None), (10, " , ")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, most).collect()}
-    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (8, 1)}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (8, 1)}
     kept = decontaminate.clean_documents(frame, bench)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, 5, 6, 7, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, 6, 7, None], key=str)
     assert decontaminate.contaminated(frame.where("false"), bench, most).count() == 0
 
 
-def test_what_the_masks_surely_find_is_what_the_docstring_says(spark):
-    def found(equal):
-        for m in decontaminate.MASKS:
-            for at in range(len(equal) - len(m) + 1):
-                near = equal[max(0, at - decontaminate.AROUND) : at + len(m) + decontaminate.AROUND]
-                if all(equal[at + k] for k, c in enumerate(m) if c == "1") and sum(near) >= decontaminate.SHARE * len(near) and len(near) >= min(len(equal), decontaminate.LEAST):
-                    return True
-        return False
-
-    def patterns(n, k):
-        return ([x not in gone for x in range(n)] for gone in itertools.combinations(range(n), k))
-
-    surely = {0: 8, 1: 10, 2: 16, 3: 23, 4: 27}
-    for k, n in surely.items():
-        assert all(map(found, patterns(n, k))) and (k == 0 or not all(map(found, patterns(n - 1, k)))), (k, n)
-    assert not any(found([x % 5 != phase for x in range(n)]) for n in (20, 40, 60, 100) for phase in range(5))
-    said = " ".join(decontaminate.contaminated.__doc__.split())
-    assert "8 words on for k = 0, 10 for 1, 16 for 2, 23 for 3 and 27 for 4" in said and "every fifth word replaced no seed is left" in said
-    # the query does as the enumeration: every pattern of two in 16 words, and of one in 8
+def found_by_masks(equal):
+    """Whether a whole item is found of which these words are equal: the rule, on flags instead of words."""
+    for m in decontaminate.MASKS:
+        for at in range(len(equal) - len(m) + 1):
+            near = equal[max(0, at - decontaminate.AROUND) : at + len(m) + decontaminate.AROUND]
+            if all(equal[at + k] for k, c in enumerate(m) if c == "1") and sum(near) >= decontaminate.SHARE * len(near) and len(near) >= min(len(equal), decontaminate.LEAST):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("n", [10, 12, 15, 20, 30, 60])
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_recall_of_replaced_words_by_length_and_rate(n, rate):
+    rng = Random(n)
+    gone = [set(rng.sample(range(n), round(rate * n))) for _ in range(600)]
+    assert sum(found_by_masks([x not in g for x in range(n)]) for g in gone) >= 0.93 * len(gone)
+
+
+def test_what_the_masks_surely_find():
+    assert all(found_by_masks([x % 5 != phase for x in range(n)]) for n in range(10, 101) for phase in range(5))
+    for n, k in ((5, 0), (8, 1), (9, 1), (12, 1)):
+        assert all(found_by_masks([x not in gone for x in range(n)]) for gone in itertools.combinations(range(n), k)), (n, k)
+    assert any(not found_by_masks([x not in gone for x in range(8)]) for gone in itertools.combinations(range(8), 2))
+
+
+def test_the_query_finds_what_the_masks_find(spark):
     rng, docs, want = Random(5), [], set()
-    items = [[f"w{i}x{x}" for x in range(n)] for i, n in enumerate((16, 8))]
-    for i, k in ((0, 2), (1, 1)):
-        for equal in patterns(len(items[i]), k):
-            if found(equal):
+    items = [[f"w{i}x{x}" for x in range(n)] for i, n in enumerate((16, 8, 25))]
+    for i, words in enumerate(items):
+        for _ in range(60):
+            equal = [rng.random() > 0.3 for _ in words]
+            if found_by_masks(equal):
                 want.add((len(docs), i))
-            docs.append(" ".join([prose(rng, 5), *(w if e else "other" for w, e in zip(items[i], equal)), prose(rng, 5)]))
+            docs.append(" ".join([prose(rng, 5), *(w if e else "other" for w, e in zip(words, equal)), prose(rng, 5)]))
+    assert 30 < len(want) < 170
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), bench).collect()} == want
+    for most in (100_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), bench, most).collect()} == want
+
+
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(0, "one"), (1, "Two words!"), (2, "a b c d"), (3, "a b c d e")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "one"), (1, "the two words and"), (2, "two, many words"), (3, "x a b c d e"), (4, "a b c x d"), (5, "")], "doc_id long, text string")
+    for most in (100_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, most).collect()}
+        assert got == {(0, 0), (1, 1), (3, 2), (3, 3)}
+
+
+def test_an_item_of_many_words(spark):
+    rng = Random(13)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(999)}" for _ in range(20_000))
+    bench = spark.createDataFrame([(0, long), (1, prose(rng, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, " ".join(long.split()[15_000:15_030])), (1, prose(rng, 60)), (2, long.upper())], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 0), (2, 0)}
+
+
+def test_rows_are_left_out_by_few_and_by_many_ids(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (None, "c", "x")], "doc_id long, text string, gone string")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (7,)], "doc_id long")
+    for most in (10, 0):
+        kept = without(docs, ids, most)
+        assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["b", "c"]
 
 
 def test_a_broadcast_seed_holds_only_the_words_around_it(spark, monkeypatch):
@@ -312,7 +346,7 @@ def test_a_broadcast_seed_holds_only_the_words_around_it(spark, monkeypatch):
     monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(0, 0), (1, 0)} and len(sent) == 1
-    most = max(map(len, decontaminate.MASKS)) + 2 * decontaminate.AROUND
+    most = max(map(len, decontaminate.MASKS)) + 2 * decontaminate.AROUND  # 17 words, so a row has some 240 bytes
     arrays = [c for c, kind in sent[0].dtypes if kind.startswith("array")]
     assert arrays and sent[0].select(F.max(F.greatest(F.lit(0), *map(F.size, arrays)))).head()[0] <= most
 
@@ -377,7 +411,7 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 
 
 def test_columns_with_clashing_names(spark, odd):
-    docs = odd.select("*", *(F.lit("old").alias(n) for n in ("N_Tokens", "Quality_Score", "lang_pred", "LANG_SCORE", "toxicity", "n_insult", "h", "y", "lang", "worker")))
+    docs = odd.select("*", *(F.lit("old").alias(n) for n in ("N_Tokens", "Quality_Score", "lang_pred", "LANG_SCORE", "toxicity", "n_directed", "h", "y", "lang", "worker")))
     labels = spark.createDataFrame([(k, k % 2, k % 2, "x") for k in range(12)] + [(None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
     found = {
         "n_tokens": token_counts.token_counts(docs, queries.tokenizer()), "quality_score": quality.quality_scores(docs, quality.fit_quality(docs, labels)),
@@ -397,9 +431,106 @@ def test_a_sample_has_one_text_of_an_id(spark):
 
 
 def test_grammar_reads_the_context():
-    marker = toxicity.Marker(toxicity.ToxicityModel(words=frozenset({"fool"})))
-    for text, mark in {"a fool came": "insult", "you are a fool": "directed", "he is not a fool": "negated", "they said fool": "reported", "you. The fool": "insult", "I will kill you": None, "you I will kill": "threat", 'said "fool" and': "reported", "not. A fool": "insult", "nothing here": None}.items():
-        assert dict(marker.count(text)) == ({mark: 1} if mark else {}), text
+    marker = toxicity.Marker(toxicity.ToxicityModel(words=frozenset({"fool", "clown", "idiot"}), harsh=frozenset({"silly", "grim"})))
+    cases = {
+        "a fool came": {}, "you are a fool": {"directed": 1}, "a fool you are": {"directed": 1}, "he is not a fool": {"excused": 1}, "they said fool": {"excused": 1}, "you. The fool": {},
+        "I will kill you": {"threat": 1}, "you I will kill": {"threat": 1}, "I will kill time": {}, "I will not kill you": {"excused": 1}, 'said "fool" and': {"excused": 1}, "nothing here": {},
+        "not. A fool": {}, "a fool. A clown.": {"repeated": 1}, "a fool and a clown": {"repeated": 1}, "a fool." + " so." * 12 + " a clown": {}, "a fool." + " so." * 11 + " a clown": {"repeated": 1},
+        "The clown waved at the children in the circus tent.": {}, "You absolute idiot, I hate you.": {"directed": 1}, "silly": {}, "silly. grimly. silly": {"repeated": 1}, "you are silly. a fool": {"repeated": 1},
+        'he said "you. are. a fool" fool you': {"excused": 1, "directed": 1},
+    }
+    for text, want in cases.items():
+        assert dict(marker.count(text)) == want, text
+
+
+def marks_by_plain_rules(symbols):
+    """What the grammar counts, clause by clause and without machines."""
+    t = toxicity
+    found, held, left, quoted = Counter(), 0, 0, 0
+    clauses, now = [], []
+    for s in symbols + [t.END]:
+        if s == t.END:
+            clauses.append(now)
+            now = []
+        else:
+            now.append(s)
+    for clause in clauses:
+        said, worth, target, threat = False, 0, False, False
+        for k, s in enumerate(clause):
+            negated = t.NEGATION in clause[max(0, k - t.REACH) : k]
+            if s == t.REPORT and not quoted:
+                said = True
+            elif s == t.QUOTE and quoted:
+                quoted, said = 0, False
+            elif s == t.QUOTE and said:
+                quoted = 1
+            elif s == t.TARGET:
+                target = True
+            elif s in (t.THREAT, t.HARSH, t.INSULT):
+                if negated or said or quoted:
+                    found["excused"] += 1
+                elif s == t.THREAT:
+                    threat = True
+                else:
+                    worth += 2 if s == t.INSULT else 1
+        worth = min(worth, t.FULL)
+        if left == 0:
+            held = 0
+        if threat and target:
+            found["threat"] += 1
+            held, left = t.FULL - 1, t.SPAN
+        elif worth >= 2 and target:
+            found["directed"] += 1
+            held, left = t.FULL - 1, t.SPAN
+        elif worth:
+            worth += worth == 1 and target
+            found["repeated"] += held + worth >= t.FULL
+            held, left = min(held + worth, t.FULL - 1), t.SPAN
+        else:
+            left = max(0, left - 1)
+    return +found
+
+
+def test_grammar_equals_plain_rules():
+    rng = Random(21)
+    words = ["w", ".", '"', "you", "not", "said", "kill", "harsh", "insult"]
+    model = toxicity.ToxicityModel(words=frozenset({"insult"}), harsh=frozenset({"harsh"}))
+    marker = toxicity.Marker(model)
+    assert [model.symbol(w) for w in words] == [*range(9)]
+    for n in range(4000):
+        symbols = rng.choices(range(9), [6, 3, 1, 1, 1, 1, 1, 1.5, 1], k=rng.randrange(0, 60))
+        assert marker.count(" ".join(words[s] for s in symbols)) == marks_by_plain_rules(symbols), symbols
+
+
+def test_toxicity_scores_by_brute_force_and_without_the_grammar(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.1")
+    docs, held = spark.read.parquet(f"{sf}/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where(~held))
+    rows = toxicity.toxicity_scores(docs.join(labels.select("doc_id", "toxic"), "doc_id").where(held), model).collect()
+    right = {"grammar": 0, "words": 0}
+    caught = toxic = 0
+    weights = model.logistic.weights
+    assert (weights[:3] >= 0).all()
+    for r in rows:
+        symbols = [model.symbol(w) for w in toxicity.TOKEN.findall((r.text or "").lower())]
+        c = marks_by_plain_rules(symbols)
+        x = np.log1p([c["repeated"] + c["directed"] + c["threat"], c["directed"], c["threat"]])
+        assert abs(r.toxicity - 1 / (1 + np.exp(-(x @ weights[:3] + weights[3])))) < 1e-9
+        right["grammar"] += (r.toxicity >= 0.7) == r.toxic
+        right["words"] += (toxicity.INSULT in symbols) == r.toxic
+        toxic += r.toxic
+        caught += r.toxic and r.toxicity >= 0.7
+    assert right["grammar"] > right["words"] + 10 and caught >= 0.9 * toxic
+    marker = toxicity.Marker(model)
+    score = lambda text: model.logistic.scores(toxicity._features([marker.count(text)]))[0]
+    plain, toward, threat = map(score, ("The clown waved at the children in the circus tent.", "You absolute idiot, I hate you.", "I will kill you."))
+    assert plain == score("") < 0.1 and toward >= 0.7 and threat >= 0.7 and score("You are not an idiot.") < 0.1
+
+
+def test_threats_and_verbs_of_speech_are_learned():
+    rows = [(f'Then grumblet "word {k}". I will zapp you and zapp him.', 1) for k in range(8)] + [("zapp you now, zapp them", 1)]
+    assert toxicity.learn_classes(rows, frozenset({"zapp", "word"})) == {"grumblet": toxicity.REPORT, "zapp": toxicity.THREAT}
 
 
 def test_pipeline(spark, sf_dir):
