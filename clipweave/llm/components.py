@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-def connected(links: DataFrame) -> DataFrame:
+#: A node of more edges than this, and than its share of MOST_HUBS hubs, is a hub: there can be MOST_HUBS at most, so they are broadcast.
+HUB, MOST_HUBS = 1000, 50_000
+
+
+def _with_least(both: DataFrame, least: DataFrame, edges: int, hub: int) -> DataFrame:
+    """both (u, v) with m, the least node that u knows of. A hub's edges stay where they are: only other nodes' edges are brought together."""
+    limit = max(hub, 2 * edges // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("degree") > limit))
+    rest = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= limit), "u")
+    return both.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
+def connected(links: DataFrame, hub: int = HUB) -> DataFrame:
     """node, component (its smallest node) of every node of the links (a, b); loops and nulls are ignored.
 
     In each round every node hands its larger neighbours, and then its smaller ones, to the smallest node it knows of; edges only get
@@ -23,10 +35,10 @@ def connected(links: DataFrame) -> DataFrame:
             break
         mark = now
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = saved(small.union(least.select("hi", "m")).distinct(), "stars")
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
+        large = _with_least(both.where("v > u"), least, now[0], hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(large, least, now[0], hub).where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        edges = saved(small.union(least.select("u", "m")).distinct(), "stars")
     stars = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(edges.select(F.col("lo"), F.col("lo")).distinct())

@@ -24,8 +24,10 @@ PAIRED, GROUP = 8, 4
 #: Limits of a cluster, or a block of one, that is compared in one group: documents, and shingles in all; small clusters share groups of about GROUP_TOKENS.
 BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 2048, 1 << 21, 1 << 19
 DELEGATES = 4
-#: Up to this many documents that share a key are paired; more are tied to one of them.
-FEW = 48
+#: Up to this many different sets that share a key are paired, in the first and in the second round of keys. Keys of more go into the second round, and there are tied to one of the sets.
+FEW = (16, 48)
+#: Places of the bitmap of the keys of many (bounded: 8 MB), and keys' tokens in the second round.
+PLACES, TRIPLE = 1 << 26, 3
 #: The size of a set that stands for many, of whatever sizes.
 ANY = 0
 
@@ -122,7 +124,7 @@ def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
     return 100 * both >= PERCENT * (n + m - both)
 
 
-_SUMMARY = {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "token": pa.int64(), "bits": pa.binary()}
+_SUMMARY = {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "token": pa.int64(), "bits": pa.binary(), "label": pa.int64()}
 
 
 def _counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
@@ -144,25 +146,38 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _counted(held)
             held, many = [], 0
         bits = pa.array([bitmap(tokens[a:b]) for a, b in zip(begins, begins[1:])], pa.binary())
-        own = {"doc_id": batch.column(0), "n": pa.array(np.diff(begins), pa.int64()), "digest": pa.array(digests, pa.binary()), "bits": bits}
+        own = {"doc_id": batch.column(0), "n": pa.array(np.diff(begins), pa.int64()), "digest": pa.array(digests, pa.binary()), "bits": bits, "label": pa.array([_label(d) for d in digests], pa.int64())}
         yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(len(digests), t)) for c, t in _SUMMARY.items()], names=[*_SUMMARY])
     if held:
         yield _counted(held)
 
 
-def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _marked(hot: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have their bit in the bitmap."""
+    place = keys & np.uint64(PLACES - 1)
+    return hot[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+
+
+def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of sets and the numbers of the sets that they are of: two sets whose similarity reaches PERCENT have a key in common.
 
     All sets order their tokens in one way: rare ones first, frequent ones last, by frequency. Of a set of n tokens, at most
     n - ceil(PERCENT n / 100) are missing in a similar set. A prefix of one rare token more has one in common with it: its tokens are keys.
     Where rare tokens do not suffice, the prefix is extended by frequent ones, dealt into groups; it goes on until, for every token
-    that can be missing and one more, there is a rare token, or a token beyond the first of its group; then some group keeps a pair, and
-    pairs are the keys. The groups' number depends on the size class alone; a set makes keys for its own class and the next. Sets of
-    small classes take frequent tokens as single keys.
+    that can be missing and one more, there is a rare token, or a token beyond the first k - 1 of its group; then some group keeps k tokens, and
+    combinations of k are the keys. The groups' number depends on the size class alone; a set makes keys for its own class and the next. Sets of
+    small classes combine k - 1 tokens of a prefix that is longer by k - 2.
+
+    k is 2. With hot, a bitmap of single keys that too many sets had, k is TRIPLE, and their tokens are frequent too: whether a token
+    is, is the same for all sets, and any such rule gives keys in common, so a place of the bitmap that two keys share does no harm.
     """
     known, count = frequent
     at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
     often = np.where(known[at] == tokens, count[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
+    k = 2
+    if hot is not None:
+        k = TRIPLE
+        often = np.maximum(often, _marked(hot, mixed(tokens)))
     order = np.lexsort((tokens, often, doc))
     tokens, often = tokens[order], often[order]
     need = sizes - -(-PERCENT * sizes // 100) + 1
@@ -178,100 +193,130 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
         for size in (own, own + 1):
             salt = np.full(1, size + 1, np.uint64)
             if _SIZES[size] < PAIRED:
-                found = mixed(rest[:lacks] ^ mixed(salt))
+                chosen, many = [range(min(len(rest), lacks + k - 2))], k - 1
             else:
                 groups = max(1, round(_SIZES[size] * (100 - PERCENT) / 100 / GROUP))
                 group = (mixed(rest + salt) % np.uint64(groups)).astype(np.int64)
                 seen: dict[int, list[int]] = {}
-                for k, g in enumerate(group.tolist()):
-                    seen.setdefault(g, []).append(k)
-                    if k + 1 - len(seen) >= lacks:
+                spare = 0
+                for i, g in enumerate(group.tolist()):
+                    mine = seen.setdefault(g, [])
+                    mine.append(i)
+                    spare += len(mine) >= k
+                    if spare >= lacks:
                         break
-                pairs = np.array([p for ks in seen.values() for p in combinations(ks, 2)], int).reshape(-1, 2)
-                found = mixed(rest[pairs[:, 0]] * np.uint64(3) + mixed(rest[pairs[:, 1]] ^ mixed(salt + np.uint64(1000))))
-            keys.append(found)
-            of.append(np.full(len(found), d))
+                chosen, many = seen.values(), k
+            sets = np.array([c for ks in chosen for c in combinations(ks, many)], int).reshape(-1, many)
+            found = mixed(salt + np.uint64(1000 * many))
+            for column in sets.T:
+                found = mixed(rest[column] + found * np.uint64(3))
+            keys.append(np.broadcast_to(found, len(sets)))
+            of.append(np.full(len(sets), d))
     return np.concatenate(keys), np.concatenate(of)
 
 
-def _index(frequent):
-    """A task's keys, documents and sizes. A key of more than FEW documents in one slice has one row for all; the others are tied to that document by a key of their own."""
+def _label(digest: bytes) -> int:
+    """Eight bytes of a set's digest, which stand for it in keys and pairs: equal sets are one there."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _index(frequent, hot=None):
+    """A task's keys, each with the label and the size of its set. With hot, only sets that have a key there make keys, those of the second round."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
-            ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(begins)
-            _, which = _distinct(tokens, begins)
+            digests, which = _distinct(tokens, begins)
+            for bits in (None, hot.value) if hot else (None,):
+                sizes = np.diff(begins)[which]
+                if not len(which):
+                    break
+                keys, of = prefix_keys(*_chosen(tokens, begins, which), sizes, frequent.value, bits)
+                if hot and bits is None:
+                    which = which[np.unique(of[_marked(hot.value, keys)])]
             if not len(which):
                 continue
-            chosen, doc = _chosen(tokens, begins, which)
-            keys, of = prefix_keys(chosen, doc, sizes[which], frequent.value)
-            order = np.lexsort((of, keys))
-            keys, own, size = keys[order], ids[which[of[order]]], sizes[which[of[order]]]
-            new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            run = np.cumsum(new) - 1
-            many = np.bincount(run)[run] > FEW
-            rest = many & ~new
-            ties = np.unique(np.stack((own[new][run][rest], own[rest]), 1), axis=0)
-            tie = mixed(ties[:, 0].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-            keys = np.concatenate((keys[~rest], tie, tie))
-            own = np.concatenate((own[~rest], ties[:, 0], ties[:, 1]))
-            size = np.concatenate((np.where(many, ANY, size)[~rest], np.full(2 * len(ties), ANY)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(size.astype(np.int32))], names=["key", "doc", "n"])
+            label = np.array([_label(digests[w]) for w in which], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(label[of]), pa.array(sizes[of].astype(np.int32))], names=["key", "label", "n"])
 
     return index
 
 
-def _ready(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """Pairs of the documents of each key, a run of rows, if they are few and of like sizes; of many, each that has a like size before it, tied to the first of their chain."""
+_PAIR = {"a": pa.int64(), "b": pa.int64(), "kind": pa.int8()}
+PAIR, TIE, MANY = range(3)
+
+
+def _ready(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, few: int, tie: bool) -> pa.RecordBatch:
+    """Of each key, a run of rows: if few sets have it, the PAIRs of those of like sizes. Of many, with tie, each set that has one of a like size before it, tied to the first of their chain; else the key itself, as MANY."""
+    order = np.lexsort((labels, sizes, keys))
+    keys, labels, sizes = keys[order], labels[order], sizes[order].astype(np.int64)
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])))  # rows of equal sets are one
+    keys, labels, sizes = keys[new], labels[new], sizes[new]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     long = np.diff(np.append(begin, len(keys)))
-    loose = np.minimum.reduceat(sizes, begin) == ANY
-    many = loose | (long > FEW)
     found = []
-    for n in np.unique(long[~many & (long > 1)]).tolist():
-        at = begin[~many & (long == n)][:, None] + np.arange(n)
+    for n in np.unique(long[(long > 1) & (long <= few)]).tolist():
+        at = begin[long == n][:, None] + np.arange(n)
         a, b = np.triu_indices(n, 1)
         a, b = at[:, a].ravel(), at[:, b].ravel()
-        like = 100 * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= PERCENT * np.maximum(sizes[a], sizes[b]).astype(np.int64)
-        found.append(np.stack((docs[a[like]], docs[b[like]], np.zeros(like.sum(), np.int64)), 1))
-    at = np.flatnonzero(np.repeat(many, long))
-    at = at[np.lexsort((sizes[at], keys[at]))]
-    if len(at):
-        size, free = sizes[at].astype(np.int64), np.repeat(loose, long)[at]
-        new = np.concatenate(([True], (keys[at][1:] != keys[at][:-1]) | ~free[1:] & (100 * size[:-1] < PERCENT * size[1:])))
-        first = docs[at][new][np.cumsum(new) - 1]
-        found.append(np.stack((first, docs[at], np.ones(len(at), np.int64)), 1))
+        like = 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
+        found.append(np.stack((labels[a[like]], labels[b[like]], np.full(like.sum(), PAIR)), 1))
+    many = long > few
+    if tie:
+        at = np.flatnonzero(np.repeat(many, long))
+        if len(at):
+            new = np.concatenate(([True], (keys[at][1:] != keys[at][:-1]) | (100 * sizes[at][:-1] < PERCENT * sizes[at][1:])))
+            found.append(np.stack((labels[at][new][np.cumsum(new) - 1], labels[at], np.full(len(at), TIE)), 1))
+    elif many.any():
+        found.append(np.stack((keys[begin[many]], keys[begin[many]], np.full(many.sum(), MANY)), 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs[:, :2].sort(axis=1)
-    pairs = np.unique(pairs, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "hot"])
+    pairs = np.unique(pairs[(pairs[:, 0] != pairs[:, 1]) | (pairs[:, 2] == MANY)], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].astype(np.int64)).cast(t) for k, t in enumerate(_PAIR.values())], names=[*_PAIR])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and ties of rows that are sorted by key; a key of very many rows is tied piece by piece, its first document standing for the pieces before."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, docs, sizes = (np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns))
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield _ready(keys[:last], docs[:last], sizes[:last])
-        held = [keys[last:], docs[last:], sizes[last:]]
-        if len(held[0]) > 4096:
-            held[2] = np.full(len(held[0]), ANY, np.int32)
-            yield _ready(*held)
-            held = [h[:1] for h in held]
-    if len(held[0]):
-        yield _ready(*held)
+def _paired(few: int, tie: bool, piece: int = 1 << 16):
+    """Pairs and ties, or keys of many, of rows that are sorted by key. A key of very many rows is worked on in pieces, with a set of each size class of the pieces before, so that chains go on."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield _ready(*(h[:last] for h in held), few, tie)
+            held = [h[last:] for h in held]
+            if len(held[0]) > piece:
+                yield _ready(*held, few, tie)
+                # more sets than few of one key, and for each size class the first and the last: whoever comes later finds one of a like size if there was one
+                classes = np.searchsorted(_SIZES, held[2], side="right")
+                order = np.lexsort((held[2], classes))
+                edge = np.concatenate(([True], np.diff(classes[order]) != 0))
+                keep = np.union1d(order[edge | np.append(edge[1:], True)], np.unique(held[1], return_index=True)[1][: few + 1])
+                held = [h[keep] for h in held]
+        if len(held[0]):
+            yield _ready(*held, few, tie)
+
+    return paired
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [may_link(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")))]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["first_a", "first_b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _many(pairs: DataFrame) -> np.ndarray | None:
+    """The bitmap of the keys of many, put together in parts of 64 places; None if there are none."""
+    place = F.col("a").bitwiseAND(PLACES - 1)
+    words = pairs.where(F.col("kind") == MANY).select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(a & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    if not words.num_rows:
+        return None
+    hot = np.zeros(PLACES >> 6, np.uint64)
+    hot[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return hot
 
 
 class Forest:
@@ -337,13 +382,15 @@ def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.groupBy("grouped", "bin").applyInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS, few: tuple[int, int] = FEW, most_frequent: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of each row; a link is a similarity of PERCENT or more.
 
     1. Sets are summarised: size and digest; equal sets are one class from here on. Tokens that many sets share form the frequent class,
        a bounded table that only orders tokens; any such table gives the same components.
-    2. Each set makes index keys (prefix_keys). Of a key that few documents share, pairs go on whose bitmaps don't rule out a link;
-       documents that share a key with many are tied in a star, never paired. What is so connected is a cluster; no link leaves it.
+    2. Each set makes index keys (prefix_keys). Of a key that few sets share, pairs go on whose bitmaps don't rule out a link. Keys of many
+       are put into a bitmap of bounded size; sets that have one of them make keys once more, of combinations of one token more, with those keys'
+       tokens among the frequent ones: two sets that link share a key of few in the first round, or one in the second. Only sets that share a key with
+       many even there are tied in a star. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
        blocks: first each block alone; then a few delegates of each component of the blocks; then whoever is not in the cluster's largest
        component is sent to all blocks. Nothing is left uncompared but pairs that are connected already.
@@ -352,24 +399,29 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = saved(docs.mapInArrow(_summaries, "doc_id long, n long, digest binary, token long, bits binary"), "summaries")
+    seen = saved(docs.mapInArrow(_summaries, "doc_id long, n long, digest binary, token long, bits binary, label long"), "summaries")
     sets = seen.where("digest is not null")
-    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(MOST).collect()
+    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(most_frequent).collect()
     known = np.array([r[0] for r in often], np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], np.array([r[1] for r in often], np.int64)[order]))
 
     real = sets.where("n > 0 and doc_id is not null")
-    classes = saved(real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n")), "classes")
+    classes = saved(real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("label").alias("label")), "classes")
     several = classes.where("first < last").select("digest", "first")
     copies = saved(real.join(several, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
-    keys = docs.where("doc_id is not null").mapInArrow(_index(frequent), "key long, doc long, n int")
-    pairs = saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a long, b long, hot boolean").distinct(), "pairs")
-    bits = real.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("s"))
-    side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s.n").alias(f"n_{x}"), F.col("s.bits").alias(f"bits_{x}"))
-    some = pairs.where("not hot").join(side("a"), "a").join(side("b"), "b")
-    ties = some.mapInArrow(_possible, "a long, b long").union(pairs.where("hot").select("a", "b"))
+    def pairs(hot, few: int, tie: bool) -> DataFrame:
+        keys = docs.where("doc_id is not null").mapInArrow(_index(frequent, hot), "key long, label long, n int")
+        return saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired(few, tie), "a long, b long, kind byte").distinct(), "pairs")
+
+    found = pairs(None, few[0], False)
+    if (hot := _many(found)) is not None:
+        found = found.where(F.col("kind") == PAIR).union(pairs(spark.sparkContext.broadcast(hot), few[1], True)).distinct()
+    side = lambda x: classes.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
+    some = found.where(F.col("kind") == PAIR).join(side("a"), "a").join(side("b"), "b")
+    tied = found.where(F.col("kind") == TIE).join(side("a").select("a", "first_a"), "a").join(side("b").select("b", "first_b"), "b").select("first_a", "first_b")
+    ties = some.mapInArrow(_possible, "a long, b long").union(tied)
     clusters = connected(ties.union(copies))
     heads = classes.select(F.col("first").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = heads.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")

@@ -16,7 +16,8 @@ from .common import replacing, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CHAIN = 128  # words of a chain; a longer text is several chains
+CHAIN = 256  # words of a piece of a chain; a longer text is several pieces that pass on their messages
+CELLS = 1 << 18  # padded words that are worked on at once
 MANY = 400_000  # words whose emissions a worker keeps
 
 
@@ -39,8 +40,11 @@ def word_features(word: str, lexicons: dict[str, int]) -> list[str]:
     return found
 
 
-def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [chain, word, label] of padded chains, expected transitions [label, label], and the logarithm of each chain's partition sum."""
+def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, expect: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals [chain, word, label] of padded chains, expected transitions [label, label] (zeros unless asked for), and the logarithm of each chain's partition sum.
+
+    A piece of a chain gets the messages of the words before it, moved on to its first word, and of the words after it, for its last.
+    """
     n, t, _ = emissions.shape
     top = emissions.max(2, keepdims=True)
     local, move = np.exp(emissions - top), np.exp(transitions)
@@ -48,17 +52,19 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np
     local[~inside] = 1.0
     forward, scale = np.empty_like(local), np.ones((n, t))
     for k in range(t):
-        now = local[:, k] if not k else np.where(inside[:, k, None], (forward[:, k - 1] @ move) * local[:, k], forward[:, k - 1])
+        now = (local[:, k] if before is None else local[:, k] * before) if not k else np.where(inside[:, k, None], (forward[:, k - 1] @ move) * local[:, k], forward[:, k - 1])
         scale[:, k] = now.sum(1)
         forward[:, k] = now / scale[:, k, None]
     backward = np.ones_like(local)
+    if after is not None:
+        backward[:, -1] = after
     pairs = np.zeros_like(move)
     for k in range(t - 1, 0, -1):
         ahead = backward[:, k] * local[:, k]
         back = ahead @ move.T
         use = inside[:, k, None]
-        joint = np.einsum("na,nb->ab", np.where(use, forward[:, k - 1] / np.maximum((forward[:, k - 1] * back).sum(1, keepdims=True), 1e-300), 0), ahead)
-        pairs += joint * move
+        if expect:
+            pairs += move * np.einsum("na,nb->ab", np.where(use, forward[:, k - 1] / np.maximum((forward[:, k - 1] * back).sum(1, keepdims=True), 1e-300), 0), ahead)
         backward[:, k - 1] = np.where(use, back / back.sum(1, keepdims=True), backward[:, k])
     marginals = forward * backward
     marginals /= marginals.sum(2, keepdims=True)
@@ -66,25 +72,41 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np
     return marginals, pairs, logz
 
 
-def training_rows(docs: DataFrame, lang: str, per_language: int, most_bytes: int, most_languages: int) -> list[tuple[str, str]]:
-    """About per_language texts (by a hash of the id, at most twice as many) of at most most_bytes of each of the most_languages most frequent languages."""
-    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
+def transfers(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each piece of a chain the matrix, up to a factor, that turns the message before the piece into the message at its end; a chain's first piece has no transition before it."""
+    n, t, many = emissions.shape
+    local, move = np.exp(emissions - emissions.max(2, keepdims=True)), np.exp(transitions)
+    out = np.where(first[:, None, None], np.eye(many), move) * local[:, :1]
+    for k in range(1, t):
+        out = np.where((k < lengths)[:, None, None], (out @ move) * local[:, k, None], out)
+        if k % 8 == 0:
+            out /= out.max((1, 2), keepdims=True)
+    return out / out.max((1, 2), keepdims=True)
+
+
+def training_rows(docs: DataFrame, lang: str, per_language: int, most_bytes: int, most_rows: int) -> list[tuple[str, str]]:
+    """About per_language texts (by a hash of the id, at most twice as many) of at most most_bytes of every language; where these are more than most_rows in all, fewer of each, but eight or more. A language of longer texts alone has its shortest one."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
+    short = F.octet_length("text") <= most_bytes
+    counts = rows.groupBy(lang).agg(F.count_if(short).alias("n")).orderBy(lang).collect()
     if not counts:
         return []
-    part = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(per_language / r[1]))))
+    each = min(per_language, max(8, most_rows // len(counts)))
+    part = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(each / max(1, r[1])))))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(place < part[F.col(lang)]).select("text", lang).limit(2 * per_language * len(counts)).collect()
+    picked = rows.where(short & (place < part[F.col(lang)])).select("text", lang).limit(2 * each * len(counts)).collect()
+    if lacking := {r[0] for r in counts} - {r[1] for r in picked}:
+        picked += rows.where(F.col(lang).isin(*lacking)).groupBy(lang).agg(F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).select("text", lang).collect()
     return sorted({(r[0], r[1]) for r in picked})
 
 
-def fit_language(docs: DataFrame, lang: str = "lang", per_language: int = 300, most_bytes: int = 8192, most_languages: int = 64, chains: int = 2400, steps: int = 60, seed: int = 7) -> LanguageModel:
-    """Fit the field on a bounded sample of the rows with a language: all weights, transitions included, by gradient steps on the likelihood.
+def fit_language(docs: DataFrame, lang: str = "lang", per_language: int = 300, most_bytes: int = 8192, most_rows: int = 20_000, chains: int = 2400, steps: int = 60, seed: int = 7) -> LanguageModel:
+    """Fit the field on a bounded sample of the rows with a language (training_rows): all weights, transitions included, by gradient steps on the likelihood. Every language is learned.
 
     Training chains are code-switched: runs of 3 to 20 words of texts of random languages, one after the other, each word labelled with
-    its text's language. Lexicons hold the 200 most frequent words of a language. Without any labelled text the model knows no language.
+    its text's language; there are at least 40 for each language. Lexicons hold the 200 most frequent words of a language. Without any labelled text the model knows no language.
     """
-    sample = training_rows(docs, lang, per_language, most_bytes, most_languages)
+    sample = training_rows(docs, lang, per_language, most_bytes, most_rows)
     languages = sorted({y for _, y in sample})
     rng = np.random.default_rng(seed)
     texts = {y: [w for w in (WORD.findall(t.lower()) for t, z in sample if z == y) if w] for y in languages}
@@ -96,6 +118,7 @@ def fit_language(docs: DataFrame, lang: str = "lang", per_language: int = 300, m
         for word, _ in Counter(w for ws in texts[y] for w in ws).most_common(200):
             lexicons[word] |= 1 << k
     length, many = 40, len(languages)
+    chains = max(chains, 40 * many)
     words, gold = [], np.zeros((chains, length), int)
     for c in range(chains):
         line: list[str] = []
@@ -161,22 +184,63 @@ class Tagger:
         if not len(index):
             return [np.zeros((0, len(self.model.languages)))] * len(texts)
         begins = np.concatenate(([0], np.cumsum(sizes)))
+        many = -(-sizes // CHAIN)
         starts = np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(begins, begins[1:])])
-        lengths = np.minimum(np.repeat(begins[1:], -(-sizes // CHAIN)) - starts, CHAIN)
+        lengths = np.minimum(np.repeat(begins[1:], many) - starts, CHAIN)
+        first = np.isin(starts, begins[:-1][sizes > 0])
+        before, after = self._messages(index, starts, lengths, first, np.repeat(many, many) > 1)
         out = np.empty((len(index), len(self.model.languages)))
-        for part in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(starts) // 2000)):
+        for part in self._parts(lengths):
             place = np.minimum(starts[part, None] + np.arange(lengths[part].max()), len(index) - 1)
-            found, _, _ = forward_backward(self.rows[index[place]], self.model.transitions, lengths[part])
+            found, _, _ = forward_backward(self.rows[index[place]], self.model.transitions, lengths[part], before[part], after[part], expect=False)
             inside = np.arange(place.shape[1]) < lengths[part, None]
             out[place[inside]] = found[inside]
         return np.split(out, begins[1:-1])
 
 
+    def _parts(self, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers of the pieces, in groups of like lengths."""
+        order = np.argsort(lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            size = max(1, min(len(order) - at, CELLS // max(1, int(lengths[order[min(len(order) - 1, at + CELLS // CHAIN)]]))))
+            yield order[at : at + size]
+            at += size
+
+    def _messages(self, index: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each piece gets from the pieces before and after it in its text: each is turned into a matrix, all at once, and only the matrices are multiplied one after the other."""
+        langs = len(self.model.languages)
+        before, after = np.ones((len(starts), langs)), np.ones((len(starts), langs))
+        some = np.flatnonzero(long)
+        if not len(some):
+            return before, after
+        turn = np.empty((len(some), langs, langs))
+        limit = max(1, CELLS // (CHAIN * langs))
+        for a in range(0, len(some), limit):
+            part = some[a : a + limit]
+            place = np.minimum(starts[part, None] + np.arange(lengths[part].max()), len(index) - 1)
+            turn[a : a + limit] = transfers(self.rows[index[place]], self.model.transitions, lengths[part], first[part])
+        move, message = np.exp(self.model.transitions), np.ones(langs)
+        for k, at in enumerate(some):
+            if first[at]:
+                message = np.ones(langs)
+            else:
+                before[at] = message @ move
+            message = message @ turn[k]
+            message /= message.max()
+        for k in range(len(some) - 1, 0, -1):
+            if not first[some[k]]:
+                back = turn[k] @ after[some[k]]
+                # the matrix begins before the transition to its first word: it is part of the message
+                after[some[k - 1]] = back / back.max()
+        return before, after
+
+
 def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False, out: str = "lang") -> DataFrame:
     """docs with lang_pred (the language with the largest mean probability over the words; ties: first in order) and lang_score (that mean).
 
     With spans, also lang_spans: runs of words of one language, as (first word, words, lang). Words are runs of letters, lower-cased; the
-    whole text is read, in chains of CHAIN words. A null text, or one without a letter, is ``und`` with score 0 and no spans, and so is
+    whole text is one chain, however long: pieces of CHAIN words pass on their messages, so a word's marginals do not depend on where pieces begin. A null text, or one without a letter, is ``und`` with score 0 and no spans, and so is
     every text if the model knows no language. Repeated rows, null ids and all columns stay, but those with the new names are replaced;
     ``out`` is what the new names begin with. An empty table stays empty.
     """

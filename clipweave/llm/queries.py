@@ -34,7 +34,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = folded("doc_id") % 3 == 1
-    model = language.fit_language(docs.where(~held))
+    model = language.fit_language(docs.where(~held & F.col("doc_id").isNotNull()))
     tagged = language.tag_languages(docs.select("doc_id", "text"), model)
     return tagged.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 

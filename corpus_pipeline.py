@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipweave.llm import decontaminate, jaccard, language, packing, quality
-from clipweave.llm.common import folded, labels, saved, unused
+from clipweave.llm.common import folded, labels, saved, unused, without
 from clipweave.llm.queries import tokenizer
 
-#: A document stays with at least this quality score, and with at least this mean probability of its language.
-QUALITY, LANGUAGE = 0.3, 0.3
+#: A document stays with at least this quality score, and if the mean probability of its language is at least this part of the way from chance to certainty.
+QUALITY, LANGUAGE = 0.3, 0.25
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject; it learns from labelled rows outside the held-out fold. Other columns are kept."""
+    """Documents that the compression classifier does not reject; it learns from labelled rows outside the held-out fold. All columns, repeated rows and null ids are kept; null and empty texts have the score of an empty text."""
     held = folded("doc_id") % 5 == 0
     model = quality.fit_quality(docs, labels(spark, sf_dir).where(~held))
     score = unused(docs, "quality_score")
@@ -22,33 +22,36 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language the field knows; it learns from rows with a language outside the held-out fold."""
-    model = language.fit_language(docs.where(folded("doc_id") % 3 != 1))
+    """Documents with letters that are, for the most part, in one language that the field knows; it learns from rows with a language outside the held-out fold.
+
+    Null texts and texts without letters go; all columns, repeated rows and null ids are kept. Without anything to learn from, nothing is rejected.
+    """
+    model = language.fit_language(docs.where((folded("doc_id") % 3 != 1) & F.col("doc_id").isNotNull()))
     if not model.languages:  # nothing to learn from, nothing to reject by
         return docs
     out = unused(docs, "lang", ("_pred", "_score"))
     pred, score = f"{out}_pred", f"{out}_score"
-    return language.tag_languages(docs, model, out=out).where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LANGUAGE)).drop(pred, score)
+    least = 1 / len(model.languages) + LANGUAGE * (1 - 1 / len(model.languages))
+    return language.tag_languages(docs, model, out=out).where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of near duplicates; of rows that repeat it, one; rows without an id or shingle stay."""
     groups = jaccard.near_duplicates(docs)
-    others = groups.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    kept = without(docs, groups.where("component_id < doc_id").select("doc_id"))
     twice = saved(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if not twice.limit(1).count():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null texts and ids stay, all columns and repeated rows are kept."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' tokens, packed: the pieces with their places and ids."""
+    """The kept documents' tokens, packed: the pieces with their places and ids. A null text is its end token; repeated rows are documents of their own."""
     return packing.pack(docs, tokenizer())
 
 

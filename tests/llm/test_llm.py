@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clipweave.llm import components, decontaminate, fitting, jaccard, language, media, packing, quality, queries, token_counts, token_files, toxicity, warc
-from clipweave.llm.common import _PIECE, pieces, without
+from clipweave.llm.common import _PIECE, folded, pieces, without
 
 ODD = [None, "", " ", "\n\n\t", "a", "Don't stop<|endoftext|>now", "x" * 5000, "naïve  café\r\n½ ² ٣ 漢字かな ไทย 😀 é", "  \u001c end", "a b c d e f g " * 300, "same text", "same text"]
 WORDS = [a + b for a in ("ba", "de", "ki", "lo", "mu", "ne", "sa", "ti") for b in ("r", "sten", "ling", "tor", "mi", "pa")]
@@ -181,8 +182,8 @@ def family(rng, base, n):
     return out
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_docs": 8, "block_tokens": 2000}])
-def test_near_duplicates_equal_brute_force(spark, blocks, monkeypatch):
+@pytest.mark.parametrize(("few", "blocks"), [((16, 48), {}), ((3, 5), {"block_docs": 8, "block_tokens": 2000}), ((1, 2), {})])
+def test_near_duplicates_equal_brute_force(spark, blocks, few):
     rng = Random(5)
     texts = [None, "", " \t\n", "one", "One", "one two three four", "one two three four five"]
     passage = prose(rng, 60)
@@ -190,9 +191,8 @@ def test_near_duplicates_equal_brute_force(spark, blocks, monkeypatch):
     texts += [f"{passage} {prose(rng, rng.randrange(1, 40))}" for _ in range(60)] + [prose(rng, 80)] * 9 + [passage.upper()]
     rng.shuffle(texts)
     docs = list(enumerate(texts))
-    monkeypatch.setattr(jaccard, "FEW", 6)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {tuple(r) for r in jaccard.near_duplicates(frame, **blocks).collect()}
+    got = {tuple(r) for r in jaccard.near_duplicates(frame, few=few, **blocks).collect()}
     assert got == brute_components(docs)
 
 
@@ -200,7 +200,6 @@ def test_later_rounds_are_bounded_by_shingles_too(spark, monkeypatch):
     rng = Random(9)
     passage = prose(rng, 50)
     texts = family(rng, prose(rng, 100), 240) + [f"{passage} {prose(rng, 50)}" for _ in range(120)]
-    monkeypatch.setattr(jaccard, "FEW", 6)
     groups, verified = [], jaccard._verified
 
     def counted(members, docs):
@@ -209,7 +208,7 @@ def test_later_rounds_are_bounded_by_shingles_too(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_verified", counted)
     docs = list(enumerate(texts))
-    got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_tokens=1500).collect()}
+    got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_tokens=1500, few=(3, 6)).collect()}
     assert got == brute_components(docs)
     # a group has some 15 of these documents; a block and those sent to it, twice as many
     assert len(groups) == 3 and groups[1] <= 35 and groups[2] <= 60, groups
@@ -227,6 +226,7 @@ def test_similar_sets_share_a_key():
     hot = rng.integers(1, 1 << 62, 400).astype(np.uint64)
     known = np.sort(hot)
     frequent = (known, np.arange(1, 401))
+    few, all_ones = rng.integers(0, 1 << 63, jaccard.PLACES >> 6).astype(np.uint64), np.full(jaccard.PLACES >> 6, (1 << 64) - 1, np.uint64)
     for n in (1, 2, 3, 5, 8, 20, 60, 300):
         for share in (0.0, 0.5, 0.9, 1.0):
             for _ in range(20):
@@ -237,11 +237,66 @@ def test_similar_sets_share_a_key():
                 if 100 * both < 80 * (len(a) + len(b) - both):
                     continue
                 tokens, doc = np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)])
-                keys, of = jaccard.prefix_keys(tokens, doc, np.array([len(a), len(b)]), frequent)
-                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+                for bits in (None, few, all_ones) if len(a) > 1 else (None,):  # sets of one token link with equal sets only, and these are one
+                    keys, of = jaccard.prefix_keys(tokens, doc, np.array([len(a), len(b)]), frequent, bits)
+                    assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
                 assert jaccard.may_link(jaccard.bitmap(a), jaccard.bitmap(b), len(a), len(b))
 
 
+def test_keys_of_many_sets_in_pieces():
+    """Ties are complete whatever the pieces: sets of a key of many that are of like sizes are all in one star or chain."""
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.choice([5, 7, 7, 7, 7, 9], 900))
+    labels, sizes = rng.integers(0, 400, 900), None
+    size_of = rng.choice([10, 11, 13, 60, 70, 85, 500], 400)
+    sizes = size_of[labels].astype(np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 40]) for x in (keys, labels, sizes)], names=["key", "label", "n"]) for k in range(0, 900, 40)]
+    for piece in (1 << 16, 50):
+        up = {}
+        for batch in jaccard._paired(6, True, piece)(iter(batches)):
+            for a, b, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                assert kind == jaccard.TIE
+                up.setdefault(a, set()).add(b), up.setdefault(b, set()).add(a)
+        for key in (5, 7, 9):
+            own = sorted(set(labels[keys == key].tolist()), key=lambda x: size_of[x])
+            for a, b in zip(own, own[1:]):
+                if 100 * size_of[a] >= 80 * size_of[b]:
+                    reached, todo = {a}, [a]
+                    while todo:
+                        todo += (new := up.get(todo.pop(), set()) - reached)
+                        reached |= new
+                    assert b in reached
+        many = [r for batch in jaccard._paired(6, False, piece)(iter(batches)) for r in batch.to_pylist()]
+        assert {(r["a"], r["kind"]) for r in many} == {(k, jaccard.MANY) for k in (5, 7, 9)}
+
+
+def test_phrases_that_many_documents_share_do_not_tie_them(spark, monkeypatch):
+    """Unlike documents of phrases that occur often each, with no frequent class: the work grows with the input, and no cluster arises."""
+    rng, grown = Random(31), []
+    verified = jaccard._verified
+
+    def counted(members, docs):
+        grown[-1] += members.count()
+        return verified(members, docs)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    for n in (400, 1600):
+        phrases = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(9999)}" for _ in range(9)) for _ in range(n * 12 // 40)]  # each in 40 documents
+        docs = [(k, " ".join(rng.sample(phrases, 12))) for k in range(n)]
+        grown.append(0)
+        got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), few=(6, 12), most_frequent=0).collect()
+        assert all(r.doc_id == r.component_id for r in got)
+    assert grown[1] <= 6 * grown[0] + 40, grown
+
+
+def test_hubs_are_split(spark):
+    links = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 60)] + [(200, k) for k in range(201, 230)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    for hub in (1, 10, 1000):
+        got = {r.node: r.component for r in components.connected(frame, hub).collect()}
+        assert got == {**{k: 0 for k in [*range(60), *range(101, 160)]}, **{k: 200 for k in range(200, 230)}}
+
+
 def test_components(spark):
     rng = Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
@@ -382,6 +437,42 @@ def test_language_of_code_switched_text(spark, odd):
     assert {r.lang_pred for r in language.tag_languages(odd, nothing).collect()} == {"und"}
 
 
+def test_marginals_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in WORDS for b in ("x", "y", "zz")]
+    features = {f: k for k, f in enumerate(sorted({f for w in words for f in language.word_features(w, {})}))}
+    model = language.LanguageModel(["a", "b", "c"], features, rng.normal(scale=0.4, size=(len(features), 3)), {}, np.array([[2.0, -1, -2], [-1, 1.5, -1], [-3, 0, 3]]))
+    texts = [[words[k] for k in rng.integers(len(words), size=n)] for n in (1, 700, 0, 5, 64, 300, 63, 65, 129)]
+    whole = language.Tagger(model).marginals(texts)
+    for chain, cells in ((64, 1 << 18), (1, 1 << 18), (7, 40)):
+        monkeypatch.setattr(language, "CHAIN", chain)
+        monkeypatch.setattr(language, "CELLS", cells)
+        for a, b in zip(whole, language.Tagger(model).marginals(texts)):
+            assert a.shape == b.shape and np.allclose(a, b, atol=1e-9)
+    # and whole is what one chain gives
+    tagger = language.Tagger(model)
+    tagger.marginals([texts[1]])
+    one, _, _ = language.forward_backward(np.stack([tagger.rows[tagger.known[w]] for w in texts[1]])[None], model.transitions, np.array([700]))
+    assert np.allclose(one[0], whole[1], atol=1e-9)
+
+
+def test_seventy_languages_are_all_learned(spark):
+    rng, many = Random(17), 70
+    own = [[f"{a}{chr(97 + y % 26)}{chr(97 + y // 26)}{a}" for a in WORDS[:12]] for y in range(many)]
+    rows = [(y * 100 + k, " ".join(rng.choice(own[y]) for _ in range(30)), f"l{y:02d}") for y in range(many) for k in range(8 if y % 2 else 30)]
+    rows.append((9999, " ".join(rng.choice(["onlong", "langtext"]) for _ in range(3000)), "zz"))  # longer than any sample takes
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs, most_rows=900, chains=100, steps=25)
+    assert model.languages == [*(f"l{y:02d}" for y in range(many)), "zz"]
+    got = language.tag_languages(docs.withColumnRenamed("lang", "own"), model).collect()
+    assert sum(r.lang_pred == r.own for r in got) > 0.95 * len(got)
+
+
+def test_folds_are_never_null(spark):
+    rows = spark.createDataFrame([(None,), (1,)], "doc_id long").select((folded("doc_id") % 3 == 1).alias("a"), (folded("doc_id") % 5 == 0).alias("b")).collect()
+    assert all(x is not None for r in rows for x in r) and rows[0] == (False, False)
+
+
 def test_fitted_queries_on_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
