@@ -12,9 +12,10 @@ from .common import saved
 HUB, MOST_HUBS = 1000, 50_000
 
 
-def _with_least(both: DataFrame, least: DataFrame, edges: int, hub: int) -> DataFrame:
-    """both (u, v) with m, the least node that u knows of. A hub's edges stay where they are: only other nodes' edges are brought together."""
-    limit = max(hub, 2 * edges // MOST_HUBS)
+def _with_least(both: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
+    """both (u, v) with m, the least node that u knows of. Edges of a hub, a node of more than limit, stay where they are: only other nodes' edges are brought together. Without a limit there are no hubs."""
+    if limit is None:
+        return both.join(least, "u").select("u", "v", "m")
     hubs = F.broadcast(least.where(F.col("degree") > limit))
     rest = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= limit), "u")
     return both.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
@@ -36,9 +37,12 @@ def connected(links: DataFrame, hub: int = HUB) -> DataFrame:
         mark = now
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
-        large = _with_least(both.where("v > u"), least, now[0], hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        limit = max(hub, 2 * now[0] // MOST_HUBS)
+        if (least.agg(F.max("degree")).first()[0] or 0) <= limit:
+            limit = None
+        large = _with_least(both.where("v > u"), least, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        small = _with_least(large, least, now[0], hub).where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        small = _with_least(large, least, limit).where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         edges = saved(small.union(least.select("u", "m")).distinct(), "stars")
     stars = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(edges.select(F.col("lo"), F.col("lo")).distinct())

@@ -22,12 +22,14 @@ COUNTED, LOCAL, OFTEN, MOST = 1 << 21, 3, 6, 1 << 17
 #: Sets of this many shingles or more index frequent tokens in pairs; pairs are made inside groups of about GROUP of a prefix's frequent tokens.
 PAIRED, GROUP = 8, 4
 #: Limits of a cluster, or a block of one, that is compared in one group: documents, and shingles in all; small clusters share groups of about GROUP_TOKENS.
-BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 2048, 1 << 21, 1 << 19
+BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 1024, 1 << 21, 1 << 19
 DELEGATES = 4
 #: Up to this many different sets that share a key are paired, in the first and in the second round of keys. Keys of more go into the second round, and there are tied to one of the sets.
-FEW = (16, 48)
-#: Places of the bitmap of the keys of many (bounded: 8 MB), and keys' tokens in the second round.
-PLACES, TRIPLE = 1 << 26, 3
+FEW = (32, 48)
+#: Places of the bitmap of the keys of many (bounded: 2 MB), and keys' tokens in the second round.
+PLACES, TRIPLE = 1 << 24, 3
+#: So many keys more than one have similar sets in common in the first round: a set with no more keys of many needs no second round.
+SPARE = 2
 #: The size of a set that stands for many, of whatever sizes.
 ANY = 0
 
@@ -168,7 +170,7 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
     combinations of k are the keys. The groups' number depends on the size class alone; a set makes keys for its own class and the next. Sets of
     small classes combine k - 1 tokens of a prefix that is longer by k - 2.
 
-    k is 2. With hot, a bitmap of single keys that too many sets had, k is TRIPLE, and their tokens are frequent too: whether a token
+    k is 2, and everything that is needed is needed SPARE times more, so that two similar sets have SPARE + 1 keys in common. With hot, a bitmap of single keys that too many sets had, k is TRIPLE, and their tokens are frequent too: whether a token
     is, is the same for all sets, and any such rule gives keys in common, so a place of the bitmap that two keys share does no harm.
     """
     known, count = frequent
@@ -180,7 +182,7 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
         often = np.maximum(often, _marked(hot, mixed(tokens)))
     order = np.lexsort((tokens, often, doc))
     tokens, often = tokens[order], often[order]
-    need = sizes - -(-PERCENT * sizes // 100) + 1
+    need = np.minimum(sizes, sizes - -(-PERCENT * sizes // 100) + 1 + (SPARE if hot is None else 0))
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(tokens)) - np.repeat(first, sizes)
     rare = np.bincount(doc, often == 0, len(sizes)).astype(np.int64)
@@ -221,7 +223,7 @@ def _label(digest: bytes) -> int:
 
 
 def _index(frequent, hot=None):
-    """A task's keys, each with the label and the size of its set. With hot, only sets that have a key there make keys, those of the second round."""
+    """A task's keys, each with the label and the size of its set. With hot, only sets that have more than SPARE keys there make keys, those of the second round."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
@@ -233,7 +235,7 @@ def _index(frequent, hot=None):
                     break
                 keys, of = prefix_keys(*_chosen(tokens, begins, which), sizes, frequent.value, bits)
                 if hot and bits is None:
-                    which = which[np.unique(of[_marked(hot.value, keys)])]
+                    which = which[np.bincount(of[_marked(hot.value, keys)], minlength=len(which)) > SPARE]
             if not len(which):
                 continue
             label = np.array([_label(digests[w]) for w in which], np.int64)
@@ -388,7 +390,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     1. Sets are summarised: size and digest; equal sets are one class from here on. Tokens that many sets share form the frequent class,
        a bounded table that only orders tokens; any such table gives the same components.
     2. Each set makes index keys (prefix_keys). Of a key that few sets share, pairs go on whose bitmaps don't rule out a link. Keys of many
-       are put into a bitmap of bounded size; sets that have one of them make keys once more, of combinations of one token more, with those keys'
+       are put into a bitmap of bounded size; sets that have more than SPARE of them make keys once more, of combinations of one token more, with those keys'
        tokens among the frequent ones: two sets that link share a key of few in the first round, or one in the second. Only sets that share a key with
        many even there are tied in a star. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
