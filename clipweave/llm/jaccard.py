@@ -26,8 +26,8 @@ BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 1024, 1 << 21, 1 << 19
 DELEGATES = 4
 #: Up to this many different sets that share a key are paired, in the first and in the second round of keys. Keys of more go into the second round, and there are tied to one of the sets.
 FEW = (32, 48)
-#: Places of the bitmap of the keys of many (bounded: 2 MB), and keys' tokens in the second round.
-PLACES, TRIPLE = 1 << 24, 3
+#: Places of a bitmap of keys (bounded: 4 MB), and keys' tokens in the second round.
+PLACES, TRIPLE = 1 << 25, 3
 #: So many keys more than one have similar sets in common in the first round: a set with no more keys of many needs no second round.
 SPARE = 2
 #: The size of a set that stands for many, of whatever sizes.
@@ -170,8 +170,9 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
     combinations of k are the keys. The groups' number depends on the size class alone; a set makes keys for its own class and the next. Sets of
     small classes combine k - 1 tokens of a prefix that is longer by k - 2.
 
-    k is 2, and everything that is needed is needed SPARE times more, so that two similar sets have SPARE + 1 keys in common. With hot, a bitmap of single keys that too many sets had, k is TRIPLE, and their tokens are frequent too: whether a token
-    is, is the same for all sets, and any such rule gives keys in common, so a place of the bitmap that two keys share does no harm.
+    k is 2, and everything that is needed is needed SPARE times more, so that two similar sets have SPARE + 1 keys in common. With hot, a
+    bitmap of frequent tokens (as single keys), k is TRIPLE, and these are frequent too: whether a token is, is the same for all sets, and
+    any such rule gives keys in common, so a place of the bitmap that two tokens share does no harm.
     """
     known, count = frequent
     at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
@@ -222,28 +223,45 @@ def _label(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _index(frequent, hot=None):
-    """A task's keys, each with the label and the size of its set. With hot, only sets that have more than SPARE keys there make keys, those of the second round."""
+def _index(frequent, often=None):
+    """A task's keys, each with the label and the size of its set."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             digests, which = _distinct(tokens, begins)
-            for bits in (None, hot.value) if hot else (None,):
-                sizes = np.diff(begins)[which]
-                if not len(which):
-                    break
-                keys, of = prefix_keys(*_chosen(tokens, begins, which), sizes, frequent.value, bits)
-                if hot and bits is None:
-                    which = which[np.bincount(of[_marked(hot.value, keys)], minlength=len(which)) > SPARE]
             if not len(which):
                 continue
+            sizes = np.diff(begins)[which]
+            keys, of = prefix_keys(*_chosen(tokens, begins, which), sizes, frequent.value, often.value if often else None)
             label = np.array([_label(digests[w]) for w in which], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(label[of]), pa.array(sizes[of].astype(np.int32))], names=["key", "label", "n"])
 
     return index
 
 
+def _crowded(frequent, hot):
+    """The documents whose sets have more than SPARE keys of many; of equal sets of a slice, one."""
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
+            _, which = _distinct(tokens, begins)
+            if len(which):
+                keys, of = prefix_keys(*_chosen(tokens, begins, which), np.diff(begins)[which], frequent.value)
+                yield batch.take(pa.array(which[np.bincount(of[_marked(hot.value, keys)], minlength=len(which)) > SPARE]))
+
+    return crowded
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens (as single keys) of each slice's different sets, and how many sets have them."""
+    for batch in slices(batches, limit=1 << 20):
+        tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
+        found, many = np.unique(_chosen(tokens, begins, _distinct(tokens, begins)[1])[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(mixed(found).view(np.int64)), pa.array(many)], names=["token", "n"])
+
+
 _PAIR = {"a": pa.int64(), "b": pa.int64(), "kind": pa.int8()}
 PAIR, TIE, MANY = range(3)
 
@@ -310,15 +328,15 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["first_a", "first_b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _many(pairs: DataFrame) -> np.ndarray | None:
-    """The bitmap of the keys of many, put together in parts of 64 places; None if there are none."""
-    place = F.col("a").bitwiseAND(PLACES - 1)
-    words = pairs.where(F.col("kind") == MANY).select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(a & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    if not words.num_rows:
+def _bitmap(keys: DataFrame) -> np.ndarray | None:
+    """The bitmap of a column of keys, put together in parts of 64 places, so bounded on the driver; None if there are none."""
+    key = F.col(keys.columns[0])
+    parts = keys.select(F.shiftright(key.bitwiseAND(PLACES - 1), 6).alias("word"), F.expr(f"shiftleft(1L, cast({keys.columns[0]} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    if not parts.num_rows:
         return None
-    hot = np.zeros(PLACES >> 6, np.uint64)
-    hot[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return hot
+    bits = np.zeros(PLACES >> 6, np.uint64)
+    bits[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
 class Forest:
@@ -389,10 +407,10 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
 
     1. Sets are summarised: size and digest; equal sets are one class from here on. Tokens that many sets share form the frequent class,
        a bounded table that only orders tokens; any such table gives the same components.
-    2. Each set makes index keys (prefix_keys). Of a key that few sets share, pairs go on whose bitmaps don't rule out a link. Keys of many
-       are put into a bitmap of bounded size; sets that have more than SPARE of them make keys once more, of combinations of one token more, with those keys'
-       tokens among the frequent ones: two sets that link share a key of few in the first round, or one in the second. Only sets that share a key with
-       many even there are tied in a star. What is so connected is a cluster; no link leaves it.
+    2. Each set makes index keys (prefix_keys). Of a key that few sets share, pairs go on whose bitmaps don't rule out a link. Two sets that
+       link have SPARE + 1 keys in common, so where all of these are keys of many, both sets have more than SPARE of those. Such sets are saved and make keys once
+       more: all their tokens are counted, the frequent ones are put into a bitmap of bounded size, and of these combinations of one token
+       more are keys. Only sets that share a key with many even there are tied in a star. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
        blocks: first each block alone; then a few delegates of each component of the blocks; then whoever is not in the cluster's largest
        component is sent to all blocks. Nothing is left uncompared but pairs that are connected already.
@@ -413,13 +431,17 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     several = classes.where("first < last").select("digest", "first")
     copies = saved(real.join(several, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
-    def pairs(hot, few: int, tie: bool) -> DataFrame:
-        keys = docs.where("doc_id is not null").mapInArrow(_index(frequent, hot), "key long, label long, n int")
+    def pairs(docs: DataFrame, often, few: int, tie: bool) -> DataFrame:
+        keys = docs.mapInArrow(_index(frequent, often), "key long, label long, n int")
         return saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired(few, tie), "a long, b long, kind byte").distinct(), "pairs")
 
-    found = pairs(None, few[0], False)
-    if (hot := _many(found)) is not None:
-        found = found.where(F.col("kind") == PAIR).union(pairs(spark.sparkContext.broadcast(hot), few[1], True)).distinct()
+    named = docs.where("doc_id is not null")
+    found = pairs(named, None, few[0], False)
+    if (hot := _bitmap(found.where(F.col("kind") == MANY).select("a"))) is not None:
+        crowded = saved(named.mapInArrow(_crowded(frequent, spark.sparkContext.broadcast(hot)), "doc_id long, text string"), "crowded")
+        often = _bitmap(crowded.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > few[0]).select("token"))
+        often = spark.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if often is None else often)
+        found = found.where(F.col("kind") == PAIR).union(pairs(crowded, often, few[1], True)).distinct()
     side = lambda x: classes.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
     some = found.where(F.col("kind") == PAIR).join(side("a"), "a").join(side("b"), "b")
     tied = found.where(F.col("kind") == TIE).join(side("a").select("a", "first_a"), "a").join(side("b").select("b", "first_b"), "b").select("first_a", "first_b")

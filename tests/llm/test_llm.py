@@ -268,7 +268,7 @@ def test_keys_of_many_sets_in_pieces():
                         reached |= new
                     assert b in reached
         many = [r for batch in jaccard._paired(6, False, piece)(iter(batches)) for r in batch.to_pylist()]
-        assert {(r["a"], r["kind"]) for r in many} == {(k, jaccard.MANY) for k in (5, 7, 9)}
+        assert {(r["a"], r["kind"]) for r in many if r["kind"] == jaccard.MANY} == {(k, jaccard.MANY) for k in (5, 7, 9)}
 
 
 def test_phrases_that_many_documents_share_do_not_tie_them(spark, monkeypatch):
