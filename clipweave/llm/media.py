@@ -89,7 +89,10 @@ def store_media(docs: DataFrame, multiple: int = 192) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """For each stored WAV: payload, and the fingerprints as two arrays of equal length, times and codes, sorted by time."""
+    """For each stored WAV: payload, and the fingerprints as two arrays of equal length, times and codes, sorted by time.
+
+    Repeated rows and null ids stay; equal media have equal fingerprints; an empty table stays empty.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
@@ -103,3 +106,8 @@ def media_features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(times, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "media", "payload", "times", "codes"])
 
     return media.mapInArrow(features, "doc_id long, n_bytes long, media binary, payload binary, times array<int>, codes array<int>")
+
+
+def store_fingerprints(rows: DataFrame) -> DataFrame:
+    """The fingerprints (times, codes) with whatever else their rows have, saved as array columns; two equal texts have equal arrays, a silent or very short one has empty arrays."""
+    return saved(rows, "fingerprints")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import decontaminate, jaccard, language, media, packing, quality, token_counts, token_files, toxicity, warc
 from .common import documents, folded, labels
@@ -45,20 +41,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
-@F.pandas_udf(StringType())
-def _feature(times, codes):
-    """Both arrays in short: how many pairs, and a digest of all of them."""
-    return times.combine(codes, lambda t, c: f"{len(t)}-{hashlib.blake2b(np.asarray(t, '<i4').tobytes() + np.asarray(c, '<i4').tobytes(), digest_size=12).hexdigest()}")
-
-
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_media(documents(spark, sf_dir))
-    rows = media.media_features(stored)
-    return rows.select(
+    rows = media.media_features(media.store_media(documents(spark, sf_dir)))
+    stored = media.store_fingerprints(rows.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), _feature("times", "codes").alias("feature"),
-    )
+        F.sha2("media", 256).alias("media_sha256"), "times", "codes",
+    ))
+    digest = F.substring(F.sha2(F.to_json(F.struct("times", "codes")), 256), 1, 24)
+    return stored.select(*stored.columns[:-2], F.concat(F.size("times").cast("string"), F.lit("-"), digest).alias("feature"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,84 @@ def test_media_round_trip(spark, odd):
     assert rows[10].codes == rows[11].codes
 
 
+def peaks_by_definition(samples):
+    """Peaks from the plain sum of the transform, frame by frame, and their pairs from all peaks."""
+    frame, hop, bands, width = media.FRAME, media.HOP, media.BANDS, media.FRAME // 2 // media.BANDS
+    n = max(1, -(-max(0, len(samples) - frame) // hop) + 1)
+    signal = np.zeros((n - 1) * hop + frame)
+    signal[: len(samples)] = np.asarray(samples, float) - 128
+    t = np.arange(frame)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (frame - 1))
+    waves = np.exp(-2j * np.pi * np.outer(t, np.arange(1, frame // 2 + 1)) / frame)
+    power = np.array([np.abs((signal[k * hop : k * hop + frame] * window) @ waves) for k in range(n)])
+    peaks = []
+    for k in range(n):
+        for b in range(bands):
+            own = power[:, b * width : (b + 1) * width]
+            loud = own[k].max()
+            if loud > 1 and (k == 0 or loud > own[k - 1].max()) and (k == n - 1 or loud >= own[k + 1].max()):
+                peaks.append((k, int(own[k].argmax()) + b * width + 1))
+    pairs = [(a[0], a[1] << 16 | b[1] << 8 | b[0] - a[0]) for k, a in enumerate(peaks) for b in peaks[k + 1 : k + 1 + media.AHEAD] if b[0] - a[0] <= media.REACH]
+    return peaks, sorted(pairs)
+
+
+def test_fingerprints_equal_their_definition(spark):
+    rng = np.random.default_rng(3)
+    tone = lambda hz, n: 128 + 90 * np.sin(2 * np.pi * hz * np.arange(n) / media.RATE)
+    sounds = [np.concatenate([tone(hz, 900) for hz in (440, 1300, 2700, 3600, 300)]), np.full(500, 128), rng.integers(0, 256, 5000), np.frombuffer(b"The quick brown fox, again and again. " * 40, np.uint8), np.full(192, 32)]
+    for samples in sounds:
+        samples = np.round(samples).clip(0, 255).astype(np.uint8)
+        at, freq = media.spectral_peaks(samples)
+        peaks, pairs = peaks_by_definition(samples)
+        assert list(zip(at.tolist(), freq.tolist())) == peaks
+        times, codes = media.peak_pairs(at, freq)
+        assert list(zip(times.tolist(), codes.tolist())) == pairs
+    at, freq = media.spectral_peaks(np.round(tone(440, 4000)).astype(np.uint8))
+    assert len(at) and abs(np.median(freq[freq < 24]) - 440 * media.FRAME / media.RATE) < 1
+    docs = spark.createDataFrame([(1, "abc " * 300), (1, "abc " * 300), (None, ""), (2, None)], "doc_id long, text string")
+    kept = media.store_fingerprints(media.media_features(media.store_media(docs))).collect()
+    assert len(kept) == 4 and len({(tuple(r.times), tuple(r.codes)) for r in kept if r.doc_id == 1}) == 1
+
+
+def test_quality_by_brute_force(spark, sf_dir):
+    import zstandard
+
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    size = lambda data, words: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words)).compress(data))
+    w = model.logistic
+    for r in quality.quality_scores(docs.where("doc_id % 9 = 0").union(docs.limit(1).withColumn("text", F.lit(None).cast("string"))), model).collect():
+        data = (r.text or "").encode()
+        blocks = [data[k : k + 1024] for k in range(0, max(1, len(data)), 1024)]
+        good, bad = [size(b, model.good) for b in blocks], [size(b, model.bad) for b in blocks]
+        each = [(b - g) / (b + g) for g, b in zip(good, bad)]
+        x = [(sum(bad) - sum(good)) / (sum(bad) + sum(good)), (sum(good) - 12 * len(blocks)) / (len(data) + 1), min(each), max(each)]
+        z = sum(c * (v - m) / s for c, v, m, s in zip(w.weights, x, w.mean, w.spread)) + w.weights[-1]
+        assert abs(r.quality_score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(k, "some text of words here " * (k + 1), "en") for k in range(6)] * 2, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    none = docs.where("false")
+    for some in (docs, none):
+        q = quality.fit_quality(some, labels if some is docs else labels.where("false"))
+        t = toxicity.fit_toxicity(some, labels if some is docs else labels.where("false"))
+        m = language.fit_language(some, chains=20, steps=2)
+        for rows, n in ((docs, 12), (none, 0)):
+            assert quality.quality_scores(rows, q).count() == toxicity.toxicity_scores(rows, t).count() == language.tag_languages(rows, m).count() == n
+    assert media.media_features(media.store_media(none)).count() == 0 == decontaminate.contaminated(docs, none.withColumnRenamed("doc_id", "item_id")).count()
+    found = decontaminate.contaminated(docs.withColumn("item_id", F.lit("old")), spark.createDataFrame([(7, "some text of words here some text of", "x")], "item_id long, text string, doc_id string"))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 3, 4, 5] and found.where("n_hits < 1").count() == 0
+    near = jaccard.near_duplicates(docs).collect()
+    assert len(near) == 12 and all(a.component_id == b.component_id for a in near for b in near if a.doc_id == b.doc_id)
+    tokens = token_files.read_token_files(spark, token_files.write_token_files(docs, queries.tokenizer())).collect()
+    assert sorted(r.doc_id for r in tokens) == sorted([*range(6)] * 2)
+    packed = packing.pack(docs, queries.tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("own")).collect()
+    assert all(r.n == 2 * r.own for r in packed)
+
+
 def test_archive(spark):
     long = "<p>" + "x" * 200 + "</p>"
     rows = [(3, "u 1", long), (1, "u2", long), (2, None, long), (4, "u4", "short"), (5, "u5", "short"), (6, "u6", None), (7, "u7", ""), (8, "u8", "y" * 150), (None, "u9", "y" * 150), (1, "u2", long)]
@@ -145,6 +223,14 @@ def test_archive(spark):
         head, _, content = bytes(r.record).partition(b"\r\n\r\n")
         length = int(head.rpartition(b"Content-Length: ")[2])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and len(content) == length + 4
+    id_of = lambda head, name: head.decode().partition(f"\r\n{name}: ")[2].partition("\r\n")[0]
+    ids = [id_of(bytes(r.record), "WARC-Record-ID") for r in got]
+    assert len(set(ids)) == len(ids) == len(rows)
+    responses = {id_of(bytes(r.record), "WARC-Record-ID") for r in got if r.record_type == "response"}
+    assert all(id_of(bytes(r.record), "WARC-Refers-To") in responses for r in got if r.record_type == "revisit")
+    same = spark.createDataFrame([(1, "u", "x", "2024-05-06T07:08:09Z", "old")] * 3 + [(None, "u", "x", "2025-05-06T07:08:09Z", "old")] * 2, "page_id long, url string, html string, crawled string, digest string")
+    heads = [bytes(r.record) for r in warc.read_archive(spark, warc.write_archive(same, date=F.col("crawled"))).collect()]
+    assert len({id_of(h, "WARC-Record-ID") for h in heads}) == 5 and sorted(id_of(h, "WARC-Date")[:4] for h in heads) == ["2024"] * 3 + ["2025"] * 2
     folder = warc.write_archive(pages)
     assert spark.read.parquet(f"{folder}/payloads").count() == 4
     assert warc.read_archive(spark, warc.write_archive(pages.where("false"))).count() == 0
