@@ -31,15 +31,15 @@ def _numbered(lengths: list[int]) -> list[tuple[int, str]]:
 
 
 def _keys(words: Column, place: Column, masks: list[tuple[int, str]]) -> Column:
-    """(span, seed) of every mask that fits the words from a place on."""
-    return F.array_compact(F.array(*(F.when(place + len(m) <= F.size(words), F.struct(F.lit(len(m)).alias("span"), _seed(words, place, n, m).alias("seed"))) for n, m in masks)))
+    """The seed of every mask, null for one that does not fit the words from a place on. The mask's number is in the hash, so a seed alone is the key; no lambda works on it, which would copy the words for every place."""
+    return F.array(*(F.when(place + len(m) <= F.size(words), _seed(words, place, n, m)) for n, m in masks))
 
 
 def document_seeds(docs: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
-    """docs (doc_id, doc_words), once for each window and mask, with doc_at, span and seed."""
+    """docs (doc_id, doc_words), once for each window and mask, with doc_at and seed."""
     least = min(len(m) for _, m in masks)
     rows = docs.select("*", F.explode(F.when(F.size("doc_words") >= least, F.sequence(F.lit(0), F.size("doc_words") - least))).alias("doc_at"))
-    return rows.select("*", F.explode(_keys(F.col("doc_words"), F.col("doc_at"), masks)).alias("key")).select(*rows.columns, "key.span", "key.seed")
+    return rows.select("*", F.explode(_keys(F.col("doc_words"), F.col("doc_at"), masks)).alias("seed")).where("seed is not null")
 
 
 def item_seeds(items: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
@@ -88,12 +88,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MO
     many, masks = sizes[0] or 0, _numbered(sizes[1])
     known = item_seeds(items, masks)
     if many <= most_broadcast:
-        hits = document_seeds(docs, masks).join(F.broadcast(known), ["seed", "span"])
+        hits = document_seeds(docs, masks).join(F.broadcast(known), "seed")
     else:
         found = document_seeds(docs, masks).drop("doc_words")
         if many <= MOST_FILTER:
             found = found.join(F.broadcast(known.select("seed").distinct()), "seed", "left_semi")
-        hits = found.join(known, ["seed", "span"]).join(docs, "doc_id")
+        hits = found.join(known, "seed").join(docs, "doc_id")
     hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("first_word"), _overlap("doc_words").alias("o"), "n")
     good = (F.col("o.same") >= SHARE * F.col("o.compared")) & (F.col("o.compared") >= F.least(F.col("n"), F.lit(LEAST)))
     # counted under a condition: as a filter, the comparison would move into the join and run there for each of its uses
