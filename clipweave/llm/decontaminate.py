@@ -60,12 +60,16 @@ def item_seeds(items: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
     return items.select("item_id", F.size(words).alias("n"), F.explode(found).alias("x")).select("item_id", "n", "x.*")
 
 
+#: Words around a seed, at most.
+NEAR = max(map(len, MASKS)) + 2 * AROUND
+
+
 def _overlap(doc: str) -> Column:
-    """Words compared and equal words around a hit, in the item's range, cut at the ends of either text."""
-    lo = F.greatest(F.col("near_at"), F.col("item_at") - F.col("doc_at"))
-    hi = F.least(F.col("near_at") + F.size("near"), F.col("item_at") - F.col("doc_at") + F.size(doc))
-    same = F.aggregate(F.zip_with(F.slice(doc, F.col("doc_at") - F.col("item_at") + lo + 1, hi - lo), F.slice("near", lo - F.col("near_at") + 1, hi - lo), lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return F.struct((hi - lo).alias("compared"), same.alias("same"))
+    """Words compared and equal words around a hit, in the item's range, cut at the ends of either text. The few places are written out: with a lambda, every hit would be a row with its whole text."""
+    at = F.col("doc_at") - F.col("item_at")
+    lo, hi = F.greatest(F.col("near_at"), -at), F.least(F.col("near_at") + F.size("near"), F.size(doc) - at)
+    same = [F.coalesce((F.get(doc, at + F.col("near_at") + k) == F.get("near", F.lit(k))).cast("int"), F.lit(0)) for k in range(NEAR)]
+    return F.struct((hi - lo).alias("compared"), sum(same[1:], same[0]).alias("same"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:

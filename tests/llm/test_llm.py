@@ -376,14 +376,6 @@ def test_phrases_that_many_documents_share_do_not_tie_them(spark, monkeypatch):
     assert grown[1] <= 6 * grown[0] + 40, grown
 
 
-def test_hubs_are_split(spark):
-    links = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 60)] + [(200, k) for k in range(201, 230)]
-    frame = spark.createDataFrame(links, "a long, b long")
-    for hub in (1, 10, 1000):
-        got = {r.node: r.component for r in components.connected(frame, hub).collect()}
-        assert got == {**{k: 0 for k in [*range(60), *range(101, 160)]}, **{k: 200 for k in range(200, 230)}}
-
-
 def test_components(spark):
     rng = Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
