@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _Filled, slices
+from .common import SLICE_BYTES, _Filled, slices
 
 #: Words of the shortest duplicate passage, and of an anchor: of every window's anchors, the one with the least hash is indexed.
 WINDOW, ANCHOR = 13, 7
@@ -77,9 +77,37 @@ def _check(words: np.ndarray) -> np.ndarray:
     return (_runs(words, WINDOW, 0) >> np.uint64(33)).astype(np.int32)
 
 
-def _slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], pa.RecordBatch]]:
+def text_key(data: bytes) -> tuple[int, int]:
+    """94 bits of a text's hash: a signed 64-bit number, and 30 bits more, at least 1."""
+    import xxhash
+
+    whole = xxhash.xxh3_128_intdigest(data)
+    return (whole & (1 << 64) - 1) - (1 << 63), (whole >> 98) + 1
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the compressed text: it moves once."""
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches, text=1):
-        yield batch.column(0).to_pylist(), [word_hashes(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], batch
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows with their texts, in lists of about most bytes of text."""
+    import zstandard
+
+    large, held, size = zstandard.ZstdDecompressor(), [], 0
+    for batch in batches:
+        for doc, packed, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append((doc, large.decompress(packed), *rest))
+            size += len(held[-1][1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _owners(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,46 +119,78 @@ def _owners(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, last, order
 
 
-_ANCHORS = ["key", "doc", "known"]
-_ANCHORS_DDL = "key long, doc long, known binary"
+#: check is 0 for an anchor, over 0 for a whole text, -1 for anchors that are known to be shared, -2 for a known copy.
+_ANCHORS = ["key", "check", "doc", "known"]
+_ANCHORS_DDL = "key long, check int, doc long, known binary"
+
+
+def _own_keys(docs: np.ndarray) -> np.ndarray:
+    """Keys for rows that are only for a document."""
+    return _mixed(docs.view(np.uint64)).view(np.int64)
+
+
+def _told_rows(check: int, told: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    docs = np.array([d for d, _ in told], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(_own_keys(docs)), pa.array(np.full(len(docs), check, np.int32)), pa.array(docs), pa.array([k for _, k in told], pa.binary())], names=_ANCHORS)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each anchor of a slice once: with its document if it is in one only; else without, and what is thus known to be shared goes to each of its documents (known: hashes)."""
-    for ids, texts, _ in _slice_rows(batches):
-        found = [np.unique(windows(t)[1]) for t in texts]
-        sizes = [len(f) for f in found]
+    """Each text and each anchor of a slice once: a text with its smallest document, an anchor with its document if it is in one only, else without.
+
+    What a slice knows by itself it tells its documents (known): that they are copies of an earlier one, or which anchors are shared.
+    """
+    for batch in slices(batches, text=1):
+        first: dict[tuple[int, int], int] = {}
+        rows = [(d, t, text_key(t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())]
+        for d, _, key in rows:
+            first[key] = min(d, first.get(key, d))
+        copies = [(d, np.array([key[0], first[key]], "<i8").tobytes()) for d, _, key in rows if d > first[key]]
+        if copies:
+            yield _told_rows(-2, copies)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in first], pa.int64()), pa.array([c for _, c in first], pa.int32()), pa.array([*first.values()], pa.int64()), pa.nulls(len(first), pa.binary())], names=_ANCHORS)
+        rows = [(d, np.unique(windows(word_hashes(t))[1])) for d, t, key in rows if d == first[key]]
+        sizes = [len(f) for _, f in rows]
         if not sum(sizes):
             continue
-        keys, docs = np.concatenate(found), np.repeat(np.array(ids, np.int64), sizes)
-        first, last, order = _owners(keys, docs)
-        one = docs[order[first]] == docs[order[last]]
-        shared = np.sort(keys[order[first[~one]]])
-        known = [(d, f[np.isin(f, shared, assume_unique=True)]) for d, f in zip(ids, found)] if len(shared) else []
-        known = [(d, f.tobytes()) for d, f in known if len(f)]
-        doc = pa.array(docs[order[first]], mask=~one)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[order[first]].view(np.int64)), doc, pa.nulls(len(first), pa.binary())], names=_ANCHORS)
-        if known:
-            mark = np.array([d for d, _ in known], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(mark.view(np.uint64)).view(np.int64)), pa.array(mark), pa.array([f for _, f in known], pa.binary())], names=_ANCHORS)
+        keys, docs = np.concatenate([f for _, f in rows]), np.repeat(np.array([d for d, _ in rows], np.int64), sizes)
+        begin, end, order = _owners(keys, docs)
+        one = docs[order[begin]] == docs[order[end]]
+        shared = np.sort(keys[order[begin[~one]]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[order[begin]].view(np.int64)), pa.array(np.zeros(len(begin), np.int32)), pa.array(docs[order[begin]], mask=~one), pa.nulls(len(begin), pa.binary())], names=_ANCHORS)
+        known = [(d, f[np.isin(f, shared, assume_unique=True)]) for d, f in rows] if len(shared) else []
+        if known := [(d, f.tobytes()) for d, f in known if len(f)]:
+            yield _told_rows(-1, known)
 
 
 _WINDOWS = ["key", "check", "doc", "place", "known"]
 _WINDOWS_DDL = "key long, check int, doc long, place int, known binary"
-#: What a document learns of a window: its hash, and the document and place where it stands first.
+#: What a document learns of a window: its hash, and the document and place where it stands earlier; of its whole text, with the place -1.
 _FIRST = np.dtype([("key", "<i8"), ("doc", "<i8"), ("place", "<i8")])
 
 
+def _known_rows(told: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    docs, n = np.array([d for d, _ in told], np.int64), len(told)
+    return pa.RecordBatch.from_arrays([pa.array(_own_keys(docs)), pa.array(np.full(n, -1, np.int32)), pa.array(docs), pa.nulls(n, pa.int32()), pa.array([k for _, k in told], pa.binary())], names=_WINDOWS)
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a slice that holds a shared anchor once, with the smallest document and its first place there; the slice's other documents that have it learn that place (known)."""
-    for ids, texts, batch in _slice_rows(batches):  # doc_id, text, hashes, known
-        keys, checks, docs, places = [], [], [], []
-        for d, words, hashes, packed in zip(ids, texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            shared = np.concatenate([np.array(hashes or [], np.int64).view(np.uint64), *(np.frombuffer(p, np.uint64) for p in packed or [])])
+    """Each window of a slice that holds a shared anchor once, with the smallest document and its first place there; the slice's other documents that have it learn that place (known), and copies that they are copies."""
+    for rows in _unpacked(batches, SLICE_BYTES):
+        keys, checks, docs, places, whole = [], [], [], [], []
+        for d, text, hashes, packed, copied, copies in rows:
+            own_key = text_key(text)[0]
+            pairs = np.frombuffer(b"".join(copied), "<i8").reshape(-1, 2).tolist() + [(c["key"], c["first"]) for c in copies]
+            if earlier := [first for key, first in pairs if key == own_key]:
+                whole.append((d, np.array([own_key, min(earlier), -1], "<i8").tobytes()))
+                continue
+            shared = np.concatenate([np.array(hashes, np.int64).view(np.uint64), *(np.frombuffer(p, np.uint64) for p in packed)])
+            words = word_hashes(text)
             own, anchors = windows(words)
             at = np.flatnonzero(np.isin(anchors, shared))
             if len(at):
                 keys.append(own[at]), checks.append(_check(words)[at]), docs.append(np.full(len(at), d, np.int64)), places.append(at)
+        if whole:
+            yield _known_rows(whole)
         if not keys:
             continue
         keys, checks, docs, places = map(np.concatenate, (keys, checks, docs, places))
@@ -147,9 +207,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(checks[new]), pa.array(docs[new]), pa.array(places[new].astype(np.int32)), pa.nulls(n, pa.binary())], names=_WINDOWS)
         if len(told):
             to, cut = np.unique(docs[later], return_index=True)
-            known = [x.tobytes() for x in np.split(told, cut[1:])]
-            n = len(to)
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(to.view(np.uint64)).view(np.int64)), pa.array(np.full(n, -1, np.int32)), pa.array(to), pa.nulls(n, pa.int32()), pa.array(known, pa.binary())], names=_WINDOWS)
+            yield _known_rows([(d, x.tobytes()) for d, x in zip(to.tolist(), np.split(told, cut[1:]))])
 
 
 def factors(words: np.ndarray, told: np.ndarray) -> np.ndarray:
@@ -188,14 +246,18 @@ def _kept(data: bytes, covered: np.ndarray) -> bytes:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text=1):
+    for rows in _unpacked(batches, SLICE_BYTES):
         out = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept", "factors")}
-        for d, text, firsts, known in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            data, found = text or b"", np.zeros((0, 4), np.int64)
-            if firsts or known:
+        for d, data, firsts, known in rows:
+            found = np.zeros((0, 4), np.int64)
+            told = np.frombuffer(np.array([tuple(f.values()) for f in firsts or []], np.int64).tobytes() + b"".join(known or []), _FIRST)
+            whole = told[told["place"] < 0]
+            if len(whole) and (copy := whole[whole["key"] == text_key(data)[0]]["doc"]).size:
+                n = sum(len(s.split()) for s in _stretches(data))
+                found = np.array([[0, n, copy.min(), 0]][: n >= WINDOW], np.int64).reshape(-1, 4)
+            elif len(told) > len(whole):
                 words = word_hashes(data)
-                told = np.frombuffer(np.array(firsts or [], np.int64).tobytes() + b"".join(known or []), _FIRST)
-                found, n = factors(words, told), len(words)
+                found, n = factors(words, told[told["place"] >= 0]), len(words)
             else:
                 n = sum(len(s.split()) for s in _stretches(data))
             edge = np.zeros(n + 1, np.int64)
@@ -213,32 +275,35 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, one space between) and factors of every document.
 
     A word goes if a window of WINDOW words around it also starts in a document with a smaller doc_id, as the texts are given. factors
-    are the document's passages that stand earlier: start and length in words, and the document and place where the passage (its first
-    window) stands first of all. They may overlap by less than a window.
+    are the document's passages that stand earlier: start and length in words, and the earlier document and place where the passage
+    stands. They may overlap by less than a window.
 
-    Every document is factored against all documents, as reference blocks that are indexed in two steps. First the anchors: each slice of
-    documents (some megabytes) tells its anchors once, so a passage of a third of all documents is as many rows as there are slices, not
-    documents; an anchor that two documents share makes their windows candidates. Then the windows that hold such an anchor meet
-    in the same way, and each document learns where its windows stand first. Texts move by doc_id alone; groups of equal keys only
-    carry numbers; nothing is gathered in the driver.
+    Every document is factored against all documents, as reference blocks that are indexed in two steps. First texts and anchors: each
+    slice of documents (some megabytes) tells its texts and anchors once, so a passage of a third of all documents is as many rows as
+    there are slices, not documents; an exact copy of an earlier text is one factor, and an anchor that two other documents share
+    makes their windows candidates. Then the windows that hold such an anchor meet in the same way, and each document learns where its
+    windows stand first. Texts move once, compressed, by doc_id; groups of equal keys only carry numbers; nothing is gathered in the driver.
 
     Null and empty texts have no words. Rows that repeat a doc_id are rows of their own, and no earlier than each other. A null doc_id is
     neither before nor after another: its row keeps all words. Other columns are ignored, whatever their names. An empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = rows.where("doc_id is not null")
-    same = Window.partitionBy("key")
+    same = Window.partitionBy("key", "check")
     anchors = own.where("text is not null").mapInArrow(_anchor_rows, _ANCHORS_DDL)
-    anchors = anchors.select("*", (F.count("*").over(same) > 1).alias("many"), F.max(F.col("doc").isNull()).over(same).alias("inside"))
-    shared = anchors.where("doc is not null and (known is not null or many or inside)").select("doc", F.when(F.col("known").isNull(), F.col("key")).alias("hash"), "known")
-    shared = shared.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.collect_list("known").alias("known"))
-
-    moved = own.repartition("doc_id")  # both joins read this one exchange
-    found = moved.join(shared.hint("shuffle_hash"), moved["doc_id"] == shared["doc"]).select("doc_id", "text", "hashes", "known").mapInArrow(_window_rows, _WINDOWS_DDL)
+    anchors = anchors.select("*", (F.count("*").over(same) > 1).alias("many"), F.max(F.col("doc").isNull()).over(same).alias("inside"), F.min("doc").over(same).alias("first"))
+    anchors = anchors.where("check < 0 or (check = 0 and doc is not null and (many or inside)) or (check > 0 and first < doc)")
+    shared = anchors.groupBy("doc").agg(
+        F.collect_list(F.when(F.col("check") == 0, F.col("key"))).alias("hashes"), F.collect_list(F.when(F.col("check") == -1, F.col("known"))).alias("known"),
+        F.collect_list(F.when(F.col("check") == -2, F.col("known"))).alias("copied"), F.collect_list(F.when(F.col("check") > 0, F.struct("key", "first"))).alias("copies"),
+    )
+
+    moved = own.mapInArrow(_packed, "doc_id long, packed binary").repartition("doc_id")  # both joins read this one exchange
+    found = moved.join(shared.hint("shuffle_hash"), moved["doc_id"] == shared["doc"]).select("doc_id", "packed", "hashes", "known", "copied", "copies").mapInArrow(_window_rows, _WINDOWS_DDL)
     first = F.min(F.when(F.col("known").isNull(), F.struct("doc", "place"))).over(Window.partitionBy("key", "check"))
     found = found.withColumn("first", first).where("known is not null or first.doc < doc")
-    one = F.when(F.col("known").isNull(), F.array("key", "first.doc", F.col("first.place").cast("long")))
+    one = F.when(F.col("known").isNull(), F.struct("key", F.col("first.doc").alias("at"), F.col("first.place").cast("long").alias("place")))
     told = found.groupBy("doc").agg(F.collect_list(one).alias("firsts"), F.collect_list("known").alias("known"))
-    full = moved.join(told.hint("shuffle_hash"), moved["doc_id"] == told["doc"], "left_outer").select("doc_id", "text", "firsts", "known")
-    alone = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<array<bigint>>").alias("firsts"), F.lit(None).cast("array<binary>").alias("known"))
+    full = moved.join(told.hint("shuffle_hash"), moved["doc_id"] == told["doc"], "left_outer").select("doc_id", "packed", "firsts", "known")
+    alone = rows.where("doc_id is null").mapInArrow(_packed, "doc_id long, packed binary").select("doc_id", "packed", F.lit(None).cast(full.schema["firsts"].dataType).alias("firsts"), F.lit(None).cast("array<binary>").alias("known"))
     return full.union(alone).mapInArrow(_cleaned, _RESULT)
