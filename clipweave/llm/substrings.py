@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-_KNOWN = _Filled(_hash, 500_000)
+_KNOWN = _Filled(_hash, 200_000)
 
 
 def _stretches(data: bytes) -> Iterator[bytes]:
@@ -94,13 +95,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
+def _values(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type) or not pa.types.is_struct(column.type.value_type):
+        return column.to_pylist()
+    lengths = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat = np.stack([f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()], 1)
+    return np.split(flat, np.cumsum(lengths)[:-1])
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
-    """Rows with their texts, in lists of about most bytes of text."""
+    """Rows with their texts, in lists of about most bytes of text. A list of windows' first places becomes an array."""
     import zstandard
 
     large, held, size = zstandard.ZstdDecompressor(), [], 0
-    for batch in batches:
-        for doc, packed, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+    for batch in slices(batches, text=1, limit=most // 4):
+        for doc, packed, *rest in zip(*map(_values, batch.columns)):
             held.append((doc, large.decompress(packed), *rest))
             size += len(held[-1][1])
             if size >= most:
@@ -179,7 +188,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, checks, docs, places, whole = [], [], [], [], []
         for d, text, hashes, packed, copied, copies in rows:
             own_key = text_key(text)[0]
-            pairs = np.frombuffer(b"".join(copied), "<i8").reshape(-1, 2).tolist() + [(c["key"], c["first"]) for c in copies]
+            pairs = np.frombuffer(b"".join(copied), "<i8").reshape(-1, 2).tolist() + copies.tolist()
             if earlier := [first for key, first in pairs if key == own_key]:
                 whole.append((d, np.array([own_key, min(earlier), -1], "<i8").tobytes()))
                 continue
@@ -250,7 +259,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept", "factors")}
         for d, data, firsts, known in rows:
             found = np.zeros((0, 4), np.int64)
-            told = np.frombuffer(np.array([tuple(f.values()) for f in firsts or []], np.int64).tobytes() + b"".join(known or []), _FIRST)
+            told = np.frombuffer(firsts.tobytes() + b"".join(known or []), _FIRST)
             whole = told[told["place"] < 0]
             if len(whole) and (copy := whole[whole["key"] == text_key(data)[0]]["doc"]).size:
                 n = sum(len(s.split()) for s in _stretches(data))
@@ -298,7 +307,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("check") == -2, F.col("known"))).alias("copied"), F.collect_list(F.when(F.col("check") > 0, F.struct("key", "first"))).alias("copies"),
     )
 
-    moved = own.mapInArrow(_packed, "doc_id long, packed binary").repartition("doc_id")  # both joins read this one exchange
+    moved = own.mapInArrow(_packed, "doc_id long, packed binary").where("doc_id is not null").repartition("doc_id")  # with the filter that a join would add, so that both joins read one exchange
     found = moved.join(shared.hint("shuffle_hash"), moved["doc_id"] == shared["doc"]).select("doc_id", "packed", "hashes", "known", "copied", "copies").mapInArrow(_window_rows, _WINDOWS_DDL)
     first = F.min(F.when(F.col("known").isNull(), F.struct("doc", "place"))).over(Window.partitionBy("key", "check"))
     found = found.withColumn("first", first).where("known is not null or first.doc < doc")
