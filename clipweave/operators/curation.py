@@ -37,10 +37,36 @@ def map_prefix(rows: DataFrame, prefixes: dict[str, str], path: str) -> DataFram
     return rows.withColumn("mapped_path", mapped)
 
 
-def exclude_videos(jobs: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Jobs whose (speaker_id, video_dir) is not listed with the status excluded."""
+def map_prefix_table(rows: DataFrame, prefixes: DataFrame, path: str) -> DataFrame:
+    """rows with mapped_path by a table (prefix, target) of any size: the path with its longest prefix of whole components replaced, null if none fits; of a prefix's targets the least. Null paths stay, with null.
+
+    Each different path is looked up once: it stands for itself and each of its parents, which are joined with the table by equality, and the
+    longest that is found is joined back.
+    """
+    known = prefixes.where("prefix is not null and target is not null").groupBy("prefix").agg(F.min("target").alias("target"))
+    paths = rows.select(F.col(path).alias("_path")).where("_path is not null").distinct()
+    parts = F.split("_path", "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    found = paths.select("_path", F.explode(starts).alias("prefix")).join(known, "prefix")
+    best = found.groupBy("_path").agg(F.max(F.struct(F.length("prefix").alias("long"), "target")).alias("b"))
+    mapped = best.select("_path", F.concat("b.target", F.expr("substring(_path, b.long + 1)")).alias("mapped_path"))
+    return rows.join(mapped, rows[path] == F.col("_path"), "left").drop("_path")
+
+
+def mapped_share(rows: DataFrame, mapped: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows, how many are mapped, and their share: of each group, in one pass."""
+    sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(mapped).alias("mapped"))
+    return sums.withColumn("share", F.round(F.try_divide(F.col("mapped").cast("double"), F.col("rows").cast("double")), 6))
+
+
+def exclude_videos(jobs: DataFrame, excluded: DataFrame, speaker: str | None = None, video: str | None = None, limit: int | None = None, order: tuple[str, ...] = ("speaker_id", "video_dir")) -> DataFrame:
+    """Jobs whose (speaker_id, video_dir) is not listed with the status excluded; of these only a speaker's or a video's, and of what is left the first limit by order."""
     gone = excluded.where(F.lower(strip(F.col("status"))) == "excluded").select(strip(F.col("speaker_id")).alias("speaker_id"), strip(F.col("video_dir")).alias("video_dir"))
-    return jobs.join(gone, ["speaker_id", "video_dir"], "left_anti")
+    # of a named speaker or video no others are read
+    for column, value in (("speaker_id", speaker), ("video_dir", video)):
+        jobs = jobs if value is None else jobs.where(F.col(column) == value)
+    jobs = jobs.join(gone, ["speaker_id", "video_dir"], "left_anti")
+    return jobs if limit is None or limit < 0 else jobs.orderBy(*order).limit(limit)
 
 
 def manual_reject(labels: DataFrame, bad: DataFrame) -> DataFrame:
@@ -201,10 +227,15 @@ def raw_source_map(labels: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def package_manifest(rows: DataFrame, listing: DataFrame, splits: list[str], root: str) -> DataFrame:
-    """Distinct clip paths of the splits with their names in an archive, and whether they are unsafe or missing."""
-    paths = rows.where(F.col("split").isin(splits)).select("clip_path").distinct()
+    """Distinct clip paths of the splits, sorted, with their names in an archive, in how many rows of each split they stand (in_<split>), and whether they are unsafe or missing."""
+    paths = rows.where(F.col("split").isin(splits)).groupBy("clip_path").agg(*(F.count_if(F.col("split") == s).alias(f"in_{s}") for s in splits))
     paths = paths.join(listing.select(F.col("path").alias("clip_path"), F.lit(True).alias("there")).distinct(), "clip_path", "left")
-    return paths.select("clip_path", F.concat(F.lit(f"{root}/"), "clip_path").alias("archive_name"), unsafe_path(F.col("clip_path")).alias("unsafe"), F.col("there").isNull().alias("missing"))
+    return paths.select("clip_path", F.concat(F.lit(f"{root}/"), "clip_path").alias("archive_name"), *(f"in_{s}" for s in splits), unsafe_path(F.col("clip_path")).alias("unsafe"), F.col("there").isNull().alias("missing")).orderBy("clip_path")
+
+
+def package_counts(manifest: DataFrame, splits: list[str]) -> DataFrame:
+    """One row on a manifest: unique clips, rows by split, unsafe and missing clips."""
+    return manifest.agg(F.count("*").alias("clips"), *(F.coalesce(F.sum(f"in_{s}"), F.lit(0)).alias(s) for s in splits), F.count_if(F.col("unsafe")).alias("unsafe"), F.count_if(F.col("missing")).alias("missing"))
 
 
 def conflicting_duplicates(rows: DataFrame, content: Column, word: str = "word") -> DataFrame:

@@ -109,8 +109,8 @@ def compare_versions(a: DataFrame, b: DataFrame, on: list[str], score: str) -> D
 
 
 def attach_baseline(runs: DataFrame, base: DataFrame, on: list[str], score: str) -> DataFrame:
-    """runs with the pinned baseline's score and the distance to it; the baseline is a small table."""
-    return runs.join(F.broadcast(base), on).withColumn("delta", F.round(F.col(score) - F.col("baseline"), 6))
+    """runs with the pinned baseline's score and the distance to it. Whether the baseline is broadcast is the optimizer's choice, by its size."""
+    return runs.join(base, on).withColumn("delta", F.round(F.col(score) - F.col("baseline"), 6))
 
 
 def paired_deltas(runs: DataFrame, index: list[str], variants: list[str], base: str, score: str, key: str = "variant") -> DataFrame:
@@ -136,8 +136,12 @@ def decision_gate(summary: DataFrame, least_mean: float | None = None, least_win
     return summary.withColumn("verdict", F.when(good, "accept").otherwise("reject"))
 
 
-def model_comparison(tables: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+def model_comparison(tables: list[DataFrame], score: str = "mean", name: str = "variant") -> DataFrame:
+    """All tables' rows under all their columns, the best score first (nulls last), then by name; place is the place in that order."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    order = [F.col(score).desc_nulls_last(), F.col(name)]
+    # as many rows as there are models
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("place")
 
 
 def protocol_json(rows: DataFrame, seeds: list[int]) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import detect_source, path_stem
-from .ranks import numbered
+from ..functions.text import detect_source
+from .ranks import numbered, numbered_all
 
 
 def build_vocab(rows: DataFrame, word: str = "word") -> DataFrame:
@@ -17,17 +21,13 @@ def build_vocab(rows: DataFrame, word: str = "word") -> DataFrame:
 
 
 def build_labels(inventory: DataFrame, least: float = 0.001, prefix: str = "ru_", default_source: str = "self_recorded") -> DataFrame:
-    """Labels of an inventory (word, speaker_id, file, path, duration_sec) with running ids over the order (word, speaker_id, file): six digits at least.
+    """Labels of an inventory (word, speaker_id, file, path, duration_sec) with running ids over the order (word, speaker_id, file, path): six digits at least.
 
-    Rows are numbered inside their (word, speaker_id); only the groups' counts are added up over all groups.
+    Rows are numbered by ranges of that order, so a word of one speaker may be many tasks.
     """
-    keys = ["word", "speaker_id"]
-    counts = inventory.groupBy(*keys).agg(F.count("*").alias("n"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = inventory.join(offsets, keys).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("file", "path")))
-    number = (F.col("before") + F.col("rank")).cast("long")
+    rows = numbered_all(inventory, ["word", "speaker_id", "file", "path"])
     seconds = F.bround(F.greatest("duration_sec", F.lit(least)), 3).cast("decimal(12,3)")
-    return rows.select(F.concat(F.lit(prefix), F.format_string("%06d", number)).alias("clip_id"), F.col("path").alias("clip_path"), *keys, detect_source(F.col("file"), default_source).alias("source"), F.lit(0).cast("decimal(12,3)").alias("start_sec"), seconds.alias("end_sec"))
+    return rows.select(F.concat(F.lit(prefix), F.format_string("%06d", F.col("_row"))).alias("clip_id"), F.col("path").alias("clip_path"), "word", "speaker_id", detect_source(F.col("file"), default_source).alias("source"), F.lit(0).cast("decimal(12,3)").alias("start_sec"), seconds.alias("end_sec"))
 
 
 def top_words(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -35,11 +35,21 @@ def top_words(rows: DataFrame, n: int, order: str) -> DataFrame:
     return rows.groupBy("word").agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(n)
 
 
-def speaker_split(rows: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
-    """rows with the split whose set holds their speaker; other rows go; a speaker of two sets raises."""
+def speaker_split(rows: DataFrame, sets: dict[str, list[str]], exclude: list[str] = [], top: int | None = None, order: str = "clip_id") -> DataFrame:  # noqa: B006
+    """rows with the split whose set holds their speaker; other rows go; a speaker of two sets raises.
+
+    First the rows of excluded speakers go (none left raises); with top, then those of all but the most frequent words of what is left
+    (of equals the one that comes first by order), whatever sets their speakers are in.
+    """
     pairs = [(s, name) for name, speakers in sets.items() for s in speakers]
     if len({s for s, _ in pairs}) < len(pairs):
         raise ValueError("a speaker is in several sets")
+    if exclude:
+        rows = rows.where(F.col("speaker_id").isNull() | ~F.col("speaker_id").isin(exclude))
+        if not rows.limit(1).count():
+            raise ValueError("no rows are left without the excluded speakers")
+    if top is not None:
+        rows = rows.join(top_words(rows, top, order).select("word"), "word", "left_semi")
     table = rows.sparkSession.createDataFrame(pairs, "speaker_id string, split string")
     return rows.join(F.broadcast(table), "speaker_id")
 
@@ -80,30 +90,109 @@ def sample_weights(rows: DataFrame, strategy: str) -> DataFrame:
     return rows.join(groups, of).withColumn("weight", {"word": 1 / n, "inverse": 1 / n, "sqrt": 1 / F.sqrt(n)}[strategy]).drop("_n")
 
 
-def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id", cells: int = 4096) -> DataFrame:
-    """n draws with replacement: a group by its weight, then a row of it at random; draw is the draw's number.
+def _drawn(totals: dict[int, int], seed: int, weight: int, part: int, columns: list[int], chunk: int):
+    """For a task's rows, sorted by part: those that are drawn, with how often (times) and how many draws of the part come before.
+
+    Inside a part the draws go to chunks of rows in turn, each by its share of the weight that is left, and in a chunk to its rows; so a
+    part is never held, and what is drawn depends on the seed and the rows' order alone.
+    """
 
-    The groups (speaker_id, word) share the unit interval by their weights. It is cut into cells; a group stands in every cell that its
-    share touches, a draw in one, so draws find their groups by an equi-join. Drawn rows are found by their number in the group.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, left, rng, before = None, None, 0, None, 0
+
+        def draw(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal left, rest, before
+            w = table.column(weight).to_numpy().astype(np.float64)
+            many = left if last else rng.binomial(left, min(1.0, w.sum() / rest)) if rest > 0 else 0
+            times = rng.multinomial(many, w / w.sum()) if many and w.sum() > 0 else np.zeros(len(w), np.int64)
+            left, rest = left - many, rest - w.sum()
+            at = np.flatnonzero(times)
+            if len(at):
+                first = before + np.cumsum(times[at]) - times[at]
+                before += int(times.sum())
+                out = table.select(columns).take(pa.array(at)).append_column("_part", table.column(part).take(pa.array(at))).append_column("_times", pa.array(times[at])).append_column("_first", pa.array(first))
+                yield from out.to_batches()
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            while held is not None and (held.num_rows > chunk or last and held.num_rows):
+                yield from draw(held.slice(0, chunk), last and held.num_rows <= chunk)
+                held = held.slice(chunk)
+
+        rest = 0.0
+        for batch in batches:
+            parts = batch.column(part).to_numpy()
+            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(parts)) + 1)], [*cuts[1:], len(parts)]):
+                if a == b:
+                    continue
+                if parts[a] != now:
+                    yield from flush(True)
+                    now, held, before = int(parts[a]), None, 0
+                    left, rest = totals.get(now, (0, 0.0))
+                    rng = np.random.default_rng([seed, now])
+                piece = pa.Table.from_batches([batch.slice(a, b - a)])
+                held = piece if held is None else pa.concat_tables([held, piece])
+                yield from flush(False)
+        yield from flush(True)
+
+    return rows
+
+
+def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id", parts: int = 1024, chunk: int = 4096) -> DataFrame:
+    """n draws with replacement: a group by its weight, then a row of it at random; draw is the draw's number, in no order of rows.
+
+    Nothing is joined to a drawn row. Rows are dealt out into parts by a hash of their key; the draws are dealt out to the parts by their
+    sums of weights (a multinomial of ``parts`` numbers, all that the driver sees), and in each part to its rows. A drawn row is then
+    repeated in place, in pieces, so one that is drawn a million times is no key of anything. The draws follow from seed and keys (which
+    must be unique), on any cluster.
+    """
+    hashed = F.md5(F.concat_ws("|", F.lit(f"{seed}-row"), F.col(key).cast("string")))
+    # exact sums, so that the order of adding does not show
+    weight = F.col("weight").cast("decimal(30,18)")
+    dealt = sample_weights(rows, strategy).withColumns({"_hash": hashed, "_part": F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % parts, "_weight": weight}).drop("weight")
+    sums = {p: float(w) for p, w in dealt.groupBy("_part").agg(F.sum("_weight")).collect()}
+    whole = sum(sums.values())
+    counts = np.random.default_rng(seed).multinomial(n, [sums.get(p, 0.0) / whole for p in range(parts)]) if whole else np.zeros(parts, int)
+    totals = {p: (int(counts[p]), w) for p, w in sums.items()}
+    moved = dealt.select(*rows.columns, "_part", "_hash", F.col("_weight").cast("double").alias("_weight")).repartition("_part").sortWithinPartitions("_part", "_hash", key)
+    places = [moved.columns.index(c) for c in ("_weight", "_part")]
+    schema = moved.select(*rows.columns).schema.add("_part", "long").add("_times", "long").add("_first", "long")
+    drawn = moved.mapInArrow(_drawn(totals, seed, *places, [*range(len(rows.columns))], chunk), schema)
+    step = F.lit(10_000)
+    pieces = drawn.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_times - 1) div 10000"))))
+    each = pieces.withColumn("_k", F.explode(F.sequence(F.col("_piece") * step, F.least((F.col("_piece") + 1) * step, F.col("_times")) - 1)))
+    start = F.get(F.array(*(F.lit(v).cast("long") for v in (np.cumsum(counts) - counts).tolist())), F.col("_part").cast("int"))
+    # a permutation of 0 .. n - 1 in place of a sort
+    a = next(x for x in range(int(n * 0.618) | 1, n * 2 + 3) if math.gcd(x, n) == 1) if n else 1
+    number = F.pmod((start + F.col("_first") + F.col("_k")).cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(seed % max(1, n)).cast("decimal(19,0)"), F.lit(max(1, n)).cast("decimal(19,0)")).cast("long")
+    return each.select(number.alias("draw"), *rows.columns)
+
+
+def loo_membership(rows: DataFrame, conditions: dict[str, list[str]]) -> DataFrame:
+    """rows, each once, with what it is in the folds that hold out one speaker each: out_of (the speaker in whose fold it does not train), validates (whether it validates there: originals do), trains_in (the settings whose training sets have its condition).
+
+    A fold's membership follows from these by loo_fold; no row stands once for each fold. conditions: by setting the conditions that it
+    trains on, as ``{"flipped": ["original", "hflip"]}``.
     """
-    keys = ["speaker_id", "word"]
-    groups = sample_weights(rows, strategy).groupBy(*keys).agg(F.count("*").alias("many"), F.sum("weight").alias("weight"))
-    order = Window.orderBy(*keys)
-    groups = groups.withColumn("upto", F.sum("weight").over(order)).withColumn("hi", F.col("upto") / F.max("upto").over(Window.partitionBy()))
-    groups = groups.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).drop("upto", "weight")
-    cell = lambda x: F.floor(x * cells)
-    groups = groups.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(cells - 1)))))
-    uniform = lambda salt: F.pmod(F.xxhash64(F.lit(f"{seed}-{salt}"), "id"), F.lit(1 << 53)) / float(1 << 53)
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform("group").alias("u"), uniform("row").alias("v"))
-    drawn = draws.withColumn("cell", cell(F.col("u"))).join(groups, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    drawn = drawn.select("draw", *keys, (F.floor(F.col("v") * F.col("many")) + 1).alias("_rank"))
-    return drawn.join(numbered(rows, keys, seeded(seed, key), [key]).drop("_n"), [*keys, "_rank"]).drop("_rank")
+    trains = F.array_compact(F.array(*(F.when(F.col("condition").isin(own), F.lit(name)) for name, own in conditions.items())))
+    return rows.withColumns({"out_of": F.col("speaker_id"), "validates": F.col("condition") == "original", "trains_in": trains})
+
+
+def loo_fold(members: DataFrame, speaker: str, setting: str, part: str | None = None) -> DataFrame:
+    """The rows of one fold (or of one part of it) with their part: the speaker's originals validate, all others' rows of the setting's conditions train.
+
+    It is a filter; of a table saved by out_of (save_folds) only the folders of the part are read. Rows without a speaker train.
+    """
+    own = F.col("out_of").eqNullSafe(speaker)
+    validation, train = (F.col("out_of") == speaker) & F.col("validates"), ~own & F.array_contains("trains_in", setting)
+    rows = members.where({"validation": validation, "train": train, None: validation | train}[part])
+    return rows.withColumn("part", F.when(own, "validation").otherwise("train"))
 
 
 def loo_folds(rows: DataFrame, speakers: DataFrame) -> DataFrame:
     """Membership in each held-out speaker's fold: originals of that speaker validate, all other rows (condition tells copies) train.
 
-    The result has every row once for each fold by its nature; for sizes use loo_fold_sizes, and name few speakers here.
+    The result has every row once for each fold by its nature; for sizes use loo_fold_sizes, for membership loo_membership, and name few speakers here.
     """
     held = rows.join(speakers.select(F.col("speaker_id").alias("fold_speaker")))
     own = F.col("speaker_id") == F.col("fold_speaker")
@@ -180,7 +269,3 @@ def class_weights(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     counts = rows.join(vocab, "word", "left_semi").groupBy("word").agg((1 / F.count("*")).alias("w"))
     mean = counts.agg(F.avg("w").alias("mean"))
     return counts.join(F.broadcast(mean)).select("word", F.round(F.col("w") / F.col("mean"), 6).alias("weight"))
-
-
-def clip_stem(rows: DataFrame, path: str = "clip_path") -> DataFrame:
-    return rows.withColumn("stem", path_stem(F.col(path)))

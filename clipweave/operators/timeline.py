@@ -2,49 +2,102 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import CUE_TIMES, WHITE, is_silence, lines, parse_srt_time, path_stem, strip
 from ..sources.shared import saved
-from .ranks import matched, medians
+from .ranks import matched, medians, placed
 
 
 def parse_srt(texts: DataFrame) -> DataFrame:
     """file, cue_no, start_sec, end_sec, text of the cues of subtitle texts (file, text): a blank line or a line of times ends a cue, numbers on their own lines and tags go, cues without text too."""
-    rows = texts.select("file", F.posexplode(lines(F.col("text"))).alias("at", "line")).withColumn("line", strip(F.col("line")))
+    rows = texts.select("file", F.posexplode(lines(F.regexp_replace("text", "^\ufeff", ""))).alias("at", "line")).withColumn("line", strip(F.col("line")))
     timing = F.col("line").rlike(CUE_TIMES)
     order = Window.partitionBy("file").orderBy("at")
     rows = rows.withColumn("part", F.sum(F.when(timing | (F.col("line") == ""), 1).otherwise(0)).over(order))
-    said = F.when(~timing & (F.col("line") != "") & ~F.col("line").rlike(r"^\d+$"), F.struct("at", "line"))
+    said = F.when(~timing & (F.col("line") != "") & ~F.col("line").rlike(r"(?U)^\d+$"), F.struct("at", "line"))
     cues = rows.groupBy("file", "part").agg(F.max(F.when(timing, F.col("line"))).alias("times"), F.sort_array(F.collect_list(said)).alias("said")).where("times is not null")
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform("said", lambda x: x["line"]), " "), r"<[^>]+>", " "), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform("said", lambda x: x["line"]), " "), r"<[^>]+>", " "), rf"(?U){WHITE}+", " "))
     cues = cues.select("file", "part", parse_srt_time(F.regexp_extract("times", CUE_TIMES, 1)).alias("start_sec"), parse_srt_time(F.regexp_extract("times", CUE_TIMES, 2)).alias("end_sec"), text.alias("text")).where("text <> ''")
     return cues.select("file", F.row_number().over(Window.partitionBy("file").orderBy("part")).cast("long").alias("cue_no"), "start_sec", "end_sec", "text")
 
 
+_ODD_LETTERS = re.compile("[^0-9a-zа-я-]+")
+
+
+@functools.lru_cache(1 << 16)
+def _plain(token: str) -> str:
+    """A token as it is compared."""
+    return _ODD_LETTERS.sub("", token.lower().replace("ё", "е"))
+
+
+def overlap(before: list[str], now: list[str]) -> int:
+    """Length of the longest start of now that ends before, in linear time: now's own starts and ends say how far a match that breaks off may go back."""
+    tail = before[-len(now) :]
+    if not tail or now[0] not in tail:
+        return 0
+    tail = tail[tail.index(now[0]) :]
+    back, k = [0] * len(now), 0
+    for i in range(1, len(tail)):
+        while k and now[i] != now[k]:
+            k = back[k - 1]
+        k += now[i] == now[k]
+        back[i] = k
+    k = 0
+    for token in tail:
+        while k and token != now[k]:
+            k = back[k - 1]
+        k += token == now[k]
+    return k
+
+
 def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") -> DataFrame:
-    """keys, text, n_tokens: cues one after the other, each without the longest start that ends the cue before it (by normalized tokens; cues without any are skipped).
+    """keys, text, n_tokens: cues one after the other, each without the longest start that ends the cue before it (by normalized tokens; tokens and cues that normalize to nothing are skipped).
 
-    A cue is two texts, its tokens as they are and normalized; the longest common end and start is the leftmost match of one pattern over
-    the cue before and this one, so no arrays are compared.
+    Cues are sorted by key and read in turn; a task remembers the cue before, and what is new of its key.
     """
-    odd = F.col("text").rlike(r"[^\S ]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |^ | $")
-    line = F.when(odd, strip(F.regexp_replace("text", rf"(?U){WHITE}+", " "))).otherwise(F.col("text"))
-    # texts move before anything is matched, or few input splits do all of it; what is not spoken is left out by its first letter, the cheapest test
-    rows = cues.where(F.col("text").rlike(r"(?iu)[0-9a-zа-яё\-\u0130]")).select(*keys, order, "text").repartition(*keys).select(*keys, order, line.alias("line"))
-    rows = rows.withColumn("plain", F.regexp_replace(F.replace(F.lower("line"), F.lit("ё"), F.lit("е")), r"[^0-9a-zа-я\- ]+", ""))
-    # tokens that normalize to nothing go: rare, so the arrays are made for such cues only
-    real = F.transform(F.filter(F.arrays_zip(F.split("line", " ").alias("t"), F.split("plain", " ").alias("p")), lambda x: x["p"] != ""), lambda x: x["t"])
-    gaps = F.col("plain").contains("  ") | F.col("plain").startswith(" ") | F.col("plain").endswith(" ")
-    rows = rows.withColumns({"line": F.when(gaps, F.array_join(real, " ")).otherwise(F.col("line")), "plain": F.when(gaps, F.trim(F.regexp_replace("plain", " +", " "))).otherwise(F.col("plain"))})
-    before = F.coalesce(F.lag("plain").over(Window.partitionBy(*keys).orderBy(order)), F.lit(""))
-    rows = rows.select(*keys, order, "line", F.size(F.split("plain", " ")).alias("n"), F.concat(before, F.lit("\x01"), "plain").alias("pair"))
-    same = F.regexp_extract("pair", "(?:^| )([^\x01]++)\x01\\1(?: |$)", 1)
-    rows = rows.select(*keys, order, "line", (F.col("n") - F.when(same == "", 0).otherwise(F.size(F.split(same, " ")))).alias("new"))
-    fresh = F.when(F.col("new") > 0, F.struct(order, F.expr("substring_index(line, ' ', -new)").alias("fresh")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(fresh)), lambda x: x["fresh"]), " ")
-    return rows.groupBy(*keys).agg(joined.alias("text"), F.sum("new").cast("int").alias("n_tokens"))
+    rows = cues.where(F.col("text").isNotNull()).select(*keys, order, "text").repartition(*keys).sortWithinPartitions(*keys, order)
+    many = len(keys)
+    fields = StructType([*rows.select(*keys).schema, StructField("text", StringType()), StructField("n_tokens", IntegerType())])
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before, fresh, kinds, done = None, [], [], None, []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([" ".join(d[many]) for d in done], pa.string()), pa.array([len(d[many]) for d in done], pa.int32())], names=fields.names)
+
+        for given in batches:
+            kinds = kinds or [c.type for c in given.columns[:many]]
+            own = list(zip(*(c.to_pylist() for c in given.columns[:many])))
+            for key, text in zip(own, given.column(many + 1).to_pylist()):
+                if key != now:
+                    if fresh:
+                        done.append((*now, fresh))
+                        if len(done) >= 1000 or sum(len(d[many]) for d in done[-1:]) > 100_000:
+                            yield batch()
+                            done = []
+                    now, before, fresh = key, [], []
+                tokens = text.split()
+                plain = list(map(_plain, tokens))
+                if "" in plain:
+                    tokens, plain = [t for t, p in zip(tokens, plain) if p], [p for p in plain if p]
+                if plain:
+                    fresh += tokens[overlap(before, plain) :]
+                    before = plain
+        if fresh:
+            done.append((*now, fresh))
+        if done:
+            yield batch()
+
+    return rows.mapInArrow(collapse, fields)
 
 
 def chunk_cues(cues: DataFrame, keys: list[str], total: str, chunk_sec: int = 300, min_text_tokens: int = 20, order: str = "cue_no", max_sec: float | None = None) -> DataFrame:
@@ -150,27 +203,30 @@ def overlap_pairs(manifest: DataFrame, width: float, by: tuple[str, ...] = ("sou
 
 
 def overlap_summary(pairs: DataFrame, long_sec: float = 0.20, width: float = 0.05) -> DataFrame:
-    """By speaker (null: all): pairs, median and largest overlap, pairs that overlap at least long_sec and at least half of the shorter. width: of the bins that find the median."""
+    """By speaker (null: all): pairs, median and largest overlap, pairs that overlap at least long_sec and at least half of the shorter. width: of the bins that find the median.
+
+    The pairs are made once: counts by speaker and overlap are saved, and both levels are sums over these.
+    """
+    counted = pairs.groupBy("speaker_id", "overlap_sec").agg(F.count("*").alias("n"), F.count_if(F.col("overlap_ratio_shorter") >= 0.5).alias("half"))
     both = F.explode(F.array(F.struct(F.lit(1).alias("all_speakers"), F.lit(None).cast("string").alias("speaker_id")), F.struct(F.lit(0).alias("all_speakers"), F.col("speaker_id").alias("speaker_id"))))
-    rows = pairs.select(both.alias("x"), "overlap_sec", "overlap_ratio_shorter").select("x.*", "overlap_sec", "overlap_ratio_shorter")
+    rows = saved(counted, "overlaps").select(both.alias("x"), "overlap_sec", "n", "half").select("x.*", "overlap_sec", "n", "half")
     keys = ["all_speakers", "speaker_id"]
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("pairs"), F.max("overlap_sec").alias("max_overlap_sec"), F.count_if(F.col("overlap_sec") >= long_sec).alias("long_pairs"), F.count_if(F.col("overlap_ratio_shorter") >= 0.5).alias("half_pairs"),
-    )
-    return matched(sums, medians(rows, "overlap_sec", keys, width), keys).withColumn("median_overlap_sec", F.round("median", 6)).drop("median")
+    sums = rows.groupBy(*keys).agg(F.sum("n").alias("pairs"), F.max("overlap_sec").alias("max_overlap_sec"), F.sum(F.when(F.col("overlap_sec") >= long_sec, F.col("n")).otherwise(0)).alias("long_pairs"), F.sum("half").alias("half_pairs"))
+    return matched(sums, medians(rows, "overlap_sec", keys, width, "n"), keys).withColumn("median_overlap_sec", F.round("median", 6)).drop("median")
 
 
 def timing_variants(segments: DataFrame, variants: DataFrame, fps: float, width: float = 2.0, max_duration_sec: float | None = None) -> DataFrame:
     """By variant (variant, pad_frames, start_pad, end_pad; a small table): clips, their median and mean seconds, clips of half a second or more, and overlapping pairs of different words."""
     start, end = _padded(F.lit(float(fps)), F.col("pad_frames"), F.col("start_pad"), F.col("end_pad"))
-    rows = segments.join(F.broadcast(variants)).withColumns({"start_sec": start, "end_sec": end})
+    rows = saved(segments.select("video", "seg_idx", "word", "start_frame", "end_frame"), "segments").join(F.broadcast(variants)).withColumns({"start_sec": start, "end_sec": end})
     if max_duration_sec is not None:
         rows = rows.where(F.col("end_sec") - F.col("start_sec") <= max_duration_sec)
-    rows = saved(_manifest_seconds(rows).select("variant", F.col("video").alias("source_video"), "word", F.format_string("%s_%06d.mp4", "video", "seg_idx").alias("clip_file"), F.lit("").alias("speaker_id"), "start_sec", "end_sec"), "variants")
-    rows = rows.withColumn("sec", F.col("end_sec") - F.col("start_sec"))
-    sums = rows.groupBy("variant").agg(F.count("*").alias("clips"), F.round(F.avg(F.col("sec").cast("double")), 6).alias("mean_sec"), F.count_if(F.col("sec") >= 0.5).alias("half_second"))
+    rows = _manifest_seconds(rows).select("variant", F.col("video").alias("source_video"), "word", F.format_string("%s_%06d.mp4", "video", "seg_idx").alias("clip_file"), F.lit("").alias("speaker_id"), "start_sec", "end_sec")
+    counted = saved(rows.groupBy("variant", (F.col("end_sec") - F.col("start_sec")).alias("sec")).agg(F.count("*").alias("n")), "lengths")
+    many = F.sum("n")
+    sums = counted.groupBy("variant").agg(many.alias("clips"), F.round(F.sum(F.col("sec").cast("double") * F.col("n")) / many, 6).alias("mean_sec"), F.sum(F.when(F.col("sec") >= 0.5, F.col("n")).otherwise(0)).alias("half_second"))
     pairs = overlap_pairs(rows, width, by=("variant", "source_video")).groupBy("variant").agg(F.count("*").alias("overlap_pairs"))
-    sums = sums.join(medians(rows, "sec", ["variant"], 0.05), "variant").join(pairs, "variant", "left")
+    sums = sums.join(medians(counted, "sec", ["variant"], 0.05, "n"), "variant").join(pairs, "variant", "left")
     return sums.select("variant", "clips", F.round("median", 6).alias("median_sec"), "mean_sec", "half_second", F.coalesce("overlap_pairs", F.lit(0)).alias("overlap_pairs"))
 
 
@@ -222,35 +278,54 @@ def frame_geometry(points: DataFrame, left_eye: list[int], right_eye: list[int],
     return rows.select("clip_id", "frame_idx", *(F.when(ok, c).alias(n) for n, c in (("cx", F.col("cx")), ("cy", F.col("cy")), ("side", side), ("angle", F.degrees(F.atan2(dy, dx))))))
 
 
-def interpolate_gaps(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """Nulls filled on a straight line between the values around, or with the nearest value at the ends; keys without any value go."""
-    w = Window.partitionBy(key).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = rows
-    for c in columns:
-        pair = F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("v")))
-        out = out.withColumn(f"{c}_0", F.last(pair, ignorenulls=True).over(back)).withColumn(f"{c}_1", F.first(pair, ignorenulls=True).over(ahead))
+def interpolate_gaps(rows: DataFrame, key: str, order: str, columns: list[str], part_rows: int = 1 << 16) -> DataFrame:
+    """Nulls filled on a straight line between the values around, or with the nearest value at the ends; keys without any value go. Rows whose order is null are not filled from others.
+
+    Values are looked for inside parts of ``part_rows`` of the order, so a long key is many tasks; each part's first and last known values are handed
+    on to the parts around it.
+    """
+    part = [key, "_part"]
+    rows = rows.withColumn("_part", F.floor(F.col(order) / part_rows))
+    pair = {c: F.when(F.col(c).isNotNull() & F.col(order).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("v"))) for c in columns}
+    ends = rows.groupBy(*part).agg(*(f(pair[c]).alias(f"{c}{s}") for c in columns for s, f in (("_1", F.min), ("_0", F.max))))
+    parts = Window.partitionBy(key).orderBy("_part")
+    past, later = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    around = [x for c in columns for x in (F.last(f"{c}_0", ignorenulls=True).over(past).alias(f"_{c}_0"), F.first(f"{c}_1", ignorenulls=True).over(later).alias(f"_{c}_1"))]
+    out = matched(rows, ends.select(*part, *around), part)
+    inside = Window.partitionBy(*part).orderBy(order)
+    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    out = out.withColumns({n: x for c in columns for n, x in ((f"{c}_0", F.coalesce(F.last(pair[c], ignorenulls=True).over(back), f"_{c}_0")), (f"{c}_1", F.coalesce(F.first(pair[c], ignorenulls=True).over(ahead), f"_{c}_1")))})
     for c in columns:
         a, b = F.col(f"{c}_0"), F.col(f"{c}_1")
-        part = (F.col(order) - a["at"]) / F.nullif(b["at"] - a["at"], F.lit(0))
-        value = F.coalesce(F.col(c), a["v"] + (b["v"] - a["v"]) * part, a["v"], b["v"])
-        out = out.withColumn(c, value).drop(f"{c}_0", f"{c}_1")
-    return out.where(F.col(columns[0]).isNotNull())
+        share = (F.col(order) - a["at"]) / F.nullif(b["at"] - a["at"], F.lit(0))
+        value = F.coalesce(F.col(c), a["v"] + (b["v"] - a["v"]) * share, a["v"], b["v"])
+        out = out.withColumn(c, value).drop(f"{c}_0", f"{c}_1", f"_{c}_0", f"_{c}_1")
+    return out.drop("_part").where(F.col(columns[0]).isNotNull())
+
 
+def rolling_median(rows: DataFrame, key: str, order: str, columns: list[str], radius: int = 2, part_rows: int = 1 << 16) -> DataFrame:
+    """Each value replaced by the median of the values of up to radius rows on either side and its own.
 
-def rolling_median(rows: DataFrame, key: str, order: str, columns: list[str], radius: int = 2) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-radius, radius)
-    return rows.withColumns({c: F.percentile(c, F.lit(0.5)).over(w) for c in columns})
+    A key is cut into parts of ``part_rows`` rows, each with copies of the radius rows before and after it, so a long key is many tasks.
+    """
+    if part_rows < radius:
+        raise ValueError("a part must hold the rows that it hands on")
+    rows = placed(rows, key, order, part_rows)
+    own, inside = F.floor(F.col("_at") / part_rows), F.col("_at") % part_rows
+    parts = F.array_compact(F.array(own, F.when((inside < radius) & (own > 0), own - 1), F.when(inside >= part_rows - radius, own + 1)))
+    w = Window.partitionBy(key, "_part").orderBy("_at").rowsBetween(-radius, radius)
+    found = rows.withColumn("_part", F.explode(parts)).withColumns({c: F.percentile(c, F.lit(0.5)).over(w) for c in columns})
+    return found.where(F.col("_part") == F.floor(F.col("_at") / part_rows)).drop("_part", "_at")
 
 
-def detection_gate(geometry: DataFrame, least: float = 0.70) -> DataFrame:
+def detection_gate(geometry: DataFrame, least: float = 0.70, part_rows: int = 1 << 16) -> DataFrame:
     """By clip: frames, detected frames, their share, and a status; of clips that pass also the frames to fill and the mean side after filling and smoothing.
 
     The exact share decides; it is tested before anything else, so a clip without any hit is of a low share unless least is 0.
     """
     total, hits = F.col("total_frames"), F.col("landmark_frames")
     rows = geometry.groupBy("clip_id").agg(F.count("frame_idx").alias("total_frames"), F.count("cx").alias("landmark_frames"))
-    smooth = rolling_median(interpolate_gaps(geometry.select("clip_id", "frame_idx", "side"), "clip_id", "frame_idx", ["side"]), "clip_id", "frame_idx", ["side"])
+    smooth = rolling_median(interpolate_gaps(geometry.select("clip_id", "frame_idx", "side"), "clip_id", "frame_idx", ["side"], part_rows), "clip_id", "frame_idx", ["side"], part_rows=part_rows)
     share = F.coalesce(F.try_divide(hits, total), F.lit(0.0))
     status = F.when(total == 0, "no_frames").when(share < least, "low_detection_ratio").when(hits == 0, "no_landmarks").otherwise("ok")
     rows = rows.join(smooth.groupBy("clip_id").agg(F.avg("side").alias("side")), "clip_id", "left").withColumn("landmark_status", status)

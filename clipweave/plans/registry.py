@@ -50,11 +50,11 @@ def read_labels(t: Tables) -> DataFrame:
     return io.read_labels(t.spark, path, exact=True)
 
 
-@query()
+@query(f"WITH {I.FRAMES} SELECT video, frame_idx, label FROM f")
 def read_frame_labels(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "frames")
-    t.frames().repartitionByRange("video").sortWithinPartitions("video", "frame_idx").select("label").write.text(path)
-    return io.read_frame_labels(t.spark, path + "/*.txt")
+    t.frames().repartition("video").sortWithinPartitions("video", "frame_idx").select("video", "label").write.partitionBy("video").text(path)
+    return io.read_frame_labels(t.spark, path + "/*/*.txt", by_folder=True)
 
 
 @query(f"WITH {I.LABELS} SELECT split, count(*) AS clips, count(DISTINCT word) AS words FROM l GROUP BY 1")
@@ -64,6 +64,13 @@ def write_split_set(t: Tables) -> DataFrame:
     return io.read_split_set(t.spark, path).groupBy("split").agg(F.count("*").alias("clips"), F.count_distinct("word").alias("words"))
 
 
+@query(f"WITH {I.LABELS} SELECT split, 'split' AS kind, split AS name, count(*) AS clips FROM l GROUP BY 1 UNION ALL SELECT split, 'speaker', speaker_id, count(*) FROM l GROUP BY 1, 3 UNION ALL SELECT split, 'word', word, count(*) FROM l GROUP BY 1, 3")
+def split_set_summary(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "split_set")
+    io.write_split_set(t.labels_table(), path)
+    return io.read_split_summary(t.spark, path)
+
+
 @query("SELECT vec_id, label, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def read_write_features(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "features")
@@ -184,6 +191,16 @@ def map_crop_to_source(t: Tables) -> DataFrame:
     return C.map_prefix(t.labels_table().select("ord", "clip_path"), PREFIXES, "clip_path").select("ord", "mapped_path")
 
 
+@query(f"""WITH {I.LABELS}, p AS (SELECT DISTINCT 'clips/' || word || '/' || speaker_id AS prefix, 'raw/' || speaker_id || '/' || word AS target FROM l WHERE speaker_id <> 'spk4' UNION SELECT DISTINCT 'clips/' || word, 'all/' || word FROM l WHERE word <> 'view'),
+    w AS (SELECT ord, clip_path, string_split(clip_path, '/') AS s FROM l), q AS (SELECT ord, clip_path, array_to_string(s[1:k], '/') AS prefix FROM w, range(1, 6) t(k) WHERE k <= len(s)),
+    b AS (SELECT ord, arg_max(target || substr(clip_path, len(prefix) + 1), len(prefix)) AS mapped_path FROM q JOIN p USING (prefix) GROUP BY 1) SELECT ord, mapped_path FROM l LEFT JOIN b USING (ord)""")
+def map_prefix_table(t: Tables) -> DataFrame:
+    rows = t.labels_table()
+    folders = rows.where("speaker_id <> 'spk4'").select(F.concat_ws("/", F.lit("clips"), "word", "speaker_id").alias("prefix"), F.concat_ws("/", F.lit("raw"), "speaker_id", "word").alias("target")).distinct()
+    words = rows.where("word <> 'view'").select(F.concat_ws("/", F.lit("clips"), "word").alias("prefix"), F.concat_ws("/", F.lit("all"), "word").alias("target")).distinct()
+    return C.map_prefix_table(rows.select("ord", "clip_path"), folders.union(words), "clip_path").select("ord", "mapped_path")
+
+
 @query("""SELECT event_id, 'out/' || CASE WHEN event_type = 'error' THEN 'err_or' ELSE event_type END || '/spk' || (user_id % 19) || '/v' || user_id || '_' || CASE WHEN event_id < 500 THEN '' ELSE '7' END
     || substr(CAST(1000000 + event_id AS VARCHAR), 2) || '.mp4' AS path FROM events""")
 def clip_output_path(t: Tables) -> DataFrame:
@@ -357,9 +374,18 @@ def largest_face_box(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, 'spk' || (user_id % 19) AS speaker_id, 'v' || (user_id % 10) AS video_dir FROM events WHERE NOT (user_id % 19 < 4 AND user_id % 10 = 3)")
 def exclude_videos(t: Tables) -> DataFrame:
+    return C.exclude_videos(*_jobs(t, 4))
+
+
+def _jobs(t: Tables, below: int) -> tuple[DataFrame, DataFrame]:
     jobs = t.events.select("event_id", F.concat(F.lit("spk"), F.col("user_id") % 19).alias("speaker_id"), F.concat(F.lit("v"), F.col("user_id") % 10).alias("video_dir"))
-    listed = jobs.select("speaker_id", "video_dir").distinct().select(F.concat(F.lit(" "), "speaker_id").alias("speaker_id"), "video_dir", F.when((F.substring("speaker_id", 4, 9).cast("int") < 4) & (F.col("video_dir") == "v3"), "Excluded ").otherwise("kept").alias("status"))
-    return C.exclude_videos(jobs, listed)
+    listed = jobs.select("speaker_id", "video_dir").distinct().select(F.concat(F.lit(" "), "speaker_id").alias("speaker_id"), "video_dir", F.when((F.substring("speaker_id", 4, 9).cast("int") < below) & (F.col("video_dir") == "v3"), "Excluded ").otherwise("kept").alias("status"))
+    return jobs, listed
+
+
+@query("""SELECT event_id, 'spk' || (user_id % 19) AS speaker_id, 'v' || (user_id % 10) AS video_dir FROM events WHERE user_id % 19 = 7 AND user_id % 10 <> 3 ORDER BY video_dir, event_id LIMIT 40""")
+def batch_jobs(t: Tables) -> DataFrame:
+    return C.exclude_videos(*_jobs(t, 8), speaker="spk7", limit=40, order=("video_dir", "event_id"))
 
 
 @query(f"WITH {I.BAD} SELECT clip_id, clip_path, clip_path IN (SELECT clip_path FROM bad WHERE clip_path <> '') OR clip_id IN (SELECT clip_id FROM bad WHERE clip_id <> '') AS removed FROM l")
@@ -544,15 +570,15 @@ def flagged_review_list(t: Tables) -> DataFrame:
     return C.flagged_review(C.quality_flags(t.measurements()), 50, "ord").select("clip_id", F.array_join("flags", ";").alias("flags"))
 
 
-@query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std FROM runs WHERE variant <> '1-URGENT' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1")
+@query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std FROM runs GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1")
 def best_variant(t: Tables) -> DataFrame:
-    return M.best_variant(M.run_summary(t.runs().where("variant <> '1-URGENT'"), "variant", "macro_f1"), "variant")
+    return M.best_variant(M.run_summary(t.runs(), "variant", "macro_f1"), "variant")
 
 
-@query(f"WITH {I.LABELS}, u AS (SELECT clip_id, clip_path, NULL AS extra, 0 AS o FROM l WHERE ord % 2 = 0 UNION ALL SELECT clip_id, 'b/' || clip_path, ord, 1 FROM l WHERE ord % 3 = 0) SELECT clip_id, clip_path, extra FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY o, clip_path) AS n FROM u) WHERE n = 1")
+@query(f"WITH {I.LABELS}, u AS (SELECT clip_id, clip_path, NULL AS extra, 0 AS o FROM l WHERE ord % 2 = 0 UNION ALL SELECT clip_id, 'b/' || clip_path, ord, 1 FROM l WHERE ord % 2 = 1 OR ord % 3 = 0) SELECT clip_id, clip_path, extra FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY o, clip_path) AS n FROM u) WHERE n = 1")
 def keep_first(t: Tables) -> DataFrame:
     rows = t.labels_table()
-    return S.keep_first([rows.where("ord % 2 = 0").select("clip_id", "clip_path"), rows.where("ord % 3 = 0").select("clip_id", F.concat(F.lit("b/"), "clip_path").alias("clip_path"), F.col("ord").alias("extra"))])
+    return S.keep_first([rows.where("ord % 2 = 0").select("clip_id", "clip_path"), rows.where("ord % 2 = 1 or ord % 3 = 0").select("clip_id", F.concat(F.lit("b/"), "clip_path").alias("clip_path"), F.col("ord").alias("extra"))])
 
 
 @query(f"""WITH {I.LABELS}, k AS (SELECT DISTINCT split, 'speaker_id' AS key, speaker_id AS value FROM l UNION ALL SELECT DISTINCT split, 'clip_id', clip_id FROM l UNION ALL SELECT DISTINCT split, 'word', word FROM l)
@@ -574,7 +600,8 @@ def augmented_union(t: Tables) -> DataFrame:
     return both.select("vec_id", "condition", F.array_join(F.transform(F.flatten("frames"), lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vals"))
 
 
-@query(f"WITH {I.RUNS} SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, NULL AS note FROM runs GROUP BY 1 UNION ALL SELECT 'majority', NULL, 0.2, NULL, 'baseline'")
+@query(f"""WITH {I.RUNS}, u AS (SELECT variant, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, NULL AS note FROM runs GROUP BY 1 UNION ALL SELECT 'majority', NULL, 0.2, NULL, 'baseline')
+    SELECT *, row_number() OVER (ORDER BY mean DESC, variant) AS place FROM u""")
 def model_comparison(t: Tables) -> DataFrame:
     base = t.spark.createDataFrame([("majority", 0.2, "baseline")], "variant string, mean double, note string")
     return M.model_comparison([M.run_summary(t.runs(), "variant", "macro_f1"), base])
@@ -583,12 +610,12 @@ def model_comparison(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- splits and samples
 
 
-@query(f"""WITH {I.LABELS}, d AS (SELECT path, CASE WHEN ord % 3 = 0 THEN 'yt_' WHEN ord % 3 = 1 THEN 'Self_' ELSE '' END || split_part(path, '/', 4) AS file, word, speaker_id, end_sec FROM listing JOIN l ON l.clip_path = listing.path)
+@query(f"""WITH {I.LABELS}, d AS (SELECT CASE WHEN ord % 3 = 0 THEN 'yt_' WHEN ord % 3 = 1 THEN 'Self_' ELSE '' END || split_part(clip_path, '/', 4) AS file, word, speaker_id, end_sec FROM l)
     SELECT 'ru_' || printf('%06d', row_number() OVER (ORDER BY word, speaker_id, file)) AS clip_id, 'clips/' || word || '/' || speaker_id || '/' || file AS clip_path, word, speaker_id,
         CASE WHEN starts_with(file, 'yt_') THEN 'youtube' ELSE 'self_recorded' END AS source, CAST(0 AS DECIMAL(12,3)) AS start_sec, CAST(greatest(end_sec, 0.001) AS DECIMAL(12,3)) AS end_sec FROM d""")
 def build_labels(t: Tables) -> DataFrame:
     named = F.concat(F.when(F.col("ord") % 3 == 0, "yt_").when(F.col("ord") % 3 == 1, "Self_").otherwise(""), "ord", F.lit(".mp4"))
-    rows = t.labels_table().where("ord % 7 <> 0").select(F.concat_ws("/", F.lit("clips"), "word", "speaker_id", named).alias("path"), F.col("end_sec").alias("duration_sec"))
+    rows = t.labels_table().select(F.concat_ws("/", F.lit("clips"), "word", "speaker_id", named).alias("path"), F.col("end_sec").alias("duration_sec"))
     return S.build_labels(io.media_inventory(rows.select("path")).join(rows, "path"))
 
 
@@ -602,6 +629,13 @@ def speaker_split(t: Tables) -> DataFrame:
     return S.speaker_split(t.labels_table().drop("split"), SPEAKERS).select("clip_id", "speaker_id", "split")
 
 
+@query(f"""WITH {I.LABELS}, k AS (SELECT * FROM l WHERE speaker_id NOT IN ('spk2', 'spk13')), w AS (SELECT word FROM k GROUP BY 1 ORDER BY count(*) DESC, min(clip_id) LIMIT 3)
+    SELECT clip_id, speaker_id, word, CASE WHEN speaker_id IN ({in_list(SPEAKERS['train'])}) THEN 'train' WHEN speaker_id IN ({in_list(SPEAKERS['val'])}) THEN 'val' ELSE 'test' END AS split
+    FROM k WHERE speaker_id IN ({in_list(sum(SPEAKERS.values(), []))}) AND word IN (SELECT word FROM w)""")
+def speaker_split_top(t: Tables) -> DataFrame:
+    return S.speaker_split(t.labels_table().drop("split"), SPEAKERS, exclude=["spk2", "spk13"], top=3).select("clip_id", "speaker_id", "word", "split")
+
+
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7|' || c_custkey), c_custkey) AS k FROM customer),
     a AS (SELECT *, greatest(1, CAST(round_even(n * CAST(0.8 AS DOUBLE), 0) AS INTEGER)) AS t0, CASE WHEN n >= 3 THEN greatest(1, CAST(round_even(n * CAST(0.1 AS DOUBLE), 0) AS INTEGER)) ELSE 0 END AS v0 FROM r),
     b AS (SELECT *, CASE WHEN t0 + v0 >= n THEN greatest(1, n - 2) ELSE t0 END AS t1, CASE WHEN t0 + v0 >= n THEN CASE WHEN n > 2 THEN 1 ELSE 0 END ELSE v0 END AS v1 FROM a)
@@ -631,8 +665,28 @@ def weighted_draw(t: Tables) -> DataFrame:
     return S.weighted_draw(rows, rows.count(), 11)
 
 
-@query(f"WITH {I.LABELS}, c AS (SELECT speaker_id, word, x.c AS condition FROM l, (VALUES ('original'), ('hflip')) x(c)), h AS (SELECT DISTINCT speaker_id AS fold_speaker FROM l) SELECT fold_speaker, CASE WHEN speaker_id = fold_speaker THEN 'validation' ELSE 'train' END AS part, count(*) AS n FROM c, h WHERE speaker_id <> fold_speaker OR condition = 'original' GROUP BY 1, 2")
+def _members(t: Tables) -> DataFrame:
+    rows = t.labels_table().select("clip_id", "speaker_id", "word")
+    both = X.augmented_union({"original": rows, "hflip": rows})
+    return S.loo_membership(both, {"plain": ["original"], "flipped": ["original", "hflip"]})
+
+
+@query(f"""WITH {I.LABELS} SELECT clip_id, speaker_id, word, x.c AS condition, speaker_id AS out_of, x.c = 'original' AS validates, CASE x.c WHEN 'original' THEN 'plain,flipped' ELSE 'flipped' END AS trains_in
+    FROM l, (VALUES ('original'), ('hflip')) x(c)""")
 def leave_one_out_folds(t: Tables) -> DataFrame:
+    return _members(t).withColumn("trains_in", F.array_join("trains_in", ","))
+
+
+@query(f"""WITH {I.LABELS} SELECT clip_id, speaker_id, x.c AS condition, CASE WHEN speaker_id = 'spk3' THEN 'validation' ELSE 'train' END AS part
+    FROM l, (VALUES ('original'), ('hflip')) x(c) WHERE speaker_id <> 'spk3' OR x.c = 'original'""")
+def leave_one_out_fold(t: Tables) -> DataFrame:
+    path = new_folder(t.spark, "folds")
+    io.save_folds(_members(t), path)
+    return S.loo_fold(io.load_folds(t.spark, path), "spk3", "flipped").select("clip_id", "speaker_id", "condition", "part")
+
+
+@query(f"WITH {I.LABELS}, c AS (SELECT speaker_id, word, x.c AS condition FROM l, (VALUES ('original'), ('hflip')) x(c)), h AS (SELECT DISTINCT speaker_id AS fold_speaker FROM l) SELECT fold_speaker, CASE WHEN speaker_id = fold_speaker THEN 'validation' ELSE 'train' END AS part, count(*) AS n FROM c, h WHERE speaker_id <> fold_speaker OR condition = 'original' GROUP BY 1, 2")
+def leave_one_out_sizes(t: Tables) -> DataFrame:
     rows = t.labels_table().select("speaker_id", "word")
     both = X.augmented_union({"original": rows, "hflip": rows})
     return S.loo_fold_sizes(both)
@@ -655,18 +709,33 @@ def validate_labels(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, 'spk' || (user_id % 19) AS speaker_id, CASE WHEN event_id % 4 <> 0 THEN 'v' || user_id || '_part' || printf('%03d', event_id % 5) END AS chunk_id, event_id % 4 <> 0 AND event_id % 5 < 3 AND user_id % 2 = 0 AS mapped FROM events""")
 def raw_source_map(t: Tables) -> DataFrame:
+    return _sources(t).withColumnRenamed("clip_id", "event_id")
+
+
+def _sources(t: Tables) -> DataFrame:
     e, speaker = F.col("event_id"), F.concat(F.lit("spk"), F.col("user_id") % 19).alias("speaker_id")
     chunk = F.concat(F.lit("v"), "user_id", F.lit("_part"), F.format_string("%03d", e % 5))
     labels = t.events.select(e.alias("clip_id"), speaker, F.concat(F.lit("c/"), F.when(e % 4 != 0, chunk).otherwise("odd"), F.lit("_000001.mp4")).alias("clip_path"))
     chunks = t.events.where("user_id % 2 = 0").select(speaker, "user_id").distinct().select("speaker_id", F.explode(F.array(*(F.concat(F.lit("v"), "user_id", F.lit(f"_part00{k}")) for k in range(3)))).alias("chunk_id"))
-    return C.raw_source_map(labels, chunks).withColumnRenamed("clip_id", "event_id")
+    return C.raw_source_map(labels, chunks)
+
 
+@query("""SELECT 'spk' || (user_id % 19) AS speaker_id, count(*) AS rows, count(*) FILTER (event_id % 4 <> 0 AND event_id % 5 < 3 AND user_id % 2 = 0) AS mapped,
+    round(count(*) FILTER (event_id % 4 <> 0 AND event_id % 5 < 3 AND user_id % 2 = 0) / count(*), 6) AS share FROM events GROUP BY 1""")
+def raw_source_share(t: Tables) -> DataFrame:
+    return C.mapped_share(_sources(t), F.col("mapped"), ["speaker_id"])
 
-@query(f"WITH {I.LABELS} SELECT DISTINCT clip_path, 'data/' || clip_path AS archive_name, FALSE AS unsafe, ord % 7 = 0 AS missing FROM l WHERE split IN ('train', 'val')")
+
+@query(f"WITH {I.LABELS} SELECT clip_path, 'data/' || clip_path AS archive_name, count(*) FILTER (split = 'train') AS in_train, count(*) FILTER (split = 'val') AS in_val, FALSE AS unsafe, any_value(ord % 7 = 0) AS missing FROM l WHERE split IN ('train', 'val') GROUP BY clip_path")
 def package_manifest(t: Tables) -> DataFrame:
     return C.package_manifest(t.labels_table(), t.listing(), ["train", "val"], "data")
 
 
+@query(f"WITH {I.LABELS} SELECT count(DISTINCT clip_path) AS clips, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, CAST(0 AS BIGINT) AS unsafe, count(DISTINCT CASE WHEN ord % 7 = 0 THEN clip_path END) AS missing FROM l WHERE split IN ('train', 'val')")
+def package_counts(t: Tables) -> DataFrame:
+    return C.package_counts(C.package_manifest(t.labels_table(), t.listing(), ["train", "val"], "data"), ["train", "val"])
+
+
 @query("SELECT sha256(text) AS fingerprint, count(*) AS clips, count(DISTINCT doc_id % 10) AS classes FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 10) > 1")
 def conflicting_duplicates(t: Tables) -> DataFrame:
     return C.conflicting_duplicates(t.documents.withColumn("word", F.col("doc_id") % 10), F.col("text"))
@@ -717,7 +786,14 @@ def temporal_mask(t: Tables) -> DataFrame:
     return t.frame_arrays().select("vec_id", sums(4, False).alias("total"), sums(5, True).alias("variable_total"))
 
 
-@query()
+def _noise_unit(k: int) -> str:
+    return f"((CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) + 0.5::DOUBLE) / CAST(4294967296 AS DOUBLE))"
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings),
+    d AS (SELECT stddev_samp(x) AS scale FROM e), m AS (SELECT *, md5('4noise|' || vec_id || '|' || i) AS h FROM e),
+    n AS (SELECT vec_id, label, CASE WHEN {_noise_unit(2)} >= 0.1::DOUBLE THEN (x + 0.05::DOUBLE * scale * sqrt(-2 * ln({_noise_unit(0)})) * cos(2 * pi() * {_noise_unit(1)})) / 0.9::DOUBLE ELSE 0 END AS y FROM m, d)
+    SELECT vec_id, label, round(sum(y), 6) AS total FROM n GROUP BY 1, 2""")
 def feature_noise(t: Tables) -> DataFrame:
     rows = X.feature_noise(t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", 0.05, 0.1, 4)
     return rows.select("vec_id", "label", F.round(X.total(F.col("embedding")), 6).alias("total"))

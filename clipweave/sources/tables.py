@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import path_name, path_suffix
+from ..functions.text import path_name, path_parent, path_suffix, strip
 
 LABELS = ["clip_id", "clip_path", "word", "speaker_id", "source", "start_sec", "end_sec"]
 # Endings of media files.
@@ -25,35 +24,64 @@ def read_labels(spark: SparkSession, path: str, required: list[str] = LABELS, ex
     return rows.withColumns({c: F.col(c).try_cast("decimal(12,3)") for c in ("start_sec", "end_sec") if c in rows.columns})
 
 
-@F.pandas_udf(StringType())
-def _decoded(content: pd.Series) -> pd.Series:
-    def decode(data: bytes) -> str:
-        try:
-            return data.decode("utf-8").removeprefix("﻿")
-        except UnicodeDecodeError:
-            return data.decode("cp1251", errors="replace")
+#: Letters of the one-byte encoding that stand for bytes over 127, in the order of these.
+_CYRILLIC = bytes(range(128, 256)).decode("cp1251", errors="replace")
 
-    return content.map(decode)
 
+def read_frame_labels(spark: SparkSession, glob: str, by_folder: bool = False) -> DataFrame:
+    """video, frame_idx, label of files with one label a line, in UTF-8 (a byte order mark is dropped) or, if any line of a file is none, cp1251. A file's name is the video's, or with by_folder its folder's (after ``video=``).
 
-def read_frame_labels(spark: SparkSession, glob: str) -> DataFrame:
-    """video, frame_idx, label of files with one label a line, in UTF-8 or else cp1251. A file is read whole, as it is a video's."""
-    files = spark.read.format("binaryFile").load(glob).select(F.regexp_replace(path_name(F.col("path")), r"\.[^.]*$", "").alias("video"), F.regexp_replace(_decoded("content"), r"\r?\n\z", "").alias("text"))
-    return files.select("video", F.posexplode(F.split("text", r"\r?\n")).alias("at", "label")).select("video", F.col("at").cast("long").alias("frame_idx"), F.trim("label").alias("label"))
+    Files are read in splits, so a long one is many tasks. A row's id tells its place in its task; each split's first id, its lines and
+    whether they are UTF-8 are counted, and added up by file: only these few numbers meet. An empty file has no row.
+    """
+    # bytes are kept as they are until it is known what they mean
+    text = F.regexp_replace("value", r"\r\z", "")
+    rows = spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("_raw"), text.alias("value"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"))
+    order = Window.partitionBy("_file").orderBy("_start")
+    splits = splits.select("_file", "_start", "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.min("_utf8").over(Window.partitionBy("_file")).alias("_utf8"))
+    rows = rows.join(splits, ["_file", "_start"]).withColumn("frame_idx", F.col("_before") + F.col("_id") - F.col("_first"))
+    old = F.translate(F.decode(F.col("_raw").cast("binary"), "ISO-8859-1"), "".join(map(chr, range(128, 256))), _CYRILLIC)
+    label = F.when(F.col("_utf8"), F.when(F.col("frame_idx") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))).otherwise(old)
+    path = F.try_url_decode("_file")
+    video = F.regexp_replace(path_name(path_parent(path)), "^[^=]*=", "") if by_folder else F.regexp_replace(path_name(path), r"\.[^.]*$", "")
+    return rows.select(video.alias("video"), "frame_idx", strip(label).alias("label"))
 
 
-def write_split_set(rows: DataFrame, path: str, split: str = "split", word: str = "word") -> None:
-    """The rows by split, and the vocabulary with class ids by the words' order."""
+def write_split_set(rows: DataFrame, path: str, split: str = "split", word: str = "word", speaker: str = "speaker_id") -> None:
+    """The rows by split, the vocabulary with class ids by the words' order, and a summary: clips by split, speaker and word."""
     from ..operators.splits import build_vocab
 
     rows.write.mode("overwrite").partitionBy(split).parquet(f"{path}/rows")
     build_vocab(rows, word).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+    own = [c for c in (speaker, word) if c in rows.columns]
+    sets = rows.groupingSets([[split], *([split, c] for c in own)], split, *own).agg(F.count("*").alias("clips"), *(F.grouping(c).alias(f"_{c}") for c in own))
+    name, kind = F.col(split), F.lit("split")
+    for c, label in ((word, "word"), (speaker, "speaker")):
+        if c in own:
+            name, kind = F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(name), F.when(F.col(f"_{c}") == 0, label).otherwise(kind)
+    sets.select(F.col(split).alias("split"), kind.alias("kind"), name.alias("name"), "clips").coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
 
 
 def read_split_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def read_split_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/summary")
+
+
+def save_folds(members: DataFrame, path: str) -> None:
+    """A membership table (splits.loo_membership), one folder for each speaker that is held out, so that a fold is read by folders."""
+    members.write.mode("overwrite").partitionBy("out_of").parquet(path)
+
+
+def load_folds(spark: SparkSession, path: str) -> DataFrame:
+    # a folder's name is a text, whatever it looks like
+    schema = StructType([StructField(f.name, StringType()) if f.name == "out_of" else f for f in spark.read.parquet(path).schema])
+    return spark.read.schema(schema).parquet(path)
+
+
 def save_features(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 

@@ -75,3 +75,7 @@ def test_fold_sizes(spark):
             assert (got[speaker, "train"], got[speaker, "validation"]) == sizes[speaker, "+".join(conditions)]
         whole = {(r.fold_speaker, r.part): r["count"] for r in splits.loo_folds(table, rows.select("speaker_id").distinct()).groupBy("fold_speaker", "part").count().collect()}
         assert whole == got
+        members = splits.loo_membership(table, {"all": conditions})
+        assert members.count() == table.count()
+        for speaker in speakers:
+            assert {(speaker, r.part): r["count"] for r in splits.loo_fold(members, speaker, "all").groupBy("part").count().collect()} == {k: n for k, n in got.items() if k[0] == speaker}

@@ -204,10 +204,10 @@ def test_label_ids_beyond_six_digits(spark):
 
 def test_noise_keeps_the_mean_and_drops_a_share(spark):
     rows = spark.range(300).select("id", F.array_repeat(F.lit(1.0), 200).alias("v"))
-    noisy = features.feature_noise(rows, "id", "v", 0.05, 0.1, 4)
+    noisy = features.feature_noise(rows, "id", "v", 0.05, 0.1, 4, scale=1.0)
     r = noisy.select(F.explode("v").alias("x")).agg(F.avg("x").alias("mean"), F.avg((F.col("x") == 0).cast("int")).alias("zero"), F.stddev(F.when(F.col("x") != 0, F.col("x"))).alias("sd")).first()
     assert abs(r["mean"] - 1) < 0.01 and abs(r.zero - 0.1) < 0.01 and abs(r.sd - 0.05 / 0.9) < 0.003
-    assert sorted(map(tuple, noisy.collect())) == sorted(map(tuple, features.feature_noise(rows.repartition(5), "id", "v", 0.05, 0.1, 4).collect()))
+    assert sorted(map(tuple, noisy.collect())) == sorted(map(tuple, features.feature_noise(rows.repartition(5), "id", "v", 0.05, 0.1, 4, scale=1.0).collect()))
 
 
 def test_probe_learns_from_the_other_speakers(spark):
