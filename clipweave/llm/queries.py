@@ -152,8 +152,10 @@ def _repair_sql() -> str:
         hit AS (SELECT g.*, crc % 20 AS h FROM given g JOIN (SELECT DISTINCT k, crc FROM crcs) USING (k)),
         dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM hit WHERE h <> 0),
         num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM dam),
-        flt AS (SELECT *, role || ':' || text AS line, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM num),
+        flt AS (SELECT *, role || ':' || text AS line, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM num),
         rws AS (SELECT *, fault IN ('', 'truncated') AS stays FROM flt),
         way AS (
             SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, e := '', t := []::VARCHAR[]) AS b0, {none} AS b1, {none} AS b2, {none} AS b3 FROM (SELECT DISTINCT conv_id FROM rws)
@@ -177,7 +179,8 @@ _CRC = """bits AS (
             SELECT k, pos + 1, list_reduce(list_prepend(xor(crc, CAST(ascii(k[pos + 1]) AS BIGINT)), [CAST(0 AS BIGINT) for x in range(8)]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) FROM bits WHERE pos < len(k)),
         crcs AS (SELECT k, xor(crc, CAST(4294967295 AS BIGINT)) AS crc FROM bits WHERE pos = len(k))"""
 
-_around, _share, _least = decontaminate.AROUND, decontaminate.SHARE, decontaminate.LEAST
+_around, _least = decontaminate.AROUND, decontaminate.LEAST
+_share = f"CASE {' '.join(f'WHEN compared >= {n} THEN {s}::DOUBLE' for n, s in decontaminate.SHARES)} END"
 SQL = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -208,7 +211,7 @@ SQL = {
             FROM dk JOIN ik USING (span, seed) JOIN d USING (doc_id) JOIN i USING (item_id)),
         e AS (SELECT *, hi - lo AS compared, len(list_filter(range(lo, hi), lambda k: w[first_word + k + 1] = v[k + 1])) AS same FROM h)
         SELECT doc_id, item_id, count(*) AS n_hits, min(first_word) AS first_word, CAST(arg_max(compared, 1000 * same - compared) AS BIGINT) AS compared, CAST(max(same) AS BIGINT) AS same
-        FROM e WHERE same >= {_share}::DOUBLE * compared AND compared >= least(len(v), {_least}) GROUP BY 1, 2
+        FROM e WHERE same >= {_share} * compared AND compared >= least(len(v), {_least}) GROUP BY 1, 2
     """,
     "op11_vector_codes": _codes_sql(),
     "op12_conversation_repair": _repair_sql(),

@@ -412,7 +412,7 @@ def found_by_masks(equal):
     for m in decontaminate.MASKS:
         for at in range(len(equal) - len(m) + 1):
             near = equal[max(0, at - decontaminate.AROUND) : at + len(m) + decontaminate.AROUND]
-            if all(equal[at + k] for k, c in enumerate(m) if c == "1") and sum(near) >= decontaminate.SHARE * len(near) and len(near) >= min(len(equal), decontaminate.LEAST):
+            if all(equal[at + k] for k, c in enumerate(m) if c == "1") and sum(near) >= next(s for least, s in decontaminate.SHARES if len(near) >= least) * len(near) and len(near) >= min(len(equal), decontaminate.LEAST):
                 return True
     return False
 
@@ -427,11 +427,39 @@ def test_recall_of_replaced_words_by_length_and_rate(n, rate):
 
 def test_what_the_masks_surely_find():
     assert all(found_by_masks([x % 5 != phase for x in range(n)]) for n in range(10, 101) for phase in range(5))
-    for n, k in ((5, 0), (8, 1), (9, 1), (12, 1)):
+    assert all("0" in m and m[0] == m[-1] == "1" for m in decontaminate.MASKS)
+    for n, k in ((6, 0), (7, 0), (8, 1), (9, 1), (12, 1)):
         assert all(found_by_masks([x not in gone for x in range(n)]) for gone in itertools.combinations(range(n), k)), (n, k)
     assert any(not found_by_masks([x not in gone for x in range(8)]) for gone in itertools.combinations(range(8), 2))
 
 
+def test_recall_of_short_items():
+    share = lambda n, k: np.mean([found_by_masks([x not in gone for x in range(n)]) for gone in itertools.combinations(range(n), k)])
+    assert share(7, 1) > 0.85 and share(10, 2) >= 0.97 and share(11, 2) >= 0.95
+    # too few equal words to tell: one of six, two of eight or nine
+    assert share(6, 1) == share(8, 2) == share(9, 2) == 0
+
+
+def test_common_phrases_are_no_passages(spark):
+    bench = spark.createDataFrame([(0, "What is the capital of the United States?"), (1, "How many of the following are true in the end?"), (2, "Which of the two is the larger one?")], "item_id long, text string")
+    docs = ["London is the capital of the United Kingdom and a port on the Thames", "What is the capital of the United Arab Emirates, and where is it?", "Most of the following are true in the beginning, none in the end", "It is said which of these two is the smaller one", "Ask: what is the capital of these United States? Nobody knows.", "Now, which of the two is the larger one? This one."]
+    frame = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    for most in (100_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, most).collect()} == {(1, 0), (4, 0), (5, 2)}
+
+
+def test_rows_that_repeat_an_id_are_one_document_on_both_paths(spark):
+    rng = Random(21)
+    items = [prose(rng, 20), prose(rng, 30)]
+    rows = [(1, items[0]), (1, items[0]), (1, f"{prose(rng, 9)} {items[1]}"), (1, prose(rng, 80)), (1, None), (2, items[0]), (3, f"{items[0]} {items[0]}"), (3, prose(rng, 5))]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = lambda rows, most: sorted(map(tuple, decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, most).collect()))
+    few, many = found(rows, 100_000), found(rows, 0)
+    assert few == many and [r[:2] for r in few] == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    alone = found([(1, items[0])], 100_000)[0]
+    assert few[0] == alone and few[2][2:] == alone[2:]
+
+
 def test_the_query_finds_what_the_masks_find(spark):
     rng, docs, want = Random(5), [], set()
     items = [[f"w{i}x{x}" for x in range(n)] for i, n in enumerate((16, 8, 25))]
