@@ -241,6 +241,11 @@ def linear_probe(rows: DataFrame, values: str, label: str, speaker: str, max_ite
     return rows.mapInArrow(scored, StructType([*rows.schema, StructField("pred_idx", IntegerType())]))
 
 
+def unioned(tables: list[DataFrame]) -> DataFrame:
+    """All tables' rows under all their columns."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def augmented_union(tables: dict[str, DataFrame]) -> DataFrame:
     """The tables' rows, each tagged with its condition."""
-    return reduce(lambda a, b: a.unionByName(b), [t.withColumn("condition", F.lit(c)) for c, t in tables.items()])
+    return unioned([t.withColumn("condition", F.lit(c)) for c, t in tables.items()])

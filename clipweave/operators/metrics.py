@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import total
+from .features import total, unioned
 
 
 def score_logits(rows: DataFrame, logits: str = "logits", true: str = "true_idx") -> DataFrame:
@@ -138,7 +136,7 @@ def decision_gate(summary: DataFrame, least_mean: float | None = None, least_win
 
 def model_comparison(tables: list[DataFrame], score: str = "mean", name: str = "variant") -> DataFrame:
     """All tables' rows under all their columns, the best score first (nulls last), then by name; place is the place in that order."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    rows = unioned(tables)
     order = [F.col(score).desc_nulls_last(), F.col(name)]
     # as many rows as there are models
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -138,22 +139,32 @@ def _drawn(totals: dict[int, int], seed: int, weight: int, part: int, columns: l
     return rows
 
 
-def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id", parts: int = 1024, chunk: int = 4096) -> DataFrame:
+#: Rows are dealt out by hash into at most so many parts of about so many rows.
+MOST_PARTS, PART_ROWS = 4096, 1 << 15
+
+
+def weighted_draw(rows: DataFrame, n: int, seed: int, strategy: str = "inverse", key: str = "clip_id", part_rows: int = PART_ROWS, chunk: int = 4096) -> DataFrame:
     """n draws with replacement: a group by its weight, then a row of it at random; draw is the draw's number, in no order of rows.
 
     Nothing is joined to a drawn row. Rows are dealt out into parts by a hash of their key; the draws are dealt out to the parts by their
-    sums of weights (a multinomial of ``parts`` numbers, all that the driver sees), and in each part to its rows. A drawn row is then
+    sums of weights (a multinomial of at most MOST_PARTS numbers, all that the driver sees), and in each part to its rows. A drawn row is then
     repeated in place, in pieces, so one that is drawn a million times is no key of anything. The draws follow from seed and keys (which
     must be unique), on any cluster.
     """
     hashed = F.md5(F.concat_ws("|", F.lit(f"{seed}-row"), F.col(key).cast("string")))
     # exact sums, so that the order of adding does not show
     weight = F.col("weight").cast("decimal(30,18)")
-    dealt = sample_weights(rows, strategy).withColumns({"_hash": hashed, "_part": F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % parts, "_weight": weight}).drop("weight")
-    sums = {p: float(w) for p, w in dealt.groupBy("_part").agg(F.sum("_weight")).collect()}
-    whole = sum(sums.values())
+    dealt = sample_weights(rows, strategy).withColumns({"_hash": hashed, "_part": F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % MOST_PARTS, "_weight": weight}).drop("weight")
+    found = dealt.groupBy("_part").agg(F.sum("_weight"), F.count("*")).collect()
+    parts = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, sum(r[2] for r in found)) / part_rows))))
+    exact: dict[int, Decimal] = {}
+    for part, total, _ in found:
+        exact[part % parts] = exact.get(part % parts, 0) + total
+    sums = {p: float(w) for p, w in exact.items()}
+    whole = sum(sums[p] for p in sorted(sums))
     counts = np.random.default_rng(seed).multinomial(n, [sums.get(p, 0.0) / whole for p in range(parts)]) if whole else np.zeros(parts, int)
     totals = {p: (int(counts[p]), w) for p, w in sums.items()}
+    dealt = dealt.withColumn("_part", F.col("_part") % parts)
     moved = dealt.select(*rows.columns, "_part", "_hash", F.col("_weight").cast("double").alias("_weight")).repartition("_part").sortWithinPartitions("_part", "_hash", key)
     places = [moved.columns.index(c) for c in ("_weight", "_part")]
     schema = moved.select(*rows.columns).schema.add("_part", "long").add("_times", "long").add("_first", "long")

@@ -845,7 +845,7 @@ def _evals(where: str) -> str:
 def eval_summary(t: Tables) -> DataFrame:
     report = M.class_report(t.scored(), t.classes(), ["seed"])
     parts = [M.eval_summary(report, m, ["seed"]).select("seed", F.lit(m).alias("mode"), "accuracy", "balanced_accuracy", "macro_f1", "predicted_classes") for m in ("active", "observed", "vocab")]
-    return M.model_comparison(parts)
+    return X.unioned(parts)
 
 
 @query(f"WITH {I.SCORED}, a AS (SELECT true_word AS word, count(*) AS n FROM s GROUP BY 1), b AS (SELECT predicted_word AS word, count(*) AS n FROM s GROUP BY 1) SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS true_count, coalesce(b.n, 0) AS predicted_count FROM a FULL JOIN b ON a.word = b.word")

@@ -40,7 +40,7 @@ def test_fold_membership_is_a_row_a_row_and_a_fold_is_a_filter(spark, tmp_path):
 
 def test_a_row_drawn_a_million_times(spark):
     rows = spark.range(2001).selectExpr("concat('c', id) AS clip_id", "if(id = 0, 'rare', 'often') AS word", "'s' AS speaker_id")
-    drawn = splits.weighted_draw(rows, 2_000_000, 3, parts=8, chunk=100)
+    drawn = splits.weighted_draw(rows, 2_000_000, 3, part_rows=300, chunk=100)
     counts = {r.clip_id: r["count"] for r in drawn.groupBy("clip_id").count().collect()}
     assert sum(counts.values()) == 2_000_000 and abs(counts["c0"] - 1_000_000) < 5_000
     others = [counts.get(f"c{k}", 0) for k in range(1, 2001)]
@@ -54,7 +54,7 @@ def test_a_row_drawn_a_million_times(spark):
 def test_draws_follow_the_weights(spark, strategy):
     rows = spark.range(60).selectExpr("id AS clip_id", "concat('s', id % 2) AS speaker_id", "if(id < 50, 'a', 'b') AS word")
     weights = {r.clip_id: r.weight for r in splits.sample_weights(rows, strategy).collect()}
-    got = Counter(r.clip_id for r in splits.weighted_draw(rows, 30_000, 9, strategy, chunk=7).collect())
+    got = Counter(r.clip_id for r in splits.weighted_draw(rows, 30_000, 9, strategy, part_rows=20, chunk=7).collect())
     for key, weight in weights.items():
         want = 30_000 * weight / sum(weights.values())
         assert abs(got[key] - want) < 6 * want**0.5
