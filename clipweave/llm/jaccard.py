@@ -40,8 +40,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bands of sizes, BANDS of them to a size class, and pieces that rows with band keys of many are dealt into.
+BANDS, PIECES = 4, 64
 #: Size classes: sets whose similarity reaches PERCENT are in the same class or in neighbouring ones.
 _SIZES = (100 / PERCENT) ** np.arange(0, 120)
+_BANDS = (100 / PERCENT) ** (np.arange(0, 120 * BANDS) / BANDS)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -218,6 +221,29 @@ def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent
     return np.concatenate(keys), np.concatenate(of)
 
 
+def band_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys for each pair of bands of sizes, the sets that they are of, and the set's side (0: the lower band, 1: the upper, 2: both bands are one): two sets that link have a key in common, on either side one or both on side 2.
+
+    Sets of n and m tokens that link share PERCENT (n + m) / (100 + PERCENT) at least. So, of tokens in one order (rare ones first, by often),
+    a set that meets one of a band with sizes from m on has one of its first n + 1 less so many in common with it. For sets of like sizes that is a ninth, not a fifth, of the tokens.
+    """
+    order = np.lexsort((tokens, often, doc))
+    tokens, doc = tokens[order], doc[order]
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = np.searchsorted(_BANDS, sizes, side="right") - 1
+    found = []
+    for apart in range(-BANDS, BANDS + 1):
+        other = own + apart
+        least = np.ceil(_BANDS[np.maximum(other, 0)]).astype(np.int64)
+        both = -(-PERCENT * (sizes + least) // (100 + PERCENT))
+        first = np.where(other >= 0, np.minimum(sizes, sizes - both + 1), 0)
+        chosen = place < first[doc]
+        salt = mixed((np.minimum(own, other) * (BANDS + 1) + abs(apart) + 1).astype(np.uint64))
+        side = 2 if not apart else int(apart < 0)
+        found.append((mixed(tokens[chosen] + salt[doc[chosen]]), doc[chosen], np.full(int(chosen.sum()), side, np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _label(digest: bytes) -> int:
     """Eight bytes of a set's digest, which stand for it in keys and pairs: equal sets are one there."""
     return int.from_bytes(digest[:8], "little", signed=True)
@@ -328,6 +354,73 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["first_a", "first_b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+_BANDED = "key long, doc_id long, component long, outside boolean, n int, side byte"
+
+
+def _banded(frequent, often, asked=None):
+    """Band keys of rows (doc_id, cluster, component, outside, text), salted with the cluster; with asked, a bitmap, only those that have their bit in it."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = frequent.value
+        for batch in slices(batches, 4, limit=1 << 20):
+            tokens, begins = shingle_sets(batch.column(4).cast(pa.binary()).to_pylist())
+            sizes = np.diff(begins)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
+            many = np.where(known[at] == tokens, count[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
+            if often:
+                many = np.maximum(many, _marked(often.value, mixed(tokens)))
+            keys, of, side = band_keys(tokens, doc, sizes, many)
+            keys = mixed(keys ^ mixed(batch.column(1).to_numpy().view(np.uint64))[of])
+            if asked:
+                keep = _marked(asked.value, keys)
+                keys, of, side = keys[keep], of[keep], side[keep]
+            columns = [pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in range(4) if c != 1), pa.array(sizes[of].astype(np.int32)), pa.array(side)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "component", "outside", "n", "side"])
+
+    return banded
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, text_a, text_b) that link."""
+    for batch in batches:
+        keep = []
+        for pair in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+            tokens, begins = shingle_sets([*pair])
+            both = len(np.intersect1d(tokens[: begins[1]], tokens[begins[1] :], assume_unique=True))
+            keep.append(100 * both >= PERCENT * (len(tokens) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _across(now: DataFrame, docs: DataFrame, classes: DataFrame, frequent, often, few: int) -> tuple[DataFrame, DataFrame]:
+    """Links between the clusters' outside members and other components (rows: doc_id, cluster, component, outside), and the outside members (doc_id) of which some may be missing: those with a band key of more than few sets.
+
+    Keys of many are counted before their rows move, and what is left of a key is a few rows; rows whose key only one side has meet nobody.
+    """
+    spark = now.sparkSession
+    rows = now.join(docs, "doc_id").select("doc_id", "cluster", "component", "outside", "text")
+    asked = saved(rows.where("outside").mapInArrow(_banded(frequent, often), _BANDED), "asked")
+    places = spark.sparkContext.broadcast(_bitmap(asked.select("key")))
+    keys = asked.union(saved(rows.where("not outside").mapInArrow(_banded(frequent, often, places), _BANDED), "answers"))
+    side = lambda k: F.count_if(F.col("side") == k)
+    counts = keys.groupBy("key").agg(side(0).alias("lower"), side(1).alias("upper"), side(2).alias("same")).where("lower + upper + same > 1")
+    counts = saved(counts.select("key", F.expr("same > 1 or (lower > 0 and upper > 0)").alias("meet"), (F.col("lower") + F.col("upper") + F.col("same") > few).alias("many")), "band_counts")
+    # a key of many is dealt out in pieces; of the others, those that meet
+    piece = F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).alias("piece")
+    many = counts.where("many").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PIECES - 1).cast("long"))))
+    left = asked.select("key", "doc_id", piece).join(many.where("meet").select("key", "piece"), ["key", "piece"], "left_semi").select("doc_id").distinct()
+    some = keys.withColumn("piece", piece).join(many.select("key", "piece"), ["key", "piece"], "left_anti").join(counts.where("meet and not many").select("key"), "key", "left_semi")
+    one, two = (some.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "outside", "n", "side"))) for x in "ab")
+    meet = "component_a <> component_b and (outside_a or outside_b) and (side_a < side_b and side_b < 2 or side_a = 2 and side_b = 2 and doc_id_a < doc_id_b)"
+    pairs = one.join(two, "key").where(meet).where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    of = lambda x: classes.select(F.col("first").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
+    pairs = saved(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_possible, "a long, b long").distinct(), "band_pairs")
+    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    links = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    return saved(links, "across"), saved(left, "left")
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray | None:
     """The bitmap of a column of keys, put together in parts of 64 places, so bounded on the driver; None if there are none."""
     key = F.col(keys.columns[0])
@@ -413,7 +506,9 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
        more are keys. Only sets that share a key with many even there are tied in a star. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
        blocks: first each block alone; then a few delegates of each component of the blocks; then whoever is not in the cluster's largest
-       component is sent to all blocks. Nothing is left uncompared but pairs that are connected already.
+       component makes keys once more, inside the cluster and for each pair of bands of sizes (band_keys), which sets that share a template
+       but do not link have not in common; pairs of keys of few are compared. Whoever has a key of many even there is sent to all blocks.
+       Nothing is left uncompared but pairs that are connected already.
     Null, empty and blank texts have no shingle and no link; a null doc_id has no component; rows that repeat an id are linked, as they are
     one document; an empty table gives no row; other columns are ignored.
     """
@@ -436,12 +531,12 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
         return saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_paired(few, tie), "a long, b long, kind byte").distinct(), "pairs")
 
     named = docs.where("doc_id is not null")
-    found = pairs(named, None, few[0], False)
+    found, marks = pairs(named, None, few[0], False), None
     if (hot := _bitmap(found.where(F.col("kind") == MANY).select("a"))) is not None:
         crowded = saved(named.mapInArrow(_crowded(frequent, spark.sparkContext.broadcast(hot)), "doc_id long, text string"), "crowded")
         often = _bitmap(crowded.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > few[0]).select("token"))
-        often = spark.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if often is None else often)
-        found = found.where(F.col("kind") == PAIR).union(pairs(crowded, often, few[1], True)).distinct()
+        marks = spark.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if often is None else often)
+        found = found.where(F.col("kind") == PAIR).union(pairs(crowded, marks, few[1], True)).distinct()
     side = lambda x: classes.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
     some = found.where(F.col("kind") == PAIR).join(side("a"), "a").join(side("b"), "b")
     tied = found.where(F.col("kind") == TIE).join(side("a").select("a", "first_a"), "a").join(side("b").select("b", "first_b"), "b").select("first_a", "first_b")
@@ -472,14 +567,18 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
         some = some.join(fewer, "cluster").withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(1)), "fewer")).withColumn("asks", F.lit(True))
         links = links.union(saved(_verified(some, docs), "delegates"))
         now = parts(links)
-        counts = now.groupBy("cluster", "component").agg(F.count("*").alias("many"), F.sum("n").alias("tokens"))
-        main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component", "tokens")).alias("main"), F.sum("many").alias("all"), F.sum("tokens").alias("tokens"))
-        main = main.select("cluster", F.col("main.component").alias("main"), dealt(F.col("all") - F.col("main.many"), F.col("tokens") - F.col("main.tokens")).alias("chunks"))
-        now = now.join(main, "cluster").where("chunks > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), "chunks"))
-        outside = now.where("component <> main").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-        everyone = now.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
-        columns = ["doc_id", "cluster", "component", "asks", "grouped", F.struct("bin", "chunk").alias("bin")]
-        links = links.union(saved(_verified(outside.select(columns).union(everyone.select(columns)), docs), "rest"))
+        counts = now.groupBy("cluster", "component").agg(F.count("*").alias("many"))
+        main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        now = saved(now.join(main.select("cluster", F.col("main.component").alias("main")), "cluster").withColumn("outside", F.expr("component <> main")), "outside")
+        if now.limit(1).count():
+            more, left = _across(now, docs, classes, frequent, marks, few[1])
+            left = saved(now.join(left, "doc_id", "left_semi"), "asking")
+            chunks = left.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("chunks"))
+            bins = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+            asking = left.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), "chunks")).withColumn("bin", bins("blocks")).withColumn("asks", F.lit(True))
+            everyone = now.join(chunks, "cluster").withColumn("chunk", bins("chunks")).withColumn("asks", F.lit(False))
+            columns = ["doc_id", "cluster", "component", "asks", "grouped", F.struct("bin", "chunk").alias("bin")]
+            links = links.union(more).union(saved(_verified(asking.select(columns).union(everyone.select(columns)), docs), "rest"))
 
     final = connected(links).withColumnRenamed("node", "doc_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

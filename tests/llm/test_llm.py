@@ -754,3 +754,40 @@ def test_pipeline(spark, sf_dir):
     assert all(d == c for d, _, c in brute_components(kept))
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {d for d, _ in kept}
+
+
+def test_sets_that_link_share_a_band_key():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 3, 5, 8, 20, 60, 300):
+        for _ in range(60):
+            a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+            drop, add = (int(rng.integers(0, n // 4 + 1)) for _ in range(2))
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(1, 1 << 62, add).astype(np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            tokens, doc = np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)])
+            keys, of, side = jaccard.band_keys(tokens, doc, np.array([len(a), len(b)]), (tokens % np.uint64(3)).astype(np.int64))
+            one, two = ({*zip(keys[of == k].tolist(), side[of == k].tolist())} for k in (0, 1))
+            assert any((key, {0: 1, 1: 0, 2: 2}[s]) in two for key, s in one)
+
+
+def test_a_template_that_does_not_link_is_linear(spark, monkeypatch):
+    """Documents of one template with own words: what meets in groups grows with the input, and links that go through keys of few are found."""
+    rng, sent = Random(12), []
+    verified = jaccard._verified
+
+    def counted(members, docs):
+        sent[-1].append(members.count())
+        return verified(members, docs)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    template = prose(rng, 120)
+    for n in (300, 1200):
+        texts = [f"{template} {' '.join(f'w{rng.randrange(10**9)}' for _ in range(20))}" for _ in range(n)]
+        texts += [t + " more" for t in texts[:20]]
+        docs = list(enumerate(texts))
+        sent.append([])
+        got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block_docs=60, few=(3, 6)).collect()}
+        assert {(d, c) for d, _, c in got} == {(k, k - n if k >= n else k) for k in range(n + 20)}
+    assert sum(sent[1]) <= 5 * sum(sent[0]), sent
