@@ -554,31 +554,35 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     small = F.col("blocks") == 1
     members = members.select("doc_id", "n", "cluster", "blocks", F.when(small, -1).otherwise(F.col("cluster")).alias("grouped"), F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(block).alias("bin"))
     alone = members.select("*", F.col("doc_id").alias("component"), F.lit(True).alias("asks"))
-    links = saved(_verified(alone, docs), "found").union(copies)
+    found = connected(saved(_verified(alone, docs), "found").union(copies))
+    # what is known are stars, so what is new is all that a later round has to work through
+    joined = lambda found, new: connected(new.union(found.select("node", "component"))) if new.limit(1).count() else found
 
     # as many groups for so many documents and shingles, but no more than documents
     dealt = lambda docs, tokens: F.least(docs, F.greatest(F.ceil(docs / block_docs), F.when(docs > 2, F.ceil(tokens / block_tokens)).otherwise(1)))
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        parts = lambda links: saved(large.join(connected(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parts")
+        parts = lambda found: saved(large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parts")
         rank = F.row_number().over(W.partitionBy("cluster", "bin", "component").orderBy(F.xxhash64("doc_id")))
-        some = parts(links).withColumn("rank", rank).where(F.col("rank") <= DELEGATES)
+        some = parts(found).withColumn("rank", rank).where(F.col("rank") <= DELEGATES)
         fewer = some.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("fewer"))
         some = some.join(fewer, "cluster").withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(1)), "fewer")).withColumn("asks", F.lit(True))
-        links = links.union(saved(_verified(some, docs), "delegates"))
-        now = parts(links)
+        found = joined(found, saved(_verified(some, docs), "delegates"))
+        now = parts(found)
         counts = now.groupBy("cluster", "component").agg(F.count("*").alias("many"))
         main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         now = saved(now.join(main.select("cluster", F.col("main.component").alias("main")), "cluster").withColumn("outside", F.expr("component <> main")), "outside")
         if now.limit(1).count():
             more, left = _across(now, docs, classes, frequent, marks, few[1])
             left = saved(now.join(left, "doc_id", "left_semi"), "asking")
-            chunks = left.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("chunks"))
-            bins = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-            asking = left.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), "chunks")).withColumn("bin", bins("blocks")).withColumn("asks", F.lit(True))
-            everyone = now.join(chunks, "cluster").withColumn("chunk", bins("chunks")).withColumn("asks", F.lit(False))
-            columns = ["doc_id", "cluster", "component", "asks", "grouped", F.struct("bin", "chunk").alias("bin")]
-            links = links.union(more).union(saved(_verified(asking.select(columns).union(everyone.select(columns)), docs), "rest"))
-
-    final = connected(links).withColumnRenamed("node", "doc_id")
+            if left.limit(1).count():
+                chunks = left.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("chunks"))
+                bins = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+                asking = left.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), "chunks")).withColumn("bin", bins("blocks")).withColumn("asks", F.lit(True))
+                everyone = now.join(chunks, "cluster").withColumn("chunk", bins("chunks")).withColumn("asks", F.lit(False))
+                columns = ["doc_id", "cluster", "component", "asks", "grouped", F.struct("bin", "chunk").alias("bin")]
+                more = more.union(saved(_verified(asking.select(columns).union(everyone.select(columns)), docs), "rest"))
+            found = joined(found, more)
+
+    final = found.withColumnRenamed("node", "doc_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
