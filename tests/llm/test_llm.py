@@ -390,6 +390,25 @@ def test_components(spark):
     assert got == {x: min(s) for x, s in up.items() if len(s) > 1}
 
 
+def test_components_of_chains_hubs_and_odd_edges(spark):
+    rng = Random(16)
+    chain = rng.sample(range(10_000), 300)  # neighbours in no order, over many tasks
+    pairs = [*zip(chain, chain[1:])] * 2 + [(20_000 + k, 20_500) for k in range(1000)] + [(7, 7), (None, 3), (3, None)]
+    rng.shuffle(pairs)
+    rows = components.connected(spark.createDataFrame(pairs, "a long, b long").repartition(9)).collect()
+    assert len(rows) == 1300
+    assert {r.node: r.component for r in rows} == dict.fromkeys(chain, min(chain)) | dict.fromkeys(range(20_000, 21_000), 20_000)
+    assert components.connected(spark.createDataFrame([(7, 7), (None, 3)], "a long, b long")).collect() == []
+
+
+def test_edges_are_tied_in_pieces():
+    edges = [(k + 1, k) for k in range(50)]
+    batches = [pa.RecordBatch.from_pylist([{"hi": a, "lo": b} for a, b in edges[k : k + 5]]) for k in range(0, 50, 5)]
+    got = [b.to_pylist() for b in components._tied(batches, held=12)]
+    assert [r for b in got for r in b] == [{"hi": k + 1, "lo": k - k % 15} for k in range(50)]
+    assert [b.num_rows for b in components._tied([])] == [0]
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_decontamination(spark, most):
     rng = Random(7)
