@@ -20,16 +20,17 @@ from .fitting import Logistic, labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»„]")
 #: What the lexicon writes for a word (its input to the grammar) ...
-OTHER, END, QUOTE, TARGET, NEGATION, REPORT, THREAT, HARSH, INSULT = range(9)
-#: ... and what machines write for others to read: a strong word that is negated or reported; a clause's end after one harsh word, after an undirected insult or a directed harsh word, after more, after a directed insult, after a threat.
-EXCUSED, SLIGHT, BARE, SEVERAL, DIRECTED, THREATENED = range(9, 15)
+OTHER, END, QUOTE, ADDRESS, PERSON, NEGATION, REPORT, THREAT, HARSH, INSULT = range(10)
+#: ... and what machines write for others to read: a strong word that is negated or reported; an insult whose target is left out; a clause's end after one harsh word, after an undirected insult or a directed harsh word, after more, after a directed insult, after a threat.
+EXCUSED, AIMED, SLIGHT, BARE, SEVERAL, DIRECTED, THREATENED = range(10, 17)
 #: Kinds of arcs that carry a weight: insults or harsh words that pile up within SPAN clauses, an insult with its target, a threat with its target; excused ones weigh nothing, but are counted.
 KINDS = ("repeated", "directed", "threat", "excused")
 #: An insult is remembered for so many clauses; negation reaches so many words on. An insult counts two, a harsh word (one that clean texts hold too, but far less often) one; FULL is a pile.
 SPAN, REACH, FULL = 12, 3, 3
 #: Small closed word classes to start from; insults are learned, threats and verbs of speech are added to from the labelled rows.
 WORDS = {
-    TARGET: "you your yours yourself they them their he him she her du dich dir ihr euch sie tu toi te vous ton votre usted ustedes ti vosotros tú",
+    ADDRESS: "you your yours yourself du dich dir ihr euch tu toi te vous ton votre usted ustedes ti vosotros tú",
+    PERSON: "they them their he him she her sie",
     NEGATION: "not no never nor without nicht kein keine keinen nie ne pas jamais non sin nunca jamás tampoco",
     REPORT: "said says say called calls wrote claimed claims reported quoted quote sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió",
     THREAT: "kill hurt destroy beat burn shoot stab töten schlagen zerstören verbrennen tuer frapper détruire brûler matar golpear destruir quemar",
@@ -69,7 +70,7 @@ def compose(*machines: Transducer) -> Transducer:
 
 @functools.cache
 def grammar() -> Transducer:
-    """Negation, reported speech, threats, insults and their repetition, one machine after the other. The clause is what is matched: order inside it does not matter, and its end writes what it was."""
+    """Negation, reported speech, targets, threats, insults and their repetition, one machine after the other. The clause is what is matched: order inside it does not matter, and its end writes what it was."""
     strong = (THREAT, HARSH, INSULT)
     words = frozenset(range(INSULT + 1)) - {END}
     negation = Transducer(
@@ -79,28 +80,33 @@ def grammar() -> Transducer:
     reported = Transducer(
         {(0, REPORT): (1, REPORT), (1, END): (0, END), (1, QUOTE): (2, QUOTE), (2, QUOTE): (0, QUOTE)} | {(k, s): (k, EXCUSED, ("excused",)) for k in (1, 2) for s in strong}
     )
+    # 1: the clause addresses somebody; 2: the clause before did, and this one has no word yet; 3: it has words. An insult is aimed there until a person is named; a clause without a word is none
+    spoken = (OTHER, NEGATION, REPORT, THREAT, HARSH, EXCUSED)
+    target = Transducer(
+        {(k, ADDRESS): (1, ADDRESS) for k in range(4)} | {(1, END): (2, END), (3, END): (0, END)} | {(2, s): (3, s) for s in spoken} | {(k, PERSON): (0, PERSON) for k in (2, 3)} | {(k, INSULT): (3, AIMED) for k in (2, 3)}
+    )
     # states are sets of what the clause has had; a clause that has both parts is matched, whichever came first
     threat = Transducer(
-        {(k, s): (k | bit, s) for k in range(4) for s, bit in ((TARGET, 1), (THREAT, 2))} | {(k, END): (0, THREATENED if k == 3 else END, ("threat",) * (k == 3)) for k in range(4)}
+        {(k, s): (k | bit, s) for k in range(4) for s, bit in ((ADDRESS, 1), (PERSON, 1), (THREAT, 2))} | {(k, END): (0, THREATENED if k == 3 else END, ("threat",) * (k == 3)) for k in range(4)}
     )
     # twice the clause's count, and one more if it has a target; a target makes a harsh word as bad as an insult
     most = 2 * FULL
     kind = {k: None if k < 2 else (DIRECTED if k & 1 and k > 3 else SEVERAL if k >= most else BARE if k > 2 else SLIGHT) for k in range(most + 2)}
     insult = Transducer(
-        {(k, TARGET): (k | 1, TARGET) for k in kind} | {(k, s): (min(most, (k & ~1) + n) | k & 1, s) for k in kind for s, n in ((HARSH, 2), (INSULT, 4))}
+        {(k, s): (k | 1, s) for k in kind for s in (ADDRESS, PERSON)} | {(k, AIMED): (min(most, (k & ~1) + 4) | 1, AIMED) for k in kind} | {(k, s): (min(most, (k & ~1) + n) | k & 1, s) for k in kind for s, n in ((HARSH, 2), (INSULT, 4))}
         | {(k, end): (0, kind[k] if end == END and kind[k] else end, ("directed",) * (end == END and kind[k] == DIRECTED)) for k in kind for end in (END, THREATENED)}
     )
-    # for how many more clauses a count is remembered, times FULL, plus the count
+    # for how many more clauses a count is remembered, times FULL, plus the count; a pile is matched once, and the next begins with nothing
     again = {}
     for left in range(SPAN + 1):
         for held in range(FULL):
             at = left * FULL + held
             again[at, END] = ((left - 1) * FULL + held if left > 1 else 0, END)
             for s, n in ((SLIGHT, 1), (BARE, 2), (SEVERAL, FULL)):
-                again[at, s] = (SPAN * FULL + min(held + n, FULL - 1), s, ("repeated",) * (held + n >= FULL))
+                again[at, s] = (0, s, ("repeated",)) if held + n >= FULL else (SPAN * FULL + held + n, s)
             for s in (DIRECTED, THREATENED):
                 again[at, s] = (SPAN * FULL + FULL - 1, s)
-    return compose(negation, reported, threat, insult, Transducer(again))
+    return compose(negation, reported, target, threat, insult, Transducer(again))
 
 
 @dataclass
@@ -130,7 +136,7 @@ class Marker:
 
     def __init__(self, model: ToxicityModel):
         self.symbols = _Filled(model.symbol, 400_000)
-        # a state's arcs in a row of nine: one look-up a word
+        # a state's arcs in a row of ten: one look-up a word
         self.arcs = [arc for _, arc in sorted(grammar().arcs.items())]
 
     def matches(self, text: str | None) -> list[tuple[int, tuple[str, ...]]]:
@@ -149,8 +155,10 @@ class Marker:
         return Counter(k for _, kinds in self.matches(text) for k in kinds)
 
 
-#: Weights before any data, of: matched clauses of any kind, directed insults among them, threats, and the base. None but the base can be negative, so no context lowers a score but excuse.
+#: Weights before any data, of: matched clauses of any kind, directed insults among them, threats, and the base. None but the base can be negative, so no context lowers a score but excuse; and a target
+#: or a threat always adds its prior weight or more, so that a directed insult counts more than a pile of insults of no direction.
 PRIOR = (4.5, 1.0, 1.0, -2.0)
+LEAST = (0.0, 1.0, 1.0, -np.inf)
 
 
 def _features(counts: list[Counter]) -> np.ndarray:
@@ -209,7 +217,7 @@ def learn_lexicon(sample: list[tuple[str, int]], proof: list[tuple[str, int]], l
 
 def learn_classes(rows: list[tuple[str, int]], insults: frozenset, least: int = 5) -> dict[str, int]:
     """More threats and verbs of speech: of the telling words, those mostly followed within two words by a target; words mostly followed by a quotation. Each in at least ``least`` texts."""
-    target = set(WORDS[TARGET].split())
+    target = {*WORDS[ADDRESS].split(), *WORDS[PERSON].split()}
     seen, threats, speech = Counter(), Counter(), Counter()
     for text, _ in rows:
         tokens = TOKEN.findall(text.lower())
@@ -238,7 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     model = ToxicityModel(frozenset(found - more.keys()), stems, harsh, share=share, more=more)
     marker = Marker(model)
     x = _features([marker.count(t) for t, _ in rest])
-    model.logistic = Logistic(x, np.array([y for _, y in rest], float), ridge=0.5, prior=np.array(PRIOR), scale=False, least=np.array([0.0, 0.0, 0.0, -np.inf]))
+    model.logistic = Logistic(x, np.array([y for _, y in rest], float), ridge=0.5, prior=np.array(PRIOR), scale=False, least=np.array(LEAST))
     return model
 
 
@@ -246,8 +254,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", o
     """docs with a score from 0 to 1 in column ``out``, and how often each of the KINDS of weighted arcs was taken in columns ``n_<kind>``.
 
     Words are mapped to symbols by the learned lexicon and small word classes, and every whole text runs through the composed grammar.
-    What counts are clauses: an insult or a threat with its target in the same clause, whichever comes first, or insults that pile up, in
-    one clause or within SPAN clauses. A word on its own matches nothing; negated and reported ones are excused. Null and empty
+    What counts are clauses: an insult or a threat with its target in the same clause, whichever comes first; an insult in the clause after
+    one that addresses somebody, if it names nobody else; or insults that pile up, in one clause or within SPAN clauses, each pile once. A word on its own matches nothing; negated and reported ones are excused. Null and empty
     texts have no match and the base score; repeated rows, null ids and all columns stay (but those with the new names are replaced), and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -650,11 +650,12 @@ def test_a_sample_has_one_text_of_an_id(spark):
 def test_grammar_reads_the_context():
     marker = toxicity.Marker(toxicity.ToxicityModel(words=frozenset({"fool", "clown", "idiot"}), harsh=frozenset({"silly", "grim"})))
     cases = {
-        "a fool came": {}, "you are a fool": {"directed": 1}, "a fool you are": {"directed": 1}, "he is not a fool": {"excused": 1}, "they said fool": {"excused": 1}, "you. The fool": {},
+        "a fool came": {}, "you are a fool": {"directed": 1}, "a fool you are": {"directed": 1}, "he is not a fool": {"excused": 1}, "they said fool": {"excused": 1}, "you. The fool": {"directed": 1},
         "I will kill you": {"threat": 1}, "you I will kill": {"threat": 1}, "I will kill time": {}, "I will not kill you": {"excused": 1}, 'said "fool" and': {"excused": 1}, "nothing here": {},
         "not. A fool": {}, "a fool. A clown.": {"repeated": 1}, "a fool and a clown": {"repeated": 1}, "a fool." + " so." * 12 + " a clown": {}, "a fool." + " so." * 11 + " a clown": {"repeated": 1},
-        "The clown waved at the children in the circus tent.": {}, "You absolute idiot, I hate you.": {"directed": 1}, "silly": {}, "silly. grimly. silly": {"repeated": 1}, "you are silly. a fool": {"repeated": 1},
-        'he said "you. are. a fool" fool you': {"excused": 1, "directed": 1},
+        "The clown waved at the children in the circus tent.": {}, "You absolute idiot, I hate you.": {"directed": 1}, "silly": {}, "silly. grimly. silly": {"repeated": 1}, "you are silly. a fool": {"directed": 1}, "they are silly. a fool": {"repeated": 1},
+        'he said "you. are. a fool" fool you': {"excused": 1, "directed": 1}, "You!!! Fool.": {"directed": 1}, "You. Then he came. A fool.": {}, "You. So. A fool": {}, "them. A fool": {}, "You. Not a fool": {"excused": 1},
+        "a fool. a fool. a fool": {"repeated": 1}, "a fool. a fool. a fool. a fool": {"repeated": 2}, "You are a clown. Fool": {"directed": 2}, "You. silly": {},
     }
     for text, want in cases.items():
         assert dict(marker.count(text)) == want, text
@@ -671,8 +672,9 @@ def marks_by_plain_rules(symbols):
             now = []
         else:
             now.append(s)
+    carried = False
     for clause in clauses:
-        said, worth, target, threat = False, 0, False, False
+        said, worth, target, threat, addressed, aimed = False, 0, False, False, False, False
         for k, s in enumerate(clause):
             negated = t.NEGATION in clause[max(0, k - t.REACH) : k]
             if s == t.REPORT and not quoted:
@@ -681,8 +683,9 @@ def marks_by_plain_rules(symbols):
                 quoted, said = 0, False
             elif s == t.QUOTE and said:
                 quoted = 1
-            elif s == t.TARGET:
-                target = True
+            elif s in (t.ADDRESS, t.PERSON):
+                target, carried = True, False
+                addressed |= s == t.ADDRESS
             elif s in (t.THREAT, t.HARSH, t.INSULT):
                 if negated or said or quoted:
                     found["excused"] += 1
@@ -690,19 +693,22 @@ def marks_by_plain_rules(symbols):
                     threat = True
                 else:
                     worth += 2 if s == t.INSULT else 1
+                    aimed |= carried and s == t.INSULT
+        carried = addressed or carried and not any(s != t.QUOTE for s in clause)
         worth = min(worth, t.FULL)
         if left == 0:
             held = 0
         if threat and target:
             found["threat"] += 1
             held, left = t.FULL - 1, t.SPAN
-        elif worth >= 2 and target:
+        elif worth >= 2 and (target or aimed):
             found["directed"] += 1
             held, left = t.FULL - 1, t.SPAN
         elif worth:
             worth += worth == 1 and target
-            found["repeated"] += held + worth >= t.FULL
-            held, left = min(held + worth, t.FULL - 1), t.SPAN
+            full = held + worth >= t.FULL
+            found["repeated"] += full
+            held, left = (0, 0) if full else (held + worth, t.SPAN)
         else:
             left = max(0, left - 1)
     return +found
@@ -710,12 +716,12 @@ def marks_by_plain_rules(symbols):
 
 def test_grammar_equals_plain_rules():
     rng = Random(21)
-    words = ["w", ".", '"', "you", "not", "said", "kill", "harsh", "insult"]
+    words = ["w", ".", '"', "you", "them", "not", "said", "kill", "harsh", "insult"]
     model = toxicity.ToxicityModel(words=frozenset({"insult"}), harsh=frozenset({"harsh"}))
     marker = toxicity.Marker(model)
-    assert [model.symbol(w) for w in words] == [*range(9)]
+    assert [model.symbol(w) for w in words] == [*range(10)]
     for n in range(4000):
-        symbols = rng.choices(range(9), [6, 3, 1, 1, 1, 1, 1, 1.5, 1], k=rng.randrange(0, 60))
+        symbols = rng.choices(range(10), [6, 3, 1, 1, 1, 1, 1, 1, 1.5, 1], k=rng.randrange(0, 60))
         assert marker.count(" ".join(words[s] for s in symbols)) == marks_by_plain_rules(symbols), symbols
 
 
@@ -728,7 +734,7 @@ def test_toxicity_scores_by_brute_force_and_without_the_grammar(spark, sf_dir):
     right = {"grammar": 0, "words": 0}
     caught = toxic = 0
     weights = model.logistic.weights
-    assert (weights[:3] >= 0).all()
+    assert (weights[:3] >= toxicity.LEAST[:3]).all()
     for r in rows:
         symbols = [model.symbol(w) for w in toxicity.TOKEN.findall((r.text or "").lower())]
         c = marks_by_plain_rules(symbols)
@@ -742,6 +748,8 @@ def test_toxicity_scores_by_brute_force_and_without_the_grammar(spark, sf_dir):
     marker = toxicity.Marker(model)
     score = lambda text: model.logistic.scores(toxicity._features([marker.count(text)]))[0]
     plain, toward, threat = map(score, ("The clown waved at the children in the circus tent.", "You absolute idiot, I hate you.", "I will kill you."))
+    scattered = score("The idiot weather report. Nice day. Idiot. Fine. The garden idiot.")
+    assert scattered < score("You idiot.") and scattered < score("You are late. Idiot.")
     assert plain == score("") < 0.1 and toward >= 0.7 and threat >= 0.7 and score("You are not an idiot.") < 0.1
 
 
