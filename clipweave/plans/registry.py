@@ -353,7 +353,7 @@ def detection_gate(t: Tables) -> DataFrame:
     return L.detection_gate(t.geometry(), 0.75)
 
 
-@query("""WITH d AS (SELECT user_id, event_id % 5 AS s, event_id AS n, event_id % 130 AS x, event_id % 40 AS y, event_id % 37 AS w, event_id % 31 AS h FROM events WHERE user_id % 3 <> 0),
+@query("""WITH d AS (SELECT user_id, event_id % 5 AS s, event_id AS n, event_id % 130 AS x, event_id % 40 AS y, CASE WHEN user_id % 3 = 0 THEN 0 ELSE event_id % 37 END AS w, event_id % 31 AS h FROM events),
     b AS (SELECT user_id, trunc(x + CAST(0.12 AS DOUBLE) * w) AS mx, trunc(y + CAST(0.55 AS DOUBLE) * h) AS my, trunc(CAST(0.76 AS DOUBLE) * w) AS mw, trunc(CAST(0.38 AS DOUBLE) * h) AS mh
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w * h DESC, s, n) AS rk FROM d WHERE w * h > 0) WHERE rk = 1),
     u AS (SELECT DISTINCT user_id, 96 AS wide, 80 + user_id % 2 * 40 AS high FROM events), q AS (SELECT *, least(wide, high) AS size FROM u),
@@ -365,7 +365,8 @@ def detection_gate(t: Tables) -> DataFrame:
         CASE WHEN bad THEN 'bad_crop_box' WHEN face THEN 'face_mouth_crop' ELSE 'fallback_lower_center_crop' END AS status FROM s""")
 def largest_face_box(t: Tables) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
-    found = t.events.where("user_id % 3 <> 0").select(u.alias("clip_id"), (e % 5).alias("sample_no"), e.alias("det_no"), (e % 130).alias("x"), (e % 40).alias("y"), (e % 37).alias("w"), (e % 31).alias("h"))
+    wide = F.when(u % 3 == 0, 0).otherwise(e % 37)  # boxes without area are no faces
+    found = t.events.select(u.alias("clip_id"), (e % 5).alias("sample_no"), e.alias("det_no"), (e % 130).alias("x"), (e % 40).alias("y"), wide.alias("w"), (e % 31).alias("h"))
     return L.mouth_boxes(found, t.events.select(u.alias("clip_id")).distinct().select("clip_id", F.lit(96).alias("width"), (F.lit(80) + F.col("clip_id") % 2 * 40).cast("int").alias("height")), fallback=True)
 
 
