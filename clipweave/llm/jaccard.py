@@ -267,7 +267,7 @@ def _index(frequent, often=None):
 
 
 def _crowded(frequent, hot):
-    """The documents whose sets have more than SPARE keys of many; of equal sets of a slice, one."""
+    """The documents whose sets have more than SPARE keys of many, with the least of these keys, which similar sets mostly share; of equal sets of a slice, one."""
 
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
@@ -275,17 +275,32 @@ def _crowded(frequent, hot):
             _, which = _distinct(tokens, begins)
             if len(which):
                 keys, of = prefix_keys(*_chosen(tokens, begins, which), np.diff(begins)[which], frequent.value)
-                yield batch.take(pa.array(which[np.bincount(of[_marked(hot.value, keys)], minlength=len(which)) > SPARE]))
+                marked = _marked(hot.value, keys)
+                near = np.full(len(which), np.iinfo(np.int64).max)
+                np.minimum.at(near, of[marked], keys[marked].view(np.int64))
+                some = np.bincount(of[marked], minlength=len(which)) > SPARE
+                yield pa.RecordBatch.from_arrays([pa.array(near[some]), *batch.take(pa.array(which[some])).columns], names=["near", "doc_id", "text"])
 
     return crowded
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens (as single keys) of each slice's different sets, and how many sets have them."""
+    """The tokens (as single keys) that several different sets near each other share, among sets of about COUNTED shingles, and how many of these have them. A token that is left out only counts as rare: the keys stay exact."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, many = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(mixed(found[many > 1]).view(np.int64)), pa.array(many[many > 1])], names=["token", "n"])
+
+    held, many = [], 0
     for batch in slices(batches, limit=1 << 20):
         tokens, begins = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
-        found, many = np.unique(_chosen(tokens, begins, _distinct(tokens, begins)[1])[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(mixed(found).view(np.int64)), pa.array(many)], names=["token", "n"])
+        held.append(_chosen(tokens, begins, _distinct(tokens, begins)[1])[0])
+        many += len(held[-1])
+        if many > COUNTED:
+            yield counted(held)
+            held, many = [], 0
+    if held:
+        yield counted(held)
 
 
 _PAIR = {"a": pa.int64(), "b": pa.int64(), "kind": pa.int8()}
@@ -502,7 +517,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
        a bounded table that only orders tokens; any such table gives the same components.
     2. Each set makes index keys (prefix_keys). Of a key that few sets share, pairs go on whose bitmaps don't rule out a link. Two sets that
        link have SPARE + 1 keys in common, so where all of these are keys of many, both sets have more than SPARE of those. Such sets are saved and make keys once
-       more: all their tokens are counted, the frequent ones are put into a bitmap of bounded size, and of these combinations of one token
+       more: their tokens are counted, sets with a key of many in common side by side; the frequent ones are put into a bitmap of bounded size, and of these combinations of one token
        more are keys. Only sets that share a key with many even there are tied in a star. What is so connected is a cluster; no link leaves it.
     3. Each class is compared inside its cluster. Small clusters share groups. A cluster beyond block_docs or block_tokens is dealt into
        blocks: first each block alone; then a few delegates of each component of the blocks; then whoever is not in the cluster's largest
@@ -533,8 +548,10 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     named = docs.where("doc_id is not null")
     found, marks = pairs(named, None, few[0], False), None
     if (hot := _bitmap(found.where(F.col("kind") == MANY).select("a"))) is not None:
-        crowded = saved(named.mapInArrow(_crowded(frequent, spark.sparkContext.broadcast(hot)), "doc_id long, text string"), "crowded")
-        often = _bitmap(crowded.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > few[0]).select("token"))
+        crowded = saved(named.mapInArrow(_crowded(frequent, spark.sparkContext.broadcast(hot)), "near long, doc_id long, text string"), "crowded")
+        # sets of one template are put side by side, so that their tokens are counted where they are
+        crowded, together = crowded.select("doc_id", "text"), crowded.repartitionByRange("near", "doc_id").sortWithinPartitions("near", "doc_id").select("doc_id", "text")
+        often = _bitmap(together.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > few[0]).select("token"))
         marks = spark.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if often is None else often)
         found = found.where(F.col("kind") == PAIR).union(pairs(crowded, marks, few[1], True)).distinct()
     side = lambda x: classes.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))

@@ -818,3 +818,12 @@ def test_a_template_that_does_not_link_is_linear(spark, monkeypatch):
         got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block_docs=60, few=(3, 6)).collect()}
         assert {(d, c) for d, _, c in got} == {(k, k - n if k >= n else k) for k in range(n + 20)}
     assert sum(sent[1]) <= 5 * sum(sent[0]), sent
+
+
+def test_tokens_of_a_template_are_counted_where_its_sets_are():
+    """Sets of one template give a row for a token that they share, not one for each set or slice, and none for a token of one set alone."""
+    texts = [" ".join([*(f"t{k}" for k in range(200)), *(f"own{d}x{k}" for k in range(30))]) for d in range(6000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500)), pa.array(texts[a : a + 500])], names=["doc_id", "text"]) for a in range(0, 6000, 500)]
+    shared = {int(x) for x in jaccard.mixed(jaccard.shingle_sets([" ".join(f"t{k}" for k in range(200)).encode()])[0]).view(np.int64)}
+    got = [(t, n) for b in jaccard._tokens(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert {t for t, _ in got} == shared and sum(n for _, n in got) == 6000 * len(shared) and len(got) == len(shared)
