@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -38,12 +39,27 @@ def _plain(token: str) -> str:
     return _ODD_LETTERS.sub("", token.lower().replace("ё", "е"))
 
 
+def _plain_texts(texts: pa.Array) -> pa.Array:
+    """Texts with all tokens as they are compared, a batch at once. Letters only go, so a text has as many tokens as before if none has become empty or joined to the next."""
+    return pc.replace_substring_regex(pc.replace_substring(pc.utf8_lower(texts), "ё", "е"), r"[^0-9a-zа-я\s-]+", "")
+
+
+#: Cues of at most so many tokens are compared end by end.
+SHORT = 32
+
+
 def overlap(before: list[str], now: list[str]) -> int:
-    """Length of the longest start of now that ends before, in linear time: now's own starts and ends say how far a match that breaks off may go back."""
+    """Length of the longest start of now that ends before, in linear time: now's own starts and ends say how far a match that breaks off may go back. Of the few tokens of most cues, whole ends are compared."""
     tail = before[-len(now) :]
     if not tail or now[0] not in tail:
         return 0
-    tail = tail[tail.index(now[0]) :]
+    at = tail.index(now[0])
+    if len(tail) <= SHORT:
+        for i in range(at, len(tail)):
+            if tail[i] == now[0] and tail[i:] == now[: len(tail) - i]:
+                return len(tail) - i
+        return 0
+    tail = tail[at:]
     back, k = [0] * len(now), 0
     for i in range(1, len(tail)):
         while k and now[i] != now[k]:
@@ -77,7 +93,7 @@ def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") ->
         for given in batches:
             kinds = kinds or [c.type for c in given.columns[:many]]
             own = list(zip(*(c.to_pylist() for c in given.columns[:many])))
-            for key, text in zip(own, given.column(many + 1).to_pylist()):
+            for key, text, said in zip(own, given.column(many + 1).to_pylist(), _plain_texts(given.column(many + 1)).to_pylist()):
                 if key != now:
                     if fresh:
                         done.append((*now, fresh))
@@ -85,9 +101,9 @@ def collapse_rolling(cues: DataFrame, keys: list[str], order: str = "cue_no") ->
                             yield batch()
                             done = []
                     now, before, fresh = key, [], []
-                tokens = text.split()
-                plain = list(map(_plain, tokens))
-                if "" in plain:
+                tokens, plain = text.split(), said.split()
+                if len(tokens) != len(plain):  # some normalize to nothing, or white space that is kept here went there
+                    plain = list(map(_plain, tokens))
                     tokens, plain = [t for t, p in zip(tokens, plain) if p], [p for p in plain if p]
                 if plain:
                     fresh += tokens[overlap(before, plain) :]

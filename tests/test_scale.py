@@ -6,6 +6,7 @@ from random import Random
 from statistics import median
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,29 @@ def test_clip_paths_of_long_ids(spark, tmp_path, duck):
     got = {r.event_id: r.path for r in registry.QUERIES["clip_output_path"](spark, str(tmp_path)).collect()}
     sql = registry.SQL["clip_output_path"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == dict(duck.sql(sql).fetchall()) and len(got) == len(ids)
+
+
+def test_overlaps_of_short_and_long_cues():
+    rng = Random(5)
+    for n in (6, timeline.SHORT - 1, timeline.SHORT, timeline.SHORT + 1, 80):
+        for _ in range(300):
+            a, b = [rng.choice("ab") for _ in range(n)], [rng.choice("ab") for _ in range(n + rng.randrange(-2, 3))]
+            k = rng.randrange(n - 2)
+            b[:k] = a[len(a) - k :]
+            assert timeline.overlap(a, b) == max((k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]), default=0)
+
+
+def test_texts_are_normalized_a_batch_at_once():
+    """A text whose tokens all stay has the tokens that one by one normalizing gives; the others have fewer."""
+    rng = Random(6)
+    letters = "aZ09яЯёЁéİK-'!.  \t\n\x0b\x1c\x85\xa0\u2003\u3000日ß"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(16))) for _ in range(20_000)]
+    same = 0
+    for text, plain in zip(texts, timeline._plain_texts(pa.array(texts)).to_pylist()):
+        want = [timeline._plain(t) for t in text.split()]
+        if len(plain.split()) == len(want):
+            same += 1
+            assert plain.split() == want
+        else:
+            assert len(plain.split()) < len(want)
+    assert same > 5000
