@@ -28,24 +28,48 @@ def read_labels(spark: SparkSession, path: str, required: list[str] = LABELS, ex
 _CYRILLIC = bytes(range(128, 256)).decode("cp1251", errors="replace")
 
 
-def read_frame_labels(spark: SparkSession, glob: str, by_folder: bool = False) -> DataFrame:
+def write_frame_labels(rows: DataFrame, path: str) -> None:
+    """video, frame_idx, label as text files for ``read_frame_labels(by_line=True)``: ``video<tab>label`` lines in the frames' order, many videos to a file, so that files grow with the bytes and not with the videos.
+
+    A video's name is form-encoded, a missing one is empty (and an empty one is read as missing). A missing label has no tab. A label with a line break raises.
+    """
+    label = F.when(F.contains("label", F.lit("\n")), F.raise_error(F.concat(F.lit("a label has a line break: "), "label")).cast("string")).otherwise(F.col("label"))
+    line = F.concat_ws("\t", F.coalesce(F.url_encode("video"), F.lit("")), label)
+    rows.repartition("video").sortWithinPartitions("video", "frame_idx").select(line.alias("value")).write.text(path)
+
+
+def read_frame_labels(spark: SparkSession, glob: str, by_folder: bool = False, by_line: bool = False) -> DataFrame:
     """video, frame_idx, label of files with one label a line, in UTF-8 (a byte order mark is dropped) or, if any line of a file is none, cp1251. A file's name is the video's, or with by_folder its folder's (after ``video=``).
 
-    Files are read in splits, so a long one is many tasks. A row's id tells its place in its task; each split's first id, its lines and
-    whether they are UTF-8 are counted, and added up by file: only these few numbers meet. An empty file has no row.
+    With by_line a file has many videos, and each line its video's name before the label, as ``write_frame_labels`` writes them. A video's
+    lines must stand together, or this raises; those in several files follow in the order of the files' paths.
+
+    Files are read in splits, so a long one is many tasks. A row's id tells its place in its task; each split's first id, its lines (with
+    by_line: by video) and whether they are UTF-8 are counted, and added up by file or video: only these few numbers meet. An empty file has no row.
     """
     # bytes are kept as they are until it is known what they mean
     text = F.regexp_replace("value", r"\r\z", "")
     rows = spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("_raw"), text.alias("value"), F.monotonically_increasing_id().alias("_id"))
-    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"))
-    order = Window.partitionBy("_file").orderBy("_start")
-    splits = splits.select("_file", "_start", "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.min("_utf8").over(Window.partitionBy("_file")).alias("_utf8"))
-    rows = rows.join(splits, ["_file", "_start"]).withColumn("frame_idx", F.col("_before") + F.col("_id") - F.col("_first"))
+    keys, whole, place = ["_file", "_start"], ["_file"], ["_start"]
+    if by_line:
+        rows = rows.withColumn("_name", F.btrim(F.substring_index("_raw", "\t", 1), F.lit("\ufeff\r")))
+        keys, whole, place = [*keys, "_name"], ["_name"], ["_file", "_start"]
+    splits = rows.groupBy(*keys).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_n"), F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"))
+    path = F.try_url_decode("_file")
+    if by_line:
+        video = F.coalesce(F.try_url_decode(F.nullif("_name", F.lit(""))), F.nullif("_name", F.lit("")))
+    else:
+        video = F.regexp_replace(path_name(path_parent(path)), "^[^=]*=", "") if by_folder else F.regexp_replace(path_name(path), r"\.[^.]*$", "")
+    apart = F.raise_error(F.concat(F.lit("lines of a video do not stand together: "), video, F.lit(" in "), "_file")).cast("long")
+    first = F.when(F.col("_last") - F.col("_first") < F.col("_n"), F.col("_first")).otherwise(apart)
+    before = F.sum("_n").over(Window.partitionBy(*whole).orderBy(*place)) - F.col("_n")
+    splits = splits.select(*keys, video.alias("video"), (before - first).alias("_shift"), F.min("_utf8").over(Window.partitionBy("_file")).alias("_utf8"))
+    rows = rows.join(splits, keys).withColumn("frame_idx", F.col("_id") + F.col("_shift"))
     old = F.translate(F.decode(F.col("_raw").cast("binary"), "ISO-8859-1"), "".join(map(chr, range(128, 256))), _CYRILLIC)
     label = F.when(F.col("_utf8"), F.when(F.col("frame_idx") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))).otherwise(old)
-    path = F.try_url_decode("_file")
-    video = F.regexp_replace(path_name(path_parent(path)), "^[^=]*=", "") if by_folder else F.regexp_replace(path_name(path), r"\.[^.]*$", "")
-    return rows.select(video.alias("video"), "frame_idx", strip(label).alias("label"))
+    if by_line:
+        label = F.get(F.split(label, "\t", 2), F.lit(1))
+    return rows.select("video", "frame_idx", strip(label).alias("label"))
 
 
 def write_split_set(rows: DataFrame, path: str, split: str = "split", word: str = "word", speaker: str = "speaker_id") -> None:

@@ -2,6 +2,7 @@
 
 import time
 from collections import Counter
+from pathlib import Path
 from random import Random
 from statistics import median
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from clipweave.operators import curation, features, metrics, ranks, splits, timeline
 from clipweave.plans import registry
 from clipweave.sources import tables
+from clipweave.sources.shared import shared_dir
 
 
 def plan(df):
@@ -126,6 +128,52 @@ def test_long_files_are_numbered_over_splits(spark, tmp_path):
     assert rows == {("long.a", k): w for k, w in enumerate(lines)} | {("old one", k): w for k, w in enumerate(["ascii"] * 3000 + ["да", "—"])}
 
 
+def test_files_of_frame_labels_do_not_grow_with_videos(spark, sf_dir):
+    folders = lambda: {*Path(shared_dir(spark).removeprefix("file://")).glob("clipweave/frames-*")}
+    before = folders()
+    got = registry.QUERIES["read_frame_labels"](spark, sf_dir)
+    (made,) = folders() - before
+    assert got.select("video").distinct().count() > 8 >= len([*made.rglob("*.txt")])
+
+
+def test_frame_labels_of_many_videos_are_read_as_written(spark, tmp_path):
+    names = ["a", "a b", "x/y=1", "+", "100%", "tab\there", "строка\n", "﻿", None]
+    rows = [(v, k, [f"слово{k % 7}", "", None, "one\ttwo"][(k + i) % 4]) for i, v in enumerate(names) for k in range(20 * i + 1)] + [("long", k, f"l{k}") for k in range(3000)]
+    Random(5).shuffle(rows)
+    confs = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxRecordsPerFile": "1000"}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        tables.write_frame_labels(spark.createDataFrame(rows, "video string, frame_idx long, label string").repartition(3), f"{tmp_path}/all")
+        assert spark.read.text(f"{tmp_path}/all/*.txt").rdd.getNumPartitions() > 10
+        got = [tuple(r) for r in tables.read_frame_labels(spark, f"{tmp_path}/all/*.txt", by_line=True).collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert Counter(got) == Counter(rows)
+
+
+def test_frame_labels_by_line_of_other_writers(spark, tmp_path):
+    (tmp_path / "1.txt").write_bytes("﻿a\tда\r\na\t нет \r\nb%zz\tx\r\nb%zz\r\n".encode())
+    (tmp_path / "2.txt").write_bytes("a\tascii\nc\tда".encode("cp1251"))
+    got = {tuple(r) for r in tables.read_frame_labels(spark, f"{tmp_path}/?.txt", by_line=True).collect()}
+    assert got == {("a", 0, "да"), ("a", 1, "нет"), ("a", 2, "ascii"), ("b%zz", 0, "x"), ("b%zz", 1, None), ("c", 0, "да")}
+    (tmp_path / "apart.txt").write_text("a\tx\nb\tx\na\ty\n")
+    with pytest.raises(Exception, match="do not stand together: a in"):
+        tables.read_frame_labels(spark, f"{tmp_path}/apart.txt", by_line=True).collect()
+    with pytest.raises(Exception, match="line break"):
+        tables.write_frame_labels(spark.createDataFrame([("a", 0, "x\ny")], "video string, frame_idx long, label string"), f"{tmp_path}/broken")
+
+
+def test_frame_labels_by_folder(spark, tmp_path):
+    for name in ("video=a b", "plain"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "words_frames.txt").write_text("x\ny\n")
+    got = {tuple(r) for r in tables.read_frame_labels(spark, f"{tmp_path}/*/*.txt", by_folder=True).collect()}
+    assert got == {(v, k, w) for v in ("a b", "plain") for k, w in enumerate("xy")}
+
+
 # ---------------------------------------------------------------- cues, pairs, prefixes
 
 
