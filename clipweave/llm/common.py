@@ -18,10 +18,19 @@ from ..sources.shared import new_folder
 SLICE_BYTES = 4 << 20
 
 
+#: Whether a query's shuffle files go when it ends. Else they stay until the driver happens to collect its garbage, which a large heap rarely does.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here, and lost executors cost no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    """df, written to the shared folder and read again: lineage ends here, lost executors cost no recomputation, and the shuffle files that led here are removed."""
+    conf, path = df.sparkSession.conf, new_folder(df.sparkSession, name)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

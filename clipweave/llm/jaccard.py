@@ -26,8 +26,8 @@ BLOCK_DOCS, BLOCK_TOKENS, GROUP_TOKENS = 1024, 1 << 21, 1 << 19
 DELEGATES = 4
 #: Up to this many different sets that share a key are paired, in the first and in the second round of keys. Keys of more go into the second round, and there are tied to one of the sets.
 FEW = (32, 48)
-#: Places of a bitmap of keys (bounded: 4 MB), and keys' tokens in the second round.
-PLACES, TRIPLE = 1 << 25, 3
+#: Places of a bitmap of keys (bounded: 4 MB), the bits of a key from which its places there are, and keys' tokens in the second round.
+PLACES, SHIFTS, TRIPLE = 1 << 25, (0, 19, 39), 3
 #: So many keys more than one have similar sets in common in the first round: a set with no more keys of many needs no second round.
 SPARE = 2
 #: The size of a set that stands for many, of whatever sizes.
@@ -158,9 +158,12 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(hot: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys have their bit in the bitmap."""
-    place = keys & np.uint64(PLACES - 1)
-    return hot[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+    """Which keys have all their bits in the bitmap. With one bit, a long set has keys that are taken for keys of many by chance alone, the more the larger the table."""
+    found = np.ones(len(keys), bool)
+    for shift in SHIFTS:
+        place = keys >> np.uint64(shift) & np.uint64(PLACES - 1)
+        found &= hot[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+    return found
 
 
 def prefix_keys(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -438,8 +441,8 @@ def _across(now: DataFrame, docs: DataFrame, classes: DataFrame, frequent, often
 
 def _bitmap(keys: DataFrame) -> np.ndarray | None:
     """The bitmap of a column of keys, put together in parts of 64 places, so bounded on the driver; None if there are none."""
-    key = F.col(keys.columns[0])
-    parts = keys.select(F.shiftright(key.bitwiseAND(PLACES - 1), 6).alias("word"), F.expr(f"shiftleft(1L, cast({keys.columns[0]} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    places = keys.select(F.explode(F.array(*(F.shiftrightunsigned(keys.columns[0], shift).bitwiseAND(PLACES - 1) for shift in SHIFTS))).alias("place"))
+    parts = places.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     if not parts.num_rows:
         return None
     bits = np.zeros(PLACES >> 6, np.uint64)
@@ -447,6 +450,18 @@ def _bitmap(keys: DataFrame) -> np.ndarray | None:
     return bits
 
 
+def _among(rows: DataFrame, column: str, numbers: DataFrame) -> DataFrame:
+    """The rows that have one of the numbers (hashes: longs, none null) in a column, and few others: a bitmap tells, so that no row moves."""
+    bits = _bitmap(numbers)
+    asked = rows.sparkSession.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if bits is None else bits)
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(asked.value, batch.column(column).to_numpy().view(np.uint64)), pa.bool_()))
+
+    return rows.mapInArrow(among, rows.schema)
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -537,7 +552,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     frequent = spark.sparkContext.broadcast((known[order], np.array([r[1] for r in often], np.int64)[order]))
 
     real = sets.where("n > 0 and doc_id is not null")
-    classes = saved(real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("label").alias("label")), "classes")
+    classes = saved(real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("label").alias("label")), "classes")
     several = classes.where("first < last").select("digest", "first")
     copies = saved(real.join(several, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
@@ -553,8 +568,12 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
         crowded, together = crowded.select("doc_id", "text"), crowded.repartitionByRange("near", "doc_id").sortWithinPartitions("near", "doc_id").select("doc_id", "text")
         often = _bitmap(together.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > few[0]).select("token"))
         marks = spark.sparkContext.broadcast(np.zeros(PLACES >> 6, np.uint64) if often is None else often)
-        found = found.where(F.col("kind") == PAIR).union(pairs(crowded, marks, few[1], True)).distinct()
-    side = lambda x: classes.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
+        found = found.where(F.col("kind") == PAIR).union(pairs(crowded, marks, few[1], True))
+    found = found.where(F.col("kind") != MANY)
+    # sets' bitmaps are long: only those of sets in pairs move
+    paired = _among(real, "label", found.select("a").union(found.select("b")))
+    paired = saved(paired.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("label").alias("label")), "paired")
+    side = lambda x: paired.select(F.col("label").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "n", "bits")))
     some = found.where(F.col("kind") == PAIR).join(side("a"), "a").join(side("b"), "b")
     tied = found.where(F.col("kind") == TIE).join(side("a").select("a", "first_a"), "a").join(side("b").select("b", "first_b"), "b").select("first_a", "first_b")
     ties = some.mapInArrow(_possible, "a long, b long").union(tied)
@@ -564,7 +583,8 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / block_docs), F.when(F.col("docs") > 2, F.ceil(F.col("tokens") / block_tokens)).otherwise(1)))
     members = saved(members.join(sizes, "cluster"), "members")
-    docs = saved(docs.join(members.select("doc_id"), "doc_id", "left_semi"), "texts")  # the whole table's texts move this once
+    hashed = F.xxhash64("doc_id").alias("hash")
+    docs = saved(_among(docs.where("doc_id is not null").select("doc_id", "text", hashed), "hash", members.select(hashed)).select("doc_id", "text"), "texts")
     groups = members.where("blocks = 1").agg(F.sum("n").alias("n")).first()[0] or 0
     bins = max(1, -(-groups // min(block_tokens, GROUP_TOKENS)), -(-members.count() // block_docs))
     block = F.pmod(F.xxhash64("doc_id"), "blocks")
@@ -590,7 +610,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_tokens:
         main = counts.groupBy("cluster").agg(F.max(F.struct("many", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         now = saved(now.join(main.select("cluster", F.col("main.component").alias("main")), "cluster").withColumn("outside", F.expr("component <> main")), "outside")
         if now.limit(1).count():
-            more, left = _across(now, docs, classes, frequent, marks, few[1])
+            more, left = _across(now, docs, paired, frequent, marks, few[1])
             left = saved(now.join(left, "doc_id", "left_semi"), "asking")
             if left.limit(1).count():
                 chunks = left.groupBy("cluster").agg(dealt(F.count("*"), F.sum("n")).alias("chunks"))
